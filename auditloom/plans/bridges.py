@@ -2,7 +2,7 @@
 
 The driver tables hold no spans, tool calls, manifests or code, so each input is computed from
 whole driver tables. A bridge that both engines can express is one SQL text: ``@table`` stands for
-a driver table, ``EXPLODE[..]`` for one row per list element, and the few function names that
+a driver table, ``LIST[..]`` for a list, ``EXPLODE[..]`` for one row per element, and the few function names that
 differ are swapped in ``for_duckdb``.
 """
 
@@ -11,6 +11,9 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from auditloom.plans.snippets import SNIPPETS
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -23,11 +26,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def for_spark(sql: str, sf_dir: str) -> str:
+    sql = re.sub(r"LIST\[([^\]]*)\]", r"array(\1)", sql)
     sql = re.sub(r"EXPLODE\[([^\]]*)\]", r"explode(array(\1))", sql)
     return re.sub(r"@(\w+)", lambda m: f"parquet.`{sf_dir}/{m.group(1)}.parquet`", sql)
 
 
 def for_duckdb(sql: str) -> str:
+    sql = re.sub(r"LIST\[([^\]]*)\]", r"[\1]", sql).replace("element_at(", "list_extract(")
     text = re.sub(r"EXPLODE\[([^\]]*)\]", r"unnest([\1])", sql)
     text = re.sub(r"@(\w+)", r"\1", text)
     return text.replace("timestamp_micros(", "make_timestamp(").replace("unix_micros(", "epoch_us(")
@@ -127,3 +132,83 @@ PART_ROWS_SQL = f"""
     FROM (SELECT *, EXPLODE[0, 1] AS part_idx FROM ({MESSAGES_SQL}) m) p
     WHERE (conv_id + turn) % 13 <> 0 AND (part_idx = 0 OR turn % 3 = 0)
 """
+
+
+def sql_text(value: str) -> str:
+    """A SQL string literal for engines that do not read backslashes."""
+    return "'" + value.replace("'", "''") + "'"
+
+
+# Code lines: an order is a file, its lines are numbered snippets chosen by the row keys.
+def code_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pick = (F.col("l_orderkey") * 7 + F.col("l_linenumber") * 13 + F.col("l_suppkey")) % len(SNIPPETS)
+    line = F.element_at(F.array(*[F.lit(s) for s in SNIPPETS]), (pick + 1).cast("int"))
+    return table(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("repo"), (F.col("l_partkey") % 20).cast("string")).alias("repo"),
+        F.concat(F.lit("src/file_"), F.col("l_orderkey").cast("string"), F.lit(".py")).alias("path"),
+        F.col("l_linenumber").cast("bigint").alias("line_no"),
+        F.concat(line, F.lit("\n")).alias("raw"),
+        F.btrim(line).alias("line"),
+    )
+
+
+CODE_LINES_DUCKDB = f"""
+    SELECT 'repo' || CAST(l_partkey % 20 AS VARCHAR) AS repo,
+           'src/file_' || CAST(l_orderkey AS VARCHAR) || '.py' AS path,
+           CAST(l_linenumber AS BIGINT) AS line_no,
+           snippet || chr(10) AS raw, trim(snippet) AS line
+    FROM (SELECT *, list_extract([{', '.join(sql_text(s) for s in SNIPPETS)}],
+                 CAST((l_orderkey * 7 + l_linenumber * 13 + l_suppkey) % {len(SNIPPETS)} + 1 AS INT)) AS snippet
+          FROM lineitem) picked
+"""
+
+
+# Text files: a document is a file of the repository named by its source.
+DOCUMENT_FILES_SQL = """
+    SELECT source AS repo, 'docs/' || source || '/note_' || CAST(doc_id AS STRING) || '.py' AS path, text AS content
+    FROM @documents
+"""
+
+# Manifests: a part is a manifest; names, pins, licences and look-alikes follow from the key.
+MANIFESTS_SQL = """
+    SELECT 'repo' || CAST(p_partkey % 20 AS STRING) || '/m' || CAST(p_partkey AS STRING) || '/' ||
+           CASE WHEN p_partkey % 19 = 0 THEN 'go.mod' WHEN p_partkey % 23 = 0 THEN 'poetry.lock'
+                WHEN p_partkey % 31 = 0 THEN 'README.md' WHEN p_partkey % 37 = 0 THEN '.git/setup.py'
+                WHEN eco = 0 THEN CASE WHEN p_size % 2 = 0 THEN 'requirements.txt' ELSE 'requirements-dev.txt' END
+                WHEN eco = 1 THEN CASE WHEN p_size % 2 = 0 THEN 'pom.xml' ELSE 'build.gradle' END
+                ELSE 'package.json' END AS path,
+           '// ' || p_name || ' ' || p_brand || NL ||
+           CASE WHEN p_partkey % 10 = 0 THEN '"license": "GPL-3.0",' WHEN p_partkey % 10 = 1 THEN '<license>GNU LGPL</license>'
+                WHEN p_partkey % 10 = 2 THEN 'license = ''MPL-2.0''' ELSE '"license": "MIT",' END || NL ||
+           CASE WHEN p_partkey % 41 = 0 THEN 'reqeusts' WHEN p_partkey % 43 = 0 THEN 'Lodas exprees' ELSE 'ok' END || NL ||
+           CASE WHEN eco = 0 THEN lib_py || '==' || version || NL || 'my-' || lib_py2 || '==' || version2
+                WHEN eco = 1 AND p_size % 2 = 0 THEN '<artifactId>' || lib_jvm || '</artifactId>' || NL || '  <version>' || version || '</version>'
+                WHEN eco = 1 THEN 'implementation "g:' || lib_jvm || ':' || version || '"'
+                ELSE '{ "' || lib_js || '": "' || mark || version || '", "' || lib_js2 || '" : "' || version2 || '" }' END
+           AS content
+    FROM (SELECT p_partkey, p_name, p_brand, p_size, p_partkey % 3 AS eco, chr(10) AS NL,
+                 element_at(LIST['pyjwt', 'Requests', 'django', 'flask', 'cryptography', 'urllib3', 'jinja2'], CAST(p_partkey % 7 + 1 AS INT)) AS lib_py,
+                 element_at(LIST['requests', 'Jinja2', 'pyjwt'], CAST(p_partkey % 5 % 3 + 1 AS INT)) AS lib_py2,
+                 element_at(LIST['log4j-core', 'spring-beans', 'spring-core', 'jackson-databind', 'commons-text'], CAST(p_partkey % 5 + 1 AS INT)) AS lib_jvm,
+                 element_at(LIST['lodash', 'express', 'axios', 'jsonwebtoken', 'mongoose', 'semver'], CAST(p_partkey % 11 % 6 + 1 AS INT)) AS lib_js,
+                 element_at(LIST['semver', 'axios', 'lodash'], CAST(p_size % 3 + 1 AS INT)) AS lib_js2,
+                 element_at(LIST['', '^', '~'], CAST(p_size % 3 + 1 AS INT)) AS mark,
+                 CAST(p_size % 8 AS STRING) || '.' || CAST(p_partkey % 40 AS STRING) ||
+                   CASE WHEN p_size % 5 = 0 THEN '' ELSE '.' || CAST(p_partkey % 23 AS STRING) END AS version,
+                 CAST(p_partkey % 4 AS STRING) || '.' || CAST(p_size AS STRING) || '.1' AS version2
+          FROM @part) keys
+"""
+
+# Repositories of code: a document is a module that defines, calls and imports by its keys, followed
+# by its whole text.
+REPO_FILES_SQL = """
+    SELECT source AS repo, 'lib/mod_' || CAST(doc_id AS STRING) || CASE WHEN doc_id % 13 = 0 THEN '.md' ELSE '.py' END AS path,
+           'import src' || CAST((doc_id * 3 + 1) % 20 AS STRING) || NL ||
+           'from src' || CAST((doc_id * 7 + 2) % 20 AS STRING) || '-extra import helper' || NL ||
+           'def ' || name_a || '(x):' || NL || '    return ' || name_b || ' (x)' || NL ||
+           CASE WHEN doc_id % 5 = 0 THEN 'def main():' || NL || '    main()' || NL ELSE '' END || text AS content
+    FROM (SELECT doc_id, source, text, chr(10) AS NL,
+                 'fn_' || CAST(doc_id % 97 AS STRING) AS name_a,
+                 'fn_' || CAST((doc_id * 5 + 11) % 89 AS STRING) AS name_b
+          FROM @documents) keys
+"""

@@ -11,6 +11,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 MODULES = [
     "q_completions",
+    "q_scan",
+    "q_dependencies",
+    "q_graph",
 ]
 
 
