@@ -59,8 +59,9 @@ def scan(lines: DataFrame, rules: list[Rule]) -> DataFrame:
     """One row per (line, matching rule).
 
     All rules are literal expressions of one projection: each pattern is compiled once per task,
-    nothing is shuffled, and lines without a hit leave in the same stage. ``lines`` needs ``raw``
-    (matched) and ``line`` (reported).
+    nothing is shuffled, and lines without a hit leave in the same stage. The array sits under a
+    higher-order function, which Spark evaluates by walking the expressions; as generated code the
+    rules would outgrow the size limit of one Java method. ``lines`` needs only ``raw``.
     """
     kept = [c for c in lines.columns if c not in ("raw", "line")]
     hits = F.array_compact(
@@ -74,9 +75,9 @@ def scan(lines: DataFrame, rules: list[Rule]) -> DataFrame:
     labels = F.array(*[rule_label(rule) for rule in rules])
     return (
         lines.withColumn("__lowered", F.lower("raw"))
-        .select(*kept, F.col("line").alias("content"), F.explode(hits).alias("__hit"))
+        .select(*kept, "raw", F.explode(hits).alias("__hit"))
         .withColumn("__label", F.element_at(labels, F.col("__hit")))
-        .select(*kept, "__label.rule", "content", "__label.severity")
+        .select(*kept, "__label.rule", strip(F.col("raw")).alias("content"), "__label.severity")
     )
 
 
@@ -90,8 +91,7 @@ def smell_scan(lines: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
 
 def scan_files(files: DataFrame, rules: list[Rule]) -> DataFrame:
     """Match rules on whole files, so that patterns spanning lines can fire. One row per (file, rule)."""
-    whole = files.withColumns({"raw": F.col("content"), "line": F.col("path")}).drop("content")
-    return scan(whole, rules).drop("content")
+    return scan(files.withColumnRenamed("content", "raw"), rules).drop("content")
 
 
 def keyword_matches(lines: DataFrame, query: str) -> DataFrame:

@@ -42,6 +42,20 @@ def run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return spark.sql(for_spark(sql, sf_dir))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core rows when a scan has fewer partitions than there are cores.
+
+    The driver tables are single small files. A large table has more splits than cores and passes
+    unchanged, without a shuffle. ``df`` must be a plain scan and projection.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def run_spread(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    return spread(run(spark, sf_dir, sql))
+
+
 # Calls: every turn of a conversation that the assistant wrote. One call in seven is logged twice.
 CALLS_SQL = """
     SELECT conv_id, turn, copy_no,
@@ -143,7 +157,10 @@ def sql_text(value: str) -> str:
 def code_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     pick = (F.col("l_orderkey") * 7 + F.col("l_linenumber") * 13 + F.col("l_suppkey")) % len(SNIPPETS)
     line = F.element_at(F.array(*[F.lit(s) for s in SNIPPETS]), (pick + 1).cast("int"))
-    return table(spark, sf_dir, "lineitem").select(
+    keys = spread(
+        table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey")
+    )
+    return keys.select(
         F.concat(F.lit("repo"), (F.col("l_partkey") % 20).cast("string")).alias("repo"),
         F.concat(F.lit("src/file_"), F.col("l_orderkey").cast("string"), F.lit(".py")).alias("path"),
         F.col("l_linenumber").cast("bigint").alias("line_no"),
@@ -212,3 +229,85 @@ REPO_FILES_SQL = """
                  'fn_' || CAST((doc_id * 5 + 11) % 89 AS STRING) AS name_b
           FROM @documents) keys
 """
+
+
+# Tool calls: an event is a call, its user the session. Some calls carry a signature.
+TOOL_CALLS_SQL = """
+    SELECT 'sess-' || CAST(user_id AS STRING) AS session_id, event_id AS seq, CAST(ts AS TIMESTAMP) AS ts,
+           element_at(LIST['search_agent', 'story_agent', 'impact_agent', 'task_breakdown_agent', 'coding_agent', NULL, 'rogue_agent'], CAST(event_id % 7 + 1 AS INT)) AS agent,
+           CASE WHEN event_type = 'error' THEN element_at(LIST['execute_sandbox', 'run_sandbox', 'apply_git_diff', 'commit_changes'], CAST(event_id % 4 + 1 AS INT))
+                WHEN event_type = 'view' THEN element_at(LIST['query_spanner_graph', 'search_vector_db', 'list_resources'], CAST(event_id % 3 + 1 AS INT))
+                WHEN event_type = 'click' THEN element_at(LIST['fetch_epic', 'get_requirements', 'scan_call_graph'], CAST(event_id % 3 + 1 AS INT))
+                WHEN event_type = 'signup' THEN element_at(LIST['create_jira_ticket', 'order_tasks', 'execute_command'], CAST(event_id % 3 + 1 AS INT))
+                ELSE 'run_unit_tests' END AS tool,
+           props AS arg1,
+           CASE WHEN event_type = 'error' AND event_id % 37 = 0 THEN 'sudo rm -rf /data/' || CAST(event_id AS STRING)
+                WHEN event_type = 'view' AND event_id % 211 = 0 THEN 'load malicious_payload and adversarial_vibes'
+                ELSE 'ls ' || CAST(event_id AS STRING) END AS arg2
+    FROM @events
+"""
+VERDICTS_SQL = """
+    SELECT 'sess-' || CAST(user_id AS STRING) AS session_id, event_id AS seq,
+           CASE WHEN event_id % 5 < 3 THEN 'APPROVED' ELSE 'DENIED' END AS decision
+    FROM @events WHERE event_id % 4 <> 1
+"""
+
+
+def tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_args(run(spark, sf_dir, TOOL_CALLS_SQL))
+
+
+def with_args(calls: DataFrame) -> DataFrame:
+    args = F.create_map(F.lit("props"), F.col("arg1"), F.lit("command"), F.col("arg2"))
+    return calls.withColumn("args", args).drop("arg1", "arg2")
+
+
+# Spans: an event is a span, user and day make the trace; each trace has a root that ends last.
+SPAN_ROWS_SQL = """
+    SELECT 'tr-' || CAST(user_id AS STRING) || '-' || CAST(CAST(ts AS DATE) AS STRING) AS trace_id,
+           'sp-' || CAST(event_id AS STRING) AS span_id,
+           'root-' || CAST(user_id AS STRING) || '-' || CAST(CAST(ts AS DATE) AS STRING) AS parent_id,
+           CASE WHEN event_type IN ('error', 'signup') THEN 'agent.tool' WHEN event_type = 'purchase' THEN 'call generate_content'
+                ELSE 'agent.think' END AS name,
+           CASE WHEN event_type = 'error' AND value > 60 THEN 'ERROR' ELSE 'OK' END AS status,
+           CAST(ts AS TIMESTAMP) AS start_ts,
+           timestamp_micros(unix_micros(CAST(ts AS TIMESTAMP)) + CAST(FLOOR(value * 1000000) AS BIGINT)) AS end_ts,
+           CASE WHEN event_type = 'error' THEN 'execute_sandbox' WHEN event_type = 'signup' THEN 'fetch_epic' END AS tool_name,
+           CASE WHEN event_id % 97 = 0 THEN 'true' WHEN event_id % 13 = 0 THEN 'False' END AS policy_violation,
+           CASE WHEN event_id % 101 = 0 THEN 'QUARANTINED' WHEN event_id % 3 = 0 THEN 'OK' END AS agent_status,
+           CASE WHEN event_type = 'error' AND event_id % 58 = 0 THEN 'app.SecurityAnomalyException'
+                WHEN event_type = 'error' AND event_id % 29 = 0 THEN 'ValueError' END AS exception_type
+    FROM @events
+"""
+ROOT_ROWS_SQL = f"""
+    SELECT trace_id, min(parent_id) AS span_id, CAST(NULL AS STRING) AS parent_id, 'agent.session' AS name, 'OK' AS status,
+           min(start_ts) AS start_ts,
+           timestamp_micros(max(unix_micros(end_ts)) + 1000000) AS end_ts,
+           CAST(NULL AS STRING) AS tool_name, CAST(NULL AS STRING) AS policy_violation,
+           CAST(NULL AS STRING) AS agent_status, CAST(NULL AS STRING) AS exception_type
+    FROM ({SPAN_ROWS_SQL}) s GROUP BY trace_id
+"""
+SPANS_SQL = f"{SPAN_ROWS_SQL} UNION ALL {ROOT_ROWS_SQL}"
+
+
+def as_spans(rows: DataFrame) -> DataFrame:
+    named = [("tool.name", "tool_name"), ("policy_violation", "policy_violation"), ("agent_status", "agent_status")]
+    pairs = F.filter(
+        F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).alias("v")) for k, c in named]),
+        lambda p: p["v"].isNotNull(),
+    )
+    exception = F.struct(
+        F.lit("exception").alias("name"),
+        F.create_map(F.lit("exception.type"), F.col("exception_type")).alias("attributes"),
+    )
+    events = F.when(F.col("exception_type").isNotNull(), F.array(exception)).otherwise(
+        F.array().cast("array<struct<name:string,attributes:map<string,string>>>")
+    )
+    return rows.select(
+        "trace_id", "span_id", "parent_id", "name", "status", "start_ts", "end_ts",
+        F.map_from_entries(pairs).alias("attributes"), events.alias("events"),
+    )
+
+
+def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_spans(run(spark, sf_dir, SPANS_SQL))

@@ -10,7 +10,7 @@ from auditloom.plans import bridges as b
 
 
 def _files(spark, sf):
-    return b.run(spark, sf, b.MANIFESTS_SQL)
+    return b.run_spread(spark, sf, b.MANIFESTS_SQL)
 
 
 def _manifests(spark, sf):

@@ -9,7 +9,7 @@ from auditloom.plans import bridges as b
 
 
 def _files(spark, sf):
-    return b.run(spark, sf, b.REPO_FILES_SQL)
+    return b.run_spread(spark, sf, b.REPO_FILES_SQL)
 
 
 def _edges(spark, sf):

@@ -12,7 +12,7 @@ _KEYWORD = "token"
 
 
 def _documents(spark, sf):
-    return b.run(spark, sf, b.DOCUMENT_FILES_SQL)
+    return b.run_spread(spark, sf, b.DOCUMENT_FILES_SQL)
 
 
 def _document_lines(spark, sf):

@@ -14,6 +14,8 @@ MODULES = [
     "q_scan",
     "q_dependencies",
     "q_graph",
+    "q_policy",
+    "q_pii",
 ]
 
 
