@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.functions.rules import SAST_RULES, SMELL_RULES, Rule, owasp_class, rule_label
+from auditloom.functions.rules import SAST_RULES, SMELL_RULES, Rule, owasp_class, sql_literal
 from auditloom.functions.text import FILE_BREAK, strip
 
 # Folders and extensions that are never scanned.
@@ -64,18 +64,35 @@ def scan(lines: DataFrame, rules: list[Rule]) -> DataFrame:
     rules would outgrow the size limit of one Java method. ``lines`` needs only ``raw``.
     """
     kept = [c for c in lines.columns if c not in ("raw", "line")]
-    hits = F.array_compact(
-        F.array(
-            *[
-                F.when(rule.matches(F.col("raw"), F.col("__lowered")), F.lit(i + 1))
-                for i, rule in enumerate(rules)
-            ]
+
+    def hits_of(guard: str) -> str:
+        arms = [
+            f"CASE WHEN {rule.condition('raw', '__lowered')} THEN {i} END"
+            for i, rule in enumerate(rules, 1)
+            if rule.guard == guard
+        ]
+        none = "CAST(array() AS array<int>)"
+        if not arms:
+            return none
+        found = f"array_compact(array({', '.join(arms)}))"
+        return f"CASE WHEN contains(raw, '{guard}') THEN {found} ELSE {none} END" if guard else found
+
+    # Half of the rules match only lines with a parenthesis; one test spares the others all of them.
+    hits = F.expr(f"concat({hits_of('')}, {hits_of('(')})")
+    labels = F.expr(
+        "array("
+        + ", ".join(
+            f"named_struct('rule', {sql_literal(rule.name)}, 'severity', {sql_literal(rule.severity)})"
+            for rule in rules
         )
+        + ")"
     )
-    labels = F.array(*[rule_label(rule) for rule in rules])
     return (
         lines.withColumn("__lowered", F.lower("raw"))
-        .select(*kept, "raw", F.explode(hits).alias("__hit"))
+        # explode_outer: for a plain explode Spark infers a filter on the array, pushes it below the
+        # lower-casing and evaluates every rule twice.
+        .select(*kept, "raw", F.explode_outer(hits).alias("__hit"))
+        .filter(F.col("__hit").isNotNull())
         .withColumn("__label", F.element_at(labels, F.col("__hit")))
         .select(*kept, "__label.rule", strip(F.col("raw")).alias("content"), "__label.severity")
     )

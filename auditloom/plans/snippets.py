@@ -54,7 +54,7 @@ SNIPPETS = [
     r"""User(**request.form)""",
     r"""localStorage.setItem('token', tok)""",
     r"""request.files['f'].save(dest)""",
-    r"""free(p); free(q);x""",
+    r"""delete node; delete head""",
     r"""short n = 70000;""",
     r"""if os.path.exists(p): open(p)""",
     r"""for i in range(999999):""",
