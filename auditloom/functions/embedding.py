@@ -5,46 +5,44 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from auditloom.functions.arrays import let
+
 
 
 def text_char_embedding(df: DataFrame, text: str = "text", dim: int = 16, output: str = "embedding") -> DataFrame:
     """Add a unit vector: slot ``i % dim`` sums the code points of the lower-cased characters.
 
-    One pass over the characters, ``dim`` at a time; sums are whole numbers, so their order does
-    not matter. A text without characters keeps the zero vector.
+    The text becomes an array of code points once; each slot folds over its own positions. Sums are
+    whole numbers, so their order does not matter. A text without characters keeps the zero vector.
     """
-    slots = range(dim)
-    zero = "named_struct(" + ", ".join(f"'s{j}', 0L" for j in slots) + ")"
-    step = "named_struct(" + ", ".join(
-        f"'s{j}', acc.s{j} + coalesce(ascii(get(__chars, m * {dim} + {j})), 0)" for j in slots
-    ) + ")"
-    blocks = f"sequence(0, greatest(cast(ceil(size(__chars) / {dim}) as int) - 1, 0))"
-    sums = F.expr(f"aggregate({blocks}, {zero}, (acc, m) -> {step})")
-    vector = F.array(*[F.col(f"__sums.s{j}").cast("double") for j in slots])
-    norm = F.sqrt(sum((F.col(f"__sums.s{j}").cast("double") * F.col(f"__sums.s{j}") for j in slots), F.lit(0.0)))
-    return (
-        df.withColumn("__chars", F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), ""))
-        .withColumn("__sums", sums)
-        .withColumns({"__norm": norm, output: vector})
-        .withColumn(
-            output,
-            F.when(F.col("__norm") > 0, F.transform(output, lambda v: v / F.col("__norm"))).otherwise(F.col(output)),
+    characters = F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "")
+    zero = F.lit(0).cast("bigint")
+
+    def slot(codes: Column, j: int) -> Column:
+        places = F.sequence(F.lit(j), F.size(codes) - 1, F.lit(dim))
+        total = F.aggregate(places, zero, lambda acc, i: acc + F.get(codes, i))
+        return F.when(F.size(codes) > j, total).otherwise(zero)
+
+    def unit(sums: Column) -> Column:
+        squares = F.aggregate(sums, F.lit(0.0), lambda acc, s: acc + s.cast("double") * s.cast("double"))
+        return let(
+            F.sqrt(squares), lambda norm: F.transform(sums, lambda s: F.when(norm > 0, s / norm).otherwise(F.lit(0.0)))
         )
-        .drop("__chars", "__sums", "__norm")
-    )
-
 
-def distance_to(vector: str, centroid: list[float]) -> str:
-    """SQL for the Euclidean distance between an array column and a literal vector."""
-    terms = " + ".join(
-        f"({vector}[{i}] - {value!r}D) * ({vector}[{i}] - {value!r}D)" for i, value in enumerate(centroid)
-    )
-    return f"sqrt({terms})"
+    codes = F.transform(characters, lambda c: F.ascii(c))
+    sums = let(codes, lambda c: F.array(*[slot(c, j) for j in range(dim)]))
+    return df.withColumn(output, let(sums, unit))
 
 
 def nearest(vector: str, centroids: list[list[float]]) -> Column:
     """``(dist, cluster)`` of the nearest literal centroid; the lowest index wins a tie."""
+    def distance(centroid: list[float]) -> str:
+        values = "array(" + ", ".join(f"{value!r}D" for value in centroid) + ")"
+        return (
+            f"sqrt(aggregate(zip_with({vector}, {values}, (a, b) -> (a - b) * (a - b)), 0D, (acc, d) -> acc + d))"
+        )
+
     options = ", ".join(
-        f"named_struct('dist', {distance_to(vector, c)}, 'cluster', {i})" for i, c in enumerate(centroids)
+        f"named_struct('dist', {distance(c)}, 'cluster', {i})" for i, c in enumerate(centroids)
     )
     return F.expr(f"array_min(array({options}))")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,17 +35,21 @@ def initial_centroids(df: DataFrame, vector: str, id_column: str, ids: list) ->
 def nearest_centroid(df: DataFrame, vector: str, centroids: Vectors) -> DataFrame:
     """Add ``cluster`` and ``dist``. Centroids are literals: k times the dimension, whatever the data."""
     return df.withColumn("__near", nearest(vector, centroids)).withColumns(
-        {"cluster": F.col("__near.cluster"), "dist": F.col("__near.dist")}
+        # Never NULL, so that no null test is pushed down to compute the distances again.
+        {"cluster": F.coalesce("__near.cluster", F.lit(0)), "dist": F.col("__near.dist")}
     ).drop("__near")
 
 
-def kmeans_update(assigned: DataFrame, vector: str, centroids: Vectors) -> DataFrame:
-    """Mean per cluster and dimension as ``(cluster, centroid)``; an empty cluster has no row.
+def kmeans_update(assigned: DataFrame, vector: str) -> DataFrame:
+    """Mean vector per cluster as ``(cluster, centroid, members)``; an empty cluster has no row.
 
-    One hash aggregation of plain sums, combined before the shuffle: k rows per task cross it.
+    One vector aggregate, combined before the shuffle: k rows per task cross it, and no row is
+    multiplied by the dimension.
     """
-    means = F.array(*[F.avg(F.col(vector)[d].cast("double")) for d in range(len(centroids[0]))])
-    return assigned.groupBy("cluster").agg(means.alias("centroid"), F.count(F.lit(1)).alias("members"))
+    points = assigned.select("cluster", array_to_vector(F.col(vector).cast("array<double>")).alias("__point"))
+    return points.groupBy("cluster").agg(
+        vector_to_array(Summarizer.mean(F.col("__point"))).alias("centroid"), F.count(F.lit(1)).alias("members")
+    )
 
 
 def kmeans_fit(
@@ -58,7 +64,7 @@ def kmeans_fit(
     current = [list(c) for c in centroids]
     for _ in range(max_iters):
         assigned = nearest_centroid(points.select(vector), vector, current)
-        means = {r["cluster"]: list(r["centroid"]) for r in kmeans_update(assigned, vector, current).collect()}
+        means = {r["cluster"]: list(r["centroid"]) for r in kmeans_update(assigned, vector).collect()}
         moved = [means.get(i, old) for i, old in enumerate(current)]
         shift = max(abs(a - b) for new, old in zip(moved, current) for a, b in zip(new, old))
         if shift <= tolerance:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from auditloom.functions.arrays import explode_once
 from auditloom.functions.text import null_if_empty
 from auditloom.operators.scan import base_name
 
@@ -114,7 +115,7 @@ def typosquat_hits(files: DataFrame, names: list[str] | None = None) -> DataFram
         F.lit("SCA Malicious Package: Potential typosquatting/dependency confusion attack targeting '"),
         F.col("name"), F.lit("'"),
     )
-    return lowered.select("path", F.explode(found).alias("name")).select(
+    return explode_once(lowered, ["path"], found, "name").select(
         *_finding(F.col("name"), F.lit("N/A"), rule, F.lit("CRITICAL"), 2)
     )
 
@@ -149,7 +150,7 @@ def dependency_versions(files: DataFrame, libraries: list[tuple[str, str]] | Non
     pins = F.filter(
         F.array(*[pinned(e, lib) for e, lib in known]), lambda pin: pin["version"].isNotNull()
     )
-    return staged.select("path", "ecosystem", F.explode(pins).alias("pin")).select(
+    return explode_once(staged, ["path", "ecosystem"], pins, "pin").select(
         "path", "ecosystem", "pin.library", "pin.version"
     )
 

@@ -89,9 +89,9 @@ def _classify() -> Column:
 
 
 def report_lines(reports: DataFrame, text: str = "text") -> DataFrame:
-    """Trimmed lines ``(report_id, line_no, code)``."""
+    """Trimmed lines ``(report_id, line_no, code)``; an empty report has one row of NULLs."""
     return reports.withColumn("__lines", text_lines(F.col(text))).select(
-        "report_id", F.posexplode("__lines").alias("line_no", "raw")
+        "report_id", F.posexplode_outer("__lines").alias("line_no", "raw")
     ).select("report_id", F.col("line_no").cast("bigint").alias("line_no"), strip(F.col("raw")).alias("code"))
 
 

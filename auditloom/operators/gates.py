@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from auditloom.functions.arrays import explode_once
 from auditloom.operators.patches import build_diff, fallback_patch
 
 # Calls and hosts the rules know.
@@ -270,7 +271,7 @@ def gate_report(files: DataFrame, hosts: list[str] | None = None) -> DataFrame:
 
 def error_rows(report: DataFrame) -> DataFrame:
     """Errors as rows ``(path, error_no, error)``."""
-    return report.select("path", F.posexplode("errors").alias("pos", "error")).select(
+    return explode_once(report, ["path"], F.col("errors"), "error", "pos").select(
         "path", (F.col("pos") + 1).cast("bigint").alias("error_no"), "error"
     )
 
@@ -289,7 +290,7 @@ def command_targets(commands: DataFrame) -> DataFrame:
         F.col("command").rlike(INLINE_CODE),
         F.array(F.struct(F.lit("<inline>").alias("path"), F.regexp_extract("command", INLINE_CODE, 1).alias("content"))),
     ).otherwise(F.array().cast("array<struct<path:string,content:string>>"))
-    return commands.select("command_id", F.explode(F.concat(scripts, inline)).alias("t")).select("command_id", "t.*")
+    return explode_once(commands, ["command_id"], F.concat(scripts, inline), "t").select("command_id", "t.*")
 
 
 def blocked_commands(commands: DataFrame, files: DataFrame) -> DataFrame:
@@ -305,13 +306,8 @@ def blocked_commands(commands: DataFrame, files: DataFrame) -> DataFrame:
     codes = inline.select("content").distinct().select(F.lit("<inline>").alias("path"), "content")
     gated = extract_code_facts(codes)
     rules = F.concat(lint_empty_except(), gating_errors(), egress_violations())
-    inline_errors = inline.join(
-        gated.select(
-            "content",
-            F.posexplode(F.when(F.size(syntax_errors()) > 0, syntax_errors()).otherwise(rules)).alias("pos", "error"),
-        ),
-        "content",
-    ).select("command_id", "path", (F.col("pos") + 1).cast("bigint").alias("error_no"), "error")
+    errors = F.when(F.size(syntax_errors()) > 0, syntax_errors()).otherwise(rules)
+    inline_errors = inline.join(explode_once(gated, ["content"], errors, "error", "pos"), "content").select("command_id", "path", (F.col("pos") + 1).cast("bigint").alias("error_no"), "error")
     return script_errors.select("command_id", "path", "error_no", "error").unionByName(inline_errors)
 
 

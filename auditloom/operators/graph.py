@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from auditloom.functions.arrays import explode_once
 from auditloom.operators.scan import base_name
 from auditloom.session import cut_lineage
 
@@ -21,15 +22,14 @@ def python_files(files: DataFrame) -> DataFrame:
 
 def function_defs(files: DataFrame) -> DataFrame:
     """Every definition occurrence; repeated names stay."""
-    return python_files(files).select(
-        "repo", "path", F.explode(F.regexp_extract_all("content", F.lit(DEFINITION), 1)).alias("func")
-    )
+    found = F.regexp_extract_all("content", F.lit(DEFINITION), 1)
+    return explode_once(python_files(files), ["repo", "path"], found, "func")
 
 
 def call_tokens(files: DataFrame) -> DataFrame:
     """Distinct call-shaped names of each file."""
     tokens = F.array_distinct(F.regexp_extract_all("content", F.lit(CALL), 1))
-    return python_files(files).select("repo", "path", F.explode(tokens).alias("func"))
+    return explode_once(python_files(files), ["repo", "path"], tokens, "func")
 
 
 def imported_names(files: DataFrame) -> DataFrame:
@@ -38,7 +38,7 @@ def imported_names(files: DataFrame) -> DataFrame:
     ``import a-b.c`` names ``a``, ``a-b`` and ``a-b.c``.
     """
     names = F.array_distinct(F.regexp_extract_all("content", F.lit(IMPORT), 1))
-    written = python_files(files).select("repo", "path", F.explode(names).alias("written")).withColumn(
+    written = explode_once(python_files(files), ["repo", "path"], names, "written").withColumn(
         "pieces", F.regexp_extract_all("written", F.lit(r"\w+|[^\w]+"), 0)
     )
     pieces = F.col("pieces")
@@ -47,7 +47,7 @@ def imported_names(files: DataFrame) -> DataFrame:
         lambda n: F.array_join(F.slice(pieces, F.lit(1), n), ""),
     )
     ends_in_word = F.filter(prefixes, lambda p: p.rlike(r"\w$"))
-    return written.select("repo", "path", F.explode(ends_in_word).alias("name")).distinct()
+    return explode_once(written, ["repo", "path"], ends_in_word, "name").distinct()
 
 
 def repositories(files: DataFrame) -> DataFrame:

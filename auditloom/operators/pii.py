@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from auditloom.functions.arrays import explode_once
 from auditloom.functions.ordered import bucketed_row_number
 from auditloom.functions.text import any_of
 
@@ -136,12 +137,7 @@ def mask_pii(df: DataFrame, text: str = "text") -> DataFrame:
 
 def pii_mapping(masked: DataFrame, scope: str) -> DataFrame:
     """The mapping as rows ``(scope, placeholder, value, pii_type, n, quoted)``."""
-    # explode_outer keeps Spark from inferring a filter that repeats every extraction.
-    return (
-        masked.select(scope, F.explode_outer("mapping").alias("m"))
-        .filter(F.col("m").isNotNull())
-        .select(scope, "m.*")
-    )
+    return explode_once(masked, [scope], F.col("mapping"), "m").select(scope, "m.*")
 
 
 def clear_scope(mapping: DataFrame, scope: str, cleared: DataFrame) -> DataFrame:
@@ -170,7 +166,7 @@ def pii_first_seen_number(
         )
 
     every = F.concat(*[sightings(i, kind) for i, kind in enumerate(PII_TYPES)])
-    seen = extracted.select(scope, row_id, F.explode_outer(every).alias("s")).filter(F.col("s").isNotNull())
+    seen = explode_once(extracted, [scope, row_id], every, "s")
     first = seen.groupBy(scope, F.col("s.value").alias("value")).agg(
         F.min(F.struct(F.col(row_id).alias("row"), "s.pat", "s.pos", "s.pii_type", "s.quoted")).alias("f")
     )
@@ -188,9 +184,7 @@ def pii_first_seen_number(
 
 def _lookup(df: DataFrame, keys: Column, mapping: DataFrame, scope: str, row_id: str, key: str, value: Column):
     """Per row, a map from its own keys to ``value`` in ``mapping``; rows stay small, scopes need not."""
-    wanted = df.select(scope, row_id, F.explode_outer(F.array_distinct(keys)).alias(key)).filter(
-        F.col(key).isNotNull()
-    )
+    wanted = explode_once(df, [scope, row_id], F.array_distinct(keys), key)
     return (
         wanted.join(mapping.select(scope, key, value.alias("__value")), [scope, key])
         .groupBy(scope, row_id)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from auditloom.functions.arrays import explode_once
 from auditloom.functions.rules import SAST_RULES, SMELL_RULES, Rule, owasp_class, sql_literal
 from auditloom.functions.text import FILE_BREAK, strip
 
@@ -41,7 +42,7 @@ def split_lines(files: DataFrame) -> DataFrame:
     kept = [c for c in files.columns if c != "content"]
     return (
         files.select(*kept, F.split("content", FILE_BREAK, -1).alias("__pieces"))
-        .select(*kept, F.size("__pieces").alias("__n"), F.posexplode("__pieces").alias("pos", "piece"))
+        .select(*kept, F.size("__pieces").alias("__n"), F.posexplode_outer("__pieces").alias("pos", "piece"))
         .withColumn(
             "raw", F.when(F.col("pos") < F.col("__n") - 1, F.concat("piece", F.lit("\n"))).otherwise(F.col("piece"))
         )
@@ -89,10 +90,7 @@ def scan(lines: DataFrame, rules: list[Rule]) -> DataFrame:
     )
     return (
         lines.withColumn("__lowered", F.lower("raw"))
-        # explode_outer: for a plain explode Spark infers a filter on the array, pushes it below the
-        # lower-casing and evaluates every rule twice.
-        .select(*kept, "raw", F.explode_outer(hits).alias("__hit"))
-        .filter(F.col("__hit").isNotNull())
+        .transform(lambda df: explode_once(df, [*kept, "raw"], hits, "__hit"))
         .withColumn("__label", F.element_at(labels, F.col("__hit")))
         .select(*kept, "__label.rule", strip(F.col("raw")).alias("content"), "__label.severity")
     )

@@ -20,6 +20,8 @@ TABLES = (
     "benchmark labels conversations"
 ).split()
 
+_TABLE = re.compile(r"@(" + "|".join(TABLES) + r")\b")
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -28,13 +30,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def for_spark(sql: str, sf_dir: str) -> str:
     sql = re.sub(r"LIST\[([^\]]*)\]", r"array(\1)", sql)
     sql = re.sub(r"EXPLODE\[([^\]]*)\]", r"explode(array(\1))", sql)
-    return re.sub(r"@(\w+)", lambda m: f"parquet.`{sf_dir}/{m.group(1)}.parquet`", sql)
+    return _TABLE.sub(lambda m: f"parquet.`{sf_dir}/{m.group(1)}.parquet`", sql)
 
 
 def for_duckdb(sql: str) -> str:
     sql = re.sub(r"LIST\[([^\]]*)\]", r"[\1]", sql).replace("element_at(", "list_extract(")
     text = re.sub(r"EXPLODE\[([^\]]*)\]", r"unnest([\1])", sql)
-    text = re.sub(r"@(\w+)", r"\1", text)
+    text = _TABLE.sub(r"\1", text)
     return text.replace("timestamp_micros(", "make_timestamp(").replace("unix_micros(", "epoch_us(")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from auditloom.functions.arrays import explode_once
 from auditloom.functions.embedding import text_char_embedding
 from auditloom.operators import clustering, evals, feedback, findings, gates, patches
 from auditloom.plans import bridges as b
@@ -41,7 +42,7 @@ def _nearest(spark, sf):
 def _kmeans_update(spark, sf):
     df = _vectors(spark, sf)
     seeds = _seed_vectors(df, "embedding", "vec_id")
-    means = clustering.kmeans_update(clustering.nearest_centroid(df, "embedding", seeds), "embedding", seeds)
+    means = clustering.kmeans_update(clustering.nearest_centroid(df, "embedding", seeds), "embedding")
     return means.select("cluster", F.posexplode("centroid").alias("dim", "v"), "members").select(
         "cluster", "dim", F.round("v", 6).alias("v"), "members"
     )
@@ -143,7 +144,7 @@ def _gate(spark, sf):
 def _rule(rule):
     def query(spark, sf):
         facts = gates.extract_code_facts(b.gate_files(spark, sf))
-        return facts.select("path", F.explode(rule()).alias("error"))
+        return explode_once(facts, ["path"], rule(), "error")
 
     return query
 
@@ -157,7 +158,7 @@ def _hosts(spark, sf):
 QUERIES = {
     "failure_filter": lambda s, d: _failures(s, d).select("session_id", "status", F.length("text").alias("chars")),
     "text_char_embedding": lambda s, d: _embedded(s, d)
-    .select("doc_id", F.posexplode("embedding").alias("slot", "v"))
+    .transform(lambda df: explode_once(df, ["doc_id"], F.col("embedding"), "v", "slot"))
     .select("doc_id", "slot", F.round("v", 6).alias("v")),
     "nearest_centroid": lambda s, d: _nearest(s, d).select("vec_id", "cluster", F.round("dist", 6).alias("dist")),
     "kmeans_update": _kmeans_update,
