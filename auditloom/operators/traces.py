@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Span names, attribute keys and exception types that decide retention.
+# Span names, and attribute keys that decide retention.
 TOOL_SPAN = "agent.tool"
 SANDBOX_TOOL = "execute_sandbox"
 MODEL_SPAN = "generate_content"
 POLICY_ATTRIBUTES = ["policy_violation", "blocked_by_rbac"]
-POLICY_EXCEPTIONS = ["SecurityAnomalyException", "QuarantinedStateException"]
 FALSE_TEXTS = ["", "false", "0", "none"]
 
 
@@ -19,8 +18,8 @@ def is_set(value: Column) -> Column:
     return F.coalesce(~F.lower(value).isin(FALSE_TEXTS), F.lit(False))
 
 
-def span_facts(spans: DataFrame) -> DataFrame:
-    """Per span, the facts that the retention of its trace depends on."""
+def fact_columns() -> list[Column]:
+    """Trace and flags of a span, as expressions."""
     attribute = F.col("attributes")
     exceptions = F.filter("events", lambda e: e["name"] == "exception")
     policy = (
@@ -28,23 +27,28 @@ def span_facts(spans: DataFrame) -> DataFrame:
         | is_set(attribute[POLICY_ATTRIBUTES[1]])
         | F.coalesce(attribute["agent_status"] == "QUARANTINED", F.lit(False))
     )
-    return spans.select(
-        "trace_id",
+    return [
+        F.col("trace_id"),
         F.col("parent_id").isNull().alias("is_root"),
         F.coalesce((F.col("status") == "ERROR") | (F.size(exceptions) > 0), F.lit(False)).alias("is_error"),
         policy.alias("is_policy"),
         F.coalesce(
             (F.col("name") == TOOL_SPAN) & (attribute["tool.name"] == SANDBOX_TOOL), F.lit(False)
         ).alias("is_sandbox"),
-        F.col("name").contains(MODEL_SPAN).alias("is_model"),
-    )
+        F.coalesce(F.col("name").contains(MODEL_SPAN), F.lit(False)).alias("is_model"),
+    ]
+
+
+def span_facts(spans: DataFrame) -> DataFrame:
+    """Per span, the facts that the retention of its trace depends on."""
+    return spans.select(*fact_columns())
 
 
 def trace_retention(spans: DataFrame, threshold: int = 3) -> DataFrame:
     """One row per trace: keep it or not, and why. Traces without a root are not kept.
 
-    An exception of any type already counts as an error, so the exception types that also signal a
-    policy breach change the reason only through the order of tests.
+    An exception of any type already counts as an error, so the types that also signal a policy
+    breach never change the outcome.
     """
     facts = span_facts(spans).groupBy("trace_id").agg(
         F.bool_or("is_root").alias("rooted"),

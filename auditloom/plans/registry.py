@@ -17,6 +17,7 @@ MODULES = [
     "q_policy",
     "q_pii",
     "q_outcomes",
+    "q_flows",
 ]
 
 
