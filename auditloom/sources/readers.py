@@ -40,19 +40,18 @@ def read_completions(spark: SparkSession, path: str, max_bad: int | None = 1000)
     Unknown fields are dropped. Lines that do not parse are skipped; more than ``max_bad`` of them
     is an error, found by a count that stops early. ``None`` skips that pass over the data.
     """
-    raw = (
-        spark.read.schema(f"{COMPLETION_SCHEMA}, _corrupt STRING")
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_corrupt")
-        .json(path)
-    )
-    if max_bad is not None:
-        bad = raw.select("_corrupt", "role").filter(F.col("_corrupt").isNotNull()).limit(max_bad + 1)
-        if len(bad.take(max_bad + 1)) > max_bad:
-            raise TooManyBadRecords(f"more than {max_bad} malformed lines under {path}")
-    return raw.filter(F.col("_corrupt").isNull()).select(
-        "parts", "role", "index", F.col("_metadata.file_path").alias("file_path")
+    # Lines are parsed by from_json with the whole schema: which lines count as malformed must not
+    # depend on the columns that the caller selects.
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    parsed = lines.select(
+        F.from_json("value", f"{COMPLETION_SCHEMA}, _corrupt STRING", options).alias("m"),
+        F.col("_metadata.file_path").alias("file_path"),
     )
+    malformed = F.col("m").isNull() | F.col("m._corrupt").isNotNull()
+    if max_bad is not None and len(parsed.filter(malformed).select("file_path").take(max_bad + 1)) > max_bad:
+        raise TooManyBadRecords(f"more than {max_bad} malformed lines under {path}")
+    return parsed.filter(~malformed).select("m.parts", "m.role", "m.index", "file_path")
 
 
 def read_source_tree(spark: SparkSession, root: str) -> DataFrame:
