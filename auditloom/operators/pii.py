@@ -12,9 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.functions.arrays import explode_once
+from auditloom.functions.arrays import explode_once, let
 from auditloom.functions.ordered import bucketed_row_number
 from auditloom.functions.text import any_of
+from auditloom.session import cut_lineage
 
 # The patterns in the order they run. Only API_KEY has groups: label, then value.
 PII_PATTERNS = [
@@ -28,6 +29,9 @@ PII_PATTERNS = [
 ]
 PII_TYPES = [name for name, _ in PII_PATTERNS]
 
+# What every match of a pattern contains; a cheap test before the pattern itself.
+_NEEDED = {"EMAIL": "@", "IP_ADDRESS": r"\d\.\d", "PHONE_NUMBER": r"\d{3}", "CREDIT_CARD": r"\d[ -]*\d"}
+
 # A noncharacter marks a masked span until its number is known. Brackets keep later patterns from
 # reaching into it, exactly as with the final placeholder.
 _MARK = "\uffff"
@@ -39,32 +43,46 @@ def _values(kind: str) -> str:
     return f"__v_{kind}"
 
 
+def _extraction(text: Column) -> Column:
+    """Slotted text, slot order and values of one text, as a struct.
+
+    Each pattern runs on the text that the pattern before left. Every intermediate text is bound with
+    ``let``, so it is computed once wherever Spark moves the expression.
+    """
+    none = F.array().cast("array<string>")
+
+    def stage(i: int, current: Column, values: dict[str, Column]) -> Column:
+        if i == len(PII_PATTERNS):
+            raw = values["API_KEY"]
+            kept = {**values, "API_KEY": F.transform(raw, lambda v: F.btrim(v, F.lit("'\"")))}
+            return F.struct(
+                current.alias("slotted"),
+                F.regexp_extract_all(current, F.lit(_SLOT), F.lit(1)).alias("kinds"),
+                F.transform(raw, lambda v: v.substr(1, 1).isin("'", '"')).alias("quoted"),
+                *[kept[kind].alias(kind) for kind in PII_TYPES],
+            )
+        kind, pattern = PII_PATTERNS[i]
+        labelled = kind == "API_KEY"
+        found = F.regexp_extract_all(current, F.lit(pattern), F.lit(2 if labelled else 0))
+        if kind in _NEEDED:
+            found = F.when(current.rlike(_NEEDED[kind]), found).otherwise(none)
+        slot = ("$1" if labelled else "") + f"[[{_MARK}{kind}]]"
+
+        def rewritten(hits: Column) -> Column:
+            # Most texts have no match and are not rewritten.
+            text_after = F.when(F.size(hits) > 0, F.regexp_replace(current, pattern, slot)).otherwise(current)
+            return let(text_after, lambda after: stage(i + 1, after, {**values, kind: hits}))
+
+        return let(found, rewritten)
+
+    return let(text, lambda t: stage(0, t, {}))
+
+
 def extract_pii(df: DataFrame, text: str = "text") -> DataFrame:
     """Add ``__slotted`` (text with unnumbered slots), the values per type and the slot order."""
-    staged = df.withColumn("__t0", F.col(text))
-    for i, (kind, pattern) in enumerate(PII_PATTERNS):
-        slot = f"[[{_MARK}{kind}]]"
-        labelled = kind == "API_KEY"
-        found = F.regexp_extract_all(f"__t{i}", F.lit(pattern), F.lit(2 if labelled else 0))
-        staged = staged.withColumns(
-            {
-                _values(kind): found,
-                f"__t{i + 1}": F.regexp_replace(f"__t{i}", pattern, ("$1" if labelled else "") + slot),
-            }
-        )
-    raw_keys = F.col(_values("API_KEY"))
-    quoted = F.transform(raw_keys, lambda v: v.substr(1, 1).isin("'", '"'))
-    bare = F.transform(raw_keys, lambda v: F.btrim(v, F.lit("'\"")))
-    staged = staged.withColumns(
-        {
-            "__slotted": F.col(f"__t{len(PII_PATTERNS)}"),
-            "__quoted": quoted,
-            _values("API_KEY"): bare,
-        }
-    )
-    return staged.withColumn(
-        "__kinds", F.regexp_extract_all("__slotted", F.lit(_SLOT), F.lit(1))
-    ).drop(*[f"__t{i}" for i in range(len(PII_PATTERNS) + 1)])
+    staged = df.withColumn("__pii", _extraction(F.col(text)))
+    fields = {"__slotted": "slotted", "__kinds": "kinds", "__quoted": "quoted", **{_values(k): k for k in PII_TYPES}}
+    return staged.withColumns({name: F.col(f"__pii.{field}") for name, field in fields.items()}).drop("__pii")
 
 
 def _values_in_text_order() -> Column:
@@ -128,7 +146,7 @@ def mask_pii(df: DataFrame, text: str = "text") -> DataFrame:
         F.transform("mapping", lambda e: e["value"]), F.transform("mapping", lambda e: e["placeholder"])
     )
     staged = staged.withColumns({"__names": names, "__ordered": _values_in_text_order()})
-    fillers = F.transform("__ordered", lambda v: F.element_at("__names", v))
+    fillers = let(F.col("__names"), lambda names: F.transform("__ordered", lambda v: F.element_at(names, v)))
     masked = F.when(F.size("__kinds") == 0, F.col("__slotted")).otherwise(
         _fill(F.col("__slotted"), _SLOT, fillers)
     )
@@ -195,10 +213,14 @@ def _lookup(df: DataFrame, keys: Column, mapping: DataFrame, scope: str, row_id:
 def mask_pii_scope(df: DataFrame, scope: str, row_id: str, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Mask with one numbering per ``scope``; returns the rows with ``masked`` and the mapping."""
     staged = extract_pii(df, text).withColumn("__ordered", _values_in_text_order())
-    mapping = pii_first_seen_number(staged, scope, row_id)
-    names = _lookup(staged, F.col("__ordered"), mapping, scope, row_id, "value", F.col("placeholder"))
+    # The values, without the texts, feed the numbering and the lookup: written once, read twice.
+    found = cut_lineage(
+        staged.select(scope, row_id, "__ordered", "__quoted", *[_values(k) for k in PII_TYPES])
+    ).filter(F.size("__ordered") > 0)
+    mapping = pii_first_seen_number(found, scope, row_id)
+    names = _lookup(found, F.col("__ordered"), mapping, scope, row_id, "value", F.col("placeholder"))
     joined = staged.join(names, [scope, row_id], "left")
-    fillers = F.transform("__ordered", lambda v: F.element_at("__names", v))
+    fillers = let(F.col("__names"), lambda names: F.transform("__ordered", lambda v: F.element_at(names, v)))
     masked = F.when(F.size("__kinds") == 0, F.col("__slotted")).otherwise(
         _fill(F.col("__slotted"), _SLOT, fillers)
     )

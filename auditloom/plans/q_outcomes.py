@@ -58,7 +58,7 @@ def _kmeans_fit(spark, sf):
 
 
 def _scored(spark, sf):
-    return patches.score_patch(b.run(spark, sf, b.PATCH_CANDIDATES_SQL))
+    return patches.score_patch(b.run_spread(spark, sf, b.PATCH_CANDIDATES_SQL))
 
 
 _DIMENSIONS = list(patches.WEIGHTS)

@@ -17,7 +17,11 @@ from auditloom.plans import registry  # noqa: E402
 from auditloom.session import build_session  # noqa: E402
 
 HEADLINE = [
-    "completions_view", "sast_scan", "smell_scan",
+    "completions_view", "sast_scan", "smell_scan", "split_lines", "rule_scan_join", "findings_rollup",
+    "mask_pii", "mask_pii_scope", "quarantine_status", "tool_call_decisions", "trace_retention", "retained_spans",
+    "all_findings", "repo_import_edges", "cross_repo_call_edges", "nearest_centroid", "kmeans_update",
+    "text_char_embedding", "best_patch", "audit_metrics", "eval_case_scores", "transition_conformance",
+    "gate_report",
 ]
 
 
