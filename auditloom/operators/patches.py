@@ -27,10 +27,10 @@ GRADES = [("A", 0.85), ("B", 0.70), ("C", 0.55), ("D", 0.40)]
 NO_EXPLANATION = "No explanation provided."
 LINE_WITH_END = r"[^\n\r\x0B\x0C\x1C\x1D\x1E\x85\u2028\u2029]*(?:\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x85\u2028\u2029])|[^\n\r\x0B\x0C\x1C\x1D\x1E\x85\u2028\u2029]+"
 FALLBACK_HEAD = (
-    "# Green Team Auto-Remediation (offline fallback)\n"
+    "# Automatic remediation (offline fallback)\n"
     "# Original code was quarantined due to the following violations:\n"
 )
-FALLBACK_TAIL = "pass  # Execution blocked pending human review via Vibe Diff\n"
+FALLBACK_TAIL = "pass  # Execution blocked pending human review\n"
 
 _LOWERED = [p.lower() for p in DANGEROUS_PATTERNS]
 

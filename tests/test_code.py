@@ -130,7 +130,7 @@ def test_diff_and_fallback(spark):
     none = spark.createDataFrame([], "case_id STRING, candidate_no INT, model_label STRING, patched_code STRING, explanation STRING, severity STRING")
     row = patches.remediate(cases, none).first()
     assert row["status"] == "offline_fallback" and row["grade"] == "F" and "# bad\n# worse\n" in row["patched_code"]
-    assert "- a\n- b\n+ # Green" in row["diff"]
+    assert "- a\n- b\n+ # Automatic" in row["diff"]
 
 
 def test_findings_and_envelope(spark):
