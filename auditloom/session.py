@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,16 +29,16 @@ def build_session(master: str | None = None, app: str = "auditloom", **conf: str
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by ``spark.checkpoint.dir``.
 
-    A folder of our own is made only when the setting is absent *and* the master is local.
+    Where the setting is absent and the master is local, as in tests, a folder under the warehouse is used.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="auditloom-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    spark.sparkContext.setCheckpointDir(f"{warehouse.rstrip('/')}/_checkpoints")
+    return spark.sparkContext.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
