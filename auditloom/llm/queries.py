@@ -5,10 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditloom.llm import chat_format, compression_quality, source_mixing, topk_search, warc_zstd
+from auditloom.llm import (
+    chat_format,
+    compression_quality,
+    interpolated_lm,
+    simhash_trie,
+    source_mixing,
+    topk_search,
+    warc_zstd,
+)
 from auditloom.llm.common import fold, table
 
 
+def op2_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    remainder = fold(F.col("doc_id"), 10)
+    part = F.when(remainder == 0, interpolated_lm.UNSEEN).when(remainder == 1, interpolated_lm.DELETED).otherwise(interpolated_lm.MAIN)
+    scored = interpolated_lm.interpolated_scores(table(spark, sf_dir, "documents"), part)
+    return scored.select(
+        "doc_id",
+        (F.col("part") == interpolated_lm.UNSEEN).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        "train_tokens",
+        "base_score",
+        "score",
+    )
+
+
 def op3_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     kind = pages.schema["page_id"].dataType
@@ -53,12 +76,19 @@ def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.topk_search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op10_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_trie.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 QUERIES = {
+    "op2_interpolated_lm": op2_interpolated_lm,
     "op3_warc_zstd": op3_warc_zstd,
     "op4_source_mixing": op4_source_mixing,
     "op5_chat_format": op5_chat_format,
     "op6_compression_quality": op6_compression_quality,
     "op9_topk_search": op9_topk_search,
+    "op10_simhash_trie": op10_simhash_trie,
 }
 
 _CONTROLS = r"<s>|\[INST\]|\[/INST\]|\[OUT\]|</s>|\[SYS\]|\[/SYS\]|\[ROLE\]|\[/ROLE\]|\[BODY\]|\[/BODY\]"
