@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from auditloom.llm import (
     chat_format,
     compression_quality,
+    crf_language,
     interpolated_lm,
     simhash_trie,
     source_mixing,
@@ -17,6 +18,14 @@ from auditloom.llm import (
 from auditloom.llm.common import fold, table
 
 
+def op1_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = crf_language.fit(docs, fold(F.col("doc_id"), 5) != 0)
+    return crf_language.identify(docs, model).select(
+        "doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score", "n_words"
+    )
+
+
 def op2_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     remainder = fold(F.col("doc_id"), 10)
     part = F.when(remainder == 0, interpolated_lm.UNSEEN).when(remainder == 1, interpolated_lm.DELETED).otherwise(interpolated_lm.MAIN)
@@ -82,6 +91,7 @@ def op10_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_crf_language": op1_crf_language,
     "op2_interpolated_lm": op2_interpolated_lm,
     "op3_warc_zstd": op3_warc_zstd,
     "op4_source_mixing": op4_source_mixing,
