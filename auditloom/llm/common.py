@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,3 +40,21 @@ def slices(batch, max_bytes: int, column: str = "text") -> Iterator:
     step = max(1, int(rows * max_bytes / max(sizes, 1)))
     for start in range(0, rows, step):
         yield batch.slice(start, step)
+
+
+def zip_array(values: np.ndarray) -> bytes:
+    """Bytes of one array, planes of equal weight together, compressed."""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unzip_array(data: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(size, -1).T).view(kind).reshape(-1)
+
+
+def cut_points(keys: np.ndarray, ranges: int) -> list[int]:
+    """Where sorted 64-bit keys go over from one of ``ranges`` equal parts of the key space to the next."""
+    bounds = np.array([(i << 64) // ranges for i in range(1, ranges)], dtype=np.uint64)
+    return [0, *np.searchsorted(keys, bounds).tolist(), len(keys)]

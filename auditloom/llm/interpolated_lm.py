@@ -20,11 +20,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.llm.common import slices, stored
+from auditloom.llm.common import cut_points, slices, stored, unzip_array, zip_array
 
 MAIN, DELETED, UNSEEN = 0, 1, 2  # part of a document: estimates, weights, neither
 END = np.uint64(xxhash.xxh64_intdigest(b""))  # no word is empty; also the context of a first word
@@ -36,18 +35,6 @@ _ANSWER = "block long, deleted boolean, range int, total binary, main binary, n_
 _SCORE = "id {kind}, part int, n_tokens long, n_known long, base_score double, score double"
 
 
-def _zip(values: np.ndarray) -> bytes:
-    """Bytes of one array, planes of equal weight together, compressed."""
-    planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T)
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
-
-
-def _unzip(data: bytes, kind) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8)
-    return np.ascontiguousarray(planes.reshape(size, -1).T).view(kind).reshape(-1)
-
-
 def tokens_of(text: str | None) -> list[bytes]:
     """Words with A-Z in lower case; bytes are split at the six ASCII blanks only."""
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -107,9 +94,9 @@ def _tokenize(kind: pa.DataType, block_bytes: int):
             pa.array([deleted]),
             pa.array([ids], pa.list_(kind)),
             pa.array([np.array(parts, dtype=np.uint8).tobytes()], pa.binary()),
-            pa.array([_zip(np.array(lengths, dtype=np.uint32))], pa.binary()),
+            pa.array([zip_array(np.array(lengths, dtype=np.uint32))], pa.binary()),
             pa.array([hashes.tobytes()], pa.binary()),
-            pa.array([_zip(tokens)], pa.binary()),
+            pa.array([zip_array(tokens)], pa.binary()),
         ]
         return pa.RecordBatch.from_arrays(values, names=["block", "deleted", "ids", "parts", "lengths", "hashes", "tokens"])
 
@@ -129,27 +116,25 @@ def _read(columns: dict, r: int) -> Block:
     get = lambda name: columns[name][r].as_py()
     return Block(
         np.frombuffer(get("hashes"), dtype=np.uint64),
-        _unzip(get("tokens"), np.uint32),
-        _unzip(get("lengths"), np.uint32),
+        unzip_array(get("tokens"), np.uint32),
+        unzip_array(get("lengths"), np.uint32),
         np.frombuffer(get("parts"), dtype=np.uint8),
     )
 
 
 def _send(ranges: int):
-    bounds = np.array([(i << 64) // ranges for i in range(1, ranges)], dtype=np.uint64)
-
     def run(batches):
         for batch in batches:
             columns = {n: batch.column(n) for n in batch.schema.names}
             for r in range(batch.num_rows):
                 block = _read(columns, r)
                 main, held = block.counts(MAIN), block.counts(DELETED)
-                cuts = [0, *np.searchsorted(block.keys, bounds).tolist(), len(block.keys)]
+                cuts = cut_points(block.keys, ranges)
                 out: list[list] = [[], [], [], []]
                 for i, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
                     if hi > lo:
                         steps = np.diff(block.keys[lo:hi], prepend=np.uint64(0))
-                        for column, value in zip(out, (i, _zip(steps), _zip(main[lo:hi]), _zip(held[lo:hi]))):
+                        for column, value in zip(out, (i, zip_array(steps), zip_array(main[lo:hi]), zip_array(held[lo:hi]))):
                             column.append(value)
                 n = len(out[0])
                 yield pa.RecordBatch.from_arrays(
@@ -168,17 +153,17 @@ def _send(ranges: int):
 def _add(group: pa.Table) -> pa.Table:
     """Add up one range of keys and answer each block that sent some."""
     blocks, deleted = group.column("block").to_pylist(), group.column("deleted").to_pylist()
-    keys = [np.cumsum(_unzip(k, np.uint64), dtype=np.uint64) for k in group.column("keys").to_pylist()]
+    keys = [np.cumsum(unzip_array(k, np.uint64), dtype=np.uint64) for k in group.column("keys").to_pylist()]
     sizes = [len(k) for k in keys]
     distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
     sums = []
     for name in ("main", "held"):
-        values = np.concatenate([_unzip(v, np.uint32) for v in group.column(name).to_pylist()])
+        values = np.concatenate([unzip_array(v, np.uint32) for v in group.column(name).to_pylist()])
         sums.append(np.bincount(at, weights=values, minlength=len(distinct)).astype(np.int64))
     total = sums[0] + sums[1]
     word = (distinct & np.uint64(1)).astype(bool)
     edges = np.concatenate(([0], np.cumsum(sizes)))
-    small = lambda x: _zip(np.minimum(x, 2**32 - 1).astype(np.uint32))
+    small = lambda x: zip_array(np.minimum(x, 2**32 - 1).astype(np.uint32))
     answers = [small(total[at[lo:hi]]) for lo, hi in zip(edges, edges[1:])]
     mains = [small(sums[0][at[lo:hi]]) if d else None for lo, hi, d in zip(edges, edges[1:], deleted)]
     stats = [int(sums[0][word].sum()), int(total[word].sum()), int((total[word] > 0).sum())]
@@ -201,7 +186,7 @@ def _joined(blocks: pa.Table, answers: pa.Table, column: str) -> list[tuple[Bloc
         return []
     order = np.argsort(answers.column("range").to_numpy())
     parts = answers.column(column).to_pylist()
-    counts = np.concatenate([_unzip(parts[i], np.uint32) for i in order])
+    counts = np.concatenate([unzip_array(parts[i], np.uint32) for i in order])
     columns = {n: blocks.column(n) for n in blocks.schema.names}
     return [(_read(columns, 0), counts, columns["ids"][0].as_py())]
 

@@ -9,9 +9,11 @@ from auditloom.llm import (
     chat_format,
     compression_quality,
     crf_language,
+    decontamination,
     interpolated_lm,
     simhash_trie,
     source_mixing,
+    suffix_dedup,
     topk_search,
     warc_zstd,
 )
@@ -81,6 +83,21 @@ def op6_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select(
+        F.col("carried").alias("doc_id"),
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.topk_search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -97,6 +114,8 @@ QUERIES = {
     "op4_source_mixing": op4_source_mixing,
     "op5_chat_format": op5_chat_format,
     "op6_compression_quality": op6_compression_quality,
+    "op7_suffix_dedup": op7_suffix_dedup,
+    "op8_decontamination": op8_decontamination,
     "op9_topk_search": op9_topk_search,
     "op10_simhash_trie": op10_simhash_trie,
 }
