@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from auditloom.llm.common import slices, stored
 
@@ -278,7 +279,9 @@ def identify(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", t
     ``score`` its part. A text that is null, empty or without a letter is ``und`` with score 0 and no shares. Only the text
     is looked at; other columns are ignored, whatever their names.
     """
-    kind = docs.select(id_col).schema[0].dataType.simpleString()
+    schema = T.StructType([docs.select(id_col).schema[0]])
+    schema = schema.add("lang_pred", T.StringType()).add("score", T.DoubleType()).add("n_words", T.LongType())
+    schema = schema.add("shares", T.MapType(T.StringType(), T.DoubleType()))
     held = docs.sparkSession.sparkContext.broadcast(model)  # TABLE rows and a lexicon of fixed size
 
     def run(batches):
@@ -308,5 +311,4 @@ def identify(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", t
                     names=[id_col, "lang_pred", "score", "n_words", "shares"],
                 )
 
-    schema = f"`{id_col}` {kind}, lang_pred string, score double, n_words long, shares map<string,double>"
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)

@@ -6,6 +6,9 @@ nodes downwards together, adds up the bits in which their paths differ and drops
 The trie's top is cut at a prefix length that follows the number of distinct fingerprints: the node pairs above the cut are
 the prefixes that differ in at most ``budget`` bits (an equi-join), and each pair of subtrees, in runs of bounded size, is
 walked in one task. A walk returns a forest of links, never all pairs of a group.
+
+``near_duplicates`` links documents by one fingerprint of 64 bits. ``similar_documents`` looks for a given Jaccard similarity
+instead: it walks tries of several shorter fingerprints and checks each link on the texts.
 """
 
 from __future__ import annotations
@@ -25,25 +28,50 @@ from auditloom.llm.components import components
 SEED = 42
 
 
-def fingerprint(text: str | None, size: int = 3) -> int:
-    """64-bit SimHash of word shingles, as an unsigned number; 0 if there is no word."""
+def shingles(text: str | None, size: int) -> tuple[bytes, list[tuple[int, int]]]:
+    """The text's words joined by single blanks, and start and end of each shingle in it."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z change, only the six blanks split
     if not words:
-        return 0
+        return b"", []
     line = b" ".join(words)
     ends = [*np.flatnonzero(np.frombuffer(line, np.uint8) == 32).tolist(), len(line)]
     starts = [0, *(e + 1 for e in ends[:-1])]
+    return line, [(0, len(line))] if len(words) <= size else list(zip(starts, ends[size - 1 :]))
+
+
+def fingerprint(text: str | None, size: int = 3) -> int:
+    """64-bit SimHash of word shingles, as an unsigned number; 0 if there is no word."""
+    line, spans = shingles(text, size)
+    if not spans:
+        return 0
     digest = xxhash.xxh64_digest
-    if len(words) <= size:
-        pairs = [(0, len(line))]
-    else:
-        pairs = list(zip(starts, ends[size - 1 :]))
     ones = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(pairs), 1 << 15):
-        hashes = b"".join([digest(line[a:b], SEED) for a, b in pairs[at : at + (1 << 15)]])
+    for at in range(0, len(spans), 1 << 15):
+        hashes = b"".join([digest(line[a:b], SEED) for a, b in spans[at : at + (1 << 15)]])
         bits = np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1)
         ones += bits.sum(axis=0, dtype=np.int32)
-    return int.from_bytes(np.packbits(2 * ones > len(pairs)).tobytes(), "big")
+    return int.from_bytes(np.packbits(2 * ones > len(spans)).tobytes(), "big")
+
+
+def short_fingerprints(text: str | None, size: int, rounds: int, bits: int) -> np.ndarray:
+    """``rounds`` independent SimHashes of ``bits`` bits, in the upper bits of signed longs."""
+    line, spans = shingles(text, size)
+    digest = xxhash.xxh64_intdigest
+    words = -(-rounds * bits // 64)
+    ones = np.zeros(64 * words, dtype=np.int64)
+    for at in range(0, len(spans), 1 << 14):
+        part = spans[at : at + (1 << 14)]
+        hashes = np.fromiter((digest(line[a:b], SEED) for a, b in part), dtype=np.uint64, count=len(part))
+        wide = np.empty((len(part), words), dtype=np.uint64)
+        for i in range(words):
+            x = hashes + np.uint64((i + 1) * 0x9E3779B97F4A7C15 % 2**64)
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            wide[:, i] = x ^ (x >> np.uint64(31))
+        ones += np.unpackbits(wide.view(np.uint8), axis=1).sum(axis=0, dtype=np.int32)
+    rows = np.zeros((rounds, 64), dtype=np.uint8)
+    rows[:, :bits] = (2 * ones > len(spans))[: rounds * bits].reshape(rounds, bits)
+    return np.packbits(rows, axis=1).view(">i8").astype(np.int64).reshape(-1)
 
 
 def simhash(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
@@ -64,6 +92,7 @@ class Forest:
 
     def __init__(self, n: int):
         self.parent = np.arange(n)
+        self.edges: list[tuple[np.ndarray, np.ndarray]] = []  # links that joined two components
 
     def link(self, i: np.ndarray, j: np.ndarray) -> None:
         while True:
@@ -72,7 +101,11 @@ class Forest:
             if not differ.any():
                 return
             i, j, a, b = i[differ], j[differ], a[differ], b[differ]
-            np.minimum.at(self.parent, np.maximum(a, b), np.minimum(a, b))
+            low, high = np.minimum(a, b), np.maximum(a, b)
+            order = np.lexsort((low, high))
+            once = order[np.concatenate(([True], np.diff(high[order]) > 0))]
+            self.edges.append((i[once], j[once]))
+            self.parent[high[once]] = low[once]
             while True:
                 up = self.parent[self.parent]
                 if (up == self.parent).all():
@@ -163,32 +196,32 @@ def walk(a: np.ndarray, b: np.ndarray, budget: int, depth: int = 0, small: int =
 
 
 def _runs(depth: int, limit: int):
-    """Sorted fingerprints -> runs of one subtree, at most ``limit`` long: (node, first, fps)."""
-    shift = 64 - depth
+    """Fingerprints sorted by round -> runs of one subtree, at most ``limit`` long: (node, first, fps)."""
 
     def run(batches):
-        rest = np.empty(0, dtype=np.int64)
+        rest = [np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)]
 
-        def cut(values, last):
-            nodes = values.view(np.uint64) >> np.uint64(shift) if depth else np.zeros(len(values), dtype=np.uint64)
+        def cut(rounds, values, last):
+            prefix = (values.view(np.uint64) >> np.uint64(64 - depth)).view(np.int64) if depth else np.zeros(len(values), dtype=np.int64)
+            nodes = rounds << depth | prefix
             edges = [0, *(np.flatnonzero(np.diff(nodes)) + 1).tolist(), len(values)]
-            rows, kept = [], values[:0]
+            rows, kept = [], [rounds[:0], values[:0]]
             for lo, hi in zip(edges, edges[1:]):
                 while hi - lo > limit:
                     rows.append((nodes[lo], values[lo : lo + limit]))
                     lo += limit
                 if hi == len(values) and not last:
-                    kept = values[lo:hi]
+                    kept = [rounds[lo:hi], values[lo:hi]]
                 elif hi > lo:
                     rows.append((nodes[lo], values[lo:hi]))
             return rows, kept
 
         for batch in batches:
-            values = np.concatenate([rest, batch.column(0).to_numpy(zero_copy_only=False)])
-            rows, rest = cut(values, False)
+            new = [batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)]
+            rows, rest = cut(*(np.concatenate(x) for x in zip(rest, new)), False)
             if rows:
                 yield _run_batch(rows)
-        rows, _ = cut(rest, True)
+        rows, _ = cut(*rest, True)
         if rows:
             yield _run_batch(rows)
 
@@ -207,14 +240,18 @@ def _run_batch(rows) -> pa.RecordBatch:
 
 
 def trie_links(fps: DataFrame, budget: int = 3, subtree: int = 2048, limit: int = 4096) -> DataFrame:
-    """(fp) of distinct longs -> (u, v): links that connect all fingerprints at ``budget`` or fewer differing bits.
+    """(fp) of distinct longs -> (u, v): pairs at ``budget`` or fewer differing bits that connect all such fingerprints.
 
-    Every two linked fingerprints are connected by the result; of a group at most one link a member and walked pair is kept.
+    With a column ``round`` only fingerprints of one round are compared, and the result has it too. Every two linked
+    fingerprints are connected by the result; a walked pair of subtrees gives at most one link a member.
     """
-    count = fps.count()
-    depth = min(20, max(0, ceil(log2(max(count, 1) / subtree))))
+    rounds = "round" in fps.columns
+    fps = fps.select(F.col("round").cast("long") if rounds else F.lit(0).cast("long").alias("round"), "fp")
+    sizes = fps.groupBy("round").count().agg(F.max("count"), F.sum("count")).first()
+    largest, count = (int(x or 0) for x in sizes)
+    depth = min(20, max(0, ceil(log2(max(largest, 1) / subtree))))
     tasks = max(1, min(2000, ceil(count / 20_000)))
-    ordered = fps.select("fp").repartitionByRange(tasks, "fp").sortWithinPartitions("fp")
+    ordered = fps.repartitionByRange(tasks, "round", "fp").sortWithinPartitions("round", "fp")
     runs = stored(ordered.mapInArrow(_runs(depth, limit), "node long, first long, fps binary"), "trie-runs")
     masks = [sum(1 << bit for bit in bits) for k in range(min(budget, depth) + 1) for bits in combinations(range(depth), k)]
     sought = (
@@ -227,20 +264,19 @@ def trie_links(fps: DataFrame, budget: int = 3, subtree: int = 2048, limit: int
 
     def run(batches):
         for batch in batches:
-            for fps_a, fps_b, same in zip(
-                batch.column("fps").to_pylist(), batch.column("b_fps").to_pylist(), batch.column("same").to_pylist()
-            ):
+            for node, fps_a, fps_b, same in zip(*(batch.column(c).to_pylist() for c in ("node", "fps", "b_fps", "same"))):
                 # one run may hold both signs only if the trie is not cut; unsigned order is what the walk needs
                 a = np.sort(np.frombuffer(fps_a, dtype=np.int64).view(np.uint64))
                 b = a if same else np.sort(np.frombuffer(fps_b, dtype=np.int64).view(np.uint64))
-                roots = walk(a, b, budget, depth).parent
-                members = np.flatnonzero(roots != np.arange(len(roots)))
-                if len(members):
+                edges = walk(a, b, budget, depth).edges
+                if edges:
                     both = (a if same else np.concatenate([a, b])).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(both[members]), pa.array(both[roots[members]])], names=["u", "v"])
+                    u, v = (both[np.concatenate(x)] for x in zip(*edges))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), node >> depth)), pa.array(u), pa.array(v)], names=["round", "u", "v"])
 
-    narrow = pairs.select("fps", F.when(F.col("first") != F.col("b_first"), F.col("b_fps")).alias("b_fps"), (F.col("first") == F.col("b_first")).alias("same"))
-    return narrow.mapInArrow(run, "u long, v long")
+    narrow = pairs.select("node", "fps", F.when(F.col("first") != F.col("b_first"), F.col("b_fps")).alias("b_fps"), (F.col("first") == F.col("b_first")).alias("same"))
+    links = narrow.mapInArrow(run, "round long, u long, v long")
+    return links if rounds else links.drop("round")
 
 
 def near_duplicates(
@@ -262,3 +298,81 @@ def near_duplicates(
     least = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
     classes = linked.join(least, "root").select("fp", "component_id")
     return marked.join(classes, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+def similar_documents(
+    docs: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    size: int = 5,
+    similarity: float = 0.8,
+    rounds: int = 10,
+    bits: int = 36,
+    budget: int = 3,
+) -> DataFrame:
+    """One row per input row: id, component_id, the smallest id reachable over pairs of at least ``similarity``.
+
+    The similarity is Jaccard's, of the sets of ``size``-word shingles. Each distinct text has ``rounds`` independent
+    fingerprints of ``bits`` bits; the tries of all rounds are walked in one join, and each link found is checked on the two
+    texts. A pair at 0.8 is found with a probability of about 0.9, at 0.9 of more than 0.99 (a copy with changes has several
+    ways to its group); every link kept is a true one. Equal texts are linked always, texts without words with each other.
+    Null ids and repeated rows as in ``near_duplicates``; ids must be integers. Other columns are ignored.
+    """
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    digest = F.sha2(F.col("text").cast("binary"), 256)
+    ids = stored(texts.select("id", digest.alias("digest")), "text-digests")
+    firsts = stored(ids.groupBy("digest").agg(F.min("id").alias("first_id")), "distinct-texts")
+    keyed = texts.select("id", digest.alias("key"), "text")
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, 8 << 20):
+                found = np.concatenate([short_fingerprints(t, size, rounds, bits) for t in part.column("text").to_pylist()])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("key").take(pa.array(np.repeat(np.arange(part.num_rows), rounds))),
+                        pa.array(np.tile(np.arange(rounds), part.num_rows)),
+                        pa.array(found),
+                    ],
+                    names=["key", "round", "fp"],
+                )
+
+    # copies of one text become one row in each task, before they are shuffled
+    marked = keyed.select("key", "text").mapInArrow(run, "key string, round long, fp long")
+    marked = stored(marked.groupBy("key", "round").agg(F.min("fp").alias("fp")), "short-fingerprints")
+    heads = stored(marked.groupBy("round", "fp").agg(F.min("key").alias("head")), "short-heads")
+    links = trie_links(heads.select("round", "fp"), budget)
+    by = lambda name: heads.select("round", F.col("fp").alias(name), F.col("head").alias(f"{name}_key"))
+    across = links.join(by("u"), ["round", "u"]).join(by("v"), ["round", "v"]).select("u_key", "v_key")
+    within = marked.join(heads, ["round", "fp"]).select(F.col("key").alias("u_key"), F.col("head").alias("v_key"))
+    pairs = across.unionByName(within).filter("u_key <> v_key")
+    pairs = stored(pairs.select(F.least("u_key", "v_key").alias("a"), F.greatest("u_key", "v_key").alias("b")).distinct(), "similar-pairs")
+
+    def check(batches):
+        for batch in batches:
+            kept = []
+            for i, (x, y) in enumerate(zip(batch.column("a_text"), batch.column("b_text"))):
+                sets = []
+                for t in (x.as_py(), y.as_py()):
+                    line, spans = shingles(t, size)
+                    sets.append({line[s:e] for s, e in spans})
+                both = len(sets[0] & sets[1])
+                if both >= similarity * (len(sets[0]) + len(sets[1]) - both):
+                    kept.append(i)
+            yield batch.select(["a", "b"]).take(pa.array(kept, pa.int64()))
+
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
+    chosen = firsts.join(wanted, "digest", "left_semi").select(F.col("digest").alias("_key"), F.col("first_id").alias("_id"))
+    found = keyed.join(chosen, (F.col("key") == F.col("_key")) & F.col("id").eqNullSafe(F.col("_id"))).select("key", "text")
+    bodies = stored(found.dropDuplicates(["key"]), "similar-texts")
+    sides = pairs.join(bodies.select(F.col("key").alias("a"), F.col("text").alias("a_text")), "a").join(
+        bodies.select(F.col("key").alias("b"), F.col("text").alias("b_text")), "b"
+    )
+    true = sides.select("a", "b", "a_text", "b_text").mapInArrow(check, "a string, b string")
+    edges = true.select(F.xxhash64("a").alias("u"), F.xxhash64("b").alias("v"))
+    roots = stored(components(edges), "similar-roots")
+    numbered = firsts.withColumn("node", F.xxhash64("digest"))
+    joined = numbered.join(roots, "node", "left").select("digest", "first_id", F.coalesce("root", "node").alias("root"))
+    least = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return ids.join(joined.join(least, "root").select("digest", "component_id"), "digest").select(F.col("id").alias(id_col), "component_id")

@@ -346,7 +346,7 @@ def _judge(width: int):
     return run
 
 
-def _cut(kind: pa.DataType, ranges: int, width: int, mer: int):
+def _cut(kind: pa.DataType, ranges: int, width: int, mer: int, whole_chars: bool):
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 
     def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
@@ -371,6 +371,9 @@ def _cut(kind: pa.DataType, ranges: int, width: int, mer: int):
             covered = np.cumsum(change[:-1]) > 0
             carried = blocks.column("carried")[0].as_py()
             data = np.frombuffer(block.text, dtype=np.uint8)
+            if whole_chars and len(data):
+                begin = (data & 0xC0) != 0x80
+                covered = np.logical_or.reduceat(covered, np.flatnonzero(begin))[np.cumsum(begin) - 1]
             for lo, n in zip(block.starts.tolist(), block.lengths.tolist()):
                 own = covered[lo : lo + n]
                 edges = np.flatnonzero(np.diff(np.concatenate(([False], own, [False])).astype(np.int8))).reshape(-1, 2)
@@ -392,13 +395,15 @@ def remove_repeats(
     text_col: str = "text",
     width: int = 50,
     mer: int = 20,
+    whole_chars: bool = False,
     block_bytes: int = 4 << 20,
     range_bytes: int = 2 << 20,
 ) -> DataFrame:
     """(carried, n_bytes, removed, kept), one row per input row.
 
     ``removed`` lists the maximal runs of removed bytes (start, end), ``kept`` is the text's other bytes. Texts are taken as
-    UTF-8 bytes and strings never cross documents; what is removed is judged on the input. ``carry`` is what goes along (the
+    UTF-8 bytes and strings never cross documents; what is removed is judged on the input. ``whole_chars`` also removes the
+    rest of a character that is cut in part, so that ``kept`` is UTF-8 again. ``carry`` is what goes along (the
     id by default; a struct of the whole row, for instance). Ids are integers; a null id counts as larger than all others,
     and rows with equal ids take nothing from each other. Null texts are empty and, like texts under ``width`` bytes, stay as
     they are. Other columns are ignored. An empty table gives an empty result.
@@ -433,4 +438,4 @@ def remove_repeats(
     answers = repeated.withColumn("step", F.lit(1)).unionByName(judged.withColumn("step", F.lit(2)))
     out = T.StructType([rows.schema["carried"], T.StructField("n_bytes", T.LongType())])
     span = T.StructType().add("start", T.LongType()).add("end", T.LongType())
-    return meet(blocks, answers, _cut(arrow, ranges, width, mer), out.add("removed", T.ArrayType(span)).add("kept", T.BinaryType()))
+    return meet(blocks, answers, _cut(arrow, ranges, width, mer, whole_chars), out.add("removed", T.ArrayType(span)).add("kept", T.BinaryType()))
