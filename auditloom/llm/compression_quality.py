@@ -77,9 +77,8 @@ def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarr
             pools[-1][1] += wx
             pools[-1][2] += wy
     total = np.array(pools)
-    # half a row of either label keeps scores off 0 and 1
-    unit = float(weight.mean())
-    return total[:, 1] / total[:, 0], (total[:, 2] + 0.5 * unit) / (total[:, 0] + unit)
+    margin = 0.5 / (len(x) + 1)  # half a row keeps scores off 0 and 1
+    return total[:, 1] / total[:, 0], np.clip(total[:, 2] / total[:, 0], margin, 1 - margin)
 
 
 def _gather(texts: list[bytes], limit: int, piece: int) -> bytes:
