@@ -267,7 +267,7 @@ def interpolated_scores(
     *,
     id_col: str = "doc_id",
     text_col: str = "text",
-    block_bytes: int = 8 << 20,
+    block_bytes: int = 5 << 20,
     range_bytes: int = 16 << 20,
 ) -> DataFrame:
     """One row per input row: id, part, n_tokens, n_known, train_tokens, base_score, score.
