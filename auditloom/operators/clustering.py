@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from typing import NamedTuple
+
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -52,25 +55,35 @@ def kmeans_update(assigned: DataFrame, vector: str) -> DataFrame:
     )
 
 
+class KMeansFit(NamedTuple):
+    assigned: DataFrame
+    centroids: Vectors
+    converged: bool
+    shift: float
+
+
 def kmeans_fit(
-    df: DataFrame, vector: str, centroids: Vectors, max_iters: int = 100, tolerance: float = 1e-9
-) -> tuple[DataFrame, Vectors]:
-    """Lloyd's algorithm from explicit centroids; returns the assigned rows and the final centroids.
+    df: DataFrame, vector: str, centroids: Vectors, max_iters: int | None = None, tolerance: float = 1e-9
+) -> KMeansFit:
+    """Lloyd's algorithm from explicit centroids.
 
-    Only the k centroids reach the driver. The default tolerance absorbs the summation order of a
-    shuffle; 0 asks for exact equality.
+    Runs until no centroid moves by more than ``tolerance``; with ``max_iters`` it may stop before, which ``converged`` and
+    ``shift`` (the last move) tell. Only the k centroids reach the driver. The default tolerance absorbs the summation order
+    of a shuffle; 0 asks for exact equality.
     """
-    points = df.persist()
+    points = df.select(vector).persist()
     current = [list(c) for c in centroids]
-    for _ in range(max_iters):
-        assigned = nearest_centroid(points.select(vector), vector, current)
+    shift, rounds = math.inf, 0
+    while shift > tolerance and (max_iters is None or rounds < max_iters):
+        rounds += 1
+        assigned = nearest_centroid(points, vector, current)
         means = {r["cluster"]: list(r["centroid"]) for r in kmeans_update(assigned, vector).collect()}
         moved = [means.get(i, old) for i, old in enumerate(current)]
-        shift = max(abs(a - b) for new, old in zip(moved, current) for a, b in zip(new, old))
-        if shift <= tolerance:
-            break
-        current = moved
-    return nearest_centroid(points, vector, current), current
+        shift = max((abs(a - b) for new, old in zip(moved, current) for a, b in zip(new, old)), default=0.0)
+        if shift > tolerance:
+            current = moved
+    points.unpersist()
+    return KMeansFit(nearest_centroid(df, vector, current), current, shift <= tolerance, shift)
 
 
 def cluster_theme(assigned: DataFrame, text: str = "text") -> DataFrame:

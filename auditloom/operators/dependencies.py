@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from auditloom.functions.lookup import inline_table
 from auditloom.functions.arrays import explode_once
 from auditloom.functions.text import null_if_empty
 from auditloom.operators.scan import base_name
@@ -172,7 +173,8 @@ def version_lt(version: Column, fixed: Column) -> Column:
 
 
 def vulnerable_versions(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
+    return inline_table(
+        spark,
         VULNERABLE_VERSIONS,
         "ecosystem STRING, library STRING, fixed STRING, advisory STRING, title STRING, advisory_severity STRING",
     )

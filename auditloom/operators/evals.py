@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from auditloom.functions.lookup import inline_table
 from auditloom.functions.ordered import bucketed_lag
 from auditloom.functions.text import contains_any
 
@@ -149,7 +150,7 @@ def agent_transitions(events: DataFrame, bucket: Column | None = None) -> DataFr
 def transition_conformance(transitions: DataFrame, allowed: list[tuple[str, str]] | None = None) -> DataFrame:
     """Share of each session's transitions that the pipeline allows."""
     pairs = allowed or list(zip(PIPELINE, PIPELINE[1:]))
-    edges = transitions.sparkSession.createDataFrame(pairs, "from_agent STRING, to_agent STRING")
+    edges = inline_table(transitions.sparkSession, pairs, "from_agent STRING, to_agent STRING")
     marked = transitions.join(edges.withColumn("ok", F.lit(True)), ["from_agent", "to_agent"], "left")
     return marked.groupBy("session_id").agg(
         F.count_if(F.col("ok")).alias("conforming"),

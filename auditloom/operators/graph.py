@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.functions.arrays import explode_once
 from auditloom.operators.scan import base_name
 from auditloom.session import cut_lineage
 
-# How definitions, calls and imports are recognised in Python text.
-DEFINITION = r"\bdef\s+(\w+)\s*\("
-CALL = r"\b(\w+)\s*\("
+# How definitions, calls and imports are recognised in Python text; letters of all scripts count.
+DEFINITION = r"(?U)\bdef\s+(\w+)\s*\("
+CALL = r"(?U)\b(\w+)\s*\("
 # The name is read ahead, so that ``from import x`` yields both words.
-IMPORT = r"\b(?:import|from)\s+(?=([\w.\-]+))"
+IMPORT = r"(?U)\b(?:import|from)\s+(?=([\w.\-]+))"
 
 
 def python_files(files: DataFrame) -> DataFrame:
@@ -33,21 +33,20 @@ def call_tokens(files: DataFrame) -> DataFrame:
 
 
 def imported_names(files: DataFrame) -> DataFrame:
-    """Distinct names after ``import`` or ``from``, with every prefix that ends at a word boundary.
+    """Distinct names of each file after ``import`` or ``from``, with every prefix that ends at a word boundary.
 
     ``import a-b.c`` names ``a``, ``a-b`` and ``a-b.c``.
     """
-    names = F.array_distinct(F.regexp_extract_all("content", F.lit(IMPORT), 1))
-    written = explode_once(python_files(files), ["repo", "path"], names, "written").withColumn(
-        "pieces", F.regexp_extract_all("written", F.lit(r"\w+|[^\w]+"), 0)
-    )
-    pieces = F.col("pieces")
-    prefixes = F.transform(
-        F.sequence(F.lit(1), F.size(pieces)),
-        lambda n: F.array_join(F.slice(pieces, F.lit(1), n), ""),
-    )
-    ends_in_word = F.filter(prefixes, lambda p: p.rlike(r"\w$"))
-    return explode_once(written, ["repo", "path"], ends_in_word, "name").distinct()
+    def prefixes(written: Column) -> Column:
+        pieces = F.regexp_extract_all(written, F.lit(r"(?U)\w+|[^\w]+"), F.lit(0))
+        steps = F.sequence(F.lit(1), F.size(pieces))
+        return F.filter(
+            F.transform(steps, lambda n: F.array_join(F.slice(pieces, F.lit(1), n), "")), lambda p: p.rlike(r"(?U)\w$")
+        )
+
+    written = F.array_distinct(F.regexp_extract_all("content", F.lit(IMPORT), 1))
+    names = F.array_distinct(F.flatten(F.transform(written, prefixes)))
+    return explode_once(python_files(files), ["repo", "path"], names, "name")
 
 
 def repositories(files: DataFrame) -> DataFrame:
@@ -114,16 +113,24 @@ def cross_repo_call_edges(files: DataFrame, repeat: bool = False) -> DataFrame:
     )
 
 
-def callgraph_reach(edges: DataFrame, seeds: DataFrame, max_depth: int = 10) -> DataFrame:
+class DepthExceeded(RuntimeError):
+    pass
+
+
+def callgraph_reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Nodes reached from ``seeds`` along ``edges(source, target)``, with their least depth.
 
+    Runs until no new node is found. A ``max_depth`` that stops it earlier raises ``DepthExceeded``.
+
     Breadth first: each round joins only the new nodes to the edges. The visited set and the
     frontier are checkpointed, so a lost executor does not replay the rounds before.
     """
     steps = cut_lineage(edges.select("source", "target").distinct())
     visited = seeds.select(F.col("node"), F.lit(0).alias("depth")).distinct()
     frontier = visited
-    for depth in range(1, max_depth + 1):
+    depth = 0
+    while True:
+        depth += 1
         reached = (
             frontier.select("node")
             .join(steps, F.col("node") == F.col("source"))
@@ -134,6 +141,7 @@ def callgraph_reach(edges: DataFrame, seeds: DataFrame, max_depth: int = 10) ->
             reached.join(visited, "node", "left_anti").withColumn("depth", F.lit(depth))
         )
         if frontier.isEmpty():
-            break
+            return visited
+        if max_depth is not None and depth > max_depth:
+            raise DepthExceeded(f"nodes beyond depth {max_depth}")
         visited = visited.unionByName(frontier)
-    return visited

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from auditloom.functions.lookup import inline_table
 from auditloom.functions.text import contains_any, first_contained
 
 # Signatures, tools that need a second opinion, and the default grants.
@@ -28,7 +29,7 @@ def policy_table(spark: SparkSession, policy: dict[str, list[str]] | None = None
     """Grants as rows ``(agent, tool)``."""
     roles = DEFAULT_POLICY if policy is None else policy
     rows = [(agent, tool) for agent, tools in roles.items() for tool in tools]
-    return spark.createDataFrame(rows, "agent STRING, tool STRING")
+    return inline_table(spark, rows, "agent STRING, tool STRING")
 
 
 def rbac_violations(calls: DataFrame, policy: DataFrame) -> DataFrame:
@@ -37,7 +38,10 @@ def rbac_violations(calls: DataFrame, policy: DataFrame) -> DataFrame:
 
 
 def rbac_allowed(calls: DataFrame, policy: DataFrame) -> DataFrame:
-    return calls.join(policy, ["agent", "tool"], "left_semi")
+    """The other calls: those whose agent may use the tool, and those of a NULL agent."""
+    grants = policy.select(F.col("agent").alias("_agent"), F.col("tool").alias("_tool"), F.lit(True).alias("_granted")).distinct()
+    marked = calls.join(grants, (F.col("agent") == F.col("_agent")) & (F.col("tool") == F.col("_tool")), "left")
+    return marked.filter(F.col("agent").isNull() | F.col("_granted")).select(*calls.columns)
 
 
 def offending_value(args: Column, signatures: list[str] | None = None) -> Column:
@@ -110,10 +114,25 @@ def tool_call_decisions(
         .when(review, "SEMANTIC_BLOCK")
         .otherwise("ALLOW")
     )
-    return staged.withColumn("decision", decision).select(
-        "session_id", "seq", "ts", "agent", "tool", "decision",
-        F.when(F.col("decision") == "ANOMALY", F.col("offending_value")).alias("offending_value"),
+    staged = staged.withColumn("decision", decision).withColumn("args", F.to_json("args"))
+    return staged.select("session_id", "seq", "ts", "agent", "tool", "decision", *anomaly_columns())
+
+
+def anomaly_columns() -> list[Column]:
+    """What is kept of an anomaly: value, tool and arguments (JSON) of the call, and the trace that starts a remediation.
+
+    NULL for other decisions. Expects ``decision, offending_value, tool`` and ``args`` as JSON.
+    """
+    here = F.col("decision") == "ANOMALY"
+    trace = F.concat(
+        F.lit("Blue Team detected adversarial payload in tool '"), F.col("tool"), F.lit("': '"), F.col("offending_value"), F.lit("'")
     )
+    return [
+        F.when(here, F.col("offending_value")).alias("offending_value"),
+        F.when(here, F.col("tool")).alias("offending_tool"),
+        F.when(here, F.col("args")).alias("offending_args"),
+        F.when(here, trace).alias("error_trace"),
+    ]
 
 
 def session_policy_flags(decisions: DataFrame) -> DataFrame:

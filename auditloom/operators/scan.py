@@ -114,14 +114,14 @@ def keyword_matches(lines: DataFrame, query: str) -> DataFrame:
     return lines.filter(F.lower("raw").contains(query.lower()))
 
 
-def keyword_search(lines: DataFrame, query: str, limit: int = 20) -> DataFrame:
-    """First matches in path order. Sorting and limiting are one top-k operator."""
-    return (
+def keyword_search(lines: DataFrame, query: str, limit: int | None = None) -> DataFrame:
+    """All matches in path order; with a ``limit`` the first ones, where sorting and limiting are one top-k operator."""
+    found = (
         keyword_matches(lines, query)
         .select("path", "line_no", F.col("line").alias("content"))
         .orderBy("path", "line_no")
-        .limit(limit)
     )
+    return found if limit is None else found.limit(limit)
 
 
 def matches_found(lines: DataFrame, query: str) -> DataFrame:

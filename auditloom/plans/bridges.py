@@ -2,7 +2,7 @@
 
 The driver tables hold no spans, tool calls, manifests or code, so each input is computed from
 whole driver tables. A bridge that both engines can express is one SQL text: ``@table`` stands for
-a driver table, ``LIST[..]`` for a list, ``EXPLODE[..]`` for one row per element, and the few function names that
+a driver table, ``LIST[..]`` for a list, ``EXPLODE[..]`` for one row per element, ``EACH_TO[n]`` for one row per number from 0 to n, and the few function names that
 differ are swapped in ``for_duckdb``.
 """
 
@@ -30,12 +30,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def for_spark(sql: str, sf_dir: str) -> str:
     sql = re.sub(r"LIST\[([^\]]*)\]", r"array(\1)", sql)
     sql = re.sub(r"EXPLODE\[([^\]]*)\]", r"explode(array(\1))", sql)
+    sql = re.sub(r"EACH_TO\[([^\]]*)\]", r"explode(sequence(0L, \1))", sql)
     return _TABLE.sub(lambda m: f"parquet.`{sf_dir}/{m.group(1)}.parquet`", sql)
 
 
 def for_duckdb(sql: str) -> str:
     sql = re.sub(r"LIST\[([^\]]*)\]", r"[\1]", sql).replace("element_at(", "list_extract(")
     text = re.sub(r"EXPLODE\[([^\]]*)\]", r"unnest([\1])", sql)
+    text = re.sub(r"EACH_TO\[([^\]]*)\]", r"unnest(range(0, \1 + 1))", text)
     text = _TABLE.sub(r"\1", text)
     return text.replace("timestamp_micros(", "make_timestamp(").replace("unix_micros(", "epoch_us(")
 
@@ -45,13 +47,12 @@ def run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give every core rows when a scan has fewer partitions than there are cores.
+    """Deal rows out to as many partitions as ``spark.auditloom.inputPartitions`` says; unset (the default), do nothing.
 
-    The driver tables are single small files. A large table has more splits than cores and passes
-    unchanged, without a shuffle. ``df`` must be a plain scan and projection.
+    A table that is one small file with one row group is one split, however many cores there are; the bench sets it.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    wanted = df.sparkSession.conf.get("spark.auditloom.inputPartitions", None)
+    return df.repartition(int(wanted)) if wanted else df
 
 
 def run_spread(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
@@ -78,15 +79,17 @@ CALLS_SQL = """
     WHERE copy_no = 0 OR (conv_id * 31 + turn) % 7 = 0
 """
 
-# Messages: a turn is stored in the output file of its own call and in the input files of the next
-# four turns (a sliding context window). Files without a call are never referenced.
+# Messages: a turn is stored in the output file of its own call and in the input files of all later
+# turns of its conversation. Files without a call are never referenced.
 MESSAGES_SQL = """
     SELECT 'store://msgs/call' || CAST(conv_id AS STRING) || 't' || CAST(turn + ahead AS STRING)
                || CASE WHEN ahead = 0 THEN '_out.jsonl' ELSE '_in.jsonl' END AS file_path,
            role,
            CAST(CASE WHEN ahead = 0 THEN 0 ELSE turn END AS BIGINT) AS message_idx,
            conv_id, turn, text
-    FROM (SELECT conv_id, turn, role, text, EXPLODE[0, 1, 2, 3, 4] AS ahead FROM @conversations) m
+    FROM (SELECT c.conv_id, turn, role, text, EACH_TO[last_turn - turn] AS ahead
+          FROM @conversations c JOIN (SELECT conv_id, max(turn) AS last_turn FROM @conversations GROUP BY conv_id) l
+          ON c.conv_id = l.conv_id) m
 """
 
 
@@ -227,8 +230,8 @@ REPO_FILES_SQL = """
            'def ' || name_a || '(x):' || NL || '    return ' || name_b || ' (x)' || NL ||
            CASE WHEN doc_id % 5 = 0 THEN 'def main():' || NL || '    main()' || NL ELSE '' END || text AS content
     FROM (SELECT doc_id, source, text, chr(10) AS NL,
-                 'fn_' || CAST(doc_id % 97 AS STRING) AS name_a,
-                 'fn_' || CAST((doc_id * 5 + 11) % 89 AS STRING) AS name_b
+                 CASE WHEN doc_id % 11 = 0 THEN 'größe_' ELSE 'fn_' END || CAST(doc_id % 97 AS STRING) AS name_a,
+                 CASE WHEN doc_id % 7 = 0 THEN 'größe_' ELSE 'fn_' END || CAST((doc_id * 5 + 11) % 89 AS STRING) AS name_b
           FROM @documents) keys
 """
 

@@ -21,7 +21,7 @@ def _edges(spark, sf):
 def _reach(spark, sf):
     # Seeds: the repository of the least document.
     seeds = b.table(spark, sf, "documents").agg(F.min_by("source", "doc_id").alias("node"))
-    return ops.callgraph_reach(_edges(spark, sf), seeds, max_depth=6)
+    return ops.callgraph_reach(_edges(spark, sf), seeds)
 
 
 QUERIES = {
@@ -37,15 +37,15 @@ QUERIES = {
 _CTE = f"""
     files AS (SELECT * FROM ({b.for_duckdb(b.REPO_FILES_SQL)}) f WHERE path LIKE '%.py'),
     repos AS (SELECT DISTINCT repo FROM ({b.for_duckdb(b.REPO_FILES_SQL)}) f),
-    defs AS (SELECT repo, path, unnest(regexp_extract_all(content, '\\bdef\\s+(\\w+)\\s*\\(', 1)) AS func FROM files),
+    defs AS (SELECT repo, path, unnest(regexp_extract_all(content, '\\bdef\\s+([\\p{{L}}\\p{{M}}\\p{{N}}_]+)\\s*\\(', 1)) AS func FROM files),
     calls AS (SELECT DISTINCT repo, path, func FROM (
-        SELECT repo, path, unnest(regexp_extract_all(content, '\\b(\\w+)\\s*\\(', 1)) AS func FROM files) c),
+        SELECT repo, path, unnest(regexp_extract_all(content, '([\\p{{L}}\\p{{M}}\\p{{N}}_]+)\\s*\\(', 1)) AS func FROM files) c),
     written AS (SELECT DISTINCT repo, path, w FROM (
         SELECT repo, path, unnest(regexp_extract_all(
-            regexp_replace(content, '\\b(import|from)(\\s)', '\\1 ; \\1\\2', 'g'), '\\b(?:import|from)\\s+([\\w.\\-]+)', 1)) AS w FROM files) c),
+            regexp_replace(content, '\\b(import|from)(\\s)', '\\1 ; \\1\\2', 'g'), '\\b(?:import|from)\\s+([\\p{{L}}\\p{{M}}\\p{{N}}_.\\-]+)', 1)) AS w FROM files) c),
     names AS (SELECT DISTINCT repo, path, name FROM (
         SELECT repo, path, unnest(list_transform(range(1, length(w) + 1), lambda n: w[1:n])) AS name, w FROM written) p
-        WHERE regexp_matches(name, '\\w$') AND (length(name) = length(w) OR NOT regexp_matches(w[length(name) + 1:length(name) + 1], '\\w'))),
+        WHERE regexp_matches(name, '[\\p{{L}}\\p{{M}}\\p{{N}}_]$') AND (length(name) = length(w) OR NOT regexp_matches(w[length(name) + 1:length(name) + 1], '[\\p{{L}}\\p{{M}}\\p{{N}}_]'))),
     imports AS (
         SELECT 'Repository(' || n.repo || ')' AS source_node, 'Repository(' || r.repo || ')' AS target_node,
                'DEPENDS_ON' AS edge_type,
@@ -78,7 +78,7 @@ ORACLE = {
         reach AS (SELECT arg_min(source, doc_id) AS node, 0 AS depth FROM documents
                   UNION
                   SELECT target_repo, depth + 1 FROM reach JOIN (SELECT DISTINCT source_repo, target_repo FROM imports) e
-                  ON node = source_repo WHERE depth < 6)
+                  ON node = source_repo WHERE depth < (SELECT count(*) FROM repos))
         SELECT node, min(depth) AS depth FROM reach GROUP BY node
     """,
 }

@@ -50,7 +50,7 @@ def _kmeans_update(spark, sf):
 
 def _kmeans_fit(spark, sf):
     df = _vectors(spark, sf)
-    fitted, _ = clustering.kmeans_fit(df, "embedding", _seed_vectors(df, "embedding", "vec_id"))
+    fitted = clustering.kmeans_fit(df, "embedding", _seed_vectors(df, "embedding", "vec_id")).assigned
     return fitted.select("vec_id", "cluster", F.round("dist", 6).alias("dist"))
 
 

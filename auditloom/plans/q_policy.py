@@ -48,7 +48,7 @@ _CTE = f"""
                   PARTITION BY session_id ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS quarantined
               FROM calls),
     decided AS (
-        SELECT s.session_id, s.seq, s.ts, s.agent, s.tool,
+        SELECT s.session_id, s.seq, s.ts, s.agent, s.tool, s.arg1, s.arg2,
                CASE WHEN quarantined THEN 'QUARANTINED' WHEN bad IS NOT NULL THEN 'ANOMALY'
                     WHEN s.agent IS NOT NULL AND NOT EXISTS (SELECT 1 FROM grants g WHERE g.agent = s.agent AND g.tool = s.tool) THEN 'RBAC_BLOCK'
                     WHEN s.agent IS NOT NULL AND s.tool IN ({_REVIEWED}) AND coalesce(v.decision, 'DENIED') <> 'APPROVED' THEN 'SEMANTIC_BLOCK'
@@ -76,13 +76,18 @@ def _sql(body: str) -> str:
 
 
 _C = ", ".join(_CALL)
+_ANOMALY = """
+    CASE WHEN decision = 'ANOMALY' THEN bad END AS offending_value, CASE WHEN decision = 'ANOMALY' THEN tool END AS offending_tool,
+    CASE WHEN decision = 'ANOMALY' THEN CAST(json_object('props', arg1, 'command', arg2) AS VARCHAR) END AS offending_args,
+    CASE WHEN decision = 'ANOMALY' THEN concat('Blue Team detected adversarial payload in tool ''', tool, ''': ''', bad, '''') END AS error_trace
+"""
 ORACLE = {
     "rbac_violations": _sql(
         f"SELECT {_C} FROM calls c WHERE agent IS NOT NULL AND NOT EXISTS "
         "(SELECT 1 FROM grants g WHERE g.agent = c.agent AND g.tool = c.tool)"
     ),
     "rbac_allowed": _sql(
-        f"SELECT {_C} FROM calls c WHERE EXISTS (SELECT 1 FROM grants g WHERE g.agent = c.agent AND g.tool = c.tool)"
+        f"SELECT {_C} FROM calls c WHERE agent IS NULL OR EXISTS (SELECT 1 FROM grants g WHERE g.agent = c.agent AND g.tool = c.tool)"
     ),
     "adversarial_signature": _sql(
         f"SELECT {_C}, bad AS offending_value, CASE "
@@ -95,7 +100,7 @@ ORACLE = {
         f"FROM calls c LEFT JOIN verdicts v ON v.session_id = c.session_id AND v.seq = c.seq WHERE tool IN ({_REVIEWED})"
     ),
     "tool_call_decisions": _sql(
-        f"SELECT {_C}, decision, CASE WHEN decision = 'ANOMALY' THEN bad END AS offending_value FROM decided"
+        f"SELECT {_C}, decision, {_ANOMALY} FROM decided"
     ),
     "session_policy_flags": _sql(
         "SELECT session_id, bool_or(decision = 'ANOMALY') AS quarantined, bool_or(decision = 'ANOMALY') AS remediation_triggered, "

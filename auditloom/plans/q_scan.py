@@ -107,7 +107,7 @@ ORACLE = {
     "rule_scan_join": scan_sql(DOCUMENT_LINES_DUCKDB, SAST_RULES + SMELL_RULES),
     "keyword_search": f"""
         SELECT path, line_no, line AS content FROM ({DOCUMENT_LINES_DUCKDB}) l
-        WHERE contains(lower(raw), '{_KEYWORD}') ORDER BY path, line_no LIMIT 20
+        WHERE contains(lower(raw), '{_KEYWORD}') ORDER BY path, line_no
     """,
     "matches_found": f"""
         SELECT count(*) AS matches_found FROM ({DOCUMENT_LINES_DUCKDB}) l WHERE contains(lower(raw), '{_KEYWORD}')

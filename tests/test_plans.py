@@ -47,7 +47,8 @@ def test_kmeans_equals_plain_lloyd(spark):
         labels = ((points[:, None] - centers[None]) ** 2).sum(2).argmin(1)
         centers = np.array([points[labels == i].mean(0) if (labels == i).any() else centers[i] for i in range(4)])
     df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id INT, v ARRAY<DOUBLE>")
-    fitted, final = clustering.kmeans_fit(df, "v", [s.tolist() for s in seeds])
+    fitted, final, converged, _ = clustering.kmeans_fit(df, "v", [s.tolist() for s in seeds])
+    assert converged and not clustering.kmeans_fit(df, "v", [s.tolist() for s in seeds], max_iters=1).converged
     assert [r["cluster"] for r in fitted.orderBy("id").collect()] == labels.tolist()
     assert np.allclose(final, centers)
     members = clustering.cluster_members(fitted.withColumn("session_id", F.col("id").cast("string")), 4)
