@@ -19,7 +19,7 @@ share is one run a block.
 from __future__ import annotations
 
 import secrets
-from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -89,19 +89,28 @@ def suffix_ranks(text: np.ndarray, size: int, depth: int) -> np.ndarray:
 
     rest_one, first_one = keys(rest, first, 1)
     rest_two, second_two = keys(rest, second, 2)
-    sorted_one, sorted_two = np.sort(rest_one), np.sort(rest_two)
-    out = np.empty(n, dtype=np.int64)
-    out[rest] = (
-        np.searchsorted(sorted_one, rest_one)
-        + np.searchsorted(np.sort(first_one), rest_one)
-        + np.searchsorted(np.sort(second_two), rest_two)
-    )
+    own, under_first, over_first = _less(rest_one, first_one)
+    _, under_second, over_second = _less(rest_two, second_two)
     below = np.concatenate(([0], np.cumsum(np.bincount(rank[sample], minlength=top))))
-    out[first] = below[rank[first]] + np.searchsorted(sorted_one, first_one)
-    out[second] = below[rank[second]] + np.searchsorted(sorted_two, second_two)
+    out = np.empty(n, dtype=np.int64)
+    out[rest] = own + under_first + under_second
+    out[first] = below[rank[first]] + over_first
+    out[second] = below[rank[second]] + over_second
     return out
 
 
+def _less(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each of ``a`` how many of ``a`` and of ``b`` are less, and for each of ``b`` how many of ``a``."""
+    order_a, order_b = np.argsort(a), np.argsort(b)
+    sorted_a, sorted_b = a[order_a], b[order_b]
+    out = []
+    for order, values, among in ((order_a, sorted_a, sorted_a), (order_a, sorted_a, sorted_b), (order_b, sorted_b, sorted_a)):
+        counts = np.empty(len(values), dtype=np.int64)
+        counts[order] = np.searchsorted(among, values)
+        out.append(counts)
+    return tuple(out)
+
+
 def least_owner(runs: list[bytes], owners: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """For every string of ``width`` bytes in the runs, in order, the least owner of a run that has it.
 
@@ -134,38 +143,54 @@ def least_owner(runs: list[bytes], owners: np.ndarray, width: int) -> tuple[np.n
 
 
 class Block:
-    """Texts of some documents, one after the other, and the minimizers of their strings."""
+    """Texts of some documents, one after the other, and the runs of their strings that share a minimizer.
+
+    A run is (first string, last + 1, key); a key is the minimizer's hash, spread over the key space.
+    """
 
     def __init__(self, text: bytes, lengths: np.ndarray, docs: np.ndarray, width: int, mer: int):
         self.text, self.lengths, self.docs, self.width, self.mer = text, lengths, docs, width, mer
         self.starts = np.cumsum(lengths) - lengths
         data = np.frombuffer(text, dtype=np.uint8)
         n = max(0, len(data) - width + 1)
-        owner = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
-        self.owner = owner[:n]
-        self.inside = self.owner == owner[width - 1 :] if n else np.empty(0, dtype=bool)
-        self.hashes = self._hash(data) if n else np.empty(0, dtype=np.uint64)
-        self.least = self._sliding(self.hashes, width - mer + 1) if n else self.hashes
+        least = np.empty(n, dtype=np.uint64)
+        step = 1 << 15  # pieces that stay in the cache
+        for lo in range(0, n, step):
+            part = data[lo : min(lo + step, n) + width - 1]
+            least[lo : lo + step] = self._sliding(self._hash(part), width - mer + 1)
+        # strings that begin in a document and end in another one do not count
+        inside = np.ones(n + 1, dtype=bool)
+        for start, length in zip(self.starts.tolist(), lengths.tolist()):
+            inside[max(0, start + max(0, length - width + 1)) : start + length] = False
+        new = np.ones(n + 1, dtype=bool)
+        new[1:n] = least[1:] != least[:-1]
+        new[np.minimum(self.starts, n)] = True
+        new[n] = True
+        edges = np.flatnonzero(new | ~inside)
+        begins, ends = edges[:-1], edges[1:]
+        good = inside[begins]
+        self.begins, self.ends = begins[good], ends[good]
+        x = least[self.begins]
         # least hashes crowd near zero; an odd factor spreads them over the key space, one to one
-        self.keys = (self.least ^ (self.least >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+        self.keys = (x ^ (x >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+        self.run_docs = docs[np.searchsorted(self.starts, self.begins, side="right") - 1]
 
     def _hash(self, data: np.ndarray) -> np.ndarray:
         """Hash of the ``mer`` bytes from each position, from those of halves."""
-        table = np.random.default_rng(20).integers(0, 2**64, size=256, dtype=np.uint64)
-        power, size = table[data], 1
+        power, size = _TABLE[data], 1
         out, done = None, 0
         left = self.mer
-        factor = np.uint64(0x9E3779B97F4A7C15)
+        factor = 0x9E3779B97F4A7C15
         while left:
             if left & 1:
-                end = len(data) - self.mer + 1
-                part = power[done : done + end]
-                out = part if out is None else out * np.uint64(0xD6E8FEB86659FD93) + part
+                part = power[done : done + len(data) - self.mer + 1]
+                out = part.copy() if out is None else out * np.uint64(0xD6E8FEB86659FD93) + part
                 done += size
             left >>= 1
             if left:
-                power = power[:-size] * factor + (power[size:] ^ (power[size:] >> np.uint64(29)))
-                factor = np.uint64((int(factor) * 0xBF58476D1CE4E5B9) % 2**64 | 1)
+                ahead = power[size:]
+                power = power[:-size] * np.uint64(factor) + (ahead ^ (ahead >> np.uint64(29)))
+                factor = factor * 0xBF58476D1CE4E5B9 % 2**64 | 1
                 size *= 2
         out = (out ^ (out >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
         return out ^ (out >> np.uint64(29))
@@ -179,37 +204,45 @@ class Block:
             size *= 2
         return np.minimum(values[: len(values) - (width - size)], values[width - size :]) if width > size else values
 
-    def runs(self) -> tuple[np.ndarray, np.ndarray]:
-        """First and last + 1 string of each run inside a document that has one minimizer."""
-        n = len(self.least)
-        if not n:
-            return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-        new = np.ones(n, dtype=bool)
-        new[1:] = (self.least[1:] != self.least[:-1]) | (self.owner[1:] != self.owner[:-1]) | ~self.inside[:-1]
-        begins = np.flatnonzero(new & self.inside)
-        stops = np.flatnonzero(np.append(new | ~self.inside, True))
-        return begins, stops[np.searchsorted(stops, begins, side="right")]
-
     def minimizers(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct minimizers in order, and whether more than one document of the block has each."""
-        begins, _ = self.runs()
-        values, docs = self.keys[begins], self.docs[self.owner[begins]]
-        order = np.lexsort((docs, values))
-        values, docs = values[order], docs[order]
-        first = np.ones(len(values), dtype=bool)
-        first[1:] = values[1:] != values[:-1]
-        at = np.flatnonzero(first)
-        many = docs[at] != docs[np.append(at[1:], len(values)) - 1] if len(at) else np.empty(0, dtype=bool)
-        return values[at], many
-
-    def candidates(self, repeated: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(key, first, last + 1) of the runs of strings whose minimizer occurs in several documents."""
-        begins, ends = self.runs()
-        if not len(begins):
-            return iter(())
-        keys = self.keys[begins]
-        known = repeated[np.searchsorted(self.minimizers()[0], keys)]
-        return zip(keys[known].tolist(), begins[known].tolist(), ends[known].tolist())
+        """Distinct keys in order, and whether more than one document of the block has each."""
+        order = np.argsort(self.keys, kind="stable")
+        values, docs = self.keys[order], self.run_docs[order]
+        at = np.flatnonzero(np.concatenate((np.ones(min(1, len(values)), dtype=bool), values[1:] != values[:-1])))
+        if not len(at):
+            return values, np.empty(0, dtype=bool)
+        return values[at], np.minimum.reduceat(docs, at) != np.maximum.reduceat(docs, at)
+
+    def dealt(self, repeated: np.ndarray, ranges: int) -> Dealt:
+        """Distinct runs whose minimizer occurs in several documents, by range."""
+        known = np.flatnonzero(repeated[np.searchsorted(np.unique(self.keys), self.keys)]) if len(self.keys) else self.begins
+        part = (self.keys[known] >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
+        order = np.argsort(part, kind="stable")
+        known, part = known[order], part[order].astype(np.int64)
+        begins, docs = self.begins[known], self.run_docs[known]
+        number: dict[bytes, int] = {}
+        text, more = self.text, self.width - 1
+        runs = np.array(
+            [number.setdefault(text[lo:hi], len(number)) for lo, hi in zip(begins.tolist(), (self.ends[known] + more).tolist())], dtype=np.int64
+        )
+        least = np.full(len(number), NO_ID, dtype=np.int64)
+        np.minimum.at(least, runs, docs)
+        first = np.unique(runs, return_index=True)[1] if len(runs) else runs
+        return Dealt(list(number), part[first], least, self.ends[known][first] - begins[first], runs, begins, docs)
+
+
+_TABLE = np.random.default_rng(20).integers(0, 2**64, size=256, dtype=np.uint64)
+
+
+@dataclass
+class Dealt:
+    texts: list[bytes]  # distinct runs, those of a range together
+    ranges: np.ndarray  # range of each
+    least: np.ndarray  # least document of the block that has it
+    strings: np.ndarray  # strings in it
+    run: np.ndarray  # run of each place
+    begins: np.ndarray  # first string of each place
+    docs: np.ndarray  # document of each place
 
 
 _BLOCK = ["block", "carried", "docs", "lengths", "text"]
@@ -283,29 +316,19 @@ def _bits(answers: pa.Table) -> np.ndarray:
     return np.concatenate(parts).astype(bool) if parts else np.empty(0, dtype=bool)
 
 
-def _dealt(block: Block, repeated: np.ndarray, ranges: int) -> list[tuple[int, dict[bytes, list]]]:
-    """Distinct runs of strings by range, in a fixed order: run -> [least document, first string of each place, owners]."""
-    out: dict[int, dict[bytes, list]] = {}
-    for key, lo, hi in block.candidates(repeated):
-        own = out.setdefault(key * ranges >> 64, {})
-        doc = int(block.docs[block.owner[lo]])
-        entry = own.setdefault(block.text[lo : hi + block.width - 1], [doc, [], []])
-        entry[0] = min(entry[0], doc)
-        entry[1].append(lo)
-        entry[2].append(doc)
-    return sorted(out.items())
-
-
 def _send_runs(ranges: int, width: int, mer: int):
     def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
         rows: list[tuple] = []
         if blocks.num_rows and answers.num_rows:
             block = _read({n: blocks.column(n) for n in blocks.schema.names}, 0, width, mer)
             number = blocks.column("block")[0].as_py()
-            for i, runs in _dealt(block, _bits(answers), ranges):
-                sizes = np.array([len(r) for r in runs], dtype=np.uint32)
-                docs = np.array([e[0] for e in runs.values()], dtype=np.int64)
-                rows.append((number, i, zstandard.ZstdCompressor(level=3).compress(b"".join(runs)), zip_array(sizes), zip_array(docs)))
+            dealt = block.dealt(_bits(answers), ranges)
+            edges = [0, *(np.flatnonzero(np.diff(dealt.ranges)) + 1).tolist(), len(dealt.texts)]
+            for lo, hi in zip(edges, edges[1:]):
+                if hi > lo:
+                    body = zstandard.ZstdCompressor(level=1).compress(b"".join(dealt.texts[lo:hi]))
+                    sizes = (dealt.strings[lo:hi] + width - 1).astype(np.uint32)
+                    rows.append((number, int(dealt.ranges[lo]), body, zip_array(sizes), zip_array(dealt.least[lo:hi])))
         kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
         names = ["block", "range", "text", "sizes", "docs"]
         return pa.Table.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
@@ -357,17 +380,16 @@ def _cut(kind: pa.DataType, ranges: int, width: int, mer: int, whole_chars: bool
             change = np.zeros(len(block.text) + 1, dtype=np.int32)
             first = answers.filter(pa.compute.equal(answers.column("step"), 1))
             if first.num_rows:
-                judged, at = _bits(answers.filter(pa.compute.equal(answers.column("step"), 2))), 0
-                for _, runs in _dealt(block, _bits(first), ranges):
-                    for text, (least, places, docs) in runs.items():
-                        n = len(text) - width + 1
-                        own = np.flatnonzero(judged[at : at + n])
-                        at += n
-                        for lo, doc in zip(places, docs):
-                            # the block's least document with this run has it before the others do
-                            gone = own + lo if doc == least else np.arange(lo, lo + n)
-                            np.add.at(change, gone, 1)
-                            np.add.at(change, gone + width, -1)
+                judged = _bits(answers.filter(pa.compute.equal(answers.column("step"), 2)))
+                dealt = block.dealt(_bits(first), ranges)
+                bits = np.cumsum(dealt.strings) - dealt.strings  # where the answers for each run begin
+                n = dealt.strings[dealt.run]
+                inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                # the block's least document with a run has it before the others do; for itself the range has judged
+                later = np.repeat(dealt.docs > dealt.least[dealt.run], n)
+                gone = (np.repeat(dealt.begins, n) + inside)[later | judged[np.repeat(bits[dealt.run], n) + inside]]
+                change += np.bincount(gone, minlength=len(change)).astype(np.int32)
+                change -= np.bincount(gone + width, minlength=len(change)).astype(np.int32)
             covered = np.cumsum(change[:-1]) > 0
             carried = blocks.column("carried")[0].as_py()
             data = np.frombuffer(block.text, dtype=np.uint8)
@@ -396,8 +418,8 @@ def remove_repeats(
     width: int = 50,
     mer: int = 20,
     whole_chars: bool = False,
-    block_bytes: int = 4 << 20,
-    range_bytes: int = 2 << 20,
+    block_bytes: int = 2 << 20,
+    range_bytes: int = 1 << 20,
 ) -> DataFrame:
     """(carried, n_bytes, removed, kept), one row per input row.
 
