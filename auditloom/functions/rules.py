@@ -42,188 +42,188 @@ def sql_literal(value: str) -> str:
     return f"'{escaped}'"
 
 
-# OWASP class, rule name, pattern, and the substrings a match always contains.
+# Rule name, pattern, and the substrings a match always contains.
 _SAST = [
-    ("A03:2021-Injection", "SQL Injection Risk",
+    ("[OWASP A03:2021-Injection] SQL Injection Risk",
      r"""(?i)(?:\.execute\(|db\.query\(|DriverManager\.getConnection\(|mysql_query\(|pg_query\().*f?["'].*\{\w+\}.*["']""",
      (".execute(", "db.query(", "drivermanager.getconnection(", "mysql_query(", "pg_query(")),
-    ("A03:2021-Injection", "Command Injection Risk",
+    ("[OWASP A03:2021-Injection] Command Injection Risk",
      r"""(?i)(?:subprocess\.(?:run|Popen|call)\(.*shell\s*=\s*True|os\.system\(|exec\.Command\(|shell_exec\(|exec\(|system\(|IO\.popen\()""",
      ("subprocess.run(", "subprocess.popen(", "subprocess.call(", "exec.command(", "exec(", "system(", "io.popen(")),
-    ("A02:2021-Cryptographic Failures", "Insecure Cryptography (MD5/SHA1)",
+    ("[OWASP A02:2021-Cryptographic Failures] Insecure Cryptography (MD5/SHA1)",
      r"""(?i)(?:hashlib\.(?:md5|sha1)\(|md5\.New\(|sha1\.New\(|md5\(|sha1\(|DigestUtils\.(?:md5Hex|sha1Hex)\()""",
      ("md5(", "md5.new(", "sha1(", "sha1.new(", "md5hex(", "sha1hex(")),
-    ("A01:2021-Broken Access Control", "Path Traversal Risk",
+    ("[OWASP A01:2021-Broken Access Control] Path Traversal Risk",
      r"""(?i)(?:open\(\s*(?:\w+\s*\+\s*\w+|\w+\.join\(|f["'].*\{\w+\})|file_get_contents\(|FileStream\(|FileInputStream\()""",
      ("open(", "file_get_contents(", "filestream(", "fileinputstream(")),
-    ("A03:2021-Injection", "Cross-Site Scripting (XSS)",
+    ("[OWASP A03:2021-Injection] Cross-Site Scripting (XSS)",
      r"""(?i)(?:render_template_string\(|innerHTML\s*=|echo\s+.*\$_GET|echo\s+.*\$_POST|response\.write\()""",
      ("render_template_string(", "innerhtml", "$_get", "$_post", "response.write(")),
-    ("A03:2021-Injection", "NoSQL Injection Risk",
+    ("[OWASP A03:2021-Injection] NoSQL Injection Risk",
      r"""(?i)(?:\$where\s*[:=]|find\(\s*\{\s*["']\w+["']\s*:\s*f?["'])""",
      ("$where", "find(")),
-    ("A10:2021-SSRF", "Server-Side Request Forgery (SSRF)",
+    ("[OWASP A10:2021-SSRF] Server-Side Request Forgery (SSRF)",
      r"""(?i)(?:requests\.(?:get|post|put|delete|patch|request)|urllib\.request\.urlopen|http\.Get|HttpURLConnection)\(\s*(?:\w+\s*\+\s*\w+|\w+\.join|f["'].*\{\w+\})""",
      ("requests.get(", "requests.post(", "requests.put(", "requests.delete(", "requests.patch(", "requests.request(",
       "urllib.request.urlopen(", "http.get(", "httpurlconnection(")),
-    ("A08:2021-Software and Data Integrity Failures", "Insecure Deserialization Risk",
+    ("[OWASP A08:2021-Software and Data Integrity Failures] Insecure Deserialization Risk",
      r"""(?i)(?:pickle\.loads\(|yaml\.load\(\s*\w+\s*\)|marshal\.loads\(|ObjectInputStream\()""",
      ("pickle.loads(", "yaml.load(", "marshal.loads(", "objectinputstream(")),
-    ("A05:2021-Security Misconfiguration", "XML External Entity (XXE) Injection",
+    ("[OWASP A05:2021-Security Misconfiguration] XML External Entity (XXE) Injection",
      r"""(?i)(?:XMLParser\(|parseString\(|etree\.parse\(|etree\.fromstring\(|DocumentBuilderFactory)""",
      ("xmlparser(", "parsestring(", "etree.", "documentbuilderfactory")),
-    ("A07:2021-Identification and Authentication Failures", "Insecure Session/Cookie Settings",
+    ("[OWASP A07:2021-Identification and Authentication Failures] Insecure Session/Cookie Settings",
      r"""(?i)(?:SESSION_COOKIE_SECURE\s*=\s*False|SESSION_COOKIE_HTTPONLY\s*=\s*False|WTF_CSRF_ENABLED\s*=\s*False)""",
      ("session_cookie_secure", "session_cookie_httponly", "wtf_csrf_enabled")),
-    ("A05:2021-Security Misconfiguration", "Cross-Frame Scripting (XFS) / Clickjacking",
+    ("[OWASP A05:2021-Security Misconfiguration] Cross-Frame Scripting (XFS) / Clickjacking",
      r"""(?i)(?:X-Frame-Options\s*[:=]\s*["']ALLOW-FROM["']|X-Frame-Options\s*[:=]\s*["']NONE["'])""",
      ("x-frame-options",)),
-    ("A01:2021-Broken Access Control", "Insecure Direct Object References (IDOR)",
+    ("[OWASP A01:2021-Broken Access Control] Insecure Direct Object References (IDOR)",
      r"""(?i)(?:def\s+\w+\(\s*.*(?:id|user_id|uuid|account_id)\s*\)\s*:.*\n\s*.*(?:select|find|query)\()""",
      ("select(", "find(", "query(")),
-    ("A03:2021-Injection", "LDAP Injection",
+    ("[OWASP A03:2021-Injection] LDAP Injection",
      r"""(?i)(?:ldap\.search\(|ldap\.search_s\(|InitialDirContext\(\).*(?:search|lookup)).*f?["'].*\{\w+\}.*["']""",
      ("ldap.search(", "ldap.search_s(", "initialdircontext()")),
-    ("A03:2021-Injection", "XPath Injection",
+    ("[OWASP A03:2021-Injection] XPath Injection",
      r"""(?i)(?:\.xpath\(|\.evaluate\(|XPathFactory\.newInstance\(\)).*f?["'].*\{\w+\}.*["']""",
      (".xpath(", ".evaluate(", "xpathfactory.newinstance()")),
-    ("A09:2021-Security Logging and Monitoring Failures", "Sensitive Data Exposure (Logging Leak)",
+    ("[OWASP A09:2021-Security Logging and Monitoring Failures] Sensitive Data Exposure (Logging Leak)",
      r"""(?i)(?:logger\.(?:info|debug|warn|error)\(.*(?:api_key|password|secret|token|passwd|pwd).*\)|System\.out\.print.*(?:password|secret).*)""",
      ("logger.", "system.out.print")),
-    ("A01:2021-Broken Access Control", "Open Redirect",
+    ("[OWASP A01:2021-Broken Access Control] Open Redirect",
      r"""(?i)(?:redirect\(|response\.sendRedirect\(|window\.location\s*=\s*)(?:\w+\s*\+\s*\w+|\w+\.join|f["'].*\{\w+\}|\w+)""",
      ("redirect(", "window.location")),
-    ("A03:2021-Injection", "Format String Vulnerability",
+    ("[OWASP A03:2021-Injection] Format String Vulnerability",
      r"""(?i)(?:printf\(|sprintf\(|format\().*(?:%s|%d).*,\s*(?:\w+\s*\+\s*\w+)""",
      ("printf(", "format(")),
-    ("A02:2021-Cryptographic Failures", "Insecure Communication / SSL Verification Disabled",
+    ("[OWASP A02:2021-Cryptographic Failures] Insecure Communication / SSL Verification Disabled",
      r"""(?i)(?:verify\s*=\s*False|verify\s*=\s*false|trustAllCerts|SSLContext\.getInstance\(\s*["']SSL["']\)|AllowAllHostnameVerifier)""",
      ("verify", "trustallcerts", "sslcontext.getinstance(", "allowallhostnameverifier")),
-    ("A03:2021-Injection", "HTTP Parameter Pollution (HPP)",
+    ("[OWASP A03:2021-Injection] HTTP Parameter Pollution (HPP)",
      r"""(?i)(?:request\.args\.getlist|request\.query_params\.getlist|getParameterValues)""",
      ("request.args.getlist", "request.query_params.getlist", "getparametervalues")),
-    ("A01:2021-Broken Access Control", "CORS Allow All Config",
+    ("[OWASP A01:2021-Broken Access Control] CORS Allow All Config",
      r"""(?i)(?:CORS_ORIGIN_ALLOW_ALL\s*=\s*True|Access-Control-Allow-Origin\s*[:=]\s*["']\*["'])""",
      ("cors_origin_allow_all", "access-control-allow-origin")),
-    ("A02:2021-Cryptographic Failures", "Weak Cryptographic Salt / PBKDF2 Iterations",
+    ("[OWASP A02:2021-Cryptographic Failures] Weak Cryptographic Salt / PBKDF2 Iterations",
      r"""(?i)(?:crypt\.pbkdf2|hashlib\.pbkdf2_hmac\(.*,\s*(?:[0-9]{1,3}|[0-9]{1,3}\s*\*\s*[0-9]{1,3})\s*,|bcrypt\.gensalt\(\s*(?:[1-7])\s*\))""",
      ("crypt.pbkdf2", "hashlib.pbkdf2_hmac(", "bcrypt.gensalt(")),
-    ("A02:2021-Cryptographic Failures", "Weak Pseudo-Random Number Generator (PRNG)",
+    ("[OWASP A02:2021-Cryptographic Failures] Weak Pseudo-Random Number Generator (PRNG)",
      r"""(?i)(?:random\.random\(|random\.randint\(|random\.choice\(|Math\.random\()""",
      ("random.random(", "random.randint(", "random.choice(", "math.random(")),
-    ("A03:2021-Injection", "Code Injection Risk (eval/exec)",
+    ("[OWASP A03:2021-Injection] Code Injection Risk (eval/exec)",
      r"""(?i)(?:eval\(|exec\(|Function\(|evalString\()""",
      ("eval(", "exec(", "function(", "evalstring(")),
-    ("A03:2021-Injection", "SQL Wildcard Injection",
+    ("[OWASP A03:2021-Injection] SQL Wildcard Injection",
      r"""(?i)(?:select\s+.*\s+like\s+.*%|like\s*.*_GET)""",
      ("like",)),
-    ("A01:2021-Broken Access Control", "Missing Function Access Control",
+    ("[OWASP A01:2021-Broken Access Control] Missing Function Access Control",
      r"""(?i)(?:@app\.route\(.*method.*post.*\)\s*\n\s*def\s+\w+\(\)\s*:\s*\n\s*(?!@auth|@login_required|@roles_required|check_permission))""",
      ("@app.route(",)),
-    ("A05:2021-Security Misconfiguration", "Insecure HSTS Settings",
+    ("[OWASP A05:2021-Security Misconfiguration] Insecure HSTS Settings",
      r"""(?i)(?:Strict-Transport-Security\s*.*max-age=0|HSTS\s*=\s*False)""",
      ("strict-transport-security", "hsts")),
-    ("A07:2021-Identification and Authentication Failures", "Cookie without SameSite attribute",
+    ("[OWASP A07:2021-Identification and Authentication Failures] Cookie without SameSite attribute",
      r"""(?i)(?:set_cookie\(.*samesite\s*=\s*None|SameSite\s*=\s*None)""",
      ("samesite",)),
-    ("A05:2021-Security Misconfiguration", "Regex Denial of Service (ReDoS) Risk",
+    ("[OWASP A05:2021-Security Misconfiguration] Regex Denial of Service (ReDoS) Risk",
      r"""(?i)(?:re\.compile\(.*(?:\.\*|\.\+)\s*\+|re\.match\(.*(?:\.\*|\.\+)\s*\+)""",
      ("re.compile(", "re.match(")),
-    ("A09:2021-Security Logging and Monitoring Failures", "Information Exposure through Exception Details",
+    ("[OWASP A09:2021-Security Logging and Monitoring Failures] Information Exposure through Exception Details",
      r"""(?i)(?:traceback\.print_exc\(|print_stack\(|printStackTrace\(\s*\)|e\.toString\(\))""",
      ("traceback.print_exc(", "print_stack(", "printstacktrace(", "e.tostring()")),
-    ("A02:2021-Cryptographic Failures", "Hardcoded Sensitive Keys in Config",
+    ("[OWASP A02:2021-Cryptographic Failures] Hardcoded Sensitive Keys in Config",
      r"""(?i)(?:AWS_SECRET_ACCESS_KEY|STRIPE_API_KEY|GITHUB_TOKEN|SLACK_WEBHOOK_URL)\s*=\s*["'][a-zA-Z0-9_\-\.\~]{10,}["']""",
      ("aws_secret_access_key", "stripe_api_key", "github_token", "slack_webhook_url")),
-    ("A01:2021-Broken Access Control", "Insecure Temporary File Creation",
+    ("[OWASP A01:2021-Broken Access Control] Insecure Temporary File Creation",
      r"""(?i)(?:tempfile\.mktemp\(|mktemp\(|GetTempFileName\(\))""",
      ("mktemp(", "gettempfilename()")),
-    ("A03:2021-Injection", "Unsafe Java Reflection usage",
+    ("[OWASP A03:2021-Injection] Unsafe Java Reflection usage",
      r"""(?i)(?:Class\.forName\(|getDeclaredMethod\(|Method\.invoke\()""",
      ("class.forname(", "getdeclaredmethod(", "method.invoke(")),
-    ("A02:2021-Cryptographic Failures", "Weak Cryptographic Key Size",
+    ("[OWASP A02:2021-Cryptographic Failures] Weak Cryptographic Key Size",
      r"""(?i)(?:RSA\.generate\(1024\)|RSA\.generate\(512\)|keySize\s*=\s*1024|keySize\s*=\s*512)""",
      ("rsa.generate(", "keysize")),
-    ("A02:2021-Cryptographic Failures", "Broken Cryptographic Hash / MD4 usage",
+    ("[OWASP A02:2021-Cryptographic Failures] Broken Cryptographic Hash / MD4 usage",
      r"""(?i)(?:hashlib\.new\(\s*["']md4["']\s*\)|DigestUtils\.md4Hex)""",
      ("hashlib.new(", "digestutils.md4hex")),
-    ("A09:2021-Security Logging and Monitoring Failures", "Improper Output Neutralization (Log Injection)",
+    ("[OWASP A09:2021-Security Logging and Monitoring Failures] Improper Output Neutralization (Log Injection)",
      r"""(?i)logger\..*\(.*replace\(['"]\\n['"],\s*['"]['"]\)""",
      ("logger.",)),
-    ("A02:2021-Cryptographic Failures", "Insecure Cryptographic Padding",
+    ("[OWASP A02:2021-Cryptographic Failures] Insecure Cryptographic Padding",
      r"""(?i)(?:Cipher\.getInstance\(\s*["'].*/PKCS1Padding["']|algorithms\.AES\(.*,\s*modes\.ECB\(\s*\)\))""",
      ("cipher.getinstance(", "algorithms.aes(")),
-    ("A03:2021-Injection", "Stored or Reflected XSS Input",
+    ("[OWASP A03:2021-Injection] Stored or Reflected XSS Input",
      r"""(?i)(?:Markup\(|_GET\[.*\]|_POST\[.*\]|dangerouslySetInnerHTML)""",
      ("markup(", "_get[", "_post[", "dangerouslysetinnerhtml")),
-    ("A02:2021-Cryptographic Failures", "Use of Password Hash without Salt",
+    ("[OWASP A02:2021-Cryptographic Failures] Use of Password Hash without Salt",
      r"""(?i)(?:hashlib\.sha256\(\w+\.encode\(\)\)|hashlib\.sha512\(\w+\.encode\(\)\))""",
      ("hashlib.sha256(", "hashlib.sha512(")),
-    ("A02:2021-Cryptographic Failures", "Insecure Cryptographic Cipher Mode",
+    ("[OWASP A02:2021-Cryptographic Failures] Insecure Cryptographic Cipher Mode",
      r"""(?i)(?:/CBC/PKCS5Padding|/CBC/NoPadding)""",
      ("/cbc/pkcs5padding", "/cbc/nopadding")),
-    ("A02:2021-Cryptographic Failures", "Hardcoded Credentials in Connection String",
+    ("[OWASP A02:2021-Cryptographic Failures] Hardcoded Credentials in Connection String",
      r"""(?i)(?:mongodb\+srv:\/\/|mysql:\/\/|postgresql:\/\/)[a-zA-Z0-9_\-]+:[a-zA-Z0-9_\-]+@""",
      ("mongodb+srv://", "mysql://", "postgresql://")),
-    ("A03:2021-Injection", "Resource Injection (IP/Port manipulation)",
+    ("[OWASP A03:2021-Injection] Resource Injection (IP/Port manipulation)",
      r"""(?i)(?:socket\.connect\(\s*\(\s*_GET|_GET\[['"]port['"]\])""",
      ("_get",)),
-    ("A02:2021-Cryptographic Failures", "Use of Broken Cryptographic Algorithm RC2",
+    ("[OWASP A02:2021-Cryptographic Failures] Use of Broken Cryptographic Algorithm RC2",
      r"""(?i)(?:DigestUtils\.rc2Hex|Cipher\.getInstance\(\s*["']RC2["']\))""",
      ("digestutils.rc2hex", "cipher.getinstance(")),
-    ("A08:2021-Software and Data Integrity Failures", "Vulnerable YAML Deserialization",
+    ("[OWASP A08:2021-Software and Data Integrity Failures] Vulnerable YAML Deserialization",
      r"""(?i)(?:yaml\.load\(\s*.*?\s*(?:,\s*Loader\s*=\s*yaml\.(?:Loader|UnsafeLoader|FullLoader))?\))""",
      ("yaml.load(",)),
-    ("A01:2021-Broken Access Control", "Use of Assertions for Access Control Security",
+    ("[OWASP A01:2021-Broken Access Control] Use of Assertions for Access Control Security",
      r"""(?i)(?:assert\s+.*hasRole|assert\s+.*isAdmin|assert\s+.*authorized)""",
      ("assert",)),
-    ("A03:2021-Injection", "Expression Language (EL) Injection",
+    ("[OWASP A03:2021-Injection] Expression Language (EL) Injection",
      r"""(?i)(?:\$\{\s*.*?\s*\}|#\{\s*.*?\s*\})""",
      ("${", "#{")),
-    ("A03:2021-Injection", "Server-Side Template Injection (SSTI)",
+    ("[OWASP A03:2021-Injection] Server-Side Template Injection (SSTI)",
      r"""(?i)(?:render_template\(.*request\..*|render_template_string\(.*request\..*)""",
      ("render_template(", "render_template_string(")),
-    ("A03:2021-Injection", "CRLF Injection / HTTP Response Splitting",
+    ("[OWASP A03:2021-Injection] CRLF Injection / HTTP Response Splitting",
      r"""(?i)(?:\\r\\n|\b\w+\.replace\(['"]\\n['"],['"]\\r['"]\))""",
      ("\\r\\n", ".replace(")),
-    ("A03:2021-Injection", "Client-Side Template Injection",
+    ("[OWASP A03:2021-Injection] Client-Side Template Injection",
      r"""(?i)(?:ng-bind-html|v-html|dangerouslySetInnerHTML)""",
      ("ng-bind-html", "v-html", "dangerouslysetinnerhtml")),
-    ("A07:2021-Identification and Authentication Failures", "Session Fixation",
+    ("[OWASP A07:2021-Identification and Authentication Failures] Session Fixation",
      r"""(?i)(?:session\.id\s*=\s*request|session\.session_id\s*=\s*)""",
      ("session.id", "session.session_id")),
-    ("A07:2021-Identification and Authentication Failures", "Insecure JWT Validation",
+    ("[OWASP A07:2021-Identification and Authentication Failures] Insecure JWT Validation",
      r"""(?i)(?:jwt\.decode\(.*verify\s*=\s*False|jwt\.decode\(.*options\s*=\s*\{.*verify_signature.*False)""",
      ("jwt.decode(",)),
-    ("A01:2021-Broken Access Control", "Mass Assignment",
+    ("[OWASP A01:2021-Broken Access Control] Mass Assignment",
      r"""(?i)(?:\*\*request\.form|\*\*request\.get_json\(\)|\*\*request\.json)""",
      ("**request.",)),
-    ("A02:2021-Cryptographic Failures", "Cleartext Storage of Sensitive Information",
+    ("[OWASP A02:2021-Cryptographic Failures] Cleartext Storage of Sensitive Information",
      r"""(?i)(?:localStorage\.setItem\(.*(?:password|api_key|token)|cookies\.set\(.*(?:password|api_key|token))""",
      ("localstorage.setitem(", "cookies.set(")),
-    ("A03:2021-Injection", "Unrestricted File Upload",
+    ("[OWASP A03:2021-Injection] Unrestricted File Upload",
      r"""(?i)(?:request\.files.*save\(|MultipartFile|FileUpload)""",
      ("request.files", "multipartfile", "fileupload")),
     # The two starred alternations below are written as [\s\S]* so that Java matches long lines.
-    ("A08:2021-Software and Data Integrity Failures", "Memory Corruption / Use-After-Free",
+    ("[OWASP A08:2021-Software and Data Integrity Failures] Memory Corruption / Use-After-Free",
      r"""\b(?:free\s*\(.*\)[\s\S]*free\s*\(.*\)|free\s*\(.*\)[\s\S]*\b\w+\s*=|\bdelete\s+.*delete\s+.*)\b""",
      ("free", "delete")),
-    ("A03:2021-Injection", "Integer Overflow/Wraparound",
+    ("[OWASP A03:2021-Injection] Integer Overflow/Wraparound",
      r"""(?i)(?:short\s+\w+\s*=\s*\d+|byte\s+\w+\s*=\s*\d+)""",
      ("short", "byte")),
-    ("A01:2021-Broken Access Control", "Race Condition / TOCTOU",
+    ("[OWASP A01:2021-Broken Access Control] Race Condition / TOCTOU",
      r"""(?i)(?:os\.path\.exists\(.*\)[\s\S]*open\(|file\.exists\(.*\)[\s\S]*file\.write)""",
      ("os.path.exists(", "file.exists(")),
-    ("A04:2021-Insecure Design", "Uncontrolled Resource Consumption / DoS",
+    ("[OWASP A04:2021-Insecure Design] Uncontrolled Resource Consumption / DoS",
      r"""(?i)(?:while\s+True\s*:\s*\n\s*pass|for\s+\w+\s+in\s+range\(\s*(?:999999|1000000|sys\.maxsize)\s*\))""",
      ("while", "range(")),
-    ("A01:2021-Broken Access Control", "Mobile Specific (Intent/WebView/Biometric)",
+    ("[OWASP A01:2021-Broken Access Control] Mobile Specific (Intent/WebView/Biometric)",
      r"""(?i)(?:setJavaScriptEnabled\(true\)|addJavascriptInterface|exported\s*=\s*true|biometricPrompt)""",
      ("setjavascriptenabled(", "addjavascriptinterface", "exported", "biometricprompt")),
-    ("A04:2021-Insecure Design", "Hardcoded IP Addresses",
+    ("[OWASP A04:2021-Insecure Design] Hardcoded IP Addresses",
      r"""\b(?:10\.\d{1,3}\.\d{1,3}\.\d{1,3}|192\.168\.\d{1,3}\.\d{1,3}|172\.(?:1[6-9]|2\d|3[0-1])\.\d{1,3}\.\d{1,3})\b""",
      ("10.", "192.168.", "172.")),
-    ("A05:2021-Security Misconfiguration", "Debug Code Left in Production",
+    ("[OWASP A05:2021-Security Misconfiguration] Debug Code Left in Production",
      r"""(?i)(?:app\.run\(.*debug\s*=\s*True|DEBUG\s*=\s*True)""",
      ("debug",)),
 ]
@@ -297,7 +297,7 @@ _SMELLS = [
 ]
 
 SAST_RULES = [
-    Rule(f"[OWASP {owasp}] {name}", pattern, "sast", "HIGH", needs) for owasp, name, pattern, needs in _SAST
+    Rule(name, pattern, "sast", "HIGH", needs) for name, pattern, needs in _SAST
 ]
 SMELL_RULES = [Rule(name, pattern, "smell", "INFO", needs) for name, pattern, needs in _SMELLS]
 

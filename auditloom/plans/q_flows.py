@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from auditloom.operators import completions, policy
@@ -15,21 +16,52 @@ from auditloom.sources import readers, writers
 from auditloom.streaming import flows, quarantine, run, tail_sampling
 
 
-def _stored(df, name):
-    """Write a bridge as parquet and open it as a stream."""
+def _stored(df, name, by=None, triggers=3):
+    """Write a bridge as parquet and open it as a stream; with a time column ``by``, a file and a trigger for each part of it."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return run.read_stream(df.sparkSession, path, df.schema)
+    if by is None:
+        df.write.parquet(path)
+        return run.read_stream(df.sparkSession, path, df.schema)
+    marks = [i / triggers for i in range(1, triggers)]
+    cuts = df.agg(F.percentile_approx(F.unix_micros(by), marks)).first()[0] or []
+    part = sum((F.unix_micros(by) > F.lit(cut)).cast("int") for cut in cuts)
+    for i in range(triggers):
+        df.filter(part == i).coalesce(1).write.mode("append").parquet(path)
+    return run.read_stream(df.sparkSession, path, df.schema, files_per_trigger=1)
+
+
+def _write_documents(rows, path, opening, closing, parts=4):
+    """JSON rows (one column) as files that are one JSON document each: an opening, rows with commas, a closing."""
+
+    def lines(batches):
+        first = True
+        for batch in batches:
+            for value in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array([(opening if first else ",") + value])], names=["value"])
+                first = False
+        yield pa.RecordBatch.from_arrays([pa.array([closing if not first else opening + closing])], names=["value"])
+
+    rows.repartition(parts).mapInArrow(lines, "value string").write.text(path)
 
 
 def _tail(spark, sf):
-    kept = run.run_available(tail_sampling.stream_tail_sampling(_stored(b.spans(spark, sf), "spans")))
+    kept = run.run_available(tail_sampling.stream_tail_sampling(_stored(b.spans(spark, sf), "spans", "end_ts")))
     return kept.select("trace_id", "span_id", "name", "status", "start_ts", "end_ts")
 
 
 def _quarantine(spark, sf):
-    stream = _stored(b.tool_calls(spark, sf), "calls")
-    return run.run_available(quarantine.stream_quarantine(stream, policy.policy_table(spark)))
+    stream = _stored(b.tool_calls(spark, sf), "calls", "ts")
+    verdicts = b.run(spark, sf, b.VERDICTS_SQL)
+    return run.run_available(quarantine.stream_quarantine(stream, policy.policy_table(spark), verdicts))
+
+
+def _policies(spark, sf):
+    """Calls against grants that were written as a policy file and read back."""
+    path = scratch_path(spark, "policies")
+    grants = policy.policy_table(spark).groupBy("agent").agg(F.collect_list("tool").alias("tools"))
+    entries = F.map_from_entries(F.collect_list(F.struct("agent", F.struct(F.col("tools").alias("allowed_tools")))))
+    grants.agg(F.to_json(F.struct(entries.alias("roles"))).alias("value")).coalesce(1).write.text(path)
+    return policy.rbac_violations(b.tool_calls(spark, sf), readers.read_policies(spark, path)).select(*q_policy._CALL)
 
 
 def _route(spark, sf):
@@ -55,7 +87,7 @@ def _feedback(spark, sf):
 def _dedup(spark, sf):
     """The stream is deduplicated after the within-span stage, as in the batch view."""
     parts = completions.dedup_within_trace(q_completions._flat(spark, sf))
-    kept = run.run_available(flows.stream_completions_dedup(_stored(parts, "parts")))
+    kept = run.run_available(flows.stream_completions_dedup(_stored(parts, "parts", "timestamp")))
     return kept.select("conversation_id", "message_type", "role", "message_idx", "part_idx")
 
 
@@ -96,15 +128,10 @@ def _source_tree(spark, sf):
 
 
 def _session_logs(spark, sf):
-    """Session logs as JSON arrays (one per status) read back."""
     path = scratch_path(spark, "sessions")
     logs = b.run(spark, sf, b.FAILURES_SQL)
-    one = F.concat(F.lit("["), F.to_json(F.struct("session_id", "status", "text")), F.lit("]"))
-    logs.select(one.alias("value")).write.option("lineSep", "\n").text(f"{path}/raw")
-    # multiLine reads one array per file; here each line is an array, so the line form of the reader applies.
-    return spark.read.schema("session_id STRING, status STRING, text STRING").json(f"{path}/raw").select(
-        "session_id", "status", F.length("text").alias("chars")
-    )
+    _write_documents(logs.select(F.to_json(F.struct("session_id", "status", "text"))), path, "[", "]")
+    return readers.read_session_logs(spark, path).select("session_id", "status", F.length("text").alias("chars"))
 
 
 def _eval_traces(spark, sf):
@@ -113,8 +140,8 @@ def _eval_traces(spark, sf):
     named = cases.withColumn(
         "eval_case_id", F.concat_ws("/", "eval_case_id", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
     )
-    named.select(F.array(F.struct("eval_case_id", "agent_data")).alias("eval_cases")).write.json(path)
-    read = spark.read.schema(readers.EVAL_FILE_SCHEMA).json(path).select(F.explode("eval_cases").alias("c")).select("c.*")
+    _write_documents(named.select(F.to_json(F.struct("eval_case_id", "agent_data"))), path, '{"eval_cases": [', "]}")
+    read = readers.read_eval_traces(spark, path)
     pieces = F.split("eval_case_id", "/")
     keyed = read.withColumns(
         {"conv_id": pieces[1].cast("bigint"), "turn": pieces[2].cast("bigint"), "eval_case_id": pieces[0]}
@@ -139,8 +166,13 @@ def _write_cluster_report(spark, sf):
 
     path = scratch_path(spark, "cluster-report")
     writers.write_cluster_report(cluster_report(q_outcomes._assigned(spark, sf), 4), path)
-    heads = spark.read.text(path).filter(F.col("value").rlike(r"^(## Cluster|\*\*Identified|# Failure Mode)"))
-    return heads.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    return spark.read.text(path).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _write_audit_report(spark, sf):
+    path = scratch_path(spark, "audit-report")
+    writers.write_audit_report(q_outcomes.QUERIES["audit_report"](spark, sf), path)
+    return spark.read.text(path).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _view_name(spark, sf):
@@ -167,6 +199,8 @@ QUERIES = {
     "read_eval_traces": _eval_traces,
     "append_feedback_jsonl": _append_jsonl,
     "write_cluster_report": _write_cluster_report,
+    "write_audit_report": _write_audit_report,
+    "read_policies": _policies,
     "register_completions_view": _view_name,
 }
 
@@ -177,9 +211,8 @@ _ROUTE = b.for_duckdb(f"""
 _REPORT = q_outcomes.ORACLE["cluster_report"]
 ORACLE = {
     "stream_tail_sampling": q_policy.ORACLE["retained_spans"],
-    "stream_quarantine": q_policy._sql(
-        "SELECT session_id, seq, CASE WHEN decision = 'SEMANTIC_BLOCK' THEN 'ALLOW' ELSE decision END AS decision FROM decided"
-    ),
+    "stream_quarantine": q_policy._sql(f"SELECT session_id, seq, agent, tool, decision, {q_policy._ANOMALY} FROM decided"),
+    "read_policies": q_policy.ORACLE["rbac_violations"],
     "stream_log_routing": _ROUTE,
     "route_logs": _ROUTE,
     "stream_feedback_ingest": q_outcomes._sql(
@@ -208,8 +241,9 @@ ORACLE = {
     "read_eval_traces": q_outcomes.ORACLE["eval_case_scores"],
     "append_feedback_jsonl": "SELECT case_id, candidate_no, accepted, model_used, model_text FROM ("
     + q_outcomes.ORACLE["to_training_example"] + ") t",
-    "write_cluster_report": _REPORT.replace("SELECT * FROM (VALUES (-1", "SELECT line AS value, count(*) AS n FROM (SELECT * FROM (VALUES (-1")
-    + r") r WHERE regexp_matches(line, '^(## Cluster|\*\*Identified|# Failure Mode)') GROUP BY line",
+    "write_cluster_report": f"SELECT value, count(*) AS n FROM (SELECT unnest(string_split(line, chr(10))) AS value FROM ({_REPORT}) r) l GROUP BY value",
+    "write_audit_report": "SELECT value, count(*) AS n FROM (SELECT unnest(string_split(report, chr(10))) AS value FROM ("
+    + q_outcomes.ORACLE["audit_report"] + ") r) l GROUP BY value",
     "register_completions_view": q_completions._sql(
         f"SELECT conversation_id, message_type, count(*) AS parts FROM stage2 WHERE {q_completions._NO_ECHO} GROUP BY ALL"
     ),

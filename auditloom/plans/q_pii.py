@@ -10,6 +10,10 @@ from auditloom.plans import bridges as b
 _DOCS_SQL = "SELECT doc_id, source, text FROM @documents"
 
 
+# Scopes to forget.
+_CLEARED_SQL = "SELECT source FROM @documents GROUP BY source HAVING min(doc_id) % 3 = 0"
+
+
 def _docs(spark, sf):
     return b.run_spread(spark, sf, _DOCS_SQL)
 
@@ -44,6 +48,9 @@ QUERIES = {
     "mask_pii_scope": lambda s, d: _scope(s, d)[0].select("source", "doc_id", "masked"),
     "unmask_pii_scope": _unmask_scope,
     "pii_leak_check": _leaks,
+    "clear_scope": lambda s, d: ops.clear_scope(
+        _scope(s, d)[1], "source", b.run(s, d, _CLEARED_SQL)
+    ),
 }
 
 _MARK = "chr(65535)"
@@ -111,6 +118,8 @@ ORACLE = {
     "pii_mapping": f"WITH {_DOC} SELECT doc_id, placeholder, value, pii_type, n, quoted FROM named",
     "unmask_pii": f"SELECT doc_id, {_BACK} AS unmasked FROM documents",
     "pii_first_seen_number": f"WITH {_SRC} SELECT source, value, pii_type, n, quoted, placeholder FROM named",
+    "clear_scope": f"WITH {_SRC} SELECT source, value, pii_type, n, quoted, placeholder FROM named "
+    f"WHERE source NOT IN ({b.for_duckdb(_CLEARED_SQL)})",
     "mask_pii_scope": f"WITH {_SRC} SELECT source, doc_id, masked FROM masked",
     "unmask_pii_scope": f"SELECT source, doc_id, {_BACK} AS unmasked FROM documents",
     "pii_leak_check": f"""

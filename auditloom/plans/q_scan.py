@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from auditloom.functions.rules import SAST_RULES, SMELL_RULES
+from auditloom.functions.rules import SAST_RULES, SMELL_RULES, Rule
 from auditloom.operators import scan as ops
 from auditloom.plans import bridges as b
 
 _KEYWORD = "token"
+# Rules of a user's own: one that spans lines, one with a test, one without.
+_OWN_RULES = [
+    Rule("License then end", r"(?s)License, version \d.*\n", "own", "LOW", ("license",)),
+    Rule("Two sentences a line", r"\. [A-Z][a-z]+", "own", "INFO"),
+]
 
 
 def _documents(spark, sf):
@@ -46,6 +51,8 @@ QUERIES = {
     "sast_scan": lambda s, d: ops.sast_scan(b.code_lines(s, d)),
     "smell_scan": lambda s, d: ops.smell_scan(b.code_lines(s, d)),
     "rule_scan_join": lambda s, d: ops.scan(_document_lines(s, d), SAST_RULES + SMELL_RULES),
+    "user_rules": lambda s, d: ops.scan(_document_lines(s, d), SMELL_RULES[:3] + _OWN_RULES),
+    "scan_files": lambda s, d: ops.scan_files(_documents(s, d), _OWN_RULES).select("repo", "path", "rule", "severity"),
     "keyword_search": lambda s, d: ops.keyword_search(_document_lines(s, d), _KEYWORD),
     "matches_found": lambda s, d: ops.matches_found(_document_lines(s, d), _KEYWORD),
     "graph_requested": lambda s, d: b.run(s, d, _REQUESTS_SQL).select(
@@ -105,6 +112,13 @@ ORACLE = {
     "sast_scan": scan_sql(b.CODE_LINES_DUCKDB, SAST_RULES),
     "smell_scan": scan_sql(b.CODE_LINES_DUCKDB, SMELL_RULES),
     "rule_scan_join": scan_sql(DOCUMENT_LINES_DUCKDB, SAST_RULES + SMELL_RULES),
+    "user_rules": scan_sql(DOCUMENT_LINES_DUCKDB, SMELL_RULES[:3] + _OWN_RULES),
+    "scan_files": b.for_duckdb("SELECT repo, path, hit.rule AS rule, hit.severity AS severity FROM (SELECT repo, path, unnest(["
+    + ", ".join(
+        f"CASE WHEN regexp_matches(content, {b.sql_text(r.pattern)}) THEN {{'rule': {b.sql_text(r.name)}, 'severity': '{r.severity}'}} END"
+        for r in _OWN_RULES
+    )
+    + f"]) AS hit FROM ({b.DOCUMENT_FILES_SQL}) f) h WHERE hit IS NOT NULL"),
     "keyword_search": f"""
         SELECT path, line_no, line AS content FROM ({DOCUMENT_LINES_DUCKDB}) l
         WHERE contains(lower(raw), '{_KEYWORD}') ORDER BY path, line_no

@@ -34,12 +34,7 @@ class TooManyBadRecords(ValueError):
     pass
 
 
-def read_completions(spark: SparkSession, path: str, max_bad: int | None = 1000) -> DataFrame:
-    """Stored messages (one JSON object per line) with the name of their file.
-
-    Unknown fields are dropped. Lines that do not parse are skipped; more than ``max_bad`` of them
-    is an error, found by a count that stops early. ``None`` skips that pass over the data.
-    """
+def _parsed_completions(spark: SparkSession, path: str) -> DataFrame:
     # Lines are parsed by from_json with the whole schema: which lines count as malformed must not
     # depend on the columns that the caller selects.
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
@@ -47,11 +42,26 @@ def read_completions(spark: SparkSession, path: str, max_bad: int | None = 1000)
     parsed = lines.select(
         F.from_json("value", f"{COMPLETION_SCHEMA}, _corrupt STRING", options).alias("m"),
         F.col("_metadata.file_path").alias("file_path"),
+        F.col("value").alias("line"),
     )
-    malformed = F.col("m").isNull() | F.col("m._corrupt").isNotNull()
-    if max_bad is not None and len(parsed.filter(malformed).select("file_path").take(max_bad + 1)) > max_bad:
+    return parsed.withColumn("malformed", F.col("m").isNull() | F.col("m._corrupt").isNotNull())
+
+
+def read_completions(spark: SparkSession, path: str, max_bad: int | None = None) -> DataFrame:
+    """Stored messages (one JSON object per line) with the name of their file.
+
+    Unknown fields are dropped. Lines that do not parse are left out; ``rejected_completions`` returns them. With
+    ``max_bad``, more than that many of them are an error, found by a count that stops early.
+    """
+    parsed = _parsed_completions(spark, path)
+    if max_bad is not None and len(parsed.filter("malformed").select("file_path").take(max_bad + 1)) > max_bad:
         raise TooManyBadRecords(f"more than {max_bad} malformed lines under {path}")
-    return parsed.filter(~malformed).select("m.parts", "m.role", "m.index", "file_path")
+    return parsed.filter("NOT malformed").select("m.parts", "m.role", "m.index", "file_path")
+
+
+def rejected_completions(spark: SparkSession, path: str) -> DataFrame:
+    """``(file_path, line)`` of the lines that ``read_completions`` leaves out."""
+    return _parsed_completions(spark, path).filter("malformed").select("file_path", "line")
 
 
 def read_source_tree(spark: SparkSession, root: str) -> DataFrame:
@@ -69,15 +79,17 @@ def read_source_tree(spark: SparkSession, root: str) -> DataFrame:
         .option("ignoreMissingFiles", "true")
         .load(root)
     )
-    location = F.col("_metadata.file_path")
+    # The listing gives locations percent-encoded; a plus stands for itself there.
+    location = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    relative = F.regexp_replace(location, F.lit(rf"^.*?{_literal(root)}/+"), F.lit(""))
     kept = files.filter(~F.lower(location).rlike(rf"/[^/]+\.({extensions})$")).filter(
-        ~F.regexp_replace(location, F.lit(rf"^.*?{_literal(root)}"), F.lit("/")).rlike(rf"/({folders})/")
+        ~F.concat(F.lit("/"), relative).rlike(rf"/({folders})/")
     )
     text = F.col("content").cast("string")
-    decoded = F.when(F.is_valid_utf8(text), text).otherwise(
-        F.replace(F.make_valid_utf8(text), F.lit("�"), F.lit(""))
-    )
-    relative = F.regexp_replace(location, F.lit(rf"^.*?{_literal(root)}/*"), F.lit(""))
+    # Bytes that are no text become U+FFFD and go; a U+FFFD of the file's own is set aside meanwhile.
+    own, aside = F.lit("�"), F.lit("\ufffe\uffff")
+    mended = F.replace(F.make_valid_utf8(F.replace(text, own, aside)), own, F.lit(""))
+    decoded = F.when(F.is_valid_utf8(text), text).otherwise(F.replace(mended, aside, own))
     return kept.select(relative.alias("path"), decoded.alias("content")).select(
         F.element_at(F.split("path", "/"), 1).alias("repo"), "path", "content"
     )

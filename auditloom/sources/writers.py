@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.operators.feedback import append_feedback_jsonl  # noqa: F401
 from auditloom.operators.completions import completions_view
 
 
 def write_inference_logs(logs: DataFrame, path: str) -> None:
-    """Day-partitioned log table."""
-    logs.withColumn("dt", F.to_date("timestamp")).write.mode("append").partitionBy("dt").parquet(path)
+    """Day-partitioned log table; rows are dealt out by day first, large days to several files."""
+    logs.withColumn("dt", F.to_date("timestamp")).hint("rebalance", "dt").write.mode("append").partitionBy("dt").parquet(path)
 
 
 def write_cluster_report(report: DataFrame, path: str) -> None:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.operators.feedback import LOG_TYPE, SERVICE_NAME, split_feedback
+from auditloom.streaming.run import use_rocksdb
 
 
 def inference_route(log_name: str, input_pattern: str, output_pattern: str) -> Column:
@@ -56,15 +57,21 @@ def stream_feedback_ingest(
     )
 
 
-def stream_completions_dedup(parts: DataFrame, watermark: str = "7 days") -> DataFrame:
+def stream_completions_dedup(parts: DataFrame, watermark: str | None = None) -> DataFrame:
     """First arrival of each input part of a conversation; every output part of a span.
 
-    Keys are kept in state until the watermark passes. Within a trigger Spark keeps any one of equal
-    keys; across triggers the earlier arrival wins.
+    All keys stay in state (RocksDB), so no row is lost however late it comes. A ``watermark`` bounds the state; Spark then
+    drops rows that come later than that. Within a trigger Spark keeps any one of equal keys; across triggers the earlier
+    arrival wins.
     """
+    use_rocksdb(parts.sparkSession)
     is_output = F.col("message_type") != "input"
     keyed = parts.withColumns(
         {"__trace": F.when(is_output, F.col("trace")), "__span": F.when(is_output, F.col("span_id"))}
-    ).withWatermark("timestamp", watermark)
+    )
     keys = ["conversation_id", "message_type", "role", "message_idx", "part_idx", "__trace", "__span"]
-    return keyed.dropDuplicatesWithinWatermark(keys).drop("__trace", "__span")
+    if watermark is None:
+        kept = keyed.dropDuplicates(keys)
+    else:
+        kept = keyed.withWatermark("timestamp", watermark).dropDuplicatesWithinWatermark(keys)
+    return kept.drop("__trace", "__span")

@@ -14,10 +14,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from auditloom.operators.policy import offending_value
+from auditloom.operators.policy import REVIEWED_TOOLS, anomaly_columns, offending_value
 from auditloom.streaming.run import use_rocksdb
 
-_OUTPUT = "session_id string, seq bigint, decision string"
+_KEPT = ["seq", "agent", "tool", "args", "offending_value"]
+_OUTPUT = "session_id string, seq bigint, agent string, tool string, args string, offending_value string, decision string"
 
 
 class SessionQuarantine(StatefulProcessor):
@@ -31,24 +32,36 @@ class SessionQuarantine(StatefulProcessor):
         if calls["marked"].any() and not self.flag.exists():
             self.flag.update((True,))
         decision = pd.Series("ALLOW", index=calls.index)
+        decision[calls["unapproved"]] = "SEMANTIC_BLOCK"
         decision[calls["denied"]] = "RBAC_BLOCK"
         decision[calls["marked"]] = "ANOMALY"
         decision[quarantined] = "QUARANTINED"
-        yield pd.DataFrame({"session_id": key[0], "seq": calls["seq"], "decision": decision})
+        yield calls[_KEPT].assign(session_id=key[0], decision=decision)[["session_id", *_KEPT, "decision"]]
 
     def close(self) -> None:
         pass
 
 
-def stream_quarantine(calls: DataFrame, policy: DataFrame) -> DataFrame:
-    """``(session_id, seq, decision)`` for a stream of tool calls; ``policy`` is a static table."""
+def stream_quarantine(calls: DataFrame, policy: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
+    """One decision per call of a stream, with the columns of ``tool_call_decisions`` but ``ts``.
+
+    ``policy`` and ``verdicts`` (``session_id, seq, decision``) are static tables; without ``verdicts`` the second opinion is
+    off, with them a reviewed tool without an approval is blocked.
+    """
     use_rocksdb(calls.sparkSession)
+    opinion = F.lit(None).cast("string")
+    if verdicts is not None:
+        calls = calls.join(verdicts.select("session_id", "seq", F.col("decision").alias("opinion")), ["session_id", "seq"], "left")
+        opinion = F.col("opinion")
+    unapproved = F.lit(verdicts is not None) & F.col("agent").isNotNull() & F.col("tool").isin(REVIEWED_TOOLS)
     grants = policy.select("agent", "tool").distinct().withColumn("granted", F.lit(True))
     staged = calls.join(grants, ["agent", "tool"], "left").select(
-        "session_id", "seq", "ts",
+        "session_id", "seq", "ts", "agent", "tool",
+        F.to_json("args").alias("args"),
+        offending_value(F.col("args")).alias("offending_value"),
         offending_value(F.col("args")).isNotNull().alias("marked"),
+        (unapproved & (F.coalesce(opinion, F.lit("DENIED")) != "APPROVED")).alias("unapproved"),
         (F.col("agent").isNotNull() & F.col("granted").isNull()).alias("denied"),
     )
-    return staged.groupBy("session_id").transformWithStateInPandas(
-        SessionQuarantine(), _OUTPUT, "append", "none"
-    )
+    decided = staged.groupBy("session_id").transformWithStateInPandas(SessionQuarantine(), _OUTPUT, "append", "none")
+    return decided.select("session_id", "seq", "agent", "tool", "decision", *anomaly_columns())

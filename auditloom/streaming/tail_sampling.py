@@ -1,8 +1,8 @@
 """Keep or drop whole traces once their root span has ended.
 
-Spans are reduced to a few flags and their JSON in the JVM; the state of a trace is the list of
-those rows. A trace is decided when its root arrives. A trace whose root never comes is dropped
-when the watermark passes its last span by ``timeout_ms``, so the state stays bounded.
+Spans are reduced to a few flags and their JSON in the JVM; the state of a trace is the list of those rows. A trace is
+decided when its root arrives; the verdict stays in state, and spans that come later follow it. No row is dropped: there is
+no watermark. With a ``patience``, spans of a trace whose root has not come by then leave as ``no_root``.
 """
 
 from __future__ import annotations
@@ -24,25 +24,30 @@ _FLAGS = ["is_root", "is_error", "is_policy", "is_sandbox", "is_model"]
 
 
 class TailSampler(StatefulProcessor):
-    def __init__(self, threshold: int, timeout_ms: int):
+    def __init__(self, threshold: int, patience_ms: int | None):
         self.threshold = threshold
-        self.timeout_ms = timeout_ms
+        self.patience_ms = patience_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.buffer = handle.getListState("spans", _STATE)
+        self.verdict = handle.getValueState("verdict", "outcome string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         arrived = pd.concat(list(rows), ignore_index=True)
+        if self.verdict.exists():
+            yield self._out(key, self.verdict.get()[0], arrived["span"])
+            return
         columns = [*_FLAGS, "span"]
         if not arrived["is_root"].any():
             self.buffer.appendList([tuple(r) for r in arrived[columns].itertuples(index=False, name=None)])
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(int(arrived["end_ms"].max()) + self.timeout_ms)
+            if self.patience_ms is not None:
+                self._forget_timers()
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.patience_ms)
             return
         earlier = pd.DataFrame([tuple(r) for r in self.buffer.get()], columns=columns)
         self.buffer.clear()
+        self._forget_timers()
         trace = pd.concat([earlier, arrived[columns]], ignore_index=True) if len(earlier) else arrived[columns]
         keep = (
             trace["is_error"].any()
@@ -50,30 +55,46 @@ class TailSampler(StatefulProcessor):
             or trace["is_sandbox"].sum() >= self.threshold
             or trace["is_model"].sum() >= self.threshold
         )
-        if keep:
-            yield pd.DataFrame({"trace_id": key[0], "span": trace["span"]})
+        outcome = "kept" if keep else "dropped"
+        self.verdict.update((outcome,))
+        yield self._out(key, outcome, trace["span"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """The root has not come: the spans leave, and one that comes after all decides on what follows."""
+        spans = [r[-1] for r in self.buffer.get()]
         self.buffer.clear()
-        return iter(())
+        if spans:
+            yield self._out(key, "no_root", pd.Series(spans))
+
+    def _forget_timers(self) -> None:
+        if self.patience_ms is None:
+            return
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+
+    @staticmethod
+    def _out(key, outcome: str, spans: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"trace_id": key[0], "outcome": outcome, "span": spans})
 
     def close(self) -> None:
         pass
 
 
-def stream_tail_sampling(
-    spans: DataFrame, threshold: int = 3, watermark: str = "10 minutes", timeout_ms: int = 3_600_000
-) -> DataFrame:
-    """Spans of the traces to keep, out of a stream of spans."""
+def stream_tail_outcomes(spans: DataFrame, threshold: int = 3, patience_ms: int | None = None) -> DataFrame:
+    """Every span of a stream once its trace is decided: ``outcome`` (kept, dropped, no_root) and the columns of spans.
+
+    ``patience_ms`` is how long, in processing time, a trace waits for its root after its last span; None (the default) waits
+    for ever. With timers a query goes on running batches, so it needs a trigger that is not ``availableNow``.
+    """
     use_rocksdb(spans.sparkSession)
-    facts = spans.select(
-        *fact_columns(),
-        F.to_json(F.struct(*spans.columns), _TIME).alias("span"),
-        F.unix_millis("end_ts").alias("end_ms"),
-        "end_ts",
-    ).withWatermark("end_ts", watermark)
-    kept = facts.groupBy("trace_id").transformWithStateInPandas(
-        TailSampler(threshold, timeout_ms), "trace_id string, span string", "append", "eventTime"
+    mode = "none" if patience_ms is None else "processingTime"
+    facts = spans.select(*fact_columns(), F.to_json(F.struct(*spans.columns), _TIME).alias("span"))
+    decided = facts.groupBy("trace_id").transformWithStateInPandas(
+        TailSampler(threshold, patience_ms), "trace_id string, outcome string, span string", "append", mode
     )
-    return kept.select(F.from_json("span", SPAN_SCHEMA, _TIME).alias("s")).select("s.*")
+    return decided.select("outcome", F.from_json("span", SPAN_SCHEMA, _TIME).alias("s")).select("outcome", "s.*")
 
+
+def stream_tail_sampling(spans: DataFrame, threshold: int = 3, patience_ms: int | None = None) -> DataFrame:
+    """Spans of the traces to keep, out of a stream of spans."""
+    return stream_tail_outcomes(spans, threshold, patience_ms).filter("outcome = 'kept'").drop("outcome")

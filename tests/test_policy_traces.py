@@ -92,7 +92,7 @@ def test_stream_tail_sampling_equals_batch(spark):
     spans.filter("parent_id IS NOT NULL").coalesce(1).write.mode("append").parquet(path)
     spans.filter("parent_id IS NULL").coalesce(1).write.mode("append").parquet(path)
     stream = run.read_stream(spark, path, SPAN_SCHEMA, files_per_trigger=1)
-    out = run.run_available(tail_sampling.stream_tail_sampling(stream, watermark="1 day"))
+    out = run.run_available(tail_sampling.stream_tail_sampling(stream))
     columns = ["trace_id", "span_id", "name", "status", "start_ts", "end_ts"]
     got = sorted(map(tuple, out.select(*columns).collect()))
     assert got == sorted(map(tuple, traces.retained_spans(spans).select(*columns).collect()))
