@@ -206,16 +206,22 @@ class Block:
 
     def minimizers(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct keys in order, and whether more than one document of the block has each."""
-        order = np.argsort(self.keys, kind="stable")
-        values, docs = self.keys[order], self.run_docs[order]
-        at = np.flatnonzero(np.concatenate((np.ones(min(1, len(values)), dtype=bool), values[1:] != values[:-1])))
+        order, at = self._sorted()
+        docs = self.run_docs[order]
         if not len(at):
-            return values, np.empty(0, dtype=bool)
-        return values[at], np.minimum.reduceat(docs, at) != np.maximum.reduceat(docs, at)
+            return self.keys, np.empty(0, dtype=bool)
+        return self.keys[order[at]], np.minimum.reduceat(docs, at) != np.maximum.reduceat(docs, at)
+
+    def _sorted(self) -> tuple[np.ndarray, np.ndarray]:
+        """The runs in key order, and where each distinct key begins there."""
+        order = np.argsort(self.keys, kind="stable")
+        values = self.keys[order]
+        return order, np.flatnonzero(np.concatenate((np.ones(min(1, len(values)), dtype=bool), values[1:] != values[:-1])))
 
     def dealt(self, repeated: np.ndarray, ranges: int) -> Dealt:
         """Distinct runs whose minimizer occurs in several documents, by range."""
-        known = np.flatnonzero(repeated[np.searchsorted(np.unique(self.keys), self.keys)]) if len(self.keys) else self.begins
+        order, at = self._sorted()
+        known = np.sort(order[np.repeat(repeated, np.diff(np.append(at, len(order))))])
         part = (self.keys[known] >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
         order = np.argsort(part, kind="stable")
         known, part = known[order], part[order].astype(np.int64)
