@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.functions.embedding import nearest
+from auditloom.session import cut_lineage
 
 # Statuses that count as failures, and themes with the words that decide them, in order.
 FAILURE_STATUSES = ["correction", "abandoned", "failed"]
@@ -98,8 +99,10 @@ def cluster_theme(assigned: DataFrame, text: str = "text") -> DataFrame:
 def cluster_members(assigned: DataFrame, k: int, member: str = "session_id") -> DataFrame:
     """Members as rows; a requested cluster without members has one row with a NULL member.
 
-    Rows instead of one list per cluster: a cluster may hold most of the data.
+    Rows instead of one list per cluster: a cluster may hold most of the data. The assignment is computed once and
+    checkpointed.
     """
+    assigned = cut_lineage(assigned.select("cluster", member))
     filled = assigned.select("cluster").distinct()
     wanted = assigned.sparkSession.range(k).select(F.col("id").cast("int").alias("cluster"))
     empty = wanted.join(filled, "cluster", "left_anti").withColumn(
@@ -111,9 +114,11 @@ def cluster_members(assigned: DataFrame, k: int, member: str = "session_id") ->
 def cluster_report(assigned: DataFrame, k: int, order: str = "session_id") -> DataFrame:
     """Markdown report as ordered lines ``(cluster, block, item, line)``.
 
-    Expects ``session_id, status, text, cluster``. Sorting by the first three gives the document.
+    Expects ``session_id, status, text, cluster``. Sorting by the first three gives the document. The assignment is computed
+    once and checkpointed; themes, titles and members read it.
     """
     spark = assigned.sparkSession
+    assigned = cut_lineage(assigned.select(*dict.fromkeys(["session_id", "status", "text", "cluster", order])))
     themes = cluster_theme(assigned)
     wanted = spark.range(k).select(F.col("id").cast("int").alias("cluster"))
     head = spark.createDataFrame(

@@ -9,10 +9,11 @@ from auditloom.session import build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
+    scratch = str(tmp_path_factory.mktemp("shared"))
     session = build_session(
         "local[4]",
-        **{"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "4g"},
+        **{"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "4g", "spark.checkpoint.dir": scratch},
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
