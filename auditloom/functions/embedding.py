@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.functions.arrays import let
 
 
-
 def text_char_embedding(df: DataFrame, text: str = "text", dim: int = 16, output: str = "embedding") -> DataFrame:
     """Add a unit vector: slot ``i % dim`` sums the code points of the lower-cased characters.
 
@@ -35,14 +36,15 @@ def text_char_embedding(df: DataFrame, text: str = "text", dim: int = 16, output
 
 
 def nearest(vector: str, centroids: list[list[float]]) -> Column:
-    """``(dist, cluster)`` of the nearest literal centroid; the lowest index wins a tie."""
-    def distance(centroid: list[float]) -> str:
-        values = "array(" + ", ".join(f"{value!r}D" for value in centroid) + ")"
-        return (
-            f"sqrt(aggregate(zip_with({vector}, {values}, (a, b) -> (a - b) * (a - b)), 0D, (acc, d) -> acc + d))"
-        )
+    """``(dist, cluster)`` of the nearest centroid; the lowest index wins a tie.
+
+    The centroids are one constant of the plan, whatever their number: a text that Spark parses once, when it optimises.
+    """
+    constant = F.from_json(F.lit(json.dumps([list(map(float, c)) for c in centroids])), "array<array<double>>")
+
+    def option(centroid: Column, i: Column) -> Column:
+        squares = F.zip_with(F.col(vector), centroid, lambda a, b: (a - b) * (a - b))
+        distance = F.sqrt(F.aggregate(squares, F.lit(0.0), lambda acc, d: acc + d))
+        return F.struct(distance.alias("dist"), i.alias("cluster"))
 
-    options = ", ".join(
-        f"named_struct('dist', {distance(c)}, 'cluster', {i})" for i, c in enumerate(centroids)
-    )
-    return F.expr(f"array_min(array({options}))")
+    return F.array_min(F.transform(constant, option))

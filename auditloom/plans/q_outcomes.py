@@ -150,7 +150,7 @@ def _rule(rule):
 
 
 def _hosts(spark, sf):
-    """Approved hosts: those of the first-party domain among the pages, plus the fixed list."""
+    """Approved hosts: those of the first-party domain among the pages."""
     own = b.table(spark, sf, "pages").select(gates.url_host(F.col("url")).alias("host")).filter(F.col("host").endswith(".org"))
     return own.distinct()
 
