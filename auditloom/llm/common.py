@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from auditloom.session import scratch_path
@@ -31,6 +32,18 @@ def fold(id_col: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("null")).cast("binary")) % modulus
 
 
+def first_by_hash(rows: DataFrame, group: str, hashed: Column, ties: str, n: int, spread: int = 64) -> DataFrame:
+    """The first ``n`` rows of each group by a hash, with their ``rank``.
+
+    A large group is ranked in ``spread`` parts first, so no task reads more than that many times ``n`` rows of it.
+    """
+    marked = rows.withColumn("_hash", hashed).withColumn("_part", F.pmod("_hash", F.lit(spread)))
+    parts = W.partitionBy(group, "_part").orderBy("_hash", ties)
+    some = marked.withColumn("rank", F.row_number().over(parts)).filter(F.col("rank") <= n)
+    whole = W.partitionBy(group).orderBy("_hash", ties)
+    return some.withColumn("rank", F.row_number().over(whole)).filter(F.col("rank") <= n).drop("_hash", "_part")
+
+
 def slices(batch, max_bytes: int, column: str = "text") -> Iterator:
     """Cut an Arrow batch into runs of rows whose texts together hold about ``max_bytes`` (one row at least)."""
     sizes = batch.column(column).nbytes

@@ -16,10 +16,9 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from auditloom.llm.common import slices, stored
+from auditloom.llm.common import first_by_hash, slices, stored
 
 
 @dataclass
@@ -117,8 +116,7 @@ def fit(
     known = labels.filter(learn & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
     known = known.dropDuplicates()
     shares = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    order = W.partitionBy("y").orderBy(F.xxhash64(F.lit("quality"), "id"), "id")
-    chosen = known.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= sample_rows)
+    chosen = first_by_hash(known, "y", F.xxhash64(F.lit("quality"), "id"), "id", sample_rows)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.length("text") > 0)
     sample = stored(texts.join(F.broadcast(chosen), "id"), "quality-sample")  # at most 2 * sample_rows ids
     n_good, n_bad = shares.get(1, 0), shares.get(0, 0)

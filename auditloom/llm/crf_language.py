@@ -16,11 +16,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from auditloom.llm.common import slices, stored
+from auditloom.llm.common import first_by_hash, slices, stored
 
 UNDETERMINED = "und"
 EDGES = b".,;:!?\"'()[]{}<>|/\\%&$#*+-=_~`^@0123456789"
@@ -256,18 +255,11 @@ def fit(
     taken for all its words. Without any such row the model has no label, and all texts are undetermined.
     """
     usable = docs.filter(learn & F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
-    order = W.partitionBy("label").orderBy(F.xxhash64(F.lit("lang"), "id"), "id")
-    chosen = (
-        usable.select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label"))
-        .distinct()
-        .withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= sample_docs)
-        .drop("rank")
-    )
+    labelled = usable.select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label")).distinct()
+    chosen = first_by_hash(labelled, "label", F.xxhash64(F.lit("lang"), "id"), "id", sample_docs).drop("rank")
     texts = usable.select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("text"))
     lines = texts.join(F.broadcast(chosen), ["id", "label"]).select("label", F.explode(F.split("text", "\n")).alias("line"))
-    by_hash = W.partitionBy("label").orderBy(F.xxhash64("line"), "line")
-    kept = lines.filter(F.length("line") > 0).withColumn("rank", F.row_number().over(by_hash)).filter(F.col("rank") <= sample_lines)
+    kept = first_by_hash(lines.filter(F.length("line") > 0), "label", F.xxhash64("line"), "line", sample_lines)
     rows = stored(kept, "language-lines").orderBy("label", "rank").collect()
     return train([(r["label"], r["line"]) for r in rows])
 
