@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -44,8 +46,19 @@ def first_by_hash(rows: DataFrame, group: str, hashed: Column, ties: str, n: int
     return some.withColumn("rank", F.row_number().over(whole)).filter(F.col("rank") <= n).drop("_hash", "_part")
 
 
+def release_memory() -> None:
+    """Hand freed memory back: Spark keeps idle Python workers, and what they have once allocated counts against the executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def slices(batch, max_bytes: int, column: str = "text") -> Iterator:
-    """Cut an Arrow batch into runs of rows whose texts together hold about ``max_bytes`` (one row at least)."""
+    """Cut an Arrow batch into runs of rows whose texts together hold about ``max_bytes`` (one row at least).
+
+    Memory is released after each batch.
+    """
     sizes = batch.column(column).nbytes
     rows = batch.num_rows
     if rows == 0:
@@ -53,6 +66,7 @@ def slices(batch, max_bytes: int, column: str = "text") -> Iterator:
     step = max(1, int(rows * max_bytes / max(sizes, 1)))
     for start in range(0, rows, step):
         yield batch.slice(start, step)
+    release_memory()
 
 
 def zip_array(values: np.ndarray) -> bytes:

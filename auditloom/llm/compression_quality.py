@@ -167,7 +167,7 @@ def score(docs: DataFrame, model: CompressionModel, *, id_col: str = "doc_id", t
     def run(batches):
         scorer = held.value.scorer()
         for batch in batches:
-            for part in slices(batch, 16 << 20):
+            for part in slices(batch, 4 << 20):
                 found = [scorer.difference(t or "") for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id"), pa.array(found, pa.float64()), pa.array(scorer.score(found), pa.float64())],

@@ -264,7 +264,7 @@ def fit(
     return train([(r["label"], r["line"]) for r in rows])
 
 
-def identify(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4 << 20) -> DataFrame:
+def identify(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 2 << 20) -> DataFrame:
     """One row per input row: id, lang_pred, score, n_words, shares.
 
     ``shares`` maps each label to its part of the words; ``lang_pred`` is the largest (of equals the first by name) and

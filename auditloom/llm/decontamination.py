@@ -181,7 +181,7 @@ def find_leaks(
     def run(batches):
         matcher = Matcher(held.value, rate)
         for batch in batches:
-            for part in slices(batch, 16 << 20):
+            for part in slices(batch, 4 << 20):
                 found = [[dict(zip(("item", "distance", "start", "end"), x)) for x in matcher.leaks(t)] for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("carried"), pa.array(found, arrow)], names=["carried", "leaks"])
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.llm.common import cut_points, slices, stored, unzip_array, zip_array
+from auditloom.llm.common import cut_points, release_memory, slices, stored, unzip_array, zip_array
 
 MAIN, DELETED, UNSEEN = 0, 1, 2  # part of a document: estimates, weights, neither
 END = np.uint64(xxhash.xxh64_intdigest(b""))  # no word is empty; also the context of a first word
@@ -168,6 +168,7 @@ def _add(group: pa.Table) -> pa.Table:
     mains = [small(sums[0][at[lo:hi]]) if d else None for lo, hi, d in zip(edges, edges[1:], deleted)]
     stats = [int(sums[0][word].sum()), int(total[word].sum()), int((total[word] > 0).sum())]
     n = len(blocks)
+    release_memory()
     first = lambda value: pa.array([value] + [0] * (n - 1), pa.int64())
     return pa.Table.from_arrays(
         [group.column("block"), group.column("deleted"), group.column("range"), pa.array(answers, pa.binary()), pa.array(mains, pa.binary()), *map(first, stats)],

@@ -80,7 +80,7 @@ def simhash(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, 16 << 20):
+            for part in slices(batch, 4 << 20):
                 found = np.array([fingerprint(t, size) for t in part.column("text").to_pylist()], dtype=np.uint64)
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(found.view(np.int64))], names=["id", "fp"])
 
@@ -327,7 +327,7 @@ def similar_documents(
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, 8 << 20):
+            for part in slices(batch, 4 << 20):
                 found = np.concatenate([short_fingerprints(t, size, rounds, bits) for t in part.column("text").to_pylist()])
                 yield pa.RecordBatch.from_arrays(
                     [

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from auditloom.llm.common import cut_points, slices, stored, unzip_array, zip_array
+from auditloom.llm.common import cut_points, release_memory, slices, stored, unzip_array, zip_array
 
 NO_ID = 2**63 - 1  # a null id is larger than all others
 
@@ -362,6 +362,7 @@ def _judge(width: int):
                 at += size
             sent.append((np.array(places), docs))
         least, begins = least_owner(list(number), np.array(owners, dtype=np.int64), width)
+        release_memory()
         counts, bits = [], []
         for places, docs in sent:
             n = begins[places + 1] - begins[places]
@@ -409,6 +410,7 @@ def _cut(kind: pa.DataType, ranges: int, width: int, mer: int, whole_chars: bool
                 columns[2].append([{"start": a, "end": b} for a, b in edges.tolist()])
                 columns[3].append(data[lo : lo + n][~own].tobytes())
             columns[0] = carried
+            release_memory()
         kinds = (kind, pa.int64(), pa.list_(span), pa.binary())
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["carried", "n_bytes", "removed", "kept"])
 
