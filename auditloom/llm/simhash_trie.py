@@ -320,7 +320,7 @@ def similar_documents(
     Null ids and repeated rows as in ``near_duplicates``; ids must be integers. Other columns are ignored.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    digest = F.sha2(F.col("text").cast("binary"), 256)
+    digest = F.substring(F.sha2(F.col("text").cast("binary"), 256), 1, 32)  # 128 bits name a text
     ids = stored(texts.select("id", digest.alias("digest")), "text-digests")
     firsts = stored(ids.groupBy("digest").agg(F.min("id").alias("first_id")), "distinct-texts")
     keyed = texts.select("id", digest.alias("key"), "text")
