@@ -8,7 +8,7 @@ the prefixes that differ in at most ``budget`` bits (an equi-join), and each pai
 walked in one task. A walk returns a forest of links, never all pairs of a group.
 
 ``near_duplicates`` links documents by one fingerprint of 64 bits. ``similar_documents`` looks for a given Jaccard similarity
-instead: it walks tries of several shorter fingerprints and checks each link on the texts.
+instead, without fingerprints: texts meet by their rarest shingles, and each link is checked on the texts.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.llm.common import slices, stored
+from auditloom.llm.common import WORD, slices, stored
 from auditloom.llm.components import components
 
 SEED = 42
@@ -53,27 +53,6 @@ def fingerprint(text: str | None, size: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(spans)).tobytes(), "big")
 
 
-def short_fingerprints(text: str | None, size: int, rounds: int, bits: int) -> np.ndarray:
-    """``rounds`` independent SimHashes of ``bits`` bits, in the upper bits of signed longs."""
-    line, spans = shingles(text, size)
-    digest = xxhash.xxh64_intdigest
-    words = -(-rounds * bits // 64)
-    ones = np.zeros(64 * words, dtype=np.int64)
-    for at in range(0, len(spans), 1 << 14):
-        part = spans[at : at + (1 << 14)]
-        hashes = np.fromiter((digest(line[a:b], SEED) for a, b in part), dtype=np.uint64, count=len(part))
-        wide = np.empty((len(part), words), dtype=np.uint64)
-        for i in range(words):
-            x = hashes + np.uint64((i + 1) * 0x9E3779B97F4A7C15 % 2**64)
-            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            wide[:, i] = x ^ (x >> np.uint64(31))
-        ones += np.unpackbits(wide.view(np.uint8), axis=1).sum(axis=0, dtype=np.int32)
-    rows = np.zeros((rounds, 64), dtype=np.uint8)
-    rows[:, :bits] = (2 * ones > len(spans))[: rounds * bits].reshape(rounds, bits)
-    return np.packbits(rows, axis=1).view(">i8").astype(np.int64).reshape(-1)
-
-
 def simhash(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
     """(id, fp) of every row: the fingerprint of the whole text as a signed long. Null and empty texts give 0."""
     kind = docs.select(id_col).schema[0].dataType.simpleString()
@@ -300,6 +279,40 @@ def near_duplicates(
     return marked.join(classes, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
+def prefix_rows(text: str | None, size: int, similarity: float, common: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, int]:
+    """The text's rarest shingles, as hashes in the order of all texts, and the number of its distinct shingles.
+
+    The order is by ``weight`` (0 for hashes that are not in the sorted ``common``), then by hash. Two sets of the wanted
+    Jaccard similarity share at least that part of either, so they share a shingle among the rarest rest of both.
+    """
+    line, spans = shingles(text, size)
+    digest = xxhash.xxh64_intdigest
+    hashes = np.unique(np.fromiter((digest(line[a:b], SEED) for a, b in spans), dtype=np.uint64, count=len(spans)).view(np.int64))
+    if len(common):
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        hashes = hashes[np.argsort(np.where(common[at] == hashes, weight[at], 0), kind="stable")]
+    return hashes[: len(hashes) - ceil(similarity * len(hashes) - 1e-9) + 1], len(hashes)
+
+
+def _common_shingles(texts: DataFrame, size: int, count: int, sample: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the commonest shingles in about ``sample`` texts, and how often they occur there."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, 4 << 20):
+                for t in part.column("text").to_pylist():
+                    line, spans = shingles(t, size)
+                    found = {xxhash.xxh64_intdigest(line[a:b], SEED) for a, b in spans}
+                    yield pa.RecordBatch.from_arrays([pa.array(np.fromiter(found, np.uint64, len(found)).view(np.int64))], names=["hash"])
+
+    some = texts.filter(F.pmod("node", F.lit(max(1, count // sample))) == 0).select("text")
+    counts = some.mapInArrow(run, "hash long").groupBy("hash").count().filter("count > 2")
+    rows = counts.orderBy(F.desc("count"), "hash").limit(most).toArrow()
+    hashes, weight = (rows.column(c).to_numpy() for c in ("hash", "count"))
+    order = np.argsort(hashes)
+    return hashes[order], weight[order]
+
+
 def similar_documents(
     docs: DataFrame,
     *,
@@ -307,52 +320,62 @@ def similar_documents(
     text_col: str = "text",
     size: int = 5,
     similarity: float = 0.8,
-    rounds: int = 10,
-    bits: int = 36,
-    budget: int = 3,
+    sample: int = 20_000,
+    most: int = 200_000,
 ) -> DataFrame:
-    """One row per input row: id, component_id, the smallest id reachable over pairs of at least ``similarity``.
+    """One row per input row: id, component_id, digest, component_digest. Every pair of at least ``similarity`` is found.
 
-    The similarity is Jaccard's, of the sets of ``size``-word shingles. Each distinct text has ``rounds`` independent
-    fingerprints of ``bits`` bits; the tries of all rounds are walked in one join, and each link found is checked on the two
-    texts. A pair at 0.8 is found with a probability of about 0.9, at 0.9 of more than 0.99 (a copy with changes has several
-    ways to its group); every link kept is a true one. Equal texts are linked always, texts without words with each other.
+    The similarity is Jaccard's, of the sets of ``size``-word shingles. ``component_id`` is the smallest id reachable over
+    such pairs, ``digest`` names the row's text and ``component_digest`` the text that stands for its component: that of the
+    smallest id, the smallest digest among equal ids. Equal texts are linked always, texts without words with each other.
     Null ids and repeated rows as in ``near_duplicates``; ids must be integers. Other columns are ignored.
+
+    Single fingerprints would find such a pair by chance only, so texts meet by their rarest shingles, a fifth of them at 0.8
+    (``prefix_rows``). What is rare is estimated on about ``sample`` texts; the estimate moves work, not results. Links
+    to one text of each shingle are checked first, so copies become one component without a pair list; then every pair of
+    different components that may still be similar is checked on the two texts.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    body = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), body.alias("text"))
     digest = F.substring(F.sha2(F.col("text").cast("binary"), 256), 1, 32)  # 128 bits name a text
-    ids = stored(texts.select("id", digest.alias("digest")), "text-digests")
-    firsts = stored(ids.groupBy("digest").agg(F.min("id").alias("first_id")), "distinct-texts")
-    keyed = texts.select("id", digest.alias("key"), "text")
+    # texts without words are one node
+    keyed = texts.select("id", "text", digest.alias("digest")).withColumn("node", F.when(F.col("text").rlike(WORD), F.xxhash64("digest")).otherwise(F.lit(0)))
+    ids = stored(keyed.select("id", "digest", "node"), "text-digests")
+    firsts = stored(ids.groupBy("digest", "node").agg(F.min("id").alias("first_id")), "distinct-texts")
+    worded = keyed.filter("node <> 0")
+    common, weight = _common_shingles(worded, size, ids.count(), sample, most)
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, 4 << 20):
-                found = np.concatenate([short_fingerprints(t, size, rounds, bits) for t in part.column("text").to_pylist()])
+                found = [prefix_rows(t, size, similarity, common, weight) for t in part.column("text").to_pylist()]
+                lengths = [len(x) for x, _ in found]
+                if not found:
+                    continue
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column("key").take(pa.array(np.repeat(np.arange(part.num_rows), rounds))),
-                        pa.array(np.tile(np.arange(rounds), part.num_rows)),
-                        pa.array(found),
+                        pa.array(np.concatenate([x for x, _ in found])),
+                        part.column("node").take(pa.array(np.repeat(np.arange(len(found)), lengths))),
+                        pa.array(np.repeat([n for _, n in found], lengths).astype(np.int32)),
+                        pa.array(np.concatenate([np.arange(n, dtype=np.int32) for n in lengths])),
                     ],
-                    names=["key", "round", "fp"],
+                    names=["hash", "node", "n", "at"],
                 )
 
-    # copies of one text become one row in each task, before they are shuffled
-    marked = keyed.select("key", "text").mapInArrow(run, "key string, round long, fp long")
-    marked = stored(marked.groupBy("key", "round").agg(F.min("fp").alias("fp")), "short-fingerprints")
-    heads = stored(marked.groupBy("round", "fp").agg(F.min("key").alias("head")), "short-heads")
-    links = trie_links(heads.select("round", "fp"), budget)
-    by = lambda name: heads.select("round", F.col("fp").alias(name), F.col("head").alias(f"{name}_key"))
-    across = links.join(by("u"), ["round", "u"]).join(by("v"), ["round", "v"]).select("u_key", "v_key")
-    within = marked.join(heads, ["round", "fp"]).select(F.col("key").alias("u_key"), F.col("head").alias("v_key"))
-    pairs = across.unionByName(within).filter("u_key <> v_key")
-    pairs = stored(pairs.select(F.least("u_key", "v_key").alias("a"), F.greatest("u_key", "v_key").alias("b")).distinct(), "similar-pairs")
+    # one row of each text: the one with its smallest id, then the first of equal rows
+    chosen = firsts.filter("node <> 0").select(F.col("node").alias("_node"), F.col("first_id").alias("_id"))
+    single = ids.filter("node <> 0").groupBy("node", "id").count().filter("count > 1").select("node").distinct()
+    once = worded.join(chosen, (F.col("node") == F.col("_node")) & F.col("id").eqNullSafe(F.col("_id"))).select("node", "text")
+    twice = once.join(single, "node", "left_semi").dropDuplicates(["node"])
+    bodies = stored(once.join(single, "node", "left_anti").unionByName(twice), "distinct-bodies")
+    rare = stored(bodies.select("node", "text").mapInArrow(run, "hash long, node long, n int, at int"), "rare-shingles")
+    heads = rare.groupBy("hash").agg(F.min("node").alias("head"), F.max("node").alias("last")).filter("head <> last").drop("last")
+    shared = stored(rare.join(heads, "hash"), "shared-shingles")
 
     def check(batches):
         for batch in batches:
             kept = []
-            for i, (x, y) in enumerate(zip(batch.column("a_text"), batch.column("b_text"))):
+            for i, (x, y) in enumerate(zip(batch.column("u_text"), batch.column("v_text"))):
                 sets = []
                 for t in (x.as_py(), y.as_py()):
                     line, spans = shingles(t, size)
@@ -360,19 +383,35 @@ def similar_documents(
                 both = len(sets[0] & sets[1])
                 if both >= similarity * (len(sets[0]) + len(sets[1]) - both):
                     kept.append(i)
-            yield batch.select(["a", "b"]).take(pa.array(kept, pa.int64()))
-
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
-    chosen = firsts.join(wanted, "digest", "left_semi").select(F.col("digest").alias("_key"), F.col("first_id").alias("_id"))
-    found = keyed.join(chosen, (F.col("key") == F.col("_key")) & F.col("id").eqNullSafe(F.col("_id"))).select("key", "text")
-    bodies = stored(found.dropDuplicates(["key"]), "similar-texts")
-    sides = pairs.join(bodies.select(F.col("key").alias("a"), F.col("text").alias("a_text")), "a").join(
-        bodies.select(F.col("key").alias("b"), F.col("text").alias("b_text")), "b"
+            yield batch.select(["u", "v"]).take(pa.array(kept, pa.int64()))
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+        some = stored(bodies.join(wanted, "node", "left_semi"), "similar-texts")
+        sides = pairs.join(some.select(F.col("node").alias("u"), F.col("text").alias("u_text")), "u").join(
+            some.select(F.col("node").alias("v"), F.col("text").alias("v_text")), "v"
+        )
+        return stored(sides.select("u", "v", "u_text", "v_text").mapInArrow(check, "u long, v long"), "similar-links")
+
+    star = stored(shared.filter("node <> head").select(F.col("head").alias("u"), F.col("node").alias("v")).distinct(), "similar-pairs")
+    links = checked(star)
+    roots = stored(components(links), "similar-roots")
+    placed = stored(
+        shared.drop("head").join(roots.withColumnRenamed("root", "part"), "node", "left").withColumn("part", F.coalesce("part", "node")), "placed-shingles"
+    )
+    parts = placed.groupBy("hash", "part").count().groupBy("hash").agg(F.max_by("part", "count").alias("main"), F.count("*").alias("parts"))
+    # a shingle's largest component is not compared with itself
+    mixed = stored(placed.join(parts.filter("parts > 1").drop("parts"), "hash"), "mixed-shingles")
+    x = mixed.filter("part <> main").select("hash", *[F.col(c).alias(f"x_{c}") for c in ("node", "part", "n", "at")])
+    # the shingle at which two sorted sets first meet leaves enough behind it in both
+    enough = F.least(F.expr("x_n - x_at"), F.expr("n - at")) >= F.lit(similarity / (1 + similarity)) * (F.col("x_n") + F.col("n")) - 1e-9
+    across = x.join(mixed, "hash").filter((F.col("x_part") != F.col("part")) & ((F.col("part") == F.col("main")) | (F.col("x_node") < F.col("node"))) & enough)
+    pairs = across.select(F.least("x_node", "node").alias("u"), F.greatest("x_node", "node").alias("v")).distinct()
+    more = checked(stored(pairs.join(star, ["u", "v"], "left_anti"), "similar-pairs"))
+    roots = stored(components(links.unionByName(more)), "similar-roots")
+    joined = firsts.join(roots, "node", "left").select("digest", "first_id", F.coalesce("root", "node").alias("root"))
+    least = joined.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "digest")).alias("least"))
+    named = joined.join(least, "root").select(
+        "digest", F.col("least.first_id").alias("component_id"), F.col("least.digest").alias("component_digest")
     )
-    true = sides.select("a", "b", "a_text", "b_text").mapInArrow(check, "a string, b string")
-    edges = true.select(F.xxhash64("a").alias("u"), F.xxhash64("b").alias("v"))
-    roots = stored(components(edges), "similar-roots")
-    numbered = firsts.withColumn("node", F.xxhash64("digest"))
-    joined = numbered.join(roots, "node", "left").select("digest", "first_id", F.coalesce("root", "node").alias("root"))
-    least = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return ids.join(joined.join(least, "root").select("digest", "component_id"), "digest").select(F.col("id").alias(id_col), "component_id")
+    return ids.select("id", "digest").join(named, "digest").select(F.col("id").alias(id_col), "component_id", "digest", "component_digest")
