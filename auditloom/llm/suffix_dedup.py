@@ -13,7 +13,8 @@ hash space and each range sorts its own:
 3. The range answers, a bit a string, whether a smaller document than the sender's has it; blocks cut their documents.
 
 The recursion ends where names cover ``width`` bytes, as nothing longer is compared. A passage that very many documents
-share is one run a block.
+share is one run a block. At its edge each document has its own neighbours: the runs of a minimizer with very many different
+ones are sent as single strings, each to the range of its own hash, so equal strings still meet.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -204,13 +206,28 @@ class Block:
             size *= 2
         return np.minimum(values[: len(values) - (width - size)], values[width - size :]) if width > size else values
 
-    def minimizers(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct keys in order, and whether more than one document of the block has each."""
+    def minimizers(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct keys in order, whether more than one document of the block has each, and in how many different runs.
+
+        Runs are told apart by length, first and last eight bytes; the number only decides how the runs are dealt.
+        """
         order, at = self._sorted()
         docs = self.run_docs[order]
         if not len(at):
-            return self.keys, np.empty(0, dtype=bool)
-        return self.keys[order[at]], np.minimum.reduceat(docs, at) != np.maximum.reduceat(docs, at)
+            return self.keys, np.empty(0, dtype=bool), np.empty(0, dtype=np.uint32)
+        data, eight = np.frombuffer(self.text, dtype=np.uint8), np.arange(8)
+        kinds = np.zeros(len(order), dtype=np.uint64)
+        counts = np.diff(np.append(at, len(order)))
+        group = np.repeat(np.arange(len(at)), counts)
+        several = np.flatnonzero(np.repeat(counts > 1, counts))
+        begins, ends = self.begins[order[several]], self.ends[order[several]]
+        for places in (begins, ends + self.width - 9):
+            kinds[several] = (kinds[several] ^ data[np.clip(places[:, None] + eight, 0, len(data) - 1)].view(np.uint64)[:, 0]) * np.uint64(0x9E3779B97F4A7C15)
+        kinds[several] += (ends - begins).astype(np.uint64)
+        by = several[np.lexsort((kinds[several], group[several]))]
+        again = by[1:][(group[by[1:]] == group[by[:-1]]) & (kinds[by[1:]] == kinds[by[:-1]])]
+        runs = (counts - np.bincount(group[again], minlength=len(at))).astype(np.uint32)
+        return self.keys[order[at]], np.minimum.reduceat(docs, at) != np.maximum.reduceat(docs, at), runs
 
     def _sorted(self) -> tuple[np.ndarray, np.ndarray]:
         """The runs in key order, and where each distinct key begins there."""
@@ -218,23 +235,36 @@ class Block:
         values = self.keys[order]
         return order, np.flatnonzero(np.concatenate((np.ones(min(1, len(values)), dtype=bool), values[1:] != values[:-1])))
 
-    def dealt(self, repeated: np.ndarray, ranges: int) -> Dealt:
-        """Distinct runs whose minimizer occurs in several documents, by range."""
+    def dealt(self, repeated: np.ndarray, hot: np.ndarray, ranges: int) -> Dealt:
+        """Distinct runs whose minimizer occurs in several documents, by range.
+
+        Runs of a hot minimizer are taken apart: each string goes to the range of its own hash.
+        """
         order, at = self._sorted()
-        known = np.sort(order[np.repeat(repeated, np.diff(np.append(at, len(order))))])
-        part = (self.keys[known] >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
+        counts = np.diff(np.append(at, len(order)))
+        known = np.sort(order[np.repeat(repeated, counts)])
+        apart = np.zeros(len(order), dtype=bool)
+        apart[order] = np.repeat(hot, counts)
+        n = np.where(apart[known], self.ends[known] - self.begins[known], 1)
+        known, inside = np.repeat(known, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        apart = apart[known]
+        begins = self.begins[known] + inside
+        ends = np.where(apart, begins + 1, self.ends[known])
+        keys = self.keys[known]
+        single = (xxhash.xxh64_intdigest(self.text[lo : lo + self.width]) for lo in begins[apart].tolist())
+        keys[apart] = np.fromiter(single, dtype=np.uint64, count=int(apart.sum()))
+        part = (keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
         order = np.argsort(part, kind="stable")
-        known, part = known[order], part[order].astype(np.int64)
-        begins, docs = self.begins[known], self.run_docs[known]
+        part, begins, ends, docs = part[order].astype(np.int64), begins[order], ends[order], self.run_docs[known[order]]
         number: dict[bytes, int] = {}
         text, more = self.text, self.width - 1
         runs = np.array(
-            [number.setdefault(text[lo:hi], len(number)) for lo, hi in zip(begins.tolist(), (self.ends[known] + more).tolist())], dtype=np.int64
+            [number.setdefault(text[lo:hi], len(number)) for lo, hi in zip(begins.tolist(), (ends + more).tolist())], dtype=np.int64
         )
         least = np.full(len(number), NO_ID, dtype=np.int64)
         np.minimum.at(least, runs, docs)
         first = np.unique(runs, return_index=True)[1] if len(runs) else runs
-        return Dealt(list(number), part[first], least, self.ends[known][first] - begins[first], runs, begins, docs)
+        return Dealt(list(number), part[first], least, ends[first] - begins[first], runs, begins, docs)
 
 
 _TABLE = np.random.default_rng(20).integers(0, 2**64, size=256, dtype=np.uint64)
@@ -285,7 +315,7 @@ def _send_minimizers(ranges: int, width: int, mer: int):
         for batch in batches:
             columns = {n: batch.column(n) for n in batch.schema.names}
             for r in range(batch.num_rows):
-                keys, many = _read(columns, r, width, mer).minimizers()
+                keys, many, runs = _read(columns, r, width, mer).minimizers()
                 cuts = cut_points(keys, ranges)
                 rows = [(i, lo, hi) for i, (lo, hi) in enumerate(zip(cuts, cuts[1:])) if hi > lo]
                 yield pa.RecordBatch.from_arrays(
@@ -294,24 +324,31 @@ def _send_minimizers(ranges: int, width: int, mer: int):
                         pa.array([i for i, _, _ in rows], pa.int32()),
                         pa.array([zip_array(np.diff(keys[lo:hi], prepend=np.uint64(0))) for _, lo, hi in rows], pa.binary()),
                         pa.array([np.packbits(many[lo:hi]).tobytes() for _, lo, hi in rows], pa.binary()),
+                        pa.array([zip_array(runs[lo:hi]) for _, lo, hi in rows], pa.binary()),
                     ],
-                    names=["block", "range", "keys", "many"],
+                    names=["block", "range", "keys", "many", "runs"],
                 )
 
     return run
 
 
-def _repeated(group: pa.Table) -> pa.Table:
-    """Which minimizers of one range occur in more than one document, for each block that sent some."""
-    keys = [np.cumsum(unzip_array(k, np.uint64), dtype=np.uint64) for k in group.column("keys").to_pylist()]
-    many = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=len(k)) for m, k in zip(group.column("many").to_pylist(), keys)])
-    distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
-    answer = np.bincount(at, weights=1 + many, minlength=len(distinct))[at] > 1
-    edges = np.cumsum([0, *map(len, keys)])
-    bits = [np.packbits(answer[lo:hi]).tobytes() for lo, hi in zip(edges, edges[1:])]
-    return pa.Table.from_arrays(
-        [group.column("block"), group.column("range"), pa.array(np.diff(edges)), pa.array(bits, pa.binary())], names=["block", "range", "n", "bits"]
-    )
+def _repeated(most_runs: int):
+    def run(group: pa.Table) -> pa.Table:
+        """Which minimizers of one range occur in more than one document, and in very many runs, for each block that sent some."""
+        keys = [np.cumsum(unzip_array(k, np.uint64), dtype=np.uint64) for k in group.column("keys").to_pylist()]
+        many = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=len(k)) for m, k in zip(group.column("many").to_pylist(), keys)])
+        distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+        answer = np.bincount(at, weights=1 + many, minlength=len(distinct))[at] > 1
+        runs = np.concatenate([unzip_array(r, np.uint32) for r in group.column("runs").to_pylist()])
+        hot = np.bincount(at, weights=runs, minlength=len(distinct))[at] > most_runs
+        answer = np.stack([answer, hot], axis=1).reshape(-1)  # two bits a minimizer
+        edges = 2 * np.cumsum([0, *map(len, keys)])
+        bits = [np.packbits(answer[lo:hi]).tobytes() for lo, hi in zip(edges, edges[1:])]
+        return pa.Table.from_arrays(
+            [group.column("block"), group.column("range"), pa.array(np.diff(edges)), pa.array(bits, pa.binary())], names=["block", "range", "n", "bits"]
+        )
+
+    return run
 
 
 def _bits(answers: pa.Table) -> np.ndarray:
@@ -328,7 +365,7 @@ def _send_runs(ranges: int, width: int, mer: int):
         if blocks.num_rows and answers.num_rows:
             block = _read({n: blocks.column(n) for n in blocks.schema.names}, 0, width, mer)
             number = blocks.column("block")[0].as_py()
-            dealt = block.dealt(_bits(answers), ranges)
+            dealt = block.dealt(*_bits(answers).reshape(-1, 2).T, ranges)
             edges = [0, *(np.flatnonzero(np.diff(dealt.ranges)) + 1).tolist(), len(dealt.texts)]
             for lo, hi in zip(edges, edges[1:]):
                 if hi > lo:
@@ -388,7 +425,7 @@ def _cut(kind: pa.DataType, ranges: int, width: int, mer: int, whole_chars: bool
             first = answers.filter(pa.compute.equal(answers.column("step"), 1))
             if first.num_rows:
                 judged = _bits(answers.filter(pa.compute.equal(answers.column("step"), 2)))
-                dealt = block.dealt(_bits(first), ranges)
+                dealt = block.dealt(*_bits(first).reshape(-1, 2).T, ranges)
                 bits = np.cumsum(dealt.strings) - dealt.strings  # where the answers for each run begin
                 n = dealt.strings[dealt.run]
                 inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -428,6 +465,7 @@ def remove_repeats(
     whole_chars: bool = False,
     block_bytes: int = 2 << 20,
     range_bytes: int = 1 << 20,
+    most_runs: int = 20_000,
 ) -> DataFrame:
     """(carried, n_bytes, removed, kept), one row per input row.
 
@@ -438,6 +476,7 @@ def remove_repeats(
     and rows with equal ids take nothing from each other. Null texts are empty and, like texts under ``width`` bytes, stay as
     they are. Other columns are ignored. An empty table gives an empty result.
 
+    Runs of a minimizer with more than ``most_runs`` different ones are dealt out string by string.
     Two different strings that a hash takes for one cannot do harm: hashes only deal out the work.
     """
     spark = docs.sparkSession
@@ -461,8 +500,8 @@ def remove_repeats(
         return keyed[0].cogroup(keyed[1]).applyInArrow(run, out)
 
     answer = "block long, range int, n long, bits binary"
-    sent = texts.mapInArrow(_send_minimizers(coarse, width, mer), "block long, range int, keys binary, many binary")
-    repeated = stored(sent.repartition(coarse, "range").groupBy("range").applyInArrow(_repeated, answer), "repeat-minimizers")
+    sent = texts.mapInArrow(_send_minimizers(coarse, width, mer), "block long, range int, keys binary, many binary, runs binary")
+    repeated = stored(sent.repartition(coarse, "range").groupBy("range").applyInArrow(_repeated(most_runs), answer), "repeat-minimizers")
     runs = meet(texts, repeated, _send_runs(ranges, width, mer), "block long, range int, text binary, sizes binary, docs binary")
     judged = stored(runs.repartition(ranges, "range").groupBy("range").applyInArrow(_judge(width), answer), "repeat-judged")
     answers = repeated.withColumn("step", F.lit(1)).unionByName(judged.withColumn("step", F.lit(2)))

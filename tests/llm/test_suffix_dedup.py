@@ -90,3 +90,26 @@ def test_query_matches_brute_force_on_a_small_table(spark):
     want = {d: digest(b, m) for (d, _), (b, m) in zip(rows, slow(rows))}
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in op7_suffix_dedup(spark, "/root/testdata/sf0.001").collect()}
     assert got == want and any(w[1] for w in want.values())
+
+
+def test_runs_of_a_hot_minimizer_are_spread_over_the_ranges(spark):
+    rng = random.Random(14)
+    word = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    passage = word(90)
+    texts = [word(60) + passage + word(60) for _ in range(300)]
+    data = [t.encode() for t in texts]
+    block = sd.Block(b"".join(data), np.array([len(b) for b in data]), np.arange(300), 50, 20)
+    keys, many, runs = block.minimizers()
+    assert runs[many].max() > 200
+    dealt = block.dealt(many, many & (runs > 20), 64)
+    strings = np.bincount(dealt.ranges, weights=dealt.strings, minlength=64)
+    assert strings.max() < 3 * strings.mean()
+    rows = list(enumerate(texts))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {d: m for (d, _), (_, m) in zip(rows, slow(rows))}
+    for most_runs in (20, 20_000):
+        for r in sd.remove_repeats(frame.repartition(3), most_runs=most_runs, block_bytes=4000).collect():
+            mask = [False] * r["n_bytes"]
+            for span in r["removed"]:
+                mask[span["start"] : span["end"]] = [True] * (span["end"] - span["start"])
+            assert mask == want[r["carried"]]
