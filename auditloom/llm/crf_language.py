@@ -38,7 +38,7 @@ def normalize(word: bytes) -> bytes:
 def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Feature numbers of all words' n-grams with end marks, one after the other, and where each word's begin."""
     flat = np.frombuffer(b"".join([b"\x01" + w + b"\x02" for w in words]), dtype=np.uint8).astype(np.uint32)
-    ends = np.flatnonzero(flat == 2)
+    ends = np.cumsum([len(w) + 2 for w in words]) - 1  # a word may hold the marks itself
     starts = np.concatenate(([0], ends[:-1] + 1))
     left = np.repeat(ends, ends - starts + 1) - np.arange(len(flat))  # bytes to the word's end mark
     rows = np.repeat(np.arange(len(words)), ends - starts + 1)

@@ -71,3 +71,12 @@ def test_edges(spark, labelled):
     else:
         assert {r["lang_pred"] for r in out.values()} == {"und"}
     assert crf.identify(docs.limit(0), model).count() == 0
+
+
+def test_words_that_hold_the_end_marks(spark):
+    rng = random.Random(6)
+    model = crf.train([(lang, sentence(lang, rng)) for _ in range(60) for lang in SYLLABLES], rounds=3)
+    text = f"{sentence('xx', rng)} ka\x02ka \x01ka\x02 \x02a\x02\x02"
+    docs = spark.createDataFrame([(1, text), (2, sentence("yy", rng))], "doc_id long, text string")
+    out = {r["doc_id"]: r for r in crf.identify(docs, model).collect()}
+    assert out[1]["n_words"] == 15 and out[1]["lang_pred"] == "xx" and out[2]["lang_pred"] == "yy"
