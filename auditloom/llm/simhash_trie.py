@@ -346,8 +346,11 @@ def similar_documents(
     common, weight = _common_shingles(worded, size, ids.count(), sample, most)
 
     def run(batches):
+        seen: set[int] = set()
         for batch in batches:
             for part in slices(batch, 4 << 20):
+                fresh = [i for i, node in enumerate(part.column("node").to_pylist()) if node not in seen and not seen.add(node)]
+                part = part.take(pa.array(fresh, pa.int64()))
                 found = [prefix_rows(t, size, similarity, common, weight) for t in part.column("text").to_pylist()]
                 lengths = [len(x) for x, _ in found]
                 if not found:
@@ -362,15 +365,12 @@ def similar_documents(
                     names=["hash", "node", "n", "at"],
                 )
 
-    # one row of each text: the one with its smallest id, then the first of equal rows
-    chosen = firsts.filter("node <> 0").select(F.col("node").alias("_node"), F.col("first_id").alias("_id"))
-    single = ids.filter("node <> 0").groupBy("node", "id").count().filter("count > 1").select("node").distinct()
-    once = worded.join(chosen, (F.col("node") == F.col("_node")) & F.col("id").eqNullSafe(F.col("_id"))).select("node", "text")
-    twice = once.join(single, "node", "left_semi").dropDuplicates(["node"])
-    bodies = stored(once.join(single, "node", "left_anti").unionByName(twice), "distinct-bodies")
-    rare = stored(bodies.select("node", "text").mapInArrow(run, "hash long, node long, n int, at int"), "rare-shingles")
-    heads = rare.groupBy("hash").agg(F.min("node").alias("head"), F.max("node").alias("last")).filter("head <> last").drop("last")
-    shared = stored(rare.join(heads, "hash"), "shared-shingles")
+    # copies give equal rows; only shingles that several texts have go on
+    rare = stored(worded.select("node", "text").mapInArrow(run, "hash long, node long, n int, at int"), "rare-shingles")
+    twice = stored(rare.groupBy("hash").count().filter("count > 1").select("hash"), "repeated-shingles")
+    several = stored(rare.join(twice, "hash").distinct(), "repeated-places")
+    heads = several.groupBy("hash").agg(F.min("node").alias("head"), F.max("node").alias("last")).filter("head <> last").drop("last")
+    shared = stored(several.join(heads, "hash"), "shared-shingles")
 
     def check(batches):
         for batch in batches:
@@ -387,7 +387,9 @@ def similar_documents(
 
     def checked(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-        some = stored(bodies.join(wanted, "node", "left_semi"), "similar-texts")
+        chosen = stored(firsts.join(wanted, "node", "left_semi").select(F.col("node").alias("_node"), F.col("first_id").alias("_id")), "wanted-texts")
+        found = worded.join(chosen, (F.col("node") == F.col("_node")) & F.col("id").eqNullSafe(F.col("_id"))).select("node", "text")
+        some = stored(found.dropDuplicates(["node"]), "similar-texts")
         sides = pairs.join(some.select(F.col("node").alias("u"), F.col("text").alias("u_text")), "u").join(
             some.select(F.col("node").alias("v"), F.col("text").alias("v_text")), "v"
         )
