@@ -21,26 +21,33 @@ from auditloom.llm.common import fold, stored, table
 LEAST_SHARE = 0.4
 
 
+def names(docs: DataFrame) -> list[str]:
+    return [f"`{c}`" for c in docs.columns]
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents with a main language; a missing ``lang`` is filled in. Learns from four fifths of the labelled rows."""
     model = crf_language.fit(docs, fold(F.col("doc_id"), 5) != 0)
-    whole = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    whole = docs.select(F.struct(*names(docs)).alias("row"), "text")
     found = crf_language.identify(whole, model, id_col="row")
     kept = found.filter((F.col("lang_pred") != crf_language.UNDETERMINED) & (F.col("score") >= LEAST_SHARE))
     return kept.withColumn("row", F.col("row").withField("lang", F.coalesce("row.lang", "lang_pred"))).select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that share 0.8 of their five-word shingles, keeps the one with the smallest id.
+    """Of each group of documents whose SimHashes link (three-word shingles, three bits), keeps the one with the smallest id.
 
-    Of equal ids, the one with the smallest text digest is kept. Each component keeps one row, so rows of different texts stay
-    even if their ids are equal or null.
+    Rows are told apart by id and text: rows of different groups stay even if their ids are equal or null, and of rows that
+    repeat id and text one stays. Null ids come after all others.
     """
     digest = F.substring(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256), 1, 32)
-    heads = simhash_trie.similar_documents(docs).select(F.col("component_digest").alias("_digest")).distinct()
-    order = W.partitionBy("_digest").orderBy(F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_last(), "lang", "source", "n_chars")
-    kept = docs.withColumn("_digest", digest).join(heads, "_digest", "left_semi").withColumn("_n", F.row_number().over(order))
-    return kept.filter("_n = 1").drop("_digest", "_n")
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), digest.alias("digest"))
+    keyed = docs.select(key.alias("key"), F.struct(*names(docs)).alias("row"))
+    found = simhash_trie.near_duplicates(keyed.select("key", F.col("row.text").alias("text")), id_col="key")
+    heads = found.select(F.col("component_id").alias("head")).distinct()
+    order = W.partitionBy("key").orderBy("row.lang", "row.source", "row.n_chars")
+    kept = keyed.join(heads, F.col("key") == F.col("head"), "left_semi").withColumn("n", F.row_number().over(order))
+    return kept.filter("n = 1").select("row.*")
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,15 +55,16 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     A character of which only a part is cut goes wholly.
     """
-    rest = F.struct(*[c for c in docs.columns if c != "text"], F.col("text").isNull().alias("no_text"))
-    cut = suffix_dedup.remove_repeats(docs, carry=rest, whole_chars=True)
-    text = F.when(~F.col("carried.no_text"), F.decode("kept", "UTF-8"))
+    others = F.struct(*[n for n in names(docs) if n != "`text`"])
+    carried = F.struct(others.alias("row"), F.col("doc_id").alias("id"), F.col("text").isNull().alias("no_text"))
+    cut = suffix_dedup.remove_repeats(docs, carry=carried, whole_chars=True)
     gone = (F.size("removed") > 0) & (F.octet_length("kept") == 0)
-    cleaned = cut.filter(~gone).withColumn("text", text)
-    return cleaned.select(
-        *[F.col("text") if c == "text" else F.col(f"carried.{c}") for c in docs.columns if c != "n_chars"],
-        F.when(F.size("removed") == 0, F.col("carried.n_chars")).otherwise(F.length("text").cast("long")).alias("n_chars"),
-    ).select(*docs.columns)
+    cleaned = cut.filter(~gone).withColumn("text", F.when(~F.col("carried.no_text"), F.decode("kept", "UTF-8")))
+    new = {
+        "`text`": F.col("text"),
+        "`n_chars`": F.when(F.size("removed") == 0, F.col("carried.row.n_chars")).otherwise(F.length("text").cast("long")),
+    }
+    return cleaned.select(*[new.get(n, F.col(f"carried.row.{n}")).alias(n[1:-1]) for n in names(docs)])
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
