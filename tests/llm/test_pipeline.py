@@ -3,6 +3,7 @@ from collections import Counter
 
 import corpus_pipeline as cp
 from test_crf_language import SYLLABLES, sentence
+from test_simhash_trie import slow_components, slow_fingerprint
 
 
 def write(spark, folder, docs, items):
@@ -15,11 +16,11 @@ def corpus():
     line = lambda lang, n=60: sentence(lang, rng, n)
     docs = {i: (f"{line(lang)}\n{line(lang)}", lang) for i, lang in enumerate(list(SYLLABLES) * 12)}
     item, passage = line("yy", 25), line("xx", 20)
-    base = docs[0][0].split(" ")
-    base[40] = "anders"
+    bits = lambda t: bin(slow_fingerprint(t) ^ slow_fingerprint(docs[0][0])).count("1")
+    near = next(t for t in (f"{docs[0][0]} {line('xx', 1)}" for _ in range(1000)) if bits(t) <= 3)
     extra = {
         100: (docs[4][0], "yy"),  # a copy
-        101: (" ".join(base), "xx"),  # a near copy
+        101: (near, "xx"),  # a near copy
         102: (f"{line('yy')} {item} {line('yy')}", "yy"),  # a test item
         103: (f"{line('xx')} {passage} {line('xx')}", "xx"),
         104: (f"{line('xx')} {passage} {line('xx')}", "xx"),  # a passage that stands in 103
@@ -62,11 +63,28 @@ def test_empty_tables(spark, tmp_path):
     assert cp.run(spark, str(tmp_path)).count() == 0
 
 
-def test_near_dedup_keeps_clean_texts_with_null_or_equal_ids(spark):
+def test_near_dedup_keeps_the_first_row_of_each_group_as_brute_force_does(spark):
     rng = random.Random(9)
-    text = lambda: " ".join(f"w{rng.randrange(5000)}" for _ in range(80))
-    one, two, three, clean, late = (text() for _ in range(5))
+    text = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    one, two, three, clean, late = (text(200) for _ in range(5))
     rows = [(None, one), (None, two), (None, one), (3, three), (7, f"{three} more"), (7, clean), (7, clean), (None, f"{clean} more"), (9, late), (9, None), (10, "")]
-    docs = spark.createDataFrame([(i, t, "xx", None, len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
-    kept = [(r["doc_id"], r["text"]) for r in cp.drop_near_duplicates(spark, docs, "").collect()]
-    assert sorted(kept, key=str) == sorted([(None, one), (None, two), (3, three), (7, clean), (9, late), (9, None)], key=str)
+    for i in range(20, 40):
+        base = text(rng.choice([3, 60, 400])).split(" ")
+        rows.append((i, " ".join(base)))
+        base[rng.randrange(len(base))] = "other"
+        rows.append((i + 100, " ".join(base)))
+    frame = spark.createDataFrame([(i, t, "xx", None, len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = frame.selectExpr("*", "1 as n", "2 as head", "'x' as `a.b`", "3 as key", "4 as digest")
+    kept = cp.drop_near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns
+    groups = slow_components([slow_fingerprint(t) for _, t in rows])
+    heads = {}
+    for (i, t), group in zip(rows, groups):
+        heads.setdefault(group, []).append((i, t))
+    got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    assert len(got) == len(heads)
+    for members in heads.values():
+        mine = [x for x in got if x in members]
+        least = min((i for i, _ in members if i is not None), default=None)
+        assert len(mine) == 1 and mine[0][0] == least
+    assert (None, one) in got and (None, two) in got and (7, clean) in got and (9, late) in got

@@ -95,50 +95,3 @@ def test_components_of_a_long_chain_and_a_hub(spark):
     rows = [(i, i + 1) for i in range(100, 160)] + [(1000 + i, 1000) for i in range(50)] + [(7, 7)]
     found = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(rows, "u long, v long")).collect()}
     assert {found[i] for i in range(100, 161)} == {100} and {found[1000 + i] for i in range(50)} == {1000} and 7 not in found
-
-
-def test_similar_documents_find_changed_copies_and_nothing_else(spark):
-    rng = np.random.default_rng(11)
-    vocabulary = [f"w{i}" for i in range(3000)]
-    texts, want = [], []
-    for group in range(40):
-        base = list(rng.choice(vocabulary, size=300))
-        for copy in range(3):
-            own = list(base)
-            for at in rng.choice(300, size=3 * copy, replace=False):  # 6 changed words at most leave a similarity above 0.8
-                own[at] = "changed"
-            texts.append(" ".join(own))
-            want.append(3 * group)
-    rows = list(enumerate(texts)) + [(500, texts[0]), (501, None), (502, ""), (None, texts[3]), (500, texts[7])]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as round", "text as key", "2 as fp")
-    out = [(r["doc_id"], r["component_id"]) for r in simhash_trie.similar_documents(docs).collect()]
-    assert len(out) == len(rows) and (None, 3) in out and (501, 501) in out and (502, 501) in out and (500, 0) in out and (500, 6) in out
-    found = dict(x for x in out if x[0] is not None and x[0] < 400)
-    assert all(found[i] in (want[i], *range(want[i], i + 1)) for i in found)
-    assert sum(found[i] == want[i] for i in found) >= 0.93 * len(found)
-    assert simhash_trie.similar_documents(docs.limit(0)).count() == 0
-
-
-def test_similar_documents_match_brute_force_in_a_cluster_with_a_template(spark):
-    rng = np.random.default_rng(21)
-    template = [f"t{i}" for i in range(150)]
-    texts = []
-    for group in range(60):  # 150 of 210 words are everyone's, pairs of different groups are below 0.8
-        base = template + [f"g{group}w{i}" for i in range(60)]
-        for copy in range(3):
-            own = list(base)
-            for at in rng.choice(210, size=(0, 1, 4)[copy], replace=False):
-                own[at] = f"x{group}c{copy}"
-            texts.append(" ".join(own))
-    texts += [" ".join(template[:4]), " ".join(template[:4]).upper(), " ", "\n"]
-    sets = [{tuple(t.lower().split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in texts]
-    parent = list(range(len(texts)))
-    for i in range(len(texts)):
-        for j in range(i):
-            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
-                old, new = parent[i], parent[j]
-                parent = [new if p == old else p for p in parent]
-    for sample in (20_000, 10):
-        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-        found = {r["doc_id"]: r["component_id"] for r in simhash_trie.similar_documents(docs, sample=sample).collect()}
-        assert len(set(parent)) == 62 and groups([found[i] for i in range(len(texts))]) == groups(parent)
