@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from auditloom.operators import call_graph
 from auditloom.operators import graph as ops
 from auditloom.plans import bridges as b
 
@@ -24,6 +25,14 @@ def _reach(spark, sf):
     return ops.callgraph_reach(_edges(spark, sf), seeds)
 
 
+def _call_reach(spark, sf):
+    # Seed: the file with the least path that calls anything.
+    files = _files(spark, sf)
+    least = ops.call_tokens(files).agg(F.min(F.struct("path", "repo")).alias("seed"))
+    return call_graph.call_reach(files, least.select("seed.repo", "seed.path"))
+
+
+
 QUERIES = {
     "function_defs": lambda s, d: ops.function_defs(_files(s, d)),
     "call_tokens": lambda s, d: ops.call_tokens(_files(s, d)),
@@ -32,6 +41,10 @@ QUERIES = {
     "repo_import_edges": lambda s, d: ops.repo_import_edges(_files(s, d)),
     "cross_repo_call_edges": lambda s, d: ops.cross_repo_call_edges(_files(s, d)),
     "callgraph_reach": _reach,
+    "call_classes": lambda s, d: call_graph.call_classes(_files(s, d)),
+    "call_names": lambda s, d: call_graph.call_names(_files(s, d)),
+    "call_links": lambda s, d: call_graph.call_links(_files(s, d)),
+    "call_reach": _call_reach,
 }
 
 _CTE = f"""
@@ -58,7 +71,9 @@ _CTE = f"""
                'Function(' || d.repo || ':' || c.func || ')' AS target_node, 'CALLS' AS edge_type,
                'Function call to ''' || c.func || ''' maps across repositories from ''' || c.repo || ''' to ''' || d.repo || '''.' AS details,
                c.repo AS source_repo, d.repo AS target_repo, path, definitions
-        FROM calls c JOIN per_repo d ON c.func = d.func AND c.repo <> d.repo)
+        FROM calls c JOIN per_repo d ON c.func = d.func AND c.repo <> d.repo),
+    pairs AS (SELECT c.repo, c.path, c.func, d.repo AS home, definitions FROM calls c JOIN per_repo d ON c.func = d.func AND c.repo <> d.repo),
+    callers AS (SELECT repo, func, count(*) AS callers FROM calls GROUP BY ALL)
 """
 
 
@@ -73,6 +88,42 @@ ORACLE = {
     "definitions_per_repo": _sql("SELECT * FROM per_repo"),
     "repo_import_edges": _sql("SELECT * FROM imports"),
     "cross_repo_call_edges": _sql("SELECT * FROM calls_to"),
+    "call_classes": _sql("""
+        SELECT k.func, k.repo, coalesce(c.callers, 0) AS callers, coalesce(d.definitions, 0) AS definitions,
+            (SELECT count(*) FROM per_repo o WHERE o.func = k.func AND o.repo <> k.repo) AS targets,
+            CAST((SELECT coalesce(sum(o.definitions), 0) FROM per_repo o WHERE o.func = k.func AND o.repo <> k.repo) AS BIGINT) AS target_definitions,
+            CAST((SELECT coalesce(sum(o.callers), 0) FROM callers o WHERE o.func = k.func AND o.repo <> k.repo) AS BIGINT) AS sources
+        FROM (SELECT func, repo FROM per_repo UNION SELECT func, repo FROM callers) k
+        LEFT JOIN callers c ON c.func = k.func AND c.repo = k.repo LEFT JOIN per_repo d ON d.func = k.func AND d.repo = k.repo
+    """),
+    "call_names": _sql("""
+        SELECT e.func, (SELECT count(*) FROM calls c WHERE c.func = e.func) AS callers,
+            (SELECT count(*) FROM per_repo d WHERE d.func = e.func) AS repositories,
+            CAST((SELECT sum(d.definitions) FROM per_repo d WHERE d.func = e.func) AS BIGINT) AS definitions,
+            count(*) AS edges, CAST(sum(e.definitions) AS BIGINT) AS occurrences
+        FROM pairs e GROUP BY e.func
+    """),
+    "call_links": _sql("""
+        SELECT 'File(' || repo || '/' || path || ')' AS source_node, 'Name(' || func || ')' AS target_node, 'CALLS' AS edge_type,
+            repo, path, func, count(*) AS links, CAST(sum(definitions) AS BIGINT) AS definitions
+        FROM pairs GROUP BY repo, path, func
+        UNION ALL
+        SELECT 'Name(' || func || ')', 'Repository(' || home || ')', 'DEFINED_IN', home, NULL, func, count(*), min(definitions)
+        FROM pairs GROUP BY home, func
+    """),
+    "call_reach": f"""
+        WITH RECURSIVE {_CTE},
+        start AS (SELECT arg_min(repo, path) AS repo, min(path) AS path FROM calls),
+        reach AS (SELECT home AS node, 1 AS depth FROM pairs JOIN start USING (repo, path)
+                  UNION
+                  SELECT home, depth + 1 FROM reach JOIN (SELECT DISTINCT repo, home FROM pairs) e ON node = repo
+                  WHERE depth < (SELECT count(*) FROM repos)),
+        near AS (SELECT node, min(depth) AS depth FROM reach GROUP BY node),
+        named AS (SELECT func, 1 AS depth FROM pairs JOIN start USING (repo, path)
+                  UNION ALL SELECT func, depth + 1 FROM near JOIN pairs ON node = repo)
+        SELECT 'repository' AS kind, node, depth FROM near
+        UNION ALL SELECT 'name', func, min(depth) FROM named GROUP BY func
+    """,
     "callgraph_reach": f"""
         WITH RECURSIVE {_CTE},
         reach AS (SELECT arg_min(source, doc_id) AS node, 0 AS depth FROM documents
