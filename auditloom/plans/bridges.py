@@ -223,6 +223,18 @@ MANIFESTS_SQL = """
 
 # Repositories of code: a document is a module that defines, calls and imports by its keys, followed
 # by its whole text.
+# Advisory ranges: an order is a range of versions of one known library; some are open at either side.
+ADVISORY_RANGES_SQL = """
+    SELECT element_at(LIST['python', 'python', 'jvm', 'jvm', 'node', 'node'], CAST(o_orderkey % 6 + 1 AS INT)) AS ecosystem,
+           element_at(LIST['requests', 'pyjwt', 'log4j-core', 'commons-text', 'lodash', 'semver'], CAST(o_orderkey % 6 + 1 AS INT)) AS library,
+           CASE WHEN o_orderkey % 50 = 0 THEN NULL ELSE CAST(o_custkey % 4 AS STRING) || '.' || CAST(o_orderkey % 53 AS STRING) END AS introduced,
+           CASE WHEN o_orderkey % 997 = 0 THEN NULL
+                ELSE CAST(o_custkey % 4 AS STRING) || '.' || CAST(o_orderkey % 53 + o_custkey % 3 AS STRING) || '.' || CAST(o_custkey % 5 AS STRING) END AS fixed,
+           'ADV-' || CAST(o_orderkey AS STRING) AS advisory,
+           element_at(LIST['CRITICAL', 'HIGH', 'MEDIUM', 'LOW', 'UNKNOWN'], CAST(o_custkey % 5 + 1 AS INT)) AS severity
+    FROM @orders
+"""
+
 REPO_FILES_SQL = """
     SELECT source AS repo, 'lib/mod_' || CAST(doc_id AS STRING) || CASE WHEN doc_id % 13 = 0 THEN '.md' ELSE '.py' END AS path,
            'import src' || CAST((doc_id * 3 + 1) % 20 AS STRING) || NL ||
@@ -349,7 +361,7 @@ PATCH_CANDIDATES_SQL = f"""
                 WHEN candidate_no = 2 THEN 'No explanation provided.' ELSE 'Short naming fix ' || case_id END AS explanation,
            element_at(LIST['CRITICAL', 'high', 'MEDIUM', 'LOW', 'severe', ''], CAST((p_partkey + candidate_no) % 6 + 1 AS INT)) AS severity
     FROM (SELECT *, EXPLODE[1, 2, 3] AS candidate_no FROM ({PATCH_CASES_SQL}) cases) c
-    WHERE p_partkey % 17 <> 0 AND (candidate_no < 3 OR p_partkey % 2 = 0)
+    WHERE candidate_no < 3 OR p_partkey % 2 = 0
 """
 
 # Agent events: a conversation is a run, its turns the events; some turns carry a finding line.

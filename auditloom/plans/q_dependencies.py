@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from auditloom.operators import dependencies as ops
+from auditloom.operators import version_ranges
 from auditloom.operators.scan import file_filter
 from auditloom.plans import bridges as b
 
@@ -29,6 +30,16 @@ def _advisories(spark, sf):
     )
 
 
+def _pins(spark, sf):
+    return ops.dependency_versions(_manifests(spark, sf))
+
+
+def _range_hits(spark, sf):
+    """Each version that is pinned anywhere with each advisory whose range holds it."""
+    versions = _pins(spark, sf).select("ecosystem", "library", "version").distinct()
+    return version_ranges.range_hits(versions, b.run(spark, sf, b.ADVISORY_RANGES_SQL)).drop("severity")
+
+
 QUERIES = {
     "is_manifest": lambda s, d: _files(s, d).select(
         "path", ops.is_manifest(F.col("path")).alias("manifest")
@@ -47,6 +58,8 @@ QUERIES = {
     ),
     "cve_range_join": lambda s, d: ops.cve_range_join(_manifests(s, d)),
     "advisory_enrichment": lambda s, d: ops.advisory_enrichment(_manifests(s, d), _advisories(s, d)),
+    "advisory_range_hits": _range_hits,
+    "advisory_exposure": lambda s, d: version_ranges.exposure(_pins(s, d), b.run(s, d, b.ADVISORY_RANGES_SQL)),
     "all_findings": lambda s, d: ops.all_findings(_manifests(s, d), _advisories(s, d)),
 }
 
@@ -133,8 +146,20 @@ _Q5 = """
 """
 
 
+def _holds(version: str) -> str:
+    return f"(introduced IS NULL OR NOT {_lt(version, 'introduced')}) AND (fixed IS NULL OR {_lt(version, 'fixed')})"
+
+
+_RANGED = f"""ranges AS ({b.for_duckdb(b.ADVISORY_RANGES_SQL)}),
+    ranged AS (SELECT r.*, version FROM (SELECT DISTINCT ecosystem, library, version FROM pins) p JOIN ranges r USING (ecosystem, library)
+               WHERE {_holds('version')})"""
+# the ends that no range holds; versions of one number count once
+_FREE = f"""free AS (SELECT ecosystem, library, version AS fixed FROM (SELECT DISTINCT ecosystem, library, fixed AS version FROM ranges WHERE fixed IS NOT NULL) e
+    WHERE NOT EXISTS (SELECT 1 FROM ranges r WHERE r.ecosystem = e.ecosystem AND r.library = e.library AND {_holds('version')}))"""
+
+
 def _sql(body: str) -> str:
-    return f"WITH {_FILES}, {_MAN}, {_VULN}, {_PINS}, {_HITS}, {_ADV} {body}"
+    return f"WITH {_FILES}, {_MAN}, {_VULN}, {_PINS}, {_HITS}, {_ADV}, {_RANGED}, {_FREE} {body}"
 
 
 ORACLE = {
@@ -150,5 +175,14 @@ ORACLE = {
     ),
     "cve_range_join": _sql(_Q4),
     "advisory_enrichment": _sql(_Q5),
+    "advisory_range_hits": _sql("SELECT ecosystem, library, version, introduced, fixed, advisory FROM ranged"),
+    "advisory_exposure": _sql(f"""
+        SELECT x.*, (SELECT f.fixed FROM free f WHERE f.ecosystem = x.ecosystem AND f.library = x.library AND {_lt('x.version', 'f.fixed')}
+                     ORDER BY {_parts('f.fixed')}, f.fixed LIMIT 1) AS safe_version
+        FROM (SELECT ecosystem, library, version, count(*) AS advisories,
+                     CASE min(CASE severity WHEN 'CRITICAL' THEN 1 WHEN 'HIGH' THEN 2 WHEN 'MEDIUM' THEN 3 WHEN 'LOW' THEN 4 ELSE 5 END)
+                         WHEN 1 THEN 'CRITICAL' WHEN 2 THEN 'HIGH' WHEN 3 THEN 'MEDIUM' WHEN 4 THEN 'LOW' END AS severity
+              FROM ranged GROUP BY ALL) x
+    """),
     "all_findings": _sql(" UNION ALL ".join([_Q1, _Q2, _Q3, _Q4, _Q5])),
 }

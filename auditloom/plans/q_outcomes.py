@@ -155,6 +155,9 @@ def _hosts(spark, sf):
     return own.distinct()
 
 
+# Some cases have no candidate, so that the fallback is seen.
+_ANSWERED = "CAST(substring(case_id, 6) AS BIGINT) % 17 <> 0"
+
 QUERIES = {
     "failure_filter": lambda s, d: _failures(s, d).select("session_id", "status", F.length("text").alias("chars")),
     "text_char_embedding": lambda s, d: _embedded(s, d)
@@ -186,7 +189,7 @@ QUERIES = {
     ),
     "remediate": lambda s, d: patches.remediate(
         b.run(s, d, b.PATCH_CASES_SQL),
-        b.run(s, d, b.PATCH_CANDIDATES_SQL).drop("original_code", "error_trace"),
+        b.run(s, d, b.PATCH_CANDIDATES_SQL).filter(_ANSWERED).drop("original_code", "error_trace"),
     ).select("case_id", "status", "severity", F.round("total_score", 4).alias("total_score"), "grade", "candidates_count", "winning_model"),
     "accumulate_text": _reports,
     "parse_findings": lambda s, d: findings.parse_findings(_lines(s, d)),
@@ -440,7 +443,7 @@ ORACLE = {
         SELECT c.case_id, CASE WHEN b.case_id IS NULL THEN 'offline_fallback' ELSE 'patched' END AS status,
                coalesce(b.severity, 'HIGH') AS severity, coalesce(total_score, 0e0) AS total_score, coalesce(grade, 'F') AS grade,
                coalesce(candidates_count, 0) AS candidates_count, coalesce(model_label, 'offline_fallback') AS winning_model
-        FROM cases c LEFT JOIN best b ON b.case_id = c.case_id"""),
+        FROM cases c LEFT JOIN best b ON b.case_id = c.case_id AND c.p_partkey % 17 <> 0"""),
     "accumulate_text": _sql(_REP, "SELECT * FROM reports"),
     "parse_findings": _sql(_REP, "SELECT * FROM found"),
     "first_finding_per_key": _sql(_REP, "SELECT * FROM firsts"),
