@@ -11,10 +11,13 @@ from auditloom.llm import (
     crf_language,
     decontamination,
     interpolated_lm,
+    periodic_runs,
     simhash_trie,
     source_mixing,
+    spelling_permuterm,
     suffix_dedup,
     topk_search,
+    toxicity_gru,
     warc_zstd,
 )
 from auditloom.llm.common import fold, table
@@ -107,6 +110,47 @@ def op10_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_spelling_permuterm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = spelling_permuterm.letter_runs(table(spark, sf_dir, "documents"))
+    words = runs.select(spelling_permuterm.lose_letters(runs, 31).alias("word"))
+    return spelling_permuterm.spelling_variants(spelling_permuterm.word_counts(words))
+
+
+def op12_toxicity_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    net = toxicity_gru.fit(docs, labels, fold(F.col("doc_id"), 4) != 2)
+    return toxicity_gru.score(docs, net).select(
+        "doc_id",
+        (fold(F.col("doc_id"), 4) == 2).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+        "logit",
+    )
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    planted = docs.select("doc_id", periodic_runs.repeat_tail(F.col("doc_id"), F.col("text")).alias("text"))
+    found = periodic_runs.periodic_runs(planted)
+    # runs come by start, then period, so the first of equal ratios stays
+    steeper = lambda a, r: r["length"] * a["period"] > a["length"] * r["period"]
+    first = F.get("runs", F.lit(0))
+    best = F.aggregate("runs", first, lambda a, r: F.when(steeper(a, r), r).otherwise(a))
+    comma, end = F.lit(","), F.lit("\n")
+    lines = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), comma, r["length"].cast("string"), comma, r["period"].cast("string"), end))
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2("kept", 256).alias("collapsed_sha256"),
+        "n_words",
+    )
+
+
 QUERIES = {
     "op1_crf_language": op1_crf_language,
     "op2_interpolated_lm": op2_interpolated_lm,
@@ -118,6 +162,9 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_topk_search": op9_topk_search,
     "op10_simhash_trie": op10_simhash_trie,
+    "op11_spelling_permuterm": op11_spelling_permuterm,
+    "op12_toxicity_gru": op12_toxicity_gru,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 _CONTROLS = r"<s>|\[INST\]|\[/INST\]|\[OUT\]|</s>|\[SYS\]|\[/SYS\]|\[ROLE\]|\[/ROLE\]|\[BODY\]|\[/BODY\]"
@@ -201,4 +248,52 @@ ORACLE = {
         SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
         FROM s QUALIFY rank <= 20
     """,
+    # crc32 has no function in SQL: a table made by its rule, then byte by byte
+    "op11_spelling_permuterm": r"""
+        WITH RECURSIVE t AS (
+            SELECT list_transform(range(256), lambda k: list_reduce(list_concat([k], range(8)), lambda a, b:
+                CASE WHEN a & 1 = 1 THEN xor(3988292384, a >> 1) ELSE a >> 1 END)) AS crc
+        ),
+        runs AS (
+            SELECT doc_id, run, count(*) AS copies FROM (
+                SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+                FROM documents) r
+            WHERE length(run) >= 7 GROUP BY ALL
+        ),
+        hashed AS (
+            SELECT run, copies, xor(4294967295, list_reduce(list_concat([4294967295], flatten(list_transform(
+                    string_split(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || run, ''),
+                    lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [(192 + (unicode(c) >> 6 & 63))::BIGINT, (128 + (unicode(c) & 63))::BIGINT] END))),
+                lambda a, b: xor(a >> 8, crc[CAST(xor(a & 255, b) AS INT) + 1]))) AS h
+            FROM runs, t
+        ),
+        garbled AS (
+            SELECT copies, CASE WHEN h % 31 = 0 THEN substr(run, 1, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS word
+            FROM hashed
+        ),
+        words AS (SELECT word, CAST(sum(copies) AS BIGINT) AS n FROM garbled WHERE length(word) >= 7 GROUP BY word HAVING sum(copies) >= 2),
+        cuts AS (
+            SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS rest
+            FROM (SELECT word, unnest(range(0, length(word))) AS i FROM words) w
+        ),
+        near AS (
+            SELECT a.word, b.word AS other FROM cuts a JOIN cuts b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+            UNION SELECT c.word, w.word FROM cuts c JOIN words w ON c.rest = w.word
+            UNION SELECT w.word, c.word FROM cuts c JOIN words w ON c.rest = w.word
+        ),
+        counted AS (
+            SELECT p.word, p.other, o.n AS other_n, count(*) OVER (PARTITION BY p.word) AS n_near,
+                row_number() OVER (PARTITION BY p.word ORDER BY o.n DESC, p.other) AS place
+            FROM near p JOIN words o ON o.word = p.other
+        ),
+        formed AS (
+            SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 10 * w.n THEN other END AS form, CASE WHEN other_n >= 10 * w.n THEN other_n END AS form_n
+            FROM words w LEFT JOIN counted c ON c.word = w.word AND place = 1
+        ),
+        follow AS (
+            SELECT word, word AS root, 0 AS step FROM formed
+            UNION ALL SELECT f.word, g.form, step + 1 FROM follow f JOIN formed g ON g.word = f.root WHERE g.form IS NOT NULL
+        )
+        SELECT word, form, root, n, n_near, form_n FROM formed JOIN (SELECT word, arg_max(root, step) AS root FROM follow GROUP BY word) r USING (word)
+    """,
 }
