@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from auditloom.plans import bridges as b
 from auditloom.plans import q_completions, q_outcomes, q_policy
 from auditloom.session import scratch_path
 from auditloom.sources import readers, writers
-from auditloom.streaming import flows, quarantine, run, tail_sampling
+from auditloom.streaming import bounded_sampling, flows, latest, quarantine, run, tail_sampling
 
 
 def _stored(df, name, by=None, triggers=3):
@@ -91,6 +93,36 @@ def _dedup(spark, sf):
     return kept.select("conversation_id", "message_type", "role", "message_idx", "part_idx")
 
 
+def _in_parts(df, name, part, triggers):
+    """A stream of one trigger for each value of ``part``, in that order."""
+    path = scratch_path(df.sparkSession, name)
+    for i in range(triggers):
+        df.filter(part == i).coalesce(1).write.mode("append").parquet(path)
+    return run.read_stream(df.sparkSession, path, df.schema, files_per_trigger=1)
+
+
+def _latest(spark, sf):
+    """Parts in four triggers that have nothing to do with their time, so versions come in any order."""
+    parts = q_completions._flat(spark, sf)
+    stream = _in_parts(parts, "part-versions", F.pmod(F.xxhash64("insert_id", "messages_ref_uri"), F.lit(4)), 4)
+    path = scratch_path(spark, "corrections")
+    latest.run_latest(stream, path)
+    return latest.current_view(spark, path, stream.schema)
+
+
+def _late(spark, sf):
+    """Spans and roots in four triggers whatever their time: some traces wait, some leave without their root, some spans are late."""
+    stream = _in_parts(b.spans(spark, sf), "late-spans", F.split_part("span_id", F.lit("-"), F.lit(2)).cast("bigint") % 4, 4)
+    path = scratch_path(spark, "sampled")
+    bounded_sampling.run_bounded_sampling(stream, path, timedelta(days=_PATIENCE_DAYS))
+    left = bounded_sampling.sampled_outcomes(spark, path).select("trace_id", "span_id", "left_as", "outcome")
+    waiting = bounded_sampling.waiting_spans(spark, path, 3)
+    return left.unionByName(waiting.select("trace_id", "span_id", F.lit("waiting").alias("left_as"), F.lit("waiting").alias("outcome")))
+
+
+_PATIENCE_DAYS = 4
+
+
 def _webhooks(spark, sf):
     return run.run_available(webhook_events(_stored(b.run(spark, sf, b.WEBHOOK_SQL), "hooks")))
 
@@ -191,6 +223,8 @@ QUERIES = {
     ).select("insertId", F.col("dt").cast("string").alias("dt")),
     "stream_feedback_ingest": _feedback,
     "stream_completions_dedup": _dedup,
+    "stream_completions_view": _latest,
+    "stream_late_spans": _late,
     "stream_webhook_events": _webhooks,
     "read_inference_logs": _inference,
     "read_completions": _read_completions,
@@ -204,6 +238,39 @@ QUERIES = {
     "register_completions_view": _view_name,
 }
 
+def _late_oracle() -> str:
+    """The triggers one after the other, in plain SQL."""
+    steps = [f"""spans AS (SELECT *, CAST(split_part(span_id, '-', 2) AS BIGINT) % 4 AS part, epoch_us(end_ts) AS ended,
+        (status = 'ERROR' OR exception_type IS NOT NULL) AS err,
+        (coalesce(policy_violation = 'true', false) OR coalesce(agent_status = 'QUARANTINED', false)) AS pol,
+        CAST(name = 'agent.tool' AND coalesce(tool_name = 'execute_sandbox', false) AS INT) AS sandbox, CAST(contains(name, 'generate_content') AS INT) AS model
+        FROM ({b.SPANS_SQL}) x),
+        verdict_0 AS (SELECT trace_id, '' AS outcome FROM spans WHERE false), wait_0 AS (SELECT * FROM spans WHERE false),
+        gone_0 AS (SELECT trace_id, false AS err, false AS pol, 0 AS sandbox, 0 AS model FROM spans WHERE false)"""]
+    for t in range(1, 5):
+        p = t - 1
+        steps.append(f"""open_{t} AS (SELECT * FROM spans s WHERE part = {p} AND NOT EXISTS (SELECT 1 FROM verdict_{p} v WHERE v.trace_id = s.trace_id)
+            UNION ALL SELECT * FROM wait_{p}),
+        seen_{t} AS (SELECT trace_id, bool_or(parent_id IS NULL) AS rooted, bool_or(err) AS err, bool_or(pol) AS pol, sum(sandbox) AS sandbox, sum(model) AS model, max(ended) AS last
+            FROM open_{t} GROUP BY trace_id),
+        old_{t} AS (SELECT trace_id, bool_or(err) AS err, bool_or(pol) AS pol, sum(sandbox) AS sandbox, sum(model) AS model FROM gone_{p} GROUP BY trace_id),
+        done_{t} AS (SELECT s.*, CASE
+                WHEN rooted AND (s.err OR s.pol OR coalesce(o.err, false) OR coalesce(o.pol, false) OR s.sandbox + coalesce(o.sandbox, 0) >= 3
+                    OR s.model + coalesce(o.model, 0) >= 3) THEN 'kept'
+                WHEN rooted THEN 'dropped'
+                WHEN last < (SELECT max(ended) FROM spans WHERE part <= {p}) - {_PATIENCE_DAYS * 86_400_000_000} THEN 'no_root' END AS outcome
+            FROM seen_{t} s LEFT JOIN old_{t} o ON o.trace_id = s.trace_id),
+        left_{t} AS (SELECT s.trace_id, span_id, outcome AS left_as FROM spans s JOIN verdict_{p} v ON v.trace_id = s.trace_id WHERE part = {p}
+            UNION ALL SELECT s.trace_id, span_id, outcome FROM open_{t} s JOIN done_{t} d ON d.trace_id = s.trace_id WHERE outcome IS NOT NULL),
+        wait_{t} AS (SELECT s.* FROM open_{t} s JOIN done_{t} d ON d.trace_id = s.trace_id WHERE outcome IS NULL),
+        verdict_{t} AS (SELECT * FROM verdict_{p} UNION ALL SELECT trace_id, outcome FROM done_{t} WHERE rooted),
+        gone_{t} AS (SELECT * FROM gone_{p} UNION ALL SELECT trace_id, err, pol, sandbox, model FROM done_{t} WHERE outcome = 'no_root')""")
+    body = " UNION ALL ".join(f"SELECT * FROM left_{t}" for t in range(1, 5))
+    return b.for_duckdb(f"""WITH {', '.join(steps)}
+        SELECT l.trace_id, span_id, left_as, coalesce(outcome, left_as) AS outcome FROM ({body}) l LEFT JOIN verdict_4 v ON v.trace_id = l.trace_id
+        UNION ALL SELECT trace_id, span_id, 'waiting', 'waiting' FROM wait_4""")
+
+
 _ROUTE = b.for_duckdb(f"""
     SELECT insert_id AS "insertId", CAST(CAST(ts AS DATE) AS VARCHAR) AS dt FROM ({b.CALLS_SQL}) c
     WHERE regexp_matches(input_ref, 'call\\d*[02468]t') OR regexp_matches(output_ref, 't[57]_out')
@@ -223,6 +290,8 @@ ORACLE = {
     "stream_completions_dedup": q_completions._sql(
         "SELECT conversation_id, message_type, role, message_idx, part_idx FROM stage2"
     ),
+    "stream_completions_view": q_completions._sql(f"SELECT {', '.join(completions.VIEW_COLUMNS)} FROM stage2 WHERE {q_completions._NO_ECHO}"),
+    "stream_late_spans": _late_oracle(),
     "stream_webhook_events": q_outcomes.ORACLE["webhook_events"],
     "read_inference_logs": q_completions._sql(
         "SELECT insert_id, timestamp, CAST(CAST(timestamp AS DATE) AS VARCHAR) AS dt FROM log "

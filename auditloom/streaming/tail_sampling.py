@@ -2,7 +2,8 @@
 
 Spans are reduced to a few flags and their JSON in the JVM; the state of a trace is the list of those rows. A trace is
 decided when its root arrives; the verdict stays in state, and spans that come later follow it. No row is dropped: there is
-no watermark. With a ``patience``, spans of a trace whose root has not come by then leave as ``no_root``.
+no watermark. With a ``patience``, spans of a trace whose root has not come by then leave as ``no_root``; their flags stay and
+count when it comes. ``bounded_sampling`` does the same with verdicts in files instead of state.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ class TailSampler(StatefulProcessor):
         self.handle = handle
         self.buffer = handle.getListState("spans", _STATE)
         self.verdict = handle.getValueState("verdict", "outcome string")
+        self.evicted = handle.getValueState("evicted", "is_error boolean, is_policy boolean, sandbox bigint, model bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         arrived = pd.concat(list(rows), ignore_index=True)
@@ -49,22 +51,30 @@ class TailSampler(StatefulProcessor):
         self.buffer.clear()
         self._forget_timers()
         trace = pd.concat([earlier, arrived[columns]], ignore_index=True) if len(earlier) else arrived[columns]
-        keep = (
-            trace["is_error"].any()
-            or trace["is_policy"].any()
-            or trace["is_sandbox"].sum() >= self.threshold
-            or trace["is_model"].sum() >= self.threshold
-        )
+        error, policy, sandbox, model = self._flags(trace)
+        self.evicted.clear()
+        keep = error or policy or sandbox >= self.threshold or model >= self.threshold
         outcome = "kept" if keep else "dropped"
         self.verdict.update((outcome,))
         yield self._out(key, outcome, trace["span"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """The root has not come: the spans leave, and one that comes after all decides on what follows."""
-        spans = [r[-1] for r in self.buffer.get()]
+        waiting = pd.DataFrame([tuple(r) for r in self.buffer.get()], columns=[*_FLAGS, "span"])
         self.buffer.clear()
-        if spans:
-            yield self._out(key, "no_root", pd.Series(spans))
+        if len(waiting):
+            self.evicted.update(self._flags(waiting))
+            yield self._out(key, "no_root", waiting["span"])
+
+    def _flags(self, trace: pd.DataFrame) -> tuple[bool, bool, int, int]:
+        """Flags of the spans, and of those that left before."""
+        error, policy, sandbox, model = self.evicted.get() if self.evicted.exists() else (False, False, 0, 0)
+        return (
+            bool(error or trace["is_error"].any()),
+            bool(policy or trace["is_policy"].any()),
+            int(sandbox + trace["is_sandbox"].sum()),
+            int(model + trace["is_model"].sum()),
+        )
 
     def _forget_timers(self) -> None:
         if self.patience_ms is None:
