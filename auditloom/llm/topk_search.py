@@ -140,16 +140,15 @@ def topk_search(
     """(query_id, rank, vec_id, score): the ``k`` best candidates of every query row; ties go to the smaller id.
 
     ``is_query`` is a condition on the id column. Every other row is a candidate. Vectors that are null or hold a null or
-    non-finite component, and rows without id, take no part. An id stands for one vector: of repeated ids the smallest
-    vector is kept, and a query never meets its own id. Vectors of unequal length count as filled up with zeros; an empty
+    non-finite component, and rows without id, take no part. Every row of a
+    repeated id is a candidate, and the rows of a query's id are sought together: their candidates compete for the ``k``
+    places. A query never meets its own id. Vectors of unequal length count as filled up with zeros; an empty
     vector scores 0 with all. Inner products must fit 64 bits. Other columns are ignored. No queries or no candidates:
     an empty result.
     """
     clean = (
         vectors.select(F.col(id_col).cast("long").alias("id"), quantize(F.col(vector_col), scale).alias("vector"))
         .filter(F.col("id").isNotNull() & F.col("vector").isNotNull())
-        .groupBy("id")
-        .agg(F.min("vector").alias("vector"))
     )
     flagged = clean.withColumnRenamed("id", id_col).withColumn("_asked", F.coalesce(is_query, F.lit(False)))
     rows = stored(flagged.select(F.col(id_col).alias("id"), "vector", "_asked"), "topk-rows")

@@ -67,17 +67,16 @@ def test_heavier_documents_come_first(spark):
 def test_topk_matches_a_full_sort(spark):
     rng = np.random.default_rng(4)
     rows = [(i, [float(x) if x else 0.0 for x in np.round(rng.normal(size=rng.integers(0, 7)), 1)]) for i in range(150)]
-    rows += [(151, None), (152, [None, 1.0]), (153, [float("nan")]), (154, [float("inf")]), (None, [1.0]), (20, [0.5] * 4), (20, [0.5] * 4), (40, [9.0, 9.0, 9.0])]
+    rows += [(151, None), (152, [None, 1.0]), (153, [float("nan")]), (154, [float("inf")]), (None, [1.0]), (20, [0.5] * 4), (20, [0.5] * 4), (33, [8.0, 9.0]), (33, [9.0, 8.0]), (33, [9.0, 8.0]), (40, [9.0, 9.0, 9.0])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 as id", "2 as n", "3 as slot")
-    kept = {}
+    kept = []
     for i, v in rows:
         if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
-            q = [math.floor(64 * x) for x in v]
-            kept[i] = min(kept.get(i, q), q)
+            kept.append((i, [math.floor(64 * x) for x in v]))
     want = []
-    for q in kept:
+    for q in {i for i, _ in kept}:
         if q % 20 == 0:
-            scored = sorted((-sum(a * b for a, b in zip(kept[q], kept[c])), c) for c in kept if c != q)[:5]
+            scored = sorted((-sum(a * b for a, b in zip(v, w)), c) for i, v in kept if i == q for c, w in kept if c != q)[:5]
             want += [(q, r, c, -s) for r, (s, c) in enumerate(scored, 1)]
     for options in ({"block_rows": 16, "query_rows": 3}, {}):
         got = tk.topk_search(frame, F.col("vec_id") % 20 == 0, k=5, **options)
