@@ -3,7 +3,8 @@
 With a budget of k edits, a test item is cut into k + 1 pieces: wherever the item occurs with k edits or fewer, one piece at
 least occurs unchanged. An Aho-Corasick automaton finds all pieces in one pass over a document, and Myers' bit-parallel
 distance decides around each hit. Items are compared after lower-casing and after every run of blanks and ASCII punctuation
-has become one blank.
+has become one blank. Items of fewer than ``short_chars`` characters are sought without edits, as whole words: an edit would
+make them another item.
 
 Documents are read once for each chunk of items (of ``chunk_chars`` characters at most, so that the automaton is bounded);
 nothing is shuffled.
@@ -99,11 +100,21 @@ def _search(masks: dict[str, int], m: int, window: str, budget: int, anchored: b
     return best
 
 
+def _bounded(text: str, lo: int, hi: int) -> bool:
+    """Whether [lo, hi) neither begins nor ends inside a word; scripts that set no blanks (from U+2E80 on) have no inside."""
+
+    def joined(i: int) -> bool:
+        return 0 < i < len(text) and all(c.isalnum() and c < "\u2e80" for c in text[i - 1 : i + 1])
+
+    return not joined(lo) and not joined(hi)
+
+
 class Matcher:
-    """Automaton over the pieces of some items."""
+    """Automaton over the pieces of some items; those under ``short`` characters have no budget and need word bounds."""
 
-    def __init__(self, items: list[tuple[object, str]], rate: float):
-        self.items = [(i, Pattern(text, int(rate * len(text)))) for i, text in items]
+    def __init__(self, items: list[tuple[object, str]], rate: float, short: int = 0):
+        self.items = [(i, Pattern(text, int(rate * len(text)) if len(text) >= short else 0)) for i, text in items]
+        self.short = short
         places: dict[str, list[tuple[int, int]]] = {}
         for n, (_, pattern) in enumerate(self.items):
             for piece, offset in pattern.pieces():
@@ -120,6 +131,8 @@ class Matcher:
         for end, (length, where) in self.automaton.iter(clean):
             for n, offset in where:
                 pattern = self.items[n][1]
+                if len(pattern.text) < self.short and not _bounded(clean, end + 1 - length, end + 1):
+                    continue
                 lo = end + 1 - length - offset - pattern.budget
                 hi = lo + len(pattern.text) + 2 * pattern.budget
                 own = windows.setdefault(n, [])
@@ -141,12 +154,12 @@ class Matcher:
         return sorted(found, key=lambda x: (x[2], x[3], str(x[0])))
 
 
-def _chunks(items: DataFrame, limit: int, min_chars: int) -> Iterator[list[tuple[object, str]]]:
+def _chunks(items: DataFrame, limit: int) -> Iterator[list[tuple[object, str]]]:
     """Normalised items in chunks of at most ``limit`` characters, fetched a partition at a time; equal rows once."""
     chunk, size = [], 0
     for row in items.dropDuplicates().toLocalIterator():
         text = normalize(row["text"])
-        if len(text) < min_chars:
+        if not text:
             continue
         if chunk and size + len(text) > limit:
             yield chunk
@@ -165,11 +178,12 @@ def find_leaks(
     carry: Column,
     text_col: str = "text",
     rate: float = 0.08,
+    short_chars: int = 20,
 ) -> DataFrame:
     """(carried, leaks), a row per document in input order, for one chunk of normalised items.
 
     ``carried`` is what goes along (an id, or a struct of the whole row); ``leaks`` has a struct (item, distance, start, end)
-    for every item of the chunk that occurs with at most ``rate`` edits a character: its best occurrence.
+    for every item of the chunk that occurs with at most ``rate`` edits a character (short ones: none): its best occurrence.
     """
     spark = docs.sparkSession
     rows = docs.select(carry.alias("carried"), F.col(text_col).alias("text"))
@@ -179,7 +193,7 @@ def find_leaks(
     held = spark.sparkContext.broadcast(chunk)
 
     def run(batches):
-        matcher = Matcher(held.value, rate)
+        matcher = Matcher(held.value, rate, short_chars)
         for batch in batches:
             for part in slices(batch, 4 << 20):
                 found = [[dict(zip(("item", "distance", "start", "end"), x)) for x in matcher.leaks(t)] for t in part.column("text").to_pylist()]
@@ -197,20 +211,20 @@ def contaminated(
     item_col: str = "item_id",
     item_text_col: str = "text",
     rate: float = 0.08,
-    min_chars: int = 20,
+    short_chars: int = 20,
     chunk_chars: int = 1_000_000,
 ) -> DataFrame:
     """(id, item, distance, start, end): one row for each document and each test item that occurs in it.
 
-    Positions are in the normalised text. Items that normalise to fewer than ``min_chars`` characters say too little and are
-    left out; null and empty texts match nothing. Items with equal texts are all reported, equal item rows once, repeated
+    Positions are in the normalised text. Items under ``short_chars`` normalised characters must occur unchanged, as whole
+    words; items that normalise to nothing, null and empty texts match nothing. Items with equal texts are all reported, equal item rows once, repeated
     documents each. An empty table on either side gives an empty result. Other columns are ignored.
     """
     chosen = items.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text"))
     kind = chosen.schema["item"].dataType
     out = None
-    for chunk in _chunks(chosen, chunk_chars, min_chars) if items.head(1) else ():
-        found = find_leaks(docs, chunk, kind, carry=F.col(id_col), text_col=text_col, rate=rate)
+    for chunk in _chunks(chosen, chunk_chars) if items.head(1) else ():
+        found = find_leaks(docs, chunk, kind, carry=F.col(id_col), text_col=text_col, rate=rate, short_chars=short_chars)
         rows = found.select("carried", F.explode("leaks").alias("leak")).select(
             F.col("carried").alias(id_col), F.col("leak.item").alias(item_col), "leak.distance", "leak.start", "leak.end"
         )
@@ -229,14 +243,14 @@ def decontaminate(
     item_col: str = "item_id",
     item_text_col: str = "text",
     rate: float = 0.08,
-    min_chars: int = 20,
+    short_chars: int = 20,
     chunk_chars: int = 1_000_000,
 ) -> DataFrame:
     """The documents, with all their columns, in which no test item occurs; cases as in ``contaminated``."""
     chosen = items.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text"))
     kept = docs
-    for chunk in _chunks(chosen, chunk_chars, min_chars):
+    for chunk in _chunks(chosen, chunk_chars):
         whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-        found = find_leaks(kept, chunk, chosen.schema["item"].dataType, carry=whole, text_col=text_col, rate=rate)
+        found = find_leaks(kept, chunk, chosen.schema["item"].dataType, carry=whole, text_col=text_col, rate=rate, short_chars=short_chars)
         kept = found.filter(F.size("leaks") == 0).select("carried.*")
     return kept

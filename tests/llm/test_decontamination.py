@@ -62,7 +62,7 @@ def changed(text, n, rng):
 def test_planted_items_are_found_and_clean_documents_kept(spark, chunk_chars):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8)))
-    items = [(i, " ".join(word() for _ in range(20))) for i in range(4)] + [(9, None), (10, "too short"), (2, None)]
+    items = [(i, " ".join(word() for _ in range(20))) for i in range(4)] + [(9, None), (10, "Too short?"), (2, None), (11, "..."), (12, "12 + 7"), (13, "\u4f60\u597d\u5417")]
     filler = lambda n: " ".join(word() for _ in range(n))
     docs = [
         (1, f"{filler(30)} {items[0][1].upper().replace(' ', ',  ')} {filler(30)}", "kept"),
@@ -72,12 +72,16 @@ def test_planted_items_are_found_and_clean_documents_kept(spark, chunk_chars):
         (5, "", ""),
         (3, filler(200), "kept"),
         (None, items[3][1], "x"),
+        (6, f"{filler(5)} too  SHORT, {filler(5)}", "x"),
+        (7, f"toos hort, too shorts, 312 7, too shor {filler(5)}", "kept"),
+        (8, "what is 12+7", "x"),
+        (9, "\u6211\u8bf4\u4f60\u597d\u5417\u4eca\u5929", "x"),
     ]
     frame = spark.createDataFrame(docs, "doc_id long, text string, leaks string")
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in dc.contaminated(frame, bench, chunk_chars=chunk_chars).collect()}
-    assert got == {(1, 0), (2, 1), (2, 2), (None, 3)}
+    assert got == {(1, 0), (2, 1), (2, 2), (None, 3), (6, 10), (8, 12), (9, 13)}
     clean = dc.decontaminate(frame, bench, chunk_chars=chunk_chars)
-    assert clean.columns == frame.columns and sorted(r["doc_id"] for r in clean.collect()) == [3, 3, 4, 5]
+    assert clean.columns == frame.columns and sorted(r["doc_id"] for r in clean.collect()) == [3, 3, 4, 5, 7]
     assert dc.contaminated(frame, bench.limit(0)).count() == 0 and dc.contaminated(frame.limit(0), bench).count() == 0
     assert dc.decontaminate(frame, bench.limit(0)).count() == len(docs)
