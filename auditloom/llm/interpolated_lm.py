@@ -150,6 +150,16 @@ def _send(ranges: int):
     return run
 
 
+def zip_counts(values: np.ndarray) -> bytes:
+    """Counts as bytes: one byte for the width, four or eight bytes a count before compression."""
+    kind = np.uint32 if values.max(initial=0) < 2**32 else np.uint64
+    return bytes([np.dtype(kind).itemsize]) + zip_array(values.astype(kind))
+
+
+def unzip_counts(data: bytes) -> np.ndarray:
+    return unzip_array(data[1:], np.uint32 if data[0] == 4 else np.uint64)
+
+
 def _add(group: pa.Table) -> pa.Table:
     """Add up one range of keys and answer each block that sent some."""
     blocks, deleted = group.column("block").to_pylist(), group.column("deleted").to_pylist()
@@ -163,9 +173,8 @@ def _add(group: pa.Table) -> pa.Table:
     total = sums[0] + sums[1]
     word = (distinct & np.uint64(1)).astype(bool)
     edges = np.concatenate(([0], np.cumsum(sizes)))
-    small = lambda x: zip_array(np.minimum(x, 2**32 - 1).astype(np.uint32))
-    answers = [small(total[at[lo:hi]]) for lo, hi in zip(edges, edges[1:])]
-    mains = [small(sums[0][at[lo:hi]]) if d else None for lo, hi, d in zip(edges, edges[1:], deleted)]
+    answers = [zip_counts(total[at[lo:hi]]) for lo, hi in zip(edges, edges[1:])]
+    mains = [zip_counts(sums[0][at[lo:hi]]) if d else None for lo, hi, d in zip(edges, edges[1:], deleted)]
     stats = [int(sums[0][word].sum()), int(total[word].sum()), int((total[word] > 0).sum())]
     n = len(blocks)
     release_memory()
@@ -187,7 +196,7 @@ def _joined(blocks: pa.Table, answers: pa.Table, column: str) -> list[tuple[Bloc
         return []
     order = np.argsort(answers.column("range").to_numpy())
     parts = answers.column(column).to_pylist()
-    counts = np.concatenate([unzip_array(parts[i], np.uint32) for i in order])
+    counts = np.concatenate([unzip_counts(parts[i]) for i in order])
     columns = {n: blocks.column(n) for n in blocks.schema.names}
     return [(_read(columns, 0), counts, columns["ids"][0].as_py())]
 

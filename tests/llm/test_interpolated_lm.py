@@ -82,3 +82,8 @@ def test_edges(spark):
     assert lm.interpolated_scores(docs.limit(0), F.lit(0)).count() == 0
     nothing = lm.interpolated_scores(docs, F.lit(None)).collect()
     assert len(nothing) == 5 and all(math.isfinite(r["score"]) and r["train_tokens"] == 0 for r in nothing)
+
+
+def test_counts_over_32_bits_survive():
+    for values in ([], [0, 5], [3, 2**32 - 1], [1, 2**32, 2**45]):
+        assert lm.unzip_counts(lm.zip_counts(np.array(values, dtype=np.int64))).tolist() == values
