@@ -110,15 +110,16 @@ def fit(
     """Learn from at most ``sample_rows`` labelled documents of each label, chosen by a hash of their ids.
 
     ``learn`` is a condition on the id column: rows outside it are never read as labels. Labels other than 0 and 1, null
-    texts and empty texts teach nothing. The first ``dict_rows`` of each label fill the dictionaries, the others calibrate
+    texts and empty texts teach nothing; of a repeated id at most ``sample_rows`` rows count. The first ``dict_rows`` of each label fill the dictionaries, the others calibrate
     (all of them, if there are too few). With no labelled row of one kind the score is constant: the share of label 1.
     """
     known = labels.filter(learn & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
     known = known.dropDuplicates()
     shares = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    chosen = first_by_hash(known, "y", F.xxhash64(F.lit("quality"), "id"), "id", sample_rows)
+    chosen = first_by_hash(known, "y", F.xxhash64(F.lit("quality"), "id"), "id", sample_rows).drop("rank")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.length("text") > 0)
-    sample = stored(texts.join(F.broadcast(chosen), "id"), "quality-sample")  # at most 2 * sample_rows ids
+    found = texts.join(F.broadcast(chosen), "id")  # at most 2 * sample_rows ids; an id may have many rows
+    sample = stored(first_by_hash(found, "y", F.xxhash64(F.lit("quality"), "id"), "text", sample_rows), "quality-sample")
     n_good, n_bad = shares.get(1, 0), shares.get(0, 0)
     prior = n_good / (n_good + n_bad) if n_good + n_bad else 0.5
     seeds = (
