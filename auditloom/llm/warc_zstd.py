@@ -193,7 +193,7 @@ def write_archives(
     Of pages with equal payloads of at least ``min_revisit_bytes``, those with the smallest id are responses and the others
     revisits of it; all else are responses. A null payload is empty; a null id or url is left out of the record. Rows that
     repeat the smallest id are responses too. A page with a null id revisits if any equal page has an id. Other columns are
-    ignored. The dictionary is trained on ``dict_samples`` pages chosen by hash; an empty table gives no archive.
+    ignored. The dictionary is trained on ``dict_samples`` different pages chosen by hash; an empty table gives no archive.
 
     A task that is run again writes files of new names; the manifest lists only those of the attempts that counted.
     """
@@ -216,7 +216,10 @@ def write_archives(
         "digest",
         F.when(~F.col("id").eqNullSafe(F.col("first")), F.col("first")).cast("string").alias("refers_to"),
     )
-    samples = rows.select(F.xxhash64("payload").alias("h"), F.substring("payload", 1, 8192).alias("p")).orderBy("h").limit(dict_samples)
+    # hashes first: no more than ``dict_samples`` different payloads are cut, and copies of one are cut once
+    least = rows.select(F.xxhash64("payload").alias("h")).distinct().orderBy("h").limit(dict_samples).collect()
+    chosen = rows.select(F.xxhash64("payload").alias("h"), F.substring("payload", 1, 8192).alias("p")).filter(F.col("h").isin([r["h"] for r in least]))
+    samples = chosen.groupBy("h").agg(F.min("p").alias("p")).orderBy("h")
     content = train([r["p"].encode("utf-8", "surrogatepass") for r in samples.collect()])
     folder = scratch_path(spark, "warc")
 
