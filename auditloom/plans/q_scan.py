@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from auditloom.functions.rules import SAST_RULES, SMELL_RULES, Rule
+from auditloom.operators import code_index, rule_table
 from auditloom.operators import scan as ops
 from auditloom.plans import bridges as b
+from auditloom.session import scratch_path
 
 _KEYWORD = "token"
 # Rules of a user's own: one that spans lines, one with a test, one without.
@@ -45,6 +47,36 @@ _REQUESTS_SQL = """
     FROM @conversations
 """
 
+# A rule a customer, on the functions of the repository files.
+_CUSTOMER_RULES_SQL = r"""
+    SELECT 'Call of fn_' || CAST(c_custkey AS STRING) AS rule, CASE WHEN c_custkey % 3 = 0 THEN 'HIGH' ELSE 'LOW' END AS severity,
+           'fn_' || CAST(c_custkey AS STRING) AS need
+    FROM @customer
+"""
+
+
+def _indexed_search(spark, sf):
+    """The first load has other texts for every third document; the second one brings what is searched."""
+    folder = scratch_path(spark, "code-index")
+    files = _documents(spark, sf)
+    older = files.withColumn("content", F.when(F.pmod(F.xxhash64("path"), F.lit(3)) == 0, F.reverse("content")).otherwise(F.col("content")))
+    code_index.build_index(older, folder)
+    found = code_index.build_index(files, folder, 1).keyword_matches(_KEYWORD)
+    return found.select("path", "line_no", F.col("line").alias("content"))
+
+
+def _indexed_scan(spark, sf):
+    return code_index.build_index(_documents(spark, sf), scratch_path(spark, "code-index")).scan(SAST_RULES + SMELL_RULES)
+
+
+def _rule_table(spark, sf):
+    lines = ops.split_lines(b.run_spread(spark, sf, b.REPO_FILES_SQL))
+    rules = b.run(spark, sf, _CUSTOMER_RULES_SQL).withColumns(
+        {"pattern": F.concat(F.lit(r"\b"), F.col("need"), F.lit(r"\s*\(")), "needs": F.array("need")}
+    )
+    return rule_table.scan_rule_table(lines, rules)
+
+
 QUERIES = {
     "file_filter": lambda s, d: ops.file_filter(b.run(s, d, _PATHS_SQL)),
     "split_lines": lambda s, d: _document_lines(s, d).select("repo", "path", "line_no", "line"),
@@ -55,6 +87,9 @@ QUERIES = {
     "scan_files": lambda s, d: ops.scan_files(_documents(s, d), _OWN_RULES).select("repo", "path", "rule", "severity"),
     "keyword_search": lambda s, d: ops.keyword_search(_document_lines(s, d), _KEYWORD),
     "matches_found": lambda s, d: ops.matches_found(_document_lines(s, d), _KEYWORD),
+    "indexed_keyword_search": _indexed_search,
+    "indexed_rule_scan": _indexed_scan,
+    "rule_table_scan": _rule_table,
     "graph_requested": lambda s, d: b.run(s, d, _REQUESTS_SQL).select(
         "conv_id", "turn", ops.graph_requested(F.col("query"), F.col("graph_query")).alias("wanted")
     ),
@@ -93,14 +128,15 @@ def scan_sql(lines: str, rules) -> str:
     """
 
 
-DOCUMENT_LINES_DUCKDB = r"""
+_LINES_DUCKDB = r"""
     SELECT repo, path, line_no, raw, trim(raw, ' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11) || chr(160)) AS line
     FROM (SELECT repo, path, CAST(pos AS BIGINT) AS line_no,
                  CASE WHEN pos < n THEN piece || chr(10) ELSE piece END AS raw
           FROM (SELECT repo, path, len(pieces) AS n, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS pos
                 FROM (SELECT repo, path, string_split_regex(content, '\r\n|\r|\n') AS pieces FROM (%s) f) s) u) r
     WHERE raw <> ''
-""" % b.for_duckdb(b.DOCUMENT_FILES_SQL)
+"""
+DOCUMENT_LINES_DUCKDB = _LINES_DUCKDB % b.for_duckdb(b.DOCUMENT_FILES_SQL)
 
 ORACLE = {
     "file_filter": b.for_duckdb(f"""
@@ -126,6 +162,15 @@ ORACLE = {
     "matches_found": f"""
         SELECT count(*) AS matches_found FROM ({DOCUMENT_LINES_DUCKDB}) l WHERE contains(lower(raw), '{_KEYWORD}')
     """,
+    "indexed_keyword_search": f"""
+        SELECT path, line_no, line AS content FROM ({DOCUMENT_LINES_DUCKDB}) l WHERE contains(lower(raw), '{_KEYWORD}')
+    """,
+    "indexed_rule_scan": scan_sql(DOCUMENT_LINES_DUCKDB, SAST_RULES + SMELL_RULES),
+    "rule_table_scan": rf"""
+        SELECT repo, path, line_no, rule, line AS content, severity
+        FROM (SELECT * FROM ({_LINES_DUCKDB % b.for_duckdb(b.REPO_FILES_SQL)}) x WHERE contains(raw, 'fn_')) l JOIN ({b.for_duckdb(_CUSTOMER_RULES_SQL)}) r
+            ON contains(raw, need) AND regexp_matches(raw, '\b' || need || '\s*\(')
+    """,
     "graph_requested": b.for_duckdb(f"""
         SELECT conv_id, turn,
                coalesce(graph_query, '') <> '' OR contains(lower(query), 'cross-repo') OR contains(lower(query), 'dependency')
