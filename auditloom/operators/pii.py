@@ -9,7 +9,7 @@ third of the corpus is still numbered by many tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditloom.functions.arrays import explode_once, let
@@ -163,14 +163,8 @@ def clear_scope(mapping: DataFrame, scope: str, cleared: DataFrame) -> DataFrame
     return mapping.join(cleared.select(scope).distinct(), scope, "left_anti")
 
 
-def pii_first_seen_number(
-    extracted: DataFrame, scope: str, row_id: str, rows_per_bucket: int = 65536
-) -> DataFrame:
-    """Placeholders of a scope wider than a row: ``(scope, value, pii_type, n, quoted, placeholder)``.
-
-    Every distinct value takes its first sighting (a map-side combined minimum); sightings are
-    numbered per scope and type. ``row_id`` is the integer order of rows.
-    """
+def first_sightings(extracted: DataFrame, scope: str, row_id: str) -> DataFrame:
+    """(scope, value, row, pat, pos, pii_type, quoted): where each distinct value stands first (a map-side combined minimum)."""
 
     def sightings(order: int, kind: str) -> Column:
         values = F.col(_values(kind))
@@ -188,10 +182,16 @@ def pii_first_seen_number(
     first = seen.groupBy(scope, F.col("s.value").alias("value")).agg(
         F.min(F.struct(F.col(row_id).alias("row"), "s.pat", "s.pos", "s.pii_type", "s.quoted")).alias("f")
     )
-    flat = first.select(scope, "value", "f.*")
-    numbered = bucketed_row_number(
-        flat, [scope, "pii_type"], ["row", "pat", "pos"], F.floor(F.col("row") / rows_per_bucket)
+    return first.select(scope, "value", "f.*")
+
+
+def _numbered(sightings: DataFrame, scope: str, rows_per_bucket: int) -> DataFrame:
+    return bucketed_row_number(
+        sightings, [scope, "pii_type"], ["row", "pat", "pos"], F.floor(F.col("row") / rows_per_bucket)
     )
+
+
+def _entries(numbered: DataFrame, scope: str) -> DataFrame:
     return numbered.select(
         scope, "value", "pii_type", F.col("n").cast("bigint").alias("n"), "quoted",
         F.concat(F.lit("[["), F.col("pii_type"), F.lit("_"), F.col("n").cast("string"), F.lit("]]")).alias(
@@ -200,6 +200,16 @@ def pii_first_seen_number(
     )
 
 
+def pii_first_seen_number(
+    extracted: DataFrame, scope: str, row_id: str, rows_per_bucket: int = 65536
+) -> DataFrame:
+    """Placeholders of a scope wider than a row: ``(scope, value, pii_type, n, quoted, placeholder)``.
+
+    First sightings are numbered per scope and type. ``row_id`` is the integer order of rows.
+    """
+    return _entries(_numbered(first_sightings(extracted, scope, row_id), scope, rows_per_bucket), scope)
+
+
 def _lookup(df: DataFrame, keys: Column, mapping: DataFrame, scope: str, row_id: str, key: str, value: Column):
     """Per row, a map from its own keys to ``value`` in ``mapping``; rows stay small, scopes need not."""
     wanted = explode_once(df, [scope, row_id], F.array_distinct(keys), key)
@@ -210,21 +220,62 @@ def _lookup(df: DataFrame, keys: Column, mapping: DataFrame, scope: str, row_id:
     )
 
 
-def mask_pii_scope(df: DataFrame, scope: str, row_id: str, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Mask with one numbering per ``scope``; returns the rows with ``masked`` and the mapping."""
-    staged = extract_pii(df, text).withColumn("__ordered", _values_in_text_order())
-    # The values, without the texts, feed the numbering and the lookup: written once, read twice.
-    found = cut_lineage(
-        staged.select(scope, row_id, "__ordered", "__quoted", *[_values(k) for k in PII_TYPES])
-    ).filter(F.size("__ordered") > 0)
-    mapping = pii_first_seen_number(found, scope, row_id)
+def _staged(df: DataFrame, text: str) -> DataFrame:
+    """Texts are searched once: the slotted text is written with its values, which numbering and lookup read alone."""
+    return cut_lineage(extract_pii(df, text).withColumn("__ordered", _values_in_text_order()))
+
+
+def _masked(staged: DataFrame, mapping: DataFrame, scope: str, row_id: str) -> DataFrame:
+    found = staged.filter(F.size("__ordered") > 0).select(scope, row_id, "__ordered")
     names = _lookup(found, F.col("__ordered"), mapping, scope, row_id, "value", F.col("placeholder"))
     joined = staged.join(names, [scope, row_id], "left")
     fillers = let(F.col("__names"), lambda names: F.transform("__ordered", lambda v: F.element_at(names, v)))
     masked = F.when(F.size("__kinds") == 0, F.col("__slotted")).otherwise(
         _fill(F.col("__slotted"), _SLOT, fillers)
     )
-    return _drop_work(joined.withColumn("masked", masked), "__names", "__ordered"), mapping
+    return _drop_work(joined.withColumn("masked", masked), "__names", "__ordered")
+
+
+def mask_pii_scope(df: DataFrame, scope: str, row_id: str, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Mask with one numbering per ``scope``; returns the rows with ``masked`` and the mapping, which is written once."""
+    staged = _staged(df, text)
+    mapping = cut_lineage(pii_first_seen_number(staged.filter(F.size("__ordered") > 0), scope, row_id))
+    return _masked(staged, mapping, scope, row_id), mapping
+
+
+DICTIONARY_SCHEMA = "value string, pii_type string, n bigint, quoted boolean, placeholder string"
+
+
+def read_dictionary(spark: SparkSession, folder: str, scope: str, scope_type: str, load: int) -> DataFrame:
+    """Placeholders of the loads 0 to ``load``; none for -1."""
+    schema = f"`{scope}` {scope_type}, {DICTIONARY_SCHEMA}"
+    if load < 0:
+        return spark.createDataFrame([], schema)
+    paths = [f"{folder}/load={i}" for i in range(load + 1)]
+    return spark.read.schema(schema).option("basePath", folder).parquet(*paths).drop("load")
+
+
+def mask_pii_load(
+    df: DataFrame, scope: str, row_id: str, folder: str, load: int, text: str = "text", rows_per_bucket: int = 65536
+) -> tuple[DataFrame, DataFrame]:
+    """Mask one load of many with placeholders that stay: the rows with ``masked``, and the dictionary after this load.
+
+    The dictionary in ``folder`` is only appended to, a folder a load (numbered from 0). A value that an earlier load of
+    its scope has seen keeps its placeholder and type, new values are numbered after the old ones of their type in the
+    order of this load. A load that is run again reads only the loads before it and writes the same entries again.
+    """
+    spark = df.sparkSession
+    kind = df.schema[scope].dataType.simpleString()
+    staged = _staged(df, text)
+    known = read_dictionary(spark, folder, scope, kind, load - 1)
+    sightings = first_sightings(staged.filter(F.size("__ordered") > 0), scope, row_id)
+    fresh = sightings.join(known.select(scope, "value"), [scope, "value"], "left_anti")
+    last = known.groupBy(F.col(scope).alias("__scope"), F.col("pii_type").alias("__type")).agg(F.max("n").alias("__last"))
+    numbered = _numbered(fresh, scope, rows_per_bucket)
+    after = numbered.join(last, numbered[scope].eqNullSafe(F.col("__scope")) & (numbered["pii_type"] == F.col("__type")), "left")
+    _entries(after.withColumn("n", F.col("n") + F.coalesce("__last", F.lit(0))), scope).write.mode("overwrite").parquet(f"{folder}/load={load}")
+    dictionary = read_dictionary(spark, folder, scope, kind, load)
+    return _masked(staged, dictionary, scope, row_id), dictionary
 
 
 def restored_value(value: Column, quoted: Column) -> Column:

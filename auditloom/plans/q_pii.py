@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from auditloom.operators import pii as ops
 from auditloom.plans import bridges as b
+from auditloom.session import scratch_path
 
 _DOCS_SQL = "SELECT doc_id, source, text FROM @documents"
 
@@ -31,6 +32,14 @@ def _unmask_scope(spark, sf):
     return ops.unmask_pii_scope(masked, mapping, "source", "doc_id").select("source", "doc_id", "unmasked")
 
 
+def _loads(spark, sf):
+    """The documents of two languages first, then all: those of the first load are masked again and keep their placeholders."""
+    folder = scratch_path(spark, "placeholders")
+    docs = _docs(spark, sf).join(b.table(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
+    ops.mask_pii_load(docs.filter("lang IN ('en', 'de')"), "source", "doc_id", folder, 0)
+    return ops.mask_pii_load(docs, "source", "doc_id", folder, 1)
+
+
 def _leaks(spark, sf):
     """Whether the known raw values are left in each source's masked documents, per language."""
     raw_values = ["@example.com", "token = \"", "555-"]
@@ -47,6 +56,8 @@ QUERIES = {
     "pii_first_seen_number": lambda s, d: _scope(s, d)[1],
     "mask_pii_scope": lambda s, d: _scope(s, d)[0].select("source", "doc_id", "masked"),
     "unmask_pii_scope": _unmask_scope,
+    "mask_pii_load": lambda s, d: _loads(s, d)[0].select("source", "doc_id", "masked"),
+    "pii_dictionary": lambda s, d: _loads(s, d)[1],
     "pii_leak_check": _leaks,
     "clear_scope": lambda s, d: ops.clear_scope(
         _scope(s, d)[1], "source", b.run(s, d, _CLEARED_SQL)
@@ -108,6 +119,8 @@ def _ctes(source: str, keys: str, scope: str, row: str, text: str) -> str:
 _DOC = _ctes("documents", "doc_id", "doc_id", "doc_id", "text")
 _PAGE = _ctes("pages", "page_id", "page_id", "page_id", "html")
 _SRC = _ctes("documents", "source, doc_id", "source", "doc_id", "text")
+_LOADED = "(SELECT *, CASE WHEN lang IN ('en', 'de') THEN 0 ELSE 1 END AS later FROM documents) d"
+_LOADS = _ctes(_LOADED, "source, doc_id, later", "source", "later, doc_id", "text")
 _BY_DOC = _ctes("documents", "source, doc_id", "doc_id", "doc_id", "text")
 # Quoted values come back in double quotes, so single quotes around a masked key change.
 _BACK = r"""regexp_replace(text, '(?i)((?:key|token|secret|password|passwd|pwd|authentication|auth)(?:\s*[:=]\s*|\s+))[''"]([a-zA-Z0-9_\-\.\~]{8,})[''"]', '\1"\2"', 'g')"""
@@ -122,6 +135,8 @@ ORACLE = {
     f"WHERE source NOT IN ({b.for_duckdb(_CLEARED_SQL)})",
     "mask_pii_scope": f"WITH {_SRC} SELECT source, doc_id, masked FROM masked",
     "unmask_pii_scope": f"SELECT source, doc_id, {_BACK} AS unmasked FROM documents",
+    "mask_pii_load": f"WITH {_LOADS} SELECT source, doc_id, masked FROM masked",
+    "pii_dictionary": f"WITH {_LOADS} SELECT source, value, pii_type, n, quoted, placeholder FROM named",
     "pii_leak_check": f"""
         WITH {_BY_DOC}
         SELECT source, bool_or(contains(masked, '@example.com') OR contains(masked, 'token = "') OR contains(masked, '555-')) AS leaked

@@ -1,6 +1,7 @@
 import re
 
 from auditloom.operators import pii
+from auditloom.session import scratch_path
 
 TEXTS = [
     (1, "s1", "Mail ann@example.com or bob@example.com, again ann@example.com."),
@@ -71,3 +72,25 @@ def test_leak_check(spark):
     parts = spark.createDataFrame([("a", "ok"), ("a", "ann@example.com"), ("b", None)], "case_id STRING, text STRING")
     got = dict(pii.pii_leak_check(parts, "case_id", "text", ["ann@example.com"]).collect())
     assert got == {"a": True, "b": False}
+
+
+def test_placeholders_stay_over_loads(spark):
+    folder = scratch_path(spark, "placeholders")
+    schema = "team STRING, no BIGINT, text STRING"
+    one = spark.createDataFrame([("a", 5, "x@y.com or b@c.org, 555-123-4567"), ("b", 6, "x@y.com"), ("a", 7, None)], schema)
+    masked, first = pii.mask_pii_load(one, "team", "no", folder, 0)
+    entries = lambda d: {(r["team"], r["value"]): r["placeholder"] for r in d.collect()}
+    before = entries(first)
+    assert {r["no"]: r["masked"] for r in masked.collect()}[5].startswith(before["a", "x@y.com"])
+    # smaller row numbers, known and new values, a scope of its own
+    two = spark.createDataFrame([("a", 1, "new@z.net then b@c.org"), ("a", 2, "x@y.com"), ("c", 3, "x@y.com"), ("b", 4, "new@z.net")], schema)
+    for _ in range(2):  # the second time is a replay
+        masked, second = pii.mask_pii_load(two, "team", "no", folder, 1)
+        after = entries(second)
+        assert {k: after[k] for k in before} == before and second.count() == len(after) == len(before) + 3
+        assert after["a", "new@z.net"] == "[[EMAIL_3]]" and after["b", "new@z.net"] == "[[EMAIL_2]]" and after["c", "x@y.com"] == "[[EMAIL_1]]"
+        assert {r["no"]: r["masked"] for r in masked.collect()} == {1: "[[EMAIL_3]] then [[EMAIL_2]]", 2: "[[EMAIL_1]]", 3: "[[EMAIL_1]]", 4: "[[EMAIL_2]]"}
+    back = pii.unmask_pii_scope(masked, second, "team", "no")
+    assert {r["no"]: r["unmasked"] for r in back.collect()} == {r["no"]: r["text"] for r in two.collect()}
+    masked, third = pii.mask_pii_load(two.limit(0), "team", "no", folder, 2)
+    assert masked.count() == 0 and entries(third) == after
