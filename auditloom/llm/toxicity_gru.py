@@ -15,6 +15,7 @@ word of a batch, so a step of the recurrence is one lookup and one small product
 
 from __future__ import annotations
 
+import pickle
 from collections import Counter, defaultdict
 from dataclasses import dataclass, field
 from itertools import count
@@ -287,8 +288,8 @@ def train(
 ) -> Network:
     """A network from windows of at most 32 words; ``doc`` numbers the document of each, ``label`` (0, 1) is the document's.
 
-    Words that stand in three documents or more are the vocabulary, the most frequent first. A word of a window is taken for
-    an unknown one with probability 0.2, so that the trigrams learn as well.
+    Words that stand in three documents or more are the vocabulary, the most frequent first. In each batch a word is taken
+    for an unknown one with probability ``unknown``, so that the trigrams learn as well.
     """
     names: dict[bytes, int] = defaultdict(count().__next__)
     flat = [np.fromiter(map(names.__getitem__, words), np.int64, len(words)) for words in windows]
@@ -319,16 +320,15 @@ def train(
             some = order[at : at + batch]
             used, local = np.unique(index[some], return_inverse=True)
             local = local.reshape(len(some), -1)
-            # distinct words of the batch, once known and once as unknown words
             starts = np.cumsum(many[used]) - many[used]
             pieces = np.repeat(begin[used] - starts, many[used]) + np.arange(int(many[used].sum()))
-            hidden = rng.random(local.shape) < unknown
+            known = np.where(rng.random(len(used)) < unknown, 0, rows[used])
             g, where, probability[some] = loss_gradients(
                 net,
-                np.concatenate([rows[used], np.zeros(len(used), dtype=np.int64)]),
-                np.concatenate([grams[pieces], grams[pieces]]),
-                np.concatenate([starts, starts + len(pieces)]),
-                local + hidden * len(used),
+                known,
+                grams[pieces],
+                starts,
+                local,
                 size[some],
                 target[some],
                 weight[some],
@@ -366,7 +366,7 @@ def fit(
     sample_rows: int = 1500,
     sample_windows: int = 12_000,
     vocabulary: int = 20_000,
-    steps: int = 400,
+    steps: int = 300,
     batch: int = 256,
     rate: float = 0.01,
     seed: int = 7,
@@ -387,12 +387,13 @@ def fit(
     sample = stored(first_by_hash(found, "y", F.xxhash64(F.lit("toxicity"), "id", "text"), "id", sample_rows), "toxicity-sample")
     net = Network({}, constant=prior, empty=prior)
     cut = sample.filter("rank % 5 <> 0").select("y", F.xxhash64("id", "text").alias("doc"), "text").mapInArrow(_cut(net.window, net.stride), "y int, doc long, no int, words binary")
-    rows = first_by_hash(cut, "y", F.xxhash64("doc", "no"), "doc", sample_windows).drop("rank").collect()
-    if {r["y"] for r in rows} != {0, 1}:
+    windows = first_by_hash(cut, "y", F.xxhash64("doc", "no"), "doc", sample_windows).drop("rank")
+    learn_all = _learn(vocabulary=vocabulary, steps=steps, batch=batch, rate=rate, seed=seed)
+    # one task learns, from at most 2 * sample_windows windows, and is run again if it is lost
+    learnt = windows.repartition(1).mapInArrow(learn_all, "net binary").collect()
+    if not learnt:
         return net
-    rows.sort(key=lambda r: (r["y"], r["doc"], r["no"]))
-    _, doc = np.unique([r["doc"] for r in rows], return_inverse=True)
-    net = train([bytes(r["words"]).split(b" ") for r in rows], doc, np.array([r["y"] for r in rows]), vocabulary=vocabulary, steps=steps, batch=batch, rate=rate, seed=seed)
+    net = pickle.loads(bytes(learnt[0]["net"]))
     net.empty = prior
     # whole texts of the sample are scored by tasks; only labels and logits come back
     judged = stored(sample.select("y", F.struct("y", "rank").alias("id"), "text").transform(lambda s: _logits(s, net)).select("id.*", "logit"), "toxicity-logits")
@@ -405,6 +406,20 @@ def fit(
     return net
 
 
+def _learn(**options):
+    """The sampled windows, in one partition -> the network in one row; nothing if a label is missing."""
+
+    def run(batches):
+        rows = sorted((y, doc, no, words) for batch in batches for y, doc, no, words in zip(*(batch.column(c).to_pylist() for c in ("y", "doc", "no", "words"))))
+        if {r[0] for r in rows} != {0, 1}:
+            return
+        _, doc = np.unique([r[1] for r in rows], return_inverse=True)
+        net = train([r[3].split(b" ") for r in rows], doc, np.array([r[0] for r in rows]), **options)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], names=["net"])
+
+    return run
+
+
 def _cut(window: int, stride: int):
     """Sampled texts -> their windows, words joined by single blanks."""
 
