@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from auditloom.functions.ordered import with_order_number
 from auditloom.operators import call_graph
 from auditloom.operators import graph as ops
 from auditloom.plans import bridges as b
@@ -33,6 +34,25 @@ def _call_reach(spark, sf):
 
 
 
+# Orders one after the other: by region, customer and date.
+_ORDERS_SQL = """
+    SELECT CAST(n_regionkey AS BIGINT) AS region, CAST(c_custkey AS BIGINT) AS customer, o_orderdate, CAST(o_orderkey AS BIGINT) AS o_orderkey
+    FROM @orders JOIN @customer ON o_custkey = c_custkey JOIN @nation ON c_nationkey = n_nationkey
+"""
+
+
+def _deep_reach(spark, sf):
+    """Each order leads to the next, the last one of the first region also back to the first of all: a cycle in a long chain."""
+    rows = b.run(spark, sf, _ORDERS_SQL)
+    placed = with_order_number(rows, ["region", "customer", "o_orderdate", "o_orderkey"]).select(
+        "n", "region", F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("node")
+    )
+    ends = placed.filter("region = 0").agg(F.max_by("node", "n").alias("source"), F.min_by("node", "n").alias("target"))
+    chain = placed.select(F.col("n") + 1, F.col("node").alias("source")).toDF("n", "source").join(placed.select("n", F.col("node").alias("target")), "n")
+    edges = chain.select("source", "target").unionByName(ends.select("source", "target"))
+    return ops.deep_reach(edges, placed.filter("n = 0").select("node"))
+
+
 QUERIES = {
     "function_defs": lambda s, d: ops.function_defs(_files(s, d)),
     "call_tokens": lambda s, d: ops.call_tokens(_files(s, d)),
@@ -41,6 +61,7 @@ QUERIES = {
     "repo_import_edges": lambda s, d: ops.repo_import_edges(_files(s, d)),
     "cross_repo_call_edges": lambda s, d: ops.cross_repo_call_edges(_files(s, d)),
     "callgraph_reach": _reach,
+    "deep_reach": _deep_reach,
     "call_classes": lambda s, d: call_graph.call_classes(_files(s, d)),
     "call_names": lambda s, d: call_graph.call_names(_files(s, d)),
     "call_links": lambda s, d: call_graph.call_links(_files(s, d)),
@@ -88,6 +109,10 @@ ORACLE = {
     "definitions_per_repo": _sql("SELECT * FROM per_repo"),
     "repo_import_edges": _sql("SELECT * FROM imports"),
     "cross_repo_call_edges": _sql("SELECT * FROM calls_to"),
+    "deep_reach": b.for_duckdb(f"""
+        SELECT 'o' || CAST(o_orderkey AS VARCHAR) AS node, CAST(row_number() OVER (ORDER BY region, customer, o_orderdate, o_orderkey) - 1 AS INT) AS depth
+        FROM ({_ORDERS_SQL}) o
+    """),
     "call_classes": _sql("""
         SELECT k.func, k.repo, coalesce(c.callers, 0) AS callers, coalesce(d.definitions, 0) AS definitions,
             (SELECT count(*) FROM per_repo o WHERE o.func = k.func AND o.repo <> k.repo) AS targets,

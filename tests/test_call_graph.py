@@ -86,3 +86,41 @@ def test_a_name_in_every_repository_makes_no_pairs(spark):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
     got = cg.call_reach(files, spark.createDataFrame([("r0", None)], "repo STRING, path STRING")).collect()
     assert {(r["kind"], r["depth"]) for r in got} == {("name", 1), ("repository", 0), ("repository", 1)} and len(got) == repos + 1
+
+
+def _breadth_first(edges, seeds):
+    after = {}
+    for s, t in edges:
+        after.setdefault(s, set()).add(t)
+    depth, level, d = {s: 0 for s in seeds}, set(seeds), 0
+    while level:
+        d += 1
+        level = {t for s in level for t in after.get(s, ())} - set(depth)
+        depth |= {t: d for t in level}
+    return depth
+
+
+def _deep(spark, edges, seeds):
+    frame = spark.createDataFrame(edges, "source STRING, target STRING")
+    got = graph.deep_reach(frame, spark.createDataFrame([(s,) for s in seeds], "node STRING")).collect()
+    assert len({r["node"] for r in got}) == len(got)
+    return {r["node"]: r["depth"] for r in got}
+
+
+def test_deep_reach_on_a_chain_and_a_cycle_of_ten_thousand(spark):
+    chain = [(f"c{i}", f"c{i + 1}") for i in range(10_000)]
+    cycle = [(f"k{i}", f"k{(i + 1) % 10_000}") for i in range(10_000)]
+    edges = chain + cycle + [("c9999", "k500"), ("k500", "c3"), ("alone", "alone")]
+    got = _deep(spark, edges, ["c0"])
+    assert got == _breadth_first(edges, ["c0"]) and len(got) == 20_001 and max(got.values()) == 19_999
+
+
+def test_deep_reach_equals_breadth_first_on_mixed_graphs(spark):
+    for seed in (1, 2):
+        rng = random.Random(seed)
+        edges = [(f"n{rng.randrange(60)}", f"n{rng.randrange(60)}") for _ in range(50)]
+        edges += [(f"n{i}", f"p{i}-0") for i in (3, 7)] + [(f"p{i}-{j}", f"p{i}-{j + 1}") for i in (3, 7) for j in range(30)] + [("p3-30", "n5"), ("p7-12", "n9")]
+        edges += [("n1", None), (None, "n2"), ("n4", "n4"), ("n3", "p3-20")]
+        seeds = ["n3", "n7", "absent"]
+        assert _deep(spark, edges, seeds) == _breadth_first([e for e in edges if None not in e], seeds)
+    assert _deep(spark, [], ["a"]) == {"a": 0}
