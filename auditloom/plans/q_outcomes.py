@@ -412,6 +412,24 @@ ORACLE = {
     "failure_filter": _sql(_FAIL, "SELECT session_id, status, length(text) AS chars FROM fails"),
     "text_char_embedding": _sql(_EMB, "SELECT doc_id, slot, round(v, 6) AS v FROM emb"),
     "nearest_centroid": f"WITH {_NEAR} SELECT vec_id, cluster, round(dist, 6) AS dist FROM near",
+    # rounds beyond the last move change nothing
+    "kmeans_fit": """
+        WITH RECURSIVE vecs AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+        state AS (
+            SELECT 0 AS round, (SELECT list(e ORDER BY vec_id) FROM (SELECT * FROM vecs ORDER BY vec_id LIMIT 3) f) AS cs
+            UNION ALL
+            SELECT round + 1, (
+                SELECT list(c ORDER BY cluster) FROM (
+                    SELECT cluster, list(x ORDER BY dim) AS c FROM (
+                        SELECT cluster, dim, avg(x) AS x FROM (
+                            SELECT list_position(ds, list_min(ds)) AS cluster, unnest(e) AS x, generate_subscripts(e, 1) AS dim
+                            FROM (SELECT e, list_transform(cs, lambda c: list_distance(e, c)) AS ds FROM vecs) a) f
+                        GROUP BY cluster, dim) g
+                    GROUP BY cluster) h)
+            FROM state WHERE round < 200)
+        SELECT vec_id, CAST(list_position(ds, list_min(ds)) - 1 AS INT) AS cluster, round(list_min(ds), 6) AS dist
+        FROM (SELECT vec_id, list_transform((SELECT cs FROM state WHERE round = 200), lambda c: list_distance(e, c)) AS ds FROM vecs) d
+    """,
     "kmeans_update": f"""WITH {_NEAR}, flat AS (SELECT cluster, unnest(e) AS x, generate_subscripts(e, 1) - 1 AS dim FROM near)
         SELECT cluster, dim, round(avg(x), 6) AS v, count(*) AS members FROM flat GROUP BY cluster, dim""",
     "cluster_theme": _sql(_ASSIGN, "SELECT * FROM themes"),
@@ -451,6 +469,17 @@ ORACLE = {
                CASE WHEN payload IS NOT NULL AND (whole OR text_a IS NOT NULL) THEN payload ELSE text_a END AS text_a,
                CASE WHEN whole THEN NULL WHEN payload IS NOT NULL AND text_a IS NULL THEN payload ELSE text_b END AS text_b
         FROM ev e LEFT JOIN target t ON t.report_id = e.report_id AND t.event_no = e.event_no"""),
+    "audit_envelope": _sql(_REP, f"""
+        SELECT r.report_id, '{{"data":' || to_json({{'vulnerabilities_found': vulnerabilities_found, 'raw_output': text,
+                'parsed_vulnerabilities': coalesce(parsed, []), 'metrics': {{{', '.join(f"'{m}': {m}" for m in _F.METRICS)}}}}})
+            || ',"ui":{{"version":"{_F.ENVELOPE_VERSION}","updateComponents":{{"surfaceId":"audit-surface","components":['
+            || '{{"id":"root","type":"Container","children":["title","vulnerabilities_list"]}},'
+            || '{{"id":"title","type":"Header","properties":{{"text":"Security Audit Report"}}}},'
+            || '{{"id":"vulnerabilities_list","type":"List","properties":{{"items":' || to_json(coalesce(list_transform(parsed, lambda f: f.code), ['{_F.NO_FINDINGS}']))
+            || '}}}}]}}}},"ui_available":true}}' AS envelope
+        FROM reports r JOIN metrics m ON m.report_id = r.report_id
+        LEFT JOIN (SELECT report_id, list({{'type': type, 'severity': severity, 'file': file, 'line': line, 'code': code}} ORDER BY line_no) AS parsed
+                   FROM firsts GROUP BY report_id) p ON p.report_id = r.report_id"""),
     "audit_report": _sql(_REP, f"""
         SELECT report_id, '## 🔍 Automated Security Audit Report' || chr(10) || chr(10) || '### Status: ' ||
                CASE WHEN vulnerabilities_found THEN '❌ **Vulnerabilities Identified**' ELSE '✅ **No Critical Vulnerabilities Found**' END || chr(10) || chr(10) ||
