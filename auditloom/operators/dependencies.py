@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditloom.functions.lookup import inline_table
-from auditloom.functions.arrays import explode_once
+from auditloom.functions.arrays import explode_once, let
 from auditloom.functions.text import null_if_empty
 from auditloom.operators.scan import base_name
 
@@ -90,56 +90,63 @@ def _finding(dependency, version, rule, severity, order):
     ]
 
 
-def license_risk(files: DataFrame) -> DataFrame:
-    """First copyleft licence of each manifest."""
-    name = F.coalesce(
-        *[null_if_empty(F.regexp_extract("content", LICENSE_PATTERN, g)) for g in (1, 2, 3)]
-    )
-    rule = F.concat(
-        F.lit("SCA License Risk: Copyleft license '"), F.col("license"),
+def _licence(content: Column) -> Column:
+    return F.coalesce(*[null_if_empty(F.regexp_extract(content, LICENSE_PATTERN, g)) for g in (1, 2, 3)])
+
+
+def _licence_rule(name: Column) -> Column:
+    return F.concat(
+        F.lit("SCA License Risk: Copyleft license '"), name,
         F.lit("' detected. This may require disclosing proprietary source code."),
     )
+
+
+def _lookalikes(lowered: Column, names: list[str] | None = None) -> Column:
+    return F.array_compact(F.array(*[F.when(lowered.contains(n), F.lit(n)) for n in names or TYPOSQUAT_NAMES]))
+
+
+def _lookalike_rule(name: Column) -> Column:
+    return F.concat(
+        F.lit("SCA Malicious Package: Potential typosquatting/dependency confusion attack targeting '"), name, F.lit("'")
+    )
+
+
+def _unstable(content: Column) -> Column:
+    return null_if_empty(F.regexp_extract(content, UNSTABLE_PATTERN, 0))
+
+
+def _unstable_rule(pin: Column) -> Column:
+    return F.concat(F.lit("SCA Outdated Dependency: Pinned to unstable/pre-1.0.0 version '"), pin, F.lit("'"))
+
+
+def license_risk(files: DataFrame) -> DataFrame:
+    """First copyleft licence of each manifest."""
     return (
-        files.withColumn("license", name)
+        files.withColumn("license", _licence(F.col("content")))
         .filter(F.col("license").isNotNull())
-        .select(*_finding(F.lit("multiple"), F.lit("N/A"), rule, F.lit("HIGH"), 1))
+        .select(*_finding(F.lit("multiple"), F.lit("N/A"), _licence_rule(F.col("license")), F.lit("HIGH"), 1))
     )
 
 
 def typosquat_hits(files: DataFrame, names: list[str] | None = None) -> DataFrame:
     """Each look-alike package name that occurs anywhere in a manifest."""
     lowered = files.withColumn("__lowered", F.lower("content"))
-    found = F.array_compact(
-        F.array(*[F.when(F.col("__lowered").contains(n), F.lit(n)) for n in names or TYPOSQUAT_NAMES])
-    )
-    rule = F.concat(
-        F.lit("SCA Malicious Package: Potential typosquatting/dependency confusion attack targeting '"),
-        F.col("name"), F.lit("'"),
-    )
-    return explode_once(lowered, ["path"], found, "name").select(
-        *_finding(F.col("name"), F.lit("N/A"), rule, F.lit("CRITICAL"), 2)
+    return explode_once(lowered, ["path"], _lookalikes(F.col("__lowered"), names), "name").select(
+        *_finding(F.col("name"), F.lit("N/A"), _lookalike_rule(F.col("name")), F.lit("CRITICAL"), 2)
     )
 
 
 def unstable_pin(files: DataFrame) -> DataFrame:
     """First pre-1.0 version of each manifest, with the character that introduces it."""
-    pin = null_if_empty(F.regexp_extract("content", UNSTABLE_PATTERN, 0))
-    rule = F.concat(
-        F.lit("SCA Outdated Dependency: Pinned to unstable/pre-1.0.0 version '"), F.col("pin"), F.lit("'")
-    )
     return (
-        files.withColumn("pin", pin)
+        files.withColumn("pin", _unstable(F.col("content")))
         .filter(F.col("pin").isNotNull())
-        .select(*_finding(F.lit("multiple"), F.col("pin"), rule, F.lit("INFO"), 3))
+        .select(*_finding(F.lit("multiple"), F.col("pin"), _unstable_rule(F.col("pin")), F.lit("INFO"), 3))
     )
 
 
-def dependency_versions(files: DataFrame, libraries: list[tuple[str, str]] | None = None) -> DataFrame:
-    """First pinned version of every known library of the manifest's ecosystem."""
-    known = libraries or [(row[0], row[1]) for row in VULNERABLE_VERSIONS]
-    staged = files.withColumns(
-        {"ecosystem": manifest_ecosystem(F.col("path")), "__lowered": F.lower("content")}
-    ).filter(F.col("ecosystem").isNotNull())
+def _pins(known: list[tuple[str, str]]) -> Column:
+    """(library, version) of the known libraries; needs the columns content, ecosystem and __lowered."""
 
     def pinned(ecosystem: str, library: str) -> Column:
         pattern = PIN_PATTERNS[ecosystem].format(lib=library)
@@ -148,10 +155,18 @@ def dependency_versions(files: DataFrame, libraries: list[tuple[str, str]] | Non
         asked = (F.col("ecosystem") == ecosystem) & F.col("__lowered").contains(library)
         return F.when(asked, F.struct(F.lit(library).alias("library"), version.alias("version")))
 
-    pins = F.filter(
-        F.array(*[pinned(e, lib) for e, lib in known]), lambda pin: pin["version"].isNotNull()
-    )
-    return explode_once(staged, ["path", "ecosystem"], pins, "pin").select(
+    return F.filter(F.array(*[pinned(e, lib) for e, lib in known]), lambda pin: pin["version"].isNotNull())
+
+
+def _staged(files: DataFrame) -> DataFrame:
+    return files.withColumns({"ecosystem": manifest_ecosystem(F.col("path")), "__lowered": F.lower("content")})
+
+
+def dependency_versions(files: DataFrame, libraries: list[tuple[str, str]] | None = None) -> DataFrame:
+    """First pinned version of every known library of the manifest's ecosystem."""
+    known = libraries or [(row[0], row[1]) for row in VULNERABLE_VERSIONS]
+    staged = _staged(files).filter(F.col("ecosystem").isNotNull())
+    return explode_once(staged, ["path", "ecosystem"], _pins(known), "pin").select(
         "path", "ecosystem", "pin.library", "pin.version"
     )
 
@@ -208,12 +223,50 @@ def advisory_enrichment(files: DataFrame, advisories: DataFrame, ranges: DataFra
     )
 
 
-def all_findings(files: DataFrame, advisories: DataFrame) -> DataFrame:
-    """All manifest checks in their reporting order."""
+def all_findings(files: DataFrame, advisories: DataFrame, ranges: DataFrame | None = None) -> DataFrame:
+    """All manifest checks, numbered in their reporting order, in one pass over the manifests.
+
+    Each manifest yields one array: the findings of the three text checks, and its pins. A pin becomes a finding where a
+    range holds it, and a second one for each advisory on its library.
+    """
+    ranges = ranges if ranges is not None else vulnerable_versions(files.sparkSession)
+
+    def found(dependency: Column, version: Column, rule: Column, severity: str, order: int, ecosystem: Column | None = None) -> Column:
+        return F.struct(
+            dependency.alias("dependency"), version.alias("version"), rule.alias("rule"), F.lit(severity).cast("string").alias("severity"),
+            F.lit(order).alias("check_order"), (F.lit(None).cast("string") if ecosystem is None else ecosystem).alias("ecosystem"),
+        )
+
+    content, none = F.col("content"), F.lit("N/A")
+    checks = F.concat(
+        let(_licence(content), lambda v: F.when(v.isNotNull(), F.array(found(F.lit("multiple"), none, _licence_rule(v), "HIGH", 1))).otherwise(F.array())),
+        F.transform(_lookalikes(F.col("__lowered")), lambda v: found(v, none, _lookalike_rule(v), "CRITICAL", 2)),
+        let(_unstable(content), lambda v: F.when(v.isNotNull(), F.array(found(F.lit("multiple"), v, _unstable_rule(v), "INFO", 3))).otherwise(F.array())),
+        F.transform(
+            _pins([(row[0], row[1]) for row in VULNERABLE_VERSIONS]),
+            lambda p: found(p["library"], p["version"], F.lit(None).cast("string"), None, 4, F.col("ecosystem")),
+        ),
+    )
+    rows = explode_once(_staged(files), ["path"], checks, "f").select("path", "f.*")
+    # text checks have no ecosystem, so they meet no range
+    held = rows.join(ranges.withColumnRenamed("library", "dependency"), ["ecosystem", "dependency"], "left").filter(
+        F.col("ecosystem").isNull() | version_lt(F.col("version"), F.col("fixed"))
+    )
+    twice = held.withColumn("check_order", F.explode(F.when(F.col("ecosystem").isNull(), F.array("check_order")).otherwise(F.array(F.lit(4), F.lit(5)))))
+    more = advisories.select(
+        F.col("library").alias("dependency"), F.lit(5).alias("check_order"), F.col("cve"), F.col("name"), F.col("severity").alias("premium_severity"),
+        F.lit(True).alias("premium"),
+    )
+    range_rule = F.format_string("SCA Vulnerable Dependency: %s (%s)", F.col("title"), F.col("advisory"))
+    premium = F.format_string("SCA Premium Zero-Day: %s (%s) via L402 AP2", F.col("name"), F.col("cve"))
+    order = F.col("check_order")
     return (
-        license_risk(files)
-        .unionByName(typosquat_hits(files))
-        .unionByName(unstable_pin(files))
-        .unionByName(cve_range_join(files))
-        .unionByName(advisory_enrichment(files, advisories))
+        twice.join(more, ["dependency", "check_order"], "left")
+        .filter((order < 5) | F.col("premium"))
+        .select(
+            "path", "dependency", "version",
+            F.when(order < 4, F.col("rule")).when(order == 4, range_rule).otherwise(premium).alias("rule"),
+            F.when(order < 4, F.col("severity")).when(order == 4, F.col("advisory_severity")).otherwise(F.col("premium_severity")).alias("severity"),
+            "check_order",
+        )
     )

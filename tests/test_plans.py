@@ -79,3 +79,21 @@ def test_matches_sql_twin(spark, name):
     want = sorted(repr(r) for r in cursor.fetchall())
     got = sorted(repr(tuple(r)) for r in entry.queries()[name](spark, SF).select(*columns).collect())
     assert got == want
+
+
+def test_all_findings_read_the_manifests_once_and_equal_the_single_checks(spark, tmp_path):
+    from auditloom.operators import dependencies as deps
+
+    rows = [
+        ("a/requirements.txt", 'requests==0.0.1\nreqeusts\njinja2==3.0\n"license": "GPL-3.0"'), ("b/package.json", '{"lodash": "^1.2.3", "x": "0.1.2"}'),
+        ("c/pom.xml", "<artifactId>log4j-core</artifactId><version>2.14.0</version>"), ("d/go.mod", "lodash 0.9.9"), ("e/setup.py", ""), ("f/setup.py", None),
+    ]
+    spark.createDataFrame(rows, "path STRING, content STRING").write.parquet(f"{tmp_path}/files")
+    files = spark.read.parquet(f"{tmp_path}/files")
+    advisories = spark.createDataFrame([("log4j-core", "C-1", "one", "HIGH"), ("log4j-core", None, None, None), ("requests", "C-2", "two", "LOW")], "library STRING, cve STRING, name STRING, severity STRING")
+    got = deps.all_findings(files, advisories)
+    parts = [deps.license_risk(files), deps.typosquat_hits(files), deps.unstable_pin(files), deps.cve_range_join(files), deps.advisory_enrichment(files, advisories)]
+    want = sorted((tuple(r) for part in parts for r in part.collect()), key=str)
+    assert sorted(map(tuple, got.collect()), key=str) == want and {r[-1] for r in want} == {1, 2, 3, 4, 5}
+    plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("FileScan parquet") == 1
