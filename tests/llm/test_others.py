@@ -61,6 +61,15 @@ def test_heavier_documents_come_first(spark):
     assert n[0] > 2 * n[1]
 
 
+def test_ranges_of_keys_spread_rows_of_any_weight(spark):
+    for weight in (4.0, 1.0, 0.3, 0.05, 0.002):
+        keys = spark.range(20_000).select((-F.log((F.pmod(F.xxhash64("id"), F.lit(1 << 40)) + 1) / F.lit(float(1 << 40))) / weight).alias("key"))
+        rows = keys.withColumn("bucket", sm.key_bucket(F.col("key"), 4096))
+        assert rows.groupBy("bucket").count().agg(F.max("count")).first()[0] <= 20_000 / 150
+        order = [r["bucket"] for r in rows.orderBy("key").collect()]
+        assert order == sorted(order) and order[-1] < 4096
+
+
 # Search
 
 
