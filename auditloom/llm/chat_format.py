@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from auditloom.llm.common import readable
+
 BEGIN = "<s>"
 FRAMES = {"user": ("[INST]", "[/INST]"), "assistant": ("[OUT]", "</s>"), "system": ("[SYS]", "[/SYS]")}
 NAME, BODY = ("[ROLE]", "[/ROLE]"), ("[BODY]", "[/BODY]")
@@ -103,7 +105,7 @@ def format_turns(
     role and text, so repeated rows are turns of their own. A null text or role is empty. Rows with a null conv_id are one
     conversation. Other columns are ignored. Rows of a conversation stay in one partition, in order, and are streamed.
     """
-    role, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (role_col, text_col))
+    role, text = (F.coalesce(readable(c), F.lit("")) for c in (role_col, text_col))
     turns = rows.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), role.alias("role"), text.alias("text"))
     kind = turns.schema["conv_id"].dataType.simpleString()
 

@@ -22,6 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def readable(column: str) -> Column:
+    """The text for Python to read: bytes that are no UTF-8 become U+FFFD, null stays null."""
+    return F.make_valid_utf8(F.col(column).cast("string"))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later steps survive lost executors and work is done once."""
     path = scratch_path(df.sparkSession, name)

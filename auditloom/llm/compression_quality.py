@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.llm.common import first_by_hash, slices, stored
+from auditloom.llm.common import first_by_hash, readable, slices, stored
 
 
 @dataclass
@@ -117,7 +117,7 @@ def fit(
     known = known.dropDuplicates()
     shares = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     chosen = first_by_hash(known, "y", F.xxhash64(F.lit("quality"), "id"), "id", sample_rows).drop("rank")
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.length("text") > 0)
+    texts = docs.select(F.col(id_col).alias("id"), readable(text_col).alias("text")).filter(F.length("text") > 0)
     found = texts.join(F.broadcast(chosen), "id")  # at most 2 * sample_rows ids; an id may have many rows
     sample = stored(first_by_hash(found, "y", F.xxhash64(F.lit("quality"), "id"), "text", sample_rows), "quality-sample")
     n_good, n_bad = shares.get(1, 0), shares.get(0, 0)
@@ -176,4 +176,4 @@ def score(docs: DataFrame, model: CompressionModel, *, id_col: str = "doc_id", t
                 )
 
     schema = f"`{id_col}` {kind.simpleString()}, difference double, score double"
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("id"), readable(text_col).alias("text")).mapInArrow(run, schema)

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from auditloom.llm.common import first_by_hash, slices, stored
+from auditloom.llm.common import first_by_hash, readable, slices, stored
 
 UNDETERMINED = "und"
 EDGES = b".,;:!?\"'()[]{}<>|/\\%&$#*+-=_~`^@0123456789"
@@ -257,7 +257,7 @@ def fit(
     usable = docs.filter(learn & F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
     labelled = usable.select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label")).distinct()
     chosen = first_by_hash(labelled, "label", F.xxhash64(F.lit("lang"), "id"), "id", sample_docs).drop("rank")
-    texts = usable.select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("text"))
+    texts = usable.select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label"), readable(text_col).alias("text"))
     lines = texts.join(F.broadcast(chosen), ["id", "label"]).select("label", F.explode(F.split("text", "\n")).alias("line"))
     kept = first_by_hash(lines.filter(F.length("line") > 0), "label", F.xxhash64("line"), "line", sample_lines)
     rows = stored(kept, "language-lines").orderBy("label", "rank").collect()
@@ -303,4 +303,4 @@ def identify(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", t
                     names=[id_col, "lang_pred", "score", "n_words", "shares"],
                 )
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("id"), readable(text_col).alias("text")).mapInArrow(run, schema)

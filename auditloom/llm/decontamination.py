@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from auditloom.llm.common import slices
+from auditloom.llm.common import readable, slices
 
 _BLANK = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
 
@@ -186,7 +186,7 @@ def find_leaks(
     for every item of the chunk that occurs with at most ``rate`` edits a character (short ones: none): its best occurrence.
     """
     spark = docs.sparkSession
-    rows = docs.select(carry.alias("carried"), F.col(text_col).alias("text"))
+    rows = docs.select(carry.alias("carried"), readable(text_col).alias("text"))
     leak = T.StructType().add("item", item_type).add("distance", T.IntegerType()).add("start", T.IntegerType()).add("end", T.IntegerType())
     schema = T.StructType([rows.schema["carried"], T.StructField("leaks", T.ArrayType(leak))])
     arrow = spark.createDataFrame([], T.StructType([schema["leaks"]])).toArrow().schema.field(0).type
@@ -220,7 +220,7 @@ def contaminated(
     words; items that normalise to nothing, null and empty texts match nothing. Items with equal texts are all reported, equal item rows once, repeated
     documents each. An empty table on either side gives an empty result. Other columns are ignored.
     """
-    chosen = items.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text"))
+    chosen = items.select(F.col(item_col).alias("item"), readable(item_text_col).alias("text"))
     kind = chosen.schema["item"].dataType
     out = None
     for chunk in _chunks(chosen, chunk_chars) if items.head(1) else ():
@@ -247,7 +247,7 @@ def decontaminate(
     chunk_chars: int = 1_000_000,
 ) -> DataFrame:
     """The documents, with all their columns, in which no test item occurs; cases as in ``contaminated``."""
-    chosen = items.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text"))
+    chosen = items.select(F.col(item_col).alias("item"), readable(item_text_col).alias("text"))
     kept = docs
     for chunk in _chunks(chosen, chunk_chars):
         whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.llm.common import cut_points, release_memory, slices, stored, unzip_array, zip_array
+from auditloom.llm.common import cut_points, readable, release_memory, slices, stored, unzip_array, zip_array
 
 MAIN, DELETED, UNSEEN = 0, 1, 2  # part of a document: estimates, weights, neither
 END = np.uint64(xxhash.xxh64_intdigest(b""))  # no word is empty; also the context of a first word
@@ -292,7 +292,7 @@ def interpolated_scores(
     """
     kind = docs.select(id_col).schema[0].dataType
     arrow = docs.sparkSession.createDataFrame([], f"id {kind.simpleString()}").toArrow().schema.field("id").type
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(part, F.lit(UNSEEN)).cast("int").alias("part"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(part, F.lit(UNSEEN)).cast("int").alias("part"), readable(text_col).alias("text"))
     blocks = stored(rows.mapInArrow(_tokenize(arrow, block_bytes), _BLOCK.format(kind=kind.simpleString())), "lm-blocks")
     total_bytes = blocks.agg(F.sum(F.octet_length("hashes") + F.octet_length("tokens"))).first()[0] or 0
     ranges = max(8, -(-3 * total_bytes // range_bytes))

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.llm.common import slices, stored
+from auditloom.llm.common import readable, slices, stored
 from auditloom.llm.components import components
 
 SEED = 42
@@ -60,7 +60,7 @@ def simhash(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                 found = np.array([fingerprint(t, size) for t in part.column("text").to_pylist()], dtype=np.uint64)
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(found.view(np.int64))], names=["id", "fp"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp long")
+    return docs.select(F.col(id_col).alias("id"), readable(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp long")
 
 
 class Forest:

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from auditloom.llm.common import cut_points, release_memory, slices, stored, unzip_array, zip_array
+from auditloom.llm.common import cut_points, readable, release_memory, slices, stored, unzip_array, zip_array
 
 NO_ID = 2**63 - 1  # a null id is larger than all others
 
@@ -481,7 +481,7 @@ def remove_repeats(
     """
     spark = docs.sparkSession
     rows = docs.select(
-        (F.col(id_col) if carry is None else carry).alias("carried"), F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")
+        (F.col(id_col) if carry is None else carry).alias("carried"), F.col(id_col).cast("long").alias("doc"), readable(text_col).alias("text")
     )
     kind = rows.schema["carried"].dataType
     arrow = spark.createDataFrame([], T.StructType([rows.schema["carried"]])).toArrow().schema.field(0).type
