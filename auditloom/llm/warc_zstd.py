@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditloom.llm.common import stored
+from auditloom.llm.common import release_memory, stored
 from auditloom.session import scratch_path
 
 # Fixed values of the two formats.
@@ -249,6 +249,8 @@ def write_archives(
         if out is not None:
             out.close()
             done.append((path, count, size))
+        coder = words = None
+        release_memory()
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*done)], names=["path", "records", "bytes"])
 
@@ -283,6 +285,7 @@ def read_archives(spark: SparkSession, manifest: DataFrame, *, payloads: bool =
                         rows.append((*[None] * 7, path, f"ArchiveError: {error}"))
                 if rows:
                     yield _records(rows)
+                release_memory()
 
     return paths.repartition(tasks, F.xxhash64("path")).mapInArrow(read, RECORD)
 
