@@ -91,3 +91,36 @@ def span_latency(spans: DataFrame) -> DataFrame:
         F.round(F.max("us") / 1000, 3).alias("max_ms"),
         F.round(F.percentile_approx("us", 0.95, 10000) / 1000, 3).alias("p95_ms"),
     )
+
+
+def latency_sketches(spans: DataFrame, k: int = 800) -> DataFrame:
+    """One row a (day, name, tool): counts, sum, maximum and a quantile sketch of the latency in microseconds.
+
+    Rows of any days can be merged later (``merged_latency``) without the spans. With ``k`` of 800 a quantile's rank is off
+    by less than one in a hundred. Spans without a start or an end have no latency and no row.
+    """
+    micros = F.unix_micros("end_ts") - F.unix_micros("start_ts")
+    timed = spans.select(F.to_date("start_ts").alias("day"), "name", F.col("attributes")["tool.name"].alias("tool"), micros.alias("us"))
+    return timed.filter("us IS NOT NULL").groupBy("day", "name", "tool").agg(
+        F.count(F.lit(1)).alias("spans"),
+        F.sum("us").alias("sum_us"),
+        F.max("us").alias("max_us"),
+        F.kll_sketch_agg_bigint("us", k).alias("sketch"),
+    )
+
+
+def merged_latency(sketches: DataFrame, quantiles: dict[str, float] | None = None) -> DataFrame:
+    """Latency by name and tool, in milliseconds, from rows of ``latency_sketches``: exact mean and maximum, estimated quantiles."""
+    wanted = quantiles or {"p50_ms": 0.5, "p95_ms": 0.95, "p99_ms": 0.99}
+    merged = sketches.groupBy("name", "tool").agg(
+        F.sum("spans").alias("spans"),
+        F.sum("sum_us").alias("sum_us"),
+        F.max("max_us").alias("max_us"),
+        F.kll_merge_agg_bigint("sketch").alias("sketch"),
+    )
+    return merged.select(
+        "name", "tool", "spans",
+        F.round(F.col("sum_us") / F.col("spans") / 1000, 3).alias("avg_ms"),
+        F.round(F.col("max_us") / 1000, 3).alias("max_ms"),
+        *[F.round(F.kll_sketch_get_quantile_bigint("sketch", F.lit(q)) / 1000, 3).alias(name) for name, q in wanted.items()],
+    )

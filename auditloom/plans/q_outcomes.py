@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from auditloom.functions.arrays import explode_once
 from auditloom.functions.embedding import text_char_embedding
-from auditloom.operators import clustering, evals, feedback, findings, gates, patches
+from auditloom.operators import clustering, evals, feedback, findings, gates, patches, run_text
 from auditloom.plans import bridges as b
 
 # ---------------------------------------------------------------- clustering
@@ -193,6 +193,9 @@ QUERIES = {
     ).select("case_id", "status", "severity", F.round("total_score", 4).alias("total_score"), "grade", "candidates_count", "winning_model"),
     "accumulate_text": _reports,
     "parse_findings": lambda s, d: findings.parse_findings(_lines(s, d)),
+    "run_lines": lambda s, d: run_text.run_lines(b.agent_events(s, d)),
+    "run_line_findings": lambda s, d: findings.parse_findings(run_text.run_lines(b.agent_events(s, d))),
+    "text_segments": lambda s, d: run_text.text_segments(b.agent_events(s, d), 1000),
     "first_finding_per_key": lambda s, d: findings.first_finding_per_key(findings.parse_findings(_lines(s, d))),
     "audit_metrics": lambda s, d: findings.audit_metrics(_lines(s, d)),
     "last_text_event": _last_text,
@@ -462,6 +465,10 @@ ORACLE = {
         FROM cases c LEFT JOIN best b ON b.case_id = c.case_id AND c.p_partkey % 17 <> 0"""),
     "accumulate_text": _sql(_REP, "SELECT * FROM reports"),
     "parse_findings": _sql(_REP, "SELECT * FROM found"),
+    "run_lines": _sql(_REP, "SELECT report_id, line_no, code FROM lines"),
+    "run_line_findings": _sql(_REP, "SELECT * FROM found"),
+    "text_segments": _sql(_REP, "SELECT report_id, CAST(i AS BIGINT) AS segment_no, substr(text, CAST(i * 1000 + 1 AS BIGINT), 1000) AS text "
+        "FROM (SELECT report_id, text, unnest(range(0, (length(text) + 999) // 1000)) AS i FROM reports) s"),
     "first_finding_per_key": _sql(_REP, "SELECT * FROM firsts"),
     "audit_metrics": _sql(_REP, "SELECT * FROM metrics"),
     "last_text_event": _sql(_REP, """

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from auditloom.operators import policy as ops
 from auditloom.operators import traces
 from auditloom.plans import bridges as b
+from auditloom.session import scratch_path
 
 
 def _decisions(spark, sf):
@@ -13,6 +16,20 @@ def _decisions(spark, sf):
     )
 
 
+def _merged_latency(spark, sf):
+    """Sketches written by day, read back and merged; the estimate is held against the true ranks."""
+    path = scratch_path(spark, "latency")
+    spans = b.spans(spark, sf)
+    traces.latency_sketches(spans).write.partitionBy("day").parquet(path)
+    merged = traces.merged_latency(spark.read.parquet(path), {"p95_ms": 0.95})
+    timed = spans.select("name", F.col("attributes")["tool.name"].alias("tool"), F.round((F.unix_micros("end_ts") - F.unix_micros("start_ts")) / 1000, 3).alias("ms"))
+    ranks = timed.alias("t").join(merged.alias("m"), F.col("t.name").eqNullSafe(F.col("m.name")) & F.col("t.tool").eqNullSafe(F.col("m.tool")))
+    near = ranks.groupBy("m.name", "m.tool", "spans", "avg_ms", "max_ms").agg(
+        ((F.avg((F.col("ms") < F.col("p95_ms")).cast("double")) <= 0.97) & (F.avg((F.col("ms") <= F.col("p95_ms")).cast("double")) >= 0.93)).alias("p95_near")
+    )
+    return near
+
+
 _CALL = ["session_id", "seq", "ts", "agent", "tool"]
 
 QUERIES = {
@@ -30,6 +47,7 @@ QUERIES = {
         "trace_id", "span_id", "name", "status", "start_ts", "end_ts"
     ),
     "span_latency": lambda s, d: traces.span_latency(b.spans(s, d)),
+    "merged_latency": _merged_latency,
 }
 
 _POLICY = ", ".join(f"('{a}', '{t}')" for a, tools in ops.DEFAULT_POLICY.items() for t in tools)
@@ -112,6 +130,10 @@ ORACLE = {
         "SELECT trace_id, span_id, name, status, start_ts, end_ts FROM spans "
         "WHERE trace_id IN (SELECT trace_id FROM kept WHERE retained)"
     ),
+    "merged_latency": _sql(
+        "SELECT name, tool, count(*) AS spans, round(sum(us) / count(*) / 1000, 3) AS avg_ms, round(max(us) / 1000, 3) AS max_ms, true AS p95_near "
+        "FROM timed GROUP BY name, tool"
+    ),
     "span_latency": _sql(
         "SELECT name, tool, count(*) AS spans, round(sum(us) / count(*) / 1000, 3) AS avg_ms, round(max(us) / 1000, 3) AS max_ms, "
         "round(quantile_disc(us, 0.95) / 1000, 3) AS p95_ms FROM timed GROUP BY name, tool"
