@@ -9,21 +9,33 @@ contents.
 Folders of an index, one of each a load (a load that is run again writes the same folders):
 
     files/load=N      repo, path, digest of all files of that load
-    contents/load=N   digest, content of those that no earlier load has
-    postings/load=N   trigram, digest of the same, by bucket of the trigram
+    contents/load=N   digest, content of those that no earlier load has, numbered
+    postings/load=N   trigram and the numbers of the same that have it, by bucket of the trigram
+
+Postings are lists: a row holds the contents of one slice of 32,768 numbers, as offsets in it, so a content costs two bytes a
+different trigram before compression. A search turns them into one bit a content and filters the contents with that, without
+shuffling them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditloom.functions.arrays import explode_once
 from auditloom.functions.lookup import inline_table
 from auditloom.functions.rules import Rule
 from auditloom.operators.scan import keyword_matches, scan, split_lines
 
-_FILES, _CONTENTS, _POSTINGS = "repo string, path string, digest string", "digest string, content string", "trigram string, digest string, bucket int"
+_FILES = "repo string, path string, digest string"
+_CONTENTS = "digest string, content string, slice bigint, place int"
+_LISTS = "trigram string, slice bigint, places array<smallint>"
+_POSTINGS = f"{_LISTS}, bucket int"
+_SLICE = 32_768  # the bits of one bitmap of Spark's
+_CHARS = 4_000_000  # of texts that are cut into trigrams at once
 
 
 def trigrams(literal: str) -> set[str]:
@@ -42,7 +54,7 @@ class CodeIndex:
 
     def _read(self, name: str, schema: str) -> DataFrame:
         paths = [f"{self.folder}/{name}/load={i}" for i in range(self.load + 1)]
-        return self.spark.read.schema(schema).option("basePath", f"{self.folder}/{name}").parquet(*paths).drop("load")
+        return self.spark.read.schema(schema).option("basePath", f"{self.folder}/{name}").parquet(*paths)
 
     @property
     def files(self) -> DataFrame:
@@ -51,31 +63,49 @@ class CodeIndex:
     @property
     def contents(self) -> DataFrame:
         """Each content that a file of this load has, once."""
-        return self._read("contents", _CONTENTS).join(self.files.select("digest").distinct(), "digest", "left_semi")
+        return self._chosen(self._shown())
 
     @property
     def postings(self) -> DataFrame:
         return self._read("postings", _POSTINGS)
 
+    def _shown(self) -> DataFrame:
+        """(load, slice, place) of the contents that a file of this load has."""
+        numbers = self._read("contents", _CONTENTS).select("load", "slice", "place", "digest")
+        return numbers.join(self.files.select("digest").distinct(), "digest", "left_semi").drop("digest")
+
+    def _chosen(self, numbers: DataFrame) -> DataFrame:
+        """(digest, content) of the contents with these numbers; repeats count once.
+
+        The numbers are broadcast as bitmaps, 4 KB for 32,768 contents, so the contents stay where they are.
+        """
+        bits = numbers.groupBy("load", "slice").agg(F.bitmap_construct_agg("place").alias("bits"))
+        byte = F.conv(F.hex(F.substring("bits", F.floor(F.col("place") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        held = F.getbit(byte, F.col("place") % 8) == 1
+        return self._read("contents", _CONTENTS).join(F.broadcast(bits), ["load", "slice"]).filter(held).select("digest", "content")
+
     def bucket(self, trigram):
         return F.pmod(F.xxhash64(trigram), F.lit(self.buckets)).cast("int")
 
     def with_literal(self, literals: list[str]) -> DataFrame:
-        """(digest, literal) of contents that have all trigrams of a literal; every literal needs some."""
+        """(load, slice, place, literal) of contents that have all trigrams of a literal; every literal needs some."""
         wanted = [(t, literal, len(trigrams(literal))) for literal in sorted(set(literals)) for t in sorted(trigrams(literal))]
         asked = inline_table(self.spark, wanted, "trigram string, literal string, size long")
         # few buckets are read, and of them only row groups that can hold a wanted trigram
         names = sorted({t for t, _, _ in wanted})
         buckets = [r[0] for r in inline_table(self.spark, [(t,) for t in names], "t string").select(self.bucket(F.col("t"))).distinct().collect()]
         rows = self.postings.filter(F.col("bucket").isin(buckets) & F.col("trigram").isin(names))
-        counts = rows.join(asked, "trigram").groupBy("digest", "literal", "size").count()
-        return counts.filter("count = size").select("digest", "literal")
+        placed = rows.join(asked, "trigram").select("load", "slice", "literal", "size", F.explode("places").alias("place"))
+        counts = placed.groupBy("load", "slice", "place", "literal", "size").count()
+        return counts.filter("count = size").select("load", "slice", "place", "literal")
 
     def contents_with(self, literals: list[str]) -> DataFrame:
         """Contents that may hold any of the literals; all contents if one of them says nothing."""
         if not all(trigrams(literal) for literal in literals):
             return self.contents
-        return self.contents.join(self.with_literal(literals).select("digest").distinct(), "digest", "left_semi")
+        found = self.with_literal(literals).select("load", "slice", "place").distinct()
+        # contents of the first load that none has changed since are all shown
+        return self._chosen(found if not self.load else found.join(self._shown(), ["load", "slice", "place"], "left_semi"))
 
     def _lines(self, contents: DataFrame) -> DataFrame:
         return split_lines(contents)
@@ -101,6 +131,54 @@ class CodeIndex:
         return found.join(self.files, "digest").select("repo", "path", "line_no", "rule", "content", "severity")
 
 
+def _lists(texts: list[str], slice_no: int, places: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of ``_LISTS`` of texts in one slice, in the order of their places."""
+    codes = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le"), np.uint32)  # a line break parts two texts
+    alphabet = np.flatnonzero(np.bincount(codes))
+    n, size = len(texts), len(alphabet)
+    if n > 1 and size**3 * n >= 2**63:
+        half = n // 2
+        yield from _lists(texts[:half], slice_no, places[:half])
+        yield from _lists(texts[half:], slice_no, places[half:])
+        return
+    owner = np.repeat(np.arange(n, dtype=np.int64), [len(t) + 1 for t in texts])[:-2]
+    letter = np.searchsorted(alphabet, codes).astype(np.int64)
+    grams = (letter[:-2] * size + letter[1:-1]) * size + letter[2:]
+    inside = (codes != 10) & (codes != 13)
+    pairs = np.sort((grams * n + owner)[inside[:-2] & inside[1:-1] & inside[2:]])
+    if not len(pairs):
+        return
+    pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])]
+    grams, owner = pairs // n, pairs % n
+    starts = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
+    found = grams[starts]
+    letters = np.stack([alphabet[found // size**2], alphabet[found // size % size], alphabet[found % size]], 1)
+    written = letters.astype("<u4").tobytes().decode("utf-32-le")
+    yield pa.RecordBatch.from_arrays(
+        [
+            pa.array([written[i : i + 3] for i in range(0, len(written), 3)], pa.string()),
+            pa.array(np.full(len(found), slice_no), pa.int64()),
+            pa.ListArray.from_arrays(np.append(starts, len(owner)).astype(np.int32), pa.array(places[owner].astype(np.int16))),
+        ],
+        names=["trigram", "slice", "places"],
+    )
+
+
+def _posting_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(slice, place, folded) to rows of ``_LISTS``, some millions of characters at once."""
+    for batch in batches:
+        texts = batch.column("folded").to_pylist()
+        slices, places = batch.column("slice").to_numpy(), batch.column("place").to_numpy()
+        first, chars = 0, 0
+        for i, text in enumerate(texts):
+            if i > first and (slices[i] != slices[first] or chars + len(text) > _CHARS):
+                yield from _lists(texts[first:i], slices[first], places[first:i])
+                first, chars = i, 0
+            chars += len(text)
+        if texts:
+            yield from _lists(texts[first:], slices[first], places[first:])
+
+
 def build_index(files: DataFrame, folder: str, load: int = 0, buckets: int = 64) -> CodeIndex:
     """Take in all ``files(repo, path, content)`` of a load; loads are numbered from 0 and written in turn.
 
@@ -116,13 +194,15 @@ def build_index(files: DataFrame, folder: str, load: int = 0, buckets: int = 64)
     if load:
         before = CodeIndex(spark, folder, load - 1, buckets)._read("contents", _CONTENTS).select("digest")
         fresh = fresh.join(before, "digest", "left_anti")
-    fresh.groupBy("digest").agg(F.any_value("content").alias("content")).write.mode("overwrite").parquet(f"{folder}/contents/load={load}")
+    number = F.monotonically_increasing_id()
+    fresh.groupBy("digest").agg(F.any_value("content").alias("content")).withColumn("number", number).select(
+        "digest", "content", F.expr(f"number DIV {_SLICE}").alias("slice"), (F.col("number") % _SLICE).cast("int").alias("place")
+    ).write.mode("overwrite").parquet(f"{folder}/contents/load={load}")
     index = CodeIndex(spark, folder, load, buckets)
     new = spark.read.schema(_CONTENTS).parquet(f"{folder}/contents/load={load}")
-    # a look ahead at every place: linear, where cutting by position would count characters again and again
-    grams = F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit("(?s)(?=([^\\r\\n]{3}))"), 1))
-    rows = explode_once(new, ["digest"], grams, "trigram").withColumn("bucket", index.bucket(F.col("trigram")))
-    rows.select("trigram", "digest", "bucket").repartition("bucket", "trigram").sortWithinPartitions("bucket", "trigram").write.mode("overwrite").partitionBy(
-        "bucket"
-    ).parquet(f"{folder}/postings/load={load}")
+    lists = new.select("slice", "place", F.lower("content").alias("folded")).mapInArrow(_posting_lists, _LISTS)
+    # a bucket of many rows is dealt out over several tasks
+    lists.withColumn("bucket", index.bucket(F.col("trigram"))).hint("rebalance", "bucket").sortWithinPartitions("bucket", "trigram").write.mode(
+        "overwrite"
+    ).partitionBy("bucket").parquet(f"{folder}/postings/load={load}")
     return index

@@ -99,3 +99,15 @@ def test_rules_of_a_stream_may_change_between_triggers(spark):
         rule_table.run_rule_scan(stream, lambda i=i: spark.read.schema(rule_table.RULE_SCHEMA).parquet(f"{table}/version={i}"), out, checkpoint)
         seen = _sorted(spark.read.parquet(f"{out}/batch=*"), "line_no", "rule")
     assert seen == [(0, "own 0"), (1, "own 1")]
+
+
+def test_postings_are_lists_and_contents_stay_where_they_are(spark):
+    rows = [("r", f"f{i}.py", f"text number {i % 7} says αβγ\n{i}") for i in range(300)]
+    index = code_index.build_index(spark.createDataFrame(rows, FILE), scratch_path(spark, "index"))
+    listed = index.postings.select("trigram", F.explode("places").alias("place"))
+    different = listed.select("trigram").distinct().count()
+    assert listed.count() == listed.distinct().count() > 300 * 20 and index.postings.count() <= 4 * different  # a row a trigram and task, not a content
+    found = index.contents_with(["number 3 "])
+    assert found.count() == len([i for i in range(300) if i % 7 == 3])
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
