@@ -172,23 +172,27 @@ def deep_reach(edges: DataFrame, seeds: DataFrame, joins_a_job: int = 8) -> Data
         if 2 ** len(jumps) > forced:  # even a cycle is spanned
             break
         onward = jump.select(F.col("node").alias("to"), F.col("to").alias("next"))
-        jump = cut_lineage(jump.join(onward, "to").select("node", F.col("next").alias("to")))
+        jump = cut_lineage(jump.join(onward.hint("merge"), "to").select("node", F.col("next").alias("to")))
     visited = cut_lineage(seeds.filter("node IS NOT NULL").select("node", F.lit(0).cast("long").alias("depth")).distinct())
     frontier = visited
     while not frontier.isEmpty():
         spread = frontier
         for k in range(len(jumps) - 1, -1, -1):
-            further = spread.join(jumps[k], "node").select(F.col("to").alias("node"), (F.col("depth") + 2**k).alias("depth"))
-            spread = _least(spread.unionByName(further))
+            # a plan that grows by one join a step: a union with the joined rows would hold what is before it twice.
+            # Never a broadcast of the jumps, which look small as files: the driver would hold a table of all nodes for each.
+            ways = spread.join(jumps[k].hint("merge"), "node", "left").select(
+                F.explode(F.expr(f"array(struct(node, depth), struct(to AS node, depth + {2**k}L AS depth))")).alias("way")
+            )
+            spread = _least(ways.select("way.*").filter("node IS NOT NULL"))
             if k % joins_a_job == 0:
                 spread = cut_lineage(spread)
         known = visited.withColumnRenamed("depth", "__old")
         better = F.col("__old").isNull() | (F.col("depth") < F.col("__old"))
         # the frontier's own nodes are visited already, at this depth
-        gained = cut_lineage(spread.join(known, "node", "left").filter(better).select("node", "depth"))
+        gained = cut_lineage(spread.join(known.hint("merge"), "node", "left").filter(better).select("node", "depth"))
         visited = cut_lineage(_least(visited.unionByName(gained)))
-        crossed = gained.unionByName(frontier).join(branches, F.col("node") == F.col("source")).select(F.col("target").alias("node"), (F.col("depth") + 1).alias("depth"))
+        crossed = gained.unionByName(frontier).join(branches.hint("merge"), F.col("node") == F.col("source")).select(F.col("target").alias("node"), (F.col("depth") + 1).alias("depth"))
         known = visited.withColumnRenamed("depth", "__old")
-        frontier = cut_lineage(_least(crossed).join(known, "node", "left").filter(better).select("node", "depth"))
+        frontier = cut_lineage(_least(crossed).join(known.hint("merge"), "node", "left").filter(better).select("node", "depth"))
         visited = cut_lineage(_least(visited.unionByName(frontier)))
     return visited.withColumn("depth", F.col("depth").cast("int"))

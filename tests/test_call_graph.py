@@ -124,3 +124,11 @@ def test_deep_reach_equals_breadth_first_on_mixed_graphs(spark):
         seeds = ["n3", "n7", "absent"]
         assert _deep(spark, edges, seeds) == _breadth_first([e for e in edges if None not in e], seeds)
     assert _deep(spark, [], ["a"]) == {"a": 0}
+
+
+def test_plans_of_deep_reach_stay_small(spark, monkeypatch):
+    plans, cut = [], graph.cut_lineage
+    monkeypatch.setattr(graph, "cut_lineage", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    edges = [(f"c{i}", f"c{i + 1}") for i in range(600)] + [("c300", "d0"), ("d0", "c1")]
+    assert _deep(spark, edges, ["c0"]) == _breadth_first(edges, ["c0"])
+    assert max(p.count("Scan parquet") for p in plans) <= 10 and not any("BroadcastHashJoin" in p for p in plans[4:])
