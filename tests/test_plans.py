@@ -97,3 +97,12 @@ def test_all_findings_read_the_manifests_once_and_equal_the_single_checks(spark,
     assert sorted(map(tuple, got.collect()), key=str) == want and {r[-1] for r in want} == {1, 2, 3, 4, 5}
     plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert plan.count("FileScan parquet") == 1
+
+
+def test_rows_that_become_programs_manifests_or_patches_are_dealt_out(spark):
+    from auditloom.plans import registry
+
+    for name in ("lint_empty_except", "score_patch", "dependency_versions", "numbered_error_trace"):
+        frame = registry.all_queries()[name](spark, "/root/testdata/sf0.001")
+        sizes = [r["count"] for r in frame.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()]
+        assert len(sizes) >= 8 and max(sizes) < sum(sizes) / 3, name  # a single file, a single row group
