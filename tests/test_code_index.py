@@ -111,3 +111,17 @@ def test_postings_are_lists_and_contents_stay_where_they_are(spark):
     assert found.count() == len([i for i in range(300) if i % 7 == 3])
     plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+
+
+def test_rules_that_stay_a_table_find_the_same(spark):
+    rows = _files(3) + [("r", "own.py", "Word3 = 1\nword7=2 word3=5\nword11 12345\nalphabeta 𝒳𝒴𝒵w"), ("r", "long.py", "x " * 40 + "end")]
+    lines = scan.split_lines(spark.createDataFrame(rows, FILE)).withColumn("rule_no", F.lit(1))
+    own = _own_rules(30) + [Rule("long", r"x{1} end", "own", "LOW", ("x " * 30 + "end", "x " * 35 + "end")), Rule("wide", "𝒴", "own", "LOW", ("𝒳𝒴𝒵w", "none"))]
+    for chosen in (RULES + own, own[:5]):
+        table = rule_table.rule_rows(spark, chosen)
+        columns = ["repo", "path", "line_no", "rule_no", "rule", "content", "severity"]
+        got = rule_table.scan_rule_table(lines, table, held_rules=2)
+        assert got.columns == columns and _sorted(got, *columns) == _sorted(rule_table.scan_rule_table(lines, table), *columns)
+    many = spark.range(250_000).selectExpr("concat('r', id) AS rule", "concat('word', id, '\\\\s*=') AS pattern", "'LOW' AS severity", "array(concat('word', id)) AS needs")
+    found = rule_table.scan_rule_table(lines.filter("path = 'own.py'"), many)  # once over the limit of all rules
+    assert _sorted(found, "line_no", "rule") == [(2, "r3"), (2, "r7")]
