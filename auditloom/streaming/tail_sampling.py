@@ -4,6 +4,9 @@ Spans are reduced to a few flags and their JSON in the JVM; the state of a trace
 decided when its root arrives; the verdict stays in state, and spans that come later follow it. No row is dropped: there is
 no watermark. With a ``patience``, spans of a trace whose root has not come by then leave as ``no_root``; their flags stay and
 count when it comes. ``bounded_sampling`` does the same with verdicts in files instead of state.
+
+Without a patience no trace has a timer of its own, and many traces share a state: a call of the Python processor handles a
+bucket of them at once, where a call a trace would spend nearly all its time on the way there and back.
 """
 
 from __future__ import annotations
@@ -90,18 +93,64 @@ class TailSampler(StatefulProcessor):
         pass
 
 
-def stream_tail_outcomes(spans: DataFrame, threshold: int = 3, patience_ms: int | None = None) -> DataFrame:
+class BucketSampler(StatefulProcessor):
+    """``TailSampler`` for a bucket of traces, without timers."""
+
+    def __init__(self, threshold: int):
+        self.threshold = threshold
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.waiting = handle.getListState("waiting", f"trace_id string, {_STATE}")
+        self.verdicts = handle.getListState("verdicts", "trace_id string, outcome string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        columns = ["trace_id", *_FLAGS, "span"]
+        arrived = pd.concat(list(rows), ignore_index=True)[columns]
+        known = dict(tuple(r) for r in self.verdicts.get())
+        outcome = pd.Series([known.get(t) for t in arrived["trace_id"]], index=arrived.index, dtype=object)
+        late = outcome.notna()
+        if late.any():
+            yield arrived.loc[late, ["trace_id", "span"]].assign(outcome=outcome[late])[["trace_id", "outcome", "span"]]
+        arrived = arrived[~late]
+        rooted = set(arrived.loc[arrived["is_root"], "trace_id"])
+        if not rooted:
+            self._wait(arrived, self.waiting.appendList)
+            return
+        earlier = pd.DataFrame([tuple(r) for r in self.waiting.get()], columns=columns)
+        spans = pd.concat([earlier, arrived], ignore_index=True) if len(earlier) else arrived
+        decided = pd.Series([t in rooted for t in spans["trace_id"]], index=spans.index)
+        left = spans[decided]
+        flags = left[_FLAGS].astype(int).groupby(left["trace_id"], dropna=False).sum()
+        kept = (flags["is_error"] > 0) | (flags["is_policy"] > 0) | (flags["is_sandbox"] >= self.threshold) | (flags["is_model"] >= self.threshold)
+        fresh = {None if pd.isna(t) else t: "kept" if k else "dropped" for t, k in kept.items()}
+        self.verdicts.appendList(list(fresh.items()))
+        self.waiting.clear()
+        self._wait(spans[~decided], self.waiting.put)
+        yield pd.DataFrame({"trace_id": left["trace_id"], "outcome": [fresh[t] for t in left["trace_id"]], "span": left["span"]})
+
+    @staticmethod
+    def _wait(spans: pd.DataFrame, store) -> None:
+        if len(spans):
+            store(list(spans.itertuples(index=False, name=None)))
+
+    def close(self) -> None:
+        pass
+
+
+def stream_tail_outcomes(spans: DataFrame, threshold: int = 3, patience_ms: int | None = None, buckets: int = 1024) -> DataFrame:
     """Every span of a stream once its trace is decided: ``outcome`` (kept, dropped, no_root) and the columns of spans.
 
     ``patience_ms`` is how long, in processing time, a trace waits for its root after its last span; None (the default) waits
-    for ever. With timers a query goes on running batches, so it needs a trigger that is not ``availableNow``.
+    for ever, with traces in ``buckets``, a number that a stream keeps for life. With timers a query goes on running batches, so it needs a trigger that is not ``availableNow``.
     """
     use_rocksdb(spans.sparkSession)
-    mode = "none" if patience_ms is None else "processingTime"
     facts = spans.select(*fact_columns(), F.to_json(F.struct(*spans.columns), _TIME).alias("span"))
-    decided = facts.groupBy("trace_id").transformWithStateInPandas(
-        TailSampler(threshold, patience_ms), "trace_id string, outcome string, span string", "append", mode
-    )
+    output = "trace_id string, outcome string, span string"
+    if patience_ms is None:
+        bucketed = facts.withColumn("bucket", F.pmod(F.xxhash64("trace_id"), F.lit(buckets))).groupBy("bucket")
+        decided = bucketed.transformWithStateInPandas(BucketSampler(threshold), output, "append", "none")
+    else:
+        decided = facts.groupBy("trace_id").transformWithStateInPandas(TailSampler(threshold, patience_ms), output, "append", "processingTime")
     return decided.select("outcome", F.from_json("span", SPAN_SCHEMA, _TIME).alias("s")).select("outcome", "s.*")
 
 

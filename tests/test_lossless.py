@@ -93,3 +93,21 @@ def test_spans_without_a_root_leave_after_the_patience(spark):
     finally:
         query.stop()
     assert sorted((r["trace_id"], r["span_id"], r["outcome"]) for r in spark.table("tail_patience").collect()) == [("lost", "a", "no_root"), ("lost", "b", "no_root")]
+
+
+def test_a_call_of_the_sampler_handles_many_traces(spark, monkeypatch):
+    calls = spark.sparkContext.accumulator(0)
+    plain = tail_sampling.BucketSampler.handleInputRows
+
+    class Counted(tail_sampling.BucketSampler):
+        def handleInputRows(self, key, rows, timerValues):
+            calls.add(1)
+            yield from plain(self, key, rows, timerValues)
+
+    monkeypatch.setattr(tail_sampling, "BucketSampler", Counted)
+    spans = [_span(f"t{i}", "a", "r", status="ERROR" if i % 2 else "OK") for i in range(60)]
+    roots = [_span(f"t{i}", "r", None) for i in range(50)]
+    stream = tail_sampling.stream_tail_outcomes(_files(spark, spans, roots, spans[:5]), buckets=4)
+    left = [(r["trace_id"], r["outcome"]) for r in run.run_available(stream).collect()]
+    assert sorted(left) == sorted([(f"t{i}", "kept" if i % 2 else "dropped") for i in [*range(50), *range(50), *range(5)]])
+    assert calls.value <= 12
