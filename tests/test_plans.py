@@ -106,3 +106,17 @@ def test_rows_that_become_programs_manifests_or_patches_are_dealt_out(spark):
         frame = registry.all_queries()[name](spark, "/root/testdata/sf0.001")
         sizes = [r["count"] for r in frame.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()]
         assert len(sizes) >= 8 and max(sizes) < sum(sizes) / 3, name  # a single file, a single row group
+
+
+def test_parts_of_a_stream_are_written_by_all_tasks_in_their_order(spark):
+    from auditloom.plans import q_flows
+    from auditloom.session import scratch_path
+    from auditloom.streaming import run
+
+    rows, out, checkpoint = spark.range(0, 4000, 1, 4), scratch_path(spark, "out"), scratch_path(spark, "checkpoint")
+    for i, stream in enumerate(q_flows._in_parts(rows, "parts", F.col("id") % 3, 3)):
+        run.run_to_files(stream.withColumn("file", F.col("_metadata.file_name")), out, checkpoint)
+        got = spark.read.parquet(out)
+        assert {r[0] for r in got.select(F.col("id") % 3).distinct().collect()} == set(range(i + 1))
+        assert got.filter(F.col("id") % 3 == i).select("file").distinct().count() > 1
+    assert got.count() == got.select("id").distinct().count() == 4000

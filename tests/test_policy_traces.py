@@ -96,3 +96,15 @@ def test_stream_tail_sampling_equals_batch(spark):
     columns = ["trace_id", "span_id", "name", "status", "start_ts", "end_ts"]
     got = sorted(map(tuple, out.select(*columns).collect()))
     assert got == sorted(map(tuple, traces.retained_spans(spans).select(*columns).collect()))
+
+
+def test_sessions_share_a_call_of_the_stream_processor(spark):
+    path, buckets = scratch_path(spark, "calls"), 1
+    for seq in (1, 2, 3, 4):
+        _calls(spark).filter(f"seq = {seq}").replace("c", None, "session_id").coalesce(1).write.mode("append").parquet(path)
+    stream = run.read_stream(spark, path, TOOL_CALL_SCHEMA, files_per_trigger=2)
+    out = run.run_available(quarantine.stream_quarantine(stream, policy.policy_table(spark), buckets=buckets))
+    want = {(s if s != "c" else None, n): d for (s, n), d in WANT.items()}
+    rows = out.collect()
+    assert {(r["session_id"], r["seq"]): r["decision"] for r in rows} == want and len(rows) == len(want)
+    assert {r["offending_args"] for r in rows if r["decision"] == "ANOMALY"} == {'{"x":"rm -rf /"}', '{"x":"run adversarial_vibes"}'}
