@@ -41,20 +41,40 @@ def version_key(version: Column) -> Column:
     return F.array_join(parts, "")
 
 
-def _numbered(pins: DataFrame, ranges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Distinct (library, key) of pins and range ends by number; distinct ranges' ends; both checkpointed.
+def _lo_key(introduced: Column) -> Column:
+    return F.coalesce(version_key(introduced), F.lit(""))
+
+
+def _hi_key(fixed: Column) -> Column:
+    # sorts behind every key: keys hold digits only
+    return F.coalesce(version_key(fixed), F.lit("~"))
+
+
+def _pinned(pins: DataFrame) -> DataFrame:
+    """(ecosystem, library, version, key) of the different pinned versions, written once."""
+    distinct = pins.filter(F.col("version").isNotNull()).select(*_LIBRARY, "version").distinct()
+    return cut_lineage(distinct.withColumn("key", version_key(F.col("version"))))
+
+
+def _different(ranges: DataFrame, pinned: DataFrame, *more: str) -> DataFrame:
+    """Different ranges of pinned libraries with the keys of their ends and their number of rows, written once.
+
+    Equal rows are counted as text first: a key is worked out for each different range, not for each advisory.
+    """
+    asked = ranges.join(pinned.select(*_LIBRARY).distinct(), _LIBRARY, "left_semi")
+    counted = asked.groupBy(*_LIBRARY, "introduced", "fixed", *more).agg(F.count(F.lit(1)).alias("rows"))
+    keys = {"lo_key": _lo_key(F.col("introduced")), "hi_key": _hi_key(F.col("fixed"))}
+    return cut_lineage(counted.withColumns(keys)).filter("lo_key < hi_key")
+
+
+def _numbered(pinned: DataFrame, different: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Distinct (library, key) of pins and range ends by number; the pins; distinct ranges' ends.
 
     The start of each library is an end of its own (the empty key), so that open ranges have somewhere to begin, and so is a
     place behind all its versions.
     """
-    asked = pins.filter(F.col("version").isNotNull()).select(*_LIBRARY, version_key(F.col("version")).alias("key")).distinct()
-    ends = ranges.select(
-        *_LIBRARY,
-        F.coalesce(version_key(F.col("introduced")), F.lit("")).alias("lo_key"),
-        # sorts behind every key: keys hold digits only
-        F.coalesce(version_key(F.col("fixed")), F.lit("~")).alias("hi_key"),
-    )
-    ends = ends.join(asked.select(*_LIBRARY).distinct(), _LIBRARY, "left_semi").filter("lo_key < hi_key").distinct()
+    asked = pinned.select(*_LIBRARY, "key").distinct()
+    ends = different.select(*_LIBRARY, "lo_key", "hi_key").distinct()
     keys = asked.unionByName(ends.select(*_LIBRARY, F.explode(F.array("lo_key", "hi_key")).alias("key"))).distinct()
     numbered = with_order_number(keys, [*_LIBRARY, "key"])
     numbered = cut_lineage(numbered)
@@ -72,7 +92,9 @@ def range_hits(pins: DataFrame, ranges: DataFrame) -> DataFrame:
     each power of two up to the number of versions, a range is at most two blocks a power. Null versions and libraries hit
     nothing. Columns that both have, other than the library, must be renamed by the caller.
     """
-    numbered, versions, intervals = _numbered(pins, ranges)
+    pinned = _pinned(pins)
+    different = _different(ranges, pinned)
+    numbered, versions, intervals = _numbered(pinned, different)
     levels = max(1, int(numbered.count()).bit_length())
     level = F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level")
     left = F.expr("shiftright(lo + shiftleft(1L, level) - 1, level)")
@@ -83,14 +105,15 @@ def range_hits(pins: DataFrame, ranges: DataFrame) -> DataFrame:
     blocks = ends.select(*_LIBRARY, "lo_key", "hi_key", "level", F.explode(wanted).alias("block"))
     asked = versions.select(*_LIBRARY, "key", "n", level).withColumn("block", F.expr("shiftright(n, level)")).drop("n")
     pairs = asked.join(blocks, [*_LIBRARY, "level", "block"]).select(*_LIBRARY, "key", "lo_key", "hi_key")
-    keyed = ranges.withColumns(
-        {
-            "lo_key": F.coalesce(version_key(F.col("introduced")), F.lit("")),
-            "hi_key": F.coalesce(version_key(F.col("fixed")), F.lit("~")),
-        }
+    # what a version and a different range have in common is settled before the rows of both come in
+    held = pairs.join(different, [*_LIBRARY, "lo_key", "hi_key"]).select(*_LIBRARY, "key", "introduced", "fixed")
+    held = held.join(pinned, [*_LIBRARY, "key"]).select(*[F.col(c).alias(f"__{c}") for c in (*_LIBRARY, "version", "introduced", "fixed")])
+    of_pin = [c for c in pins.columns if c not in _LIBRARY]
+    held = pins.withColumnsRenamed({c: f"__pin_{c}" for c in _LIBRARY}).join(
+        held, (F.col("__pin_ecosystem") == F.col("__ecosystem")) & (F.col("__pin_library") == F.col("__library")) & (F.col("version") == F.col("__version"))
     )
-    held = pairs.join(keyed, [*_LIBRARY, "lo_key", "hi_key"]).drop("lo_key", "hi_key")
-    return pins.withColumn("key", version_key(F.col("version"))).join(held, [*_LIBRARY, "key"]).drop("key")
+    same = (F.col("ecosystem") == F.col("__ecosystem")) & (F.col("library") == F.col("__library")) & F.col("introduced").eqNullSafe(F.col("__introduced")) & F.col("fixed").eqNullSafe(F.col("__fixed"))
+    return ranges.join(held, same).select(*_LIBRARY, *of_pin, *[c for c in ranges.columns if c not in _LIBRARY])
 
 
 def exposure(pins: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -100,24 +123,18 @@ def exposure(pins: DataFrame, ranges: DataFrame) -> DataFrame:
     come last, as null) and ``safe_version``: the least range end from which on, for a while, no range holds; null if there
     is none. Ranges need a ``severity`` column. Null versions are left out.
     """
-    numbered, versions, _ = _numbered(pins, ranges)
-    asked = pins.select(*_LIBRARY).distinct()
-    keyed = ranges.join(asked, _LIBRARY, "left_semi").select(
-        *_LIBRARY,
-        F.coalesce(version_key(F.col("introduced")), F.lit("")).alias("lo_key"),
-        F.coalesce(version_key(F.col("fixed")), F.lit("~")).alias("hi_key"),
-        "severity",
-        "fixed",
-    ).filter("lo_key < hi_key")
-    marks = [(F.col("severity").eqNullSafe(F.lit(s))).cast("long").alias(s) for s in SEVERITIES]
+    pinned = _pinned(pins)
+    different = _different(ranges, pinned, "severity")
+    numbered, versions, _ = _numbered(pinned, different)
+    marks = [F.when(F.col("severity").eqNullSafe(F.lit(s)), F.col("rows")).otherwise(F.lit(0)).alias(s) for s in SEVERITIES]
     change = F.explode(
         F.array(
             F.struct(F.col("lo_key").alias("key"), F.lit(1).cast("long").alias("step"), F.lit(None).cast("string").alias("end")),
             F.struct(F.col("hi_key").alias("key"), F.lit(-1).cast("long").alias("step"), F.col("fixed").alias("end")),
         )
     ).alias("c")
-    steps = keyed.select(*_LIBRARY, *marks, change).groupBy(*_LIBRARY, F.col("c.key").alias("key")).agg(
-        F.sum("c.step").alias("all"), *[F.sum(F.col("c.step") * F.col(s)).alias(s) for s in SEVERITIES], F.min("c.end").alias("end")
+    steps = different.select(*_LIBRARY, "rows", *marks, change).groupBy(*_LIBRARY, F.col("c.key").alias("key")).agg(
+        F.sum(F.col("c.step") * F.col("rows")).alias("all"), *[F.sum(F.col("c.step") * F.col(s)).alias(s) for s in SEVERITIES], F.min("c.end").alias("end")
     )
     swept = numbered.join(steps, [*_LIBRARY, "key"], "left").na.fill(0, ["all", *SEVERITIES])
     bucket = F.shiftright("n", 14)
@@ -134,5 +151,4 @@ def exposure(pins: DataFrame, ranges: DataFrame) -> DataFrame:
     found = held.join(ends, "next_free", "left").select(
         *_LIBRARY, "key", F.col("n_all").alias("advisories"), severity.alias("severity"), "safe_version"
     )
-    distinct = pins.select(*_LIBRARY, "version").distinct().withColumn("key", version_key(F.col("version")))
-    return distinct.join(found, [*_LIBRARY, "key"]).drop("key")
+    return pinned.join(found, [*_LIBRARY, "key"]).drop("key")

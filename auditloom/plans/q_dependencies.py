@@ -8,6 +8,7 @@ from auditloom.operators import dependencies as ops
 from auditloom.operators import version_ranges
 from auditloom.operators.scan import file_filter
 from auditloom.plans import bridges as b
+from auditloom.session import cut_lineage
 
 
 def _files(spark, sf):
@@ -36,7 +37,7 @@ def _pins(spark, sf):
 
 def _range_hits(spark, sf):
     """Each version that is pinned anywhere with each advisory whose range holds it."""
-    versions = _pins(spark, sf).select("ecosystem", "library", "version").distinct()
+    versions = cut_lineage(_pins(spark, sf).select("ecosystem", "library", "version").distinct())
     return version_ranges.range_hits(versions, b.run(spark, sf, b.ADVISORY_RANGES_SQL)).drop("severity")
 
 

@@ -103,3 +103,17 @@ def test_a_hundred_thousand_ranges_of_one_library(spark):
     assert got == {f"f{i}": f"A{i * 29}" for i in range(4000) if i * 29 < 100_000} and time.time() - start < 120
     exposed = vr.exposure(pins, ranges).agg(F.count("*"), F.max("advisories"), F.min("safe_version"), F.max("safe_version")).first()
     assert tuple(exposed) == (len(got), 1, "1.100000", "1.100000")
+
+
+def test_keys_are_worked_out_for_different_ranges_only(spark):
+    pins, ranges = _tables(spark, 6)
+    many = ranges.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(40))))
+    pinned = vr._pinned(pins)
+    different = vr._different(many, pinned, "severity")
+    held = ranges.filter("library <> 'nobody'").select("ecosystem", "library", "introduced", "fixed", "severity").distinct()
+    assert different.agg(F.sum("rows")).first()[0] % 40 == 0 and different.count() <= held.count()
+    for found in (vr.range_hits(pins, many), vr.exposure(pins, many)):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "RLIKE" not in plan and "lpad" not in plan  # no key of a row of either table is left to do
+    got, once = vr.range_hits(pins, many), vr.range_hits(pins, ranges)
+    assert got.count() == 40 * once.count() > 0
