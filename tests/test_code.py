@@ -195,3 +195,19 @@ def test_readers(spark, tmp_path):
     assert readers.read_session_logs(spark, str(tmp_path / "s.json")).count() == 1
     (tmp_path / "t.json").write_text('{"eval_cases": [{"eval_case_id": "free"}, {"eval_case_id": "x", "agent_data": {"turns": []}}]}')
     assert readers.read_eval_traces(spark, str(tmp_path / "t.json")).count() == 2
+
+
+def test_texts_that_nobody_asks_for_are_not_carried_to_the_best_patch(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(60).select(
+        F.format_string("c%d", F.col("id") % 7).alias("case_id"), "id", (F.col("id") % 3).cast("double").alias("total_score"),
+        F.when(F.col("id") % 2 == 0, F.col("id")).alias("candidate_no"), F.when(F.col("id") % 4 > 0, F.concat(F.lit("text "), "id")).alias("patched_code"),
+    )
+    best = patches.best_patch(rows)
+    plan = best.select("case_id", "candidate_no", "candidates_count")._jdf.queryExecution().optimizedPlan().toString()
+    assert "patched_code" not in plan
+    for row in best.collect():  # all columns are of one row, nulls among them
+        assert row["patched_code"] == (f"text {row['id']}" if row["id"] % 4 else None)
+        assert row["candidate_no"] == (row["id"] if row["id"] % 2 == 0 else None)
+        assert row["total_score"] == 2.0
