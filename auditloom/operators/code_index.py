@@ -8,13 +8,16 @@ contents.
 
 Folders of an index, one of each a load (a load that is run again writes the same folders):
 
-    files/load=N      repo, path, digest of all files of that load
+    files/load=N      repo, path, digest and size of all files of that load
     contents/load=N   digest, content of those that no earlier load has, numbered
     postings/load=N   trigram and the numbers of the same that have it, by bucket of the trigram
 
 Postings are lists: a row holds the contents of one slice of 32,768 numbers, as offsets in it, so a content costs two bytes a
-different trigram before compression. A search turns them into one bit a content and filters the contents with that, without
-shuffling them.
+different trigram before compression. A search sends the lists of the trigrams it asks for to the tasks of their slices, turns
+them into one bit a content there, and filters the contents with that, without shuffling them.
+
+A load does not shuffle contents that no other file and no earlier load has: bitmaps over hashes of the digests tell them
+apart, and only what they leave open is grouped by its digest.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditloom.functions.lookup import inline_table
@@ -36,6 +39,8 @@ _LISTS = "trigram string, slice bigint, places array<smallint>"
 _POSTINGS = f"{_LISTS}, bucket int"
 _SLICE = 32_768  # the bits of one bitmap of Spark's
 _CHARS = 4_000_000  # of texts that are cut into trigrams at once
+_BYTES = 2**25  # of contents that are numbered in a task at least: slices are to be full
+_MARKS = 2_048  # bitmaps, 8 MB, over the hashes of a load's digests
 
 
 def trigrams(literal: str) -> set[str]:
@@ -63,49 +68,54 @@ class CodeIndex:
     @property
     def contents(self) -> DataFrame:
         """Each content that a file of this load has, once."""
-        return self._chosen(self._shown())
+        # contents of the first load that none has changed since are all shown
+        return self._chosen(self._shown()) if self.load else self._read("contents", _CONTENTS).select("digest", "content")
 
     @property
     def postings(self) -> DataFrame:
         return self._read("postings", _POSTINGS)
 
     def _shown(self) -> DataFrame:
-        """(load, slice, place) of the contents that a file of this load has."""
+        """(load, slice, bits) of the contents that a file of this load has."""
         numbers = self._read("contents", _CONTENTS).select("load", "slice", "place", "digest")
-        return numbers.join(self.files.select("digest").distinct(), "digest", "left_semi").drop("digest")
+        shown = numbers.join(self.files.select("digest").distinct(), "digest", "left_semi")
+        return shown.groupBy("load", "slice").agg(F.bitmap_construct_agg("place").alias("bits"))
 
-    def _chosen(self, numbers: DataFrame) -> DataFrame:
-        """(digest, content) of the contents with these numbers; repeats count once.
+    def _chosen(self, bits: DataFrame) -> DataFrame:
+        """(digest, content) of the contents whose bits are set.
 
-        The numbers are broadcast as bitmaps, 4 KB for 32,768 contents, so the contents stay where they are.
+        The bitmaps are broadcast, 4 KB for 32,768 contents, so the contents stay where they are.
         """
-        bits = numbers.groupBy("load", "slice").agg(F.bitmap_construct_agg("place").alias("bits"))
-        byte = F.conv(F.hex(F.substring("bits", F.floor(F.col("place") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-        held = F.getbit(byte, F.col("place") % 8) == 1
-        return self._read("contents", _CONTENTS).join(F.broadcast(bits), ["load", "slice"]).filter(held).select("digest", "content")
+        numbered = self._read("contents", _CONTENTS).join(F.broadcast(bits), ["load", "slice"])
+        return numbered.filter(_bit("bits", "place")).select("digest", "content")
 
     def bucket(self, trigram):
         return F.pmod(F.xxhash64(trigram), F.lit(self.buckets)).cast("int")
 
     def with_literal(self, literals: list[str]) -> DataFrame:
-        """(load, slice, place, literal) of contents that have all trigrams of a literal; every literal needs some."""
+        """(load, slice, literal, bits) of contents that have all trigrams of a literal; every literal needs some."""
         wanted = [(t, literal, len(trigrams(literal))) for literal in sorted(set(literals)) for t in sorted(trigrams(literal))]
         asked = inline_table(self.spark, wanted, "trigram string, literal string, size long")
         # few buckets are read, and of them only row groups that can hold a wanted trigram
         names = sorted({t for t, _, _ in wanted})
         buckets = [r[0] for r in inline_table(self.spark, [(t,) for t in names], "t string").select(self.bucket(F.col("t"))).distinct().collect()]
         rows = self.postings.filter(F.col("bucket").isin(buckets) & F.col("trigram").isin(names))
-        placed = rows.join(asked, "trigram").select("load", "slice", "literal", "size", F.explode("places").alias("place"))
-        counts = placed.groupBy("load", "slice", "place", "literal", "size").count()
-        return counts.filter("count = size").select("load", "slice", "place", "literal")
+        # lists travel once, as they are; what is made of a slice stays in its task
+        lists = rows.select("load", "slice", "trigram", "places").repartition("load", "slice")
+        placed = lists.select("load", "slice", "trigram", F.explode("places").alias("place"))
+        held = placed.groupBy("load", "slice", "trigram").agg(F.bitmap_construct_agg("place").alias("held"))
+        both = held.join(asked, "trigram").groupBy("load", "slice", "literal", "size").agg(F.count(F.lit(1)).alias("n"), F.bitmap_and_agg("held").alias("bits"))
+        return both.filter("n = size").select("load", "slice", "literal", "bits")
 
     def contents_with(self, literals: list[str]) -> DataFrame:
         """Contents that may hold any of the literals; all contents if one of them says nothing."""
         if not all(trigrams(literal) for literal in literals):
             return self.contents
-        found = self.with_literal(literals).select("load", "slice", "place").distinct()
-        # contents of the first load that none has changed since are all shown
-        return self._chosen(found if not self.load else found.join(self._shown(), ["load", "slice", "place"], "left_semi"))
+        found = self.with_literal(literals).groupBy("load", "slice").agg(F.bitmap_or_agg("bits").alias("bits"))
+        if self.load:
+            shown = found.unionByName(self._shown()).groupBy("load", "slice")
+            found = shown.agg(F.count(F.lit(1)).alias("n"), F.bitmap_and_agg("bits").alias("bits")).filter("n = 2")
+        return self._chosen(found.select("load", "slice", "bits"))
 
     def _lines(self, contents: DataFrame) -> DataFrame:
         return split_lines(contents)
@@ -131,6 +141,34 @@ class CodeIndex:
         return found.join(self.files, "digest").select("repo", "path", "line_no", "rule", "content", "severity")
 
 
+def _bit(bits: str, place: str) -> Column:
+    """Whether the bit at ``place`` of a bitmap is set."""
+    byte = F.conv(F.hex(F.substring(bits, F.floor(F.col(place) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.getbit(byte, F.col(place).cast("int") % 8) == 1
+
+
+def _hashed(digest: str) -> list[Column]:
+    """(mark, at): the bitmap of a digest's hash and the place in it."""
+    number = F.pmod(F.xxhash64(digest), F.lit(_SLICE * _MARKS))
+    return [F.floor(number / _SLICE).alias("mark"), (number % _SLICE).alias("at")]
+
+
+def _marks(digests: DataFrame, before: DataFrame) -> DataFrame:
+    """(mark, alone, open): bitmaps over the hashes of ``digests``, one row a file, of which no load in ``before`` has one.
+
+    ``alone``: one file has the hash and nothing else does. ``open``: contents of this hash are new, but one at least is a copy
+    or shares its hash with another one. Hashes without a new content are in neither.
+    """
+    files = digests.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).withColumn("old", F.lit(0))
+    known = files.unionByName(before.select("digest", F.lit(0).alias("n"), F.lit(1).alias("old")))
+    found = known.groupBy("digest").agg(F.sum("n").alias("n"), F.max("old").alias("old")).select(*_hashed("digest"), "n", "old")
+    hashes = found.groupBy("mark", "at").agg(F.sum("n").alias("n"), F.max("old").alias("old"), F.bool_or(F.expr("n > 0 AND old = 0")).alias("fresh"))
+    alone = F.expr("fresh AND n = 1 AND old = 0")
+    return hashes.filter("fresh").groupBy("mark").agg(
+        F.bitmap_construct_agg(F.when(alone, F.col("at"))).alias("alone"), F.bitmap_construct_agg(F.when(~alone, F.col("at"))).alias("open")
+    )
+
+
 def _lists(texts: list[str], slice_no: int, places: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Rows of ``_LISTS`` of texts in one slice, in the order of their places."""
     codes = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le"), np.uint32)  # a line break parts two texts
@@ -183,26 +221,34 @@ def build_index(files: DataFrame, folder: str, load: int = 0, buckets: int = 64)
     """Take in all ``files(repo, path, content)`` of a load; loads are numbered from 0 and written in turn.
 
     Files that are not in ``files`` any more are gone from the index. A null content counts as empty. Only contents that no
-    load before had are tokenised.
+    load before had are tokenised. ``files`` is read three times.
     """
     spark = files.sparkSession
     named = files.select("repo", "path", F.coalesce("content", F.lit("")).alias("content")).withColumn(
         "digest", F.sha2(F.col("content").cast("binary"), 256)
     )
-    named.select("repo", "path", "digest").write.mode("overwrite").parquet(f"{folder}/files/load={load}")
-    fresh = named.select("digest", "content")
-    if load:
-        before = CodeIndex(spark, folder, load - 1, buckets)._read("contents", _CONTENTS).select("digest")
-        fresh = fresh.join(before, "digest", "left_anti")
-    number = F.monotonically_increasing_id()
-    fresh.groupBy("digest").agg(F.any_value("content").alias("content")).withColumn("number", number).select(
-        "digest", "content", F.expr(f"number DIV {_SLICE}").alias("slice"), (F.col("number") % _SLICE).cast("int").alias("place")
-    ).write.mode("overwrite").parquet(f"{folder}/contents/load={load}")
     index = CodeIndex(spark, folder, load, buckets)
+
+    def write(rows: DataFrame, name: str, *by: str) -> None:
+        rows.write.mode("overwrite").option("compression", "zstd").partitionBy(*by).parquet(f"{folder}/{name}/load={load}")
+
+    write(named.select("repo", "path", "digest", F.octet_length("content").alias("size")), "files")
+    size = spark.read.schema("size int").parquet(f"{folder}/files/load={load}").agg(F.sum("size")).first()[0] or 0
+    digests = index.files.select("digest")
+    before = CodeIndex(spark, folder, load - 1, buckets)._read("contents", _CONTENTS).select("digest") if load else digests.filter(F.lit(False))
+    marks = F.broadcast(_marks(digests, before))
+    marked = named.select("digest", "content", *_hashed("digest")).join(marks, "mark")
+    copies = marked.filter(_bit("open", "at")).select("digest", "content")
+    if load:
+        copies = copies.join(before, "digest", "left_anti")
+    copies = copies.groupBy("digest").agg(F.any_value("content").alias("content"))
+    fresh = marked.filter(_bit("alone", "at")).select("digest", "content").unionByName(copies)
+    numbered = fresh.coalesce(max(1, size // _BYTES)).withColumn("number", F.monotonically_increasing_id())
+    place = (F.col("number") % _SLICE).cast("int").alias("place")
+    write(numbered.select("digest", "content", F.expr(f"number DIV {_SLICE}").alias("slice"), place), "contents")
     new = spark.read.schema(_CONTENTS).parquet(f"{folder}/contents/load={load}")
     lists = new.select("slice", "place", F.lower("content").alias("folded")).mapInArrow(_posting_lists, _LISTS)
     # a bucket of many rows is dealt out over several tasks
-    lists.withColumn("bucket", index.bucket(F.col("trigram"))).hint("rebalance", "bucket").sortWithinPartitions("bucket", "trigram").write.mode(
-        "overwrite"
-    ).partitionBy("bucket").parquet(f"{folder}/postings/load={load}")
+    dealt = lists.withColumn("bucket", index.bucket(F.col("trigram"))).hint("rebalance", "bucket")
+    write(dealt.sortWithinPartitions("bucket", "trigram"), "postings", "bucket")
     return index

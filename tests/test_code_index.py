@@ -2,6 +2,7 @@
 
 import random
 
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from auditloom.functions.rules import SAST_RULES, SMELL_RULES, Rule
@@ -125,3 +126,38 @@ def test_rules_that_stay_a_table_find_the_same(spark):
     many = spark.range(250_000).selectExpr("concat('r', id) AS rule", "concat('word', id, '\\\\s*=') AS pattern", "'LOW' AS severity", "array(concat('word', id)) AS needs")
     found = rule_table.scan_rule_table(lines.filter("path = 'own.py'"), many)  # once over the limit of all rules
     assert _sorted(found, "line_no", "rule") == [(2, "r3"), (2, "r7")]
+
+
+def test_only_contents_with_copies_are_shuffled(spark, monkeypatch):
+    plans, save = {}, DataFrameWriter.parquet
+
+    def parquet(self, path, *args, **more):
+        plans[path.split("/")[-2]] = self._df._jdf.queryExecution().optimizedPlan().toString()
+        return save(self, path, *args, **more)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", parquet)
+    rows = [("r", f"f{i}.py", f"text number {i}" if i % 10 else "a copy") for i in range(400)] + _files(5)
+    index = code_index.build_index(spark.createDataFrame(rows, FILE), scratch_path(spark, "index"))
+    lines = plans["contents"].split("\n")
+    grouped = [i for i, line in enumerate(lines) if "Aggregate [digest" in line and "content" in line]
+    union = next(i for i, line in enumerate(lines) if "Union" in line)
+    assert len(grouped) == 1 and any("getbit" in line for line in lines[union : grouped[0]])  # a branch that groups nothing comes first
+    contents = [r["content"] for r in index.contents.collect()]
+    assert len(contents) == len(set(contents)) and set(contents) == {c or "" for _, _, c in rows}
+    # no content is grouped with another by its number
+    found = index.contents_with(["number 7", "text"])
+    keys = [line.split("], [")[0] for line in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Aggregate [" in line]
+    assert keys and not any("place#" in key for key in keys)
+
+
+def test_hashes_that_clash_lose_and_double_nothing_over_loads(spark, monkeypatch):
+    rows = [("r", f"f{i}.py", f"text number {i}" if i % 10 else "a copy") for i in range(200)] + _files(5)
+    monkeypatch.setattr(code_index, "_hashed", lambda digest: [F.lit(0).cast("bigint").alias("mark"), F.pmod(F.hash(digest), F.lit(100)).alias("at")])
+    folder = scratch_path(spark, "index")
+    for load, some in enumerate((rows[:100], rows[:150] + [("r", "f1.py", "text number 1 again")], rows[50:])):
+        index = code_index.build_index(spark.createDataFrame(some, FILE), folder, load)
+        contents = [r["content"] for r in index.contents.collect()]
+        assert len(contents) == len(set(contents)) and set(contents) == {c or "" for _, _, c in some}
+    assert index.keyword_matches("number 1").count() == sum("number 1" in (c or "") for _, _, c in some)
+    every = [r["content"] for r in spark.read.parquet(f"{folder}/contents").collect()]
+    assert len(every) == len(set(every)) and set(every) == {c or "" for _, _, c in rows} | {"text number 1 again"}
