@@ -7,9 +7,11 @@ hash space and each range sorts its own:
 1. Blocks of documents send their minimizers; a range answers which of them occur in more than one document. Strings whose
    minimizer occurs in one document only cannot repeat and are done with.
 2. Runs of the other strings that share a minimizer are sent to its range, equal runs of a block once, with the smallest
-   document that has them. A range joins its distinct runs to one text and sorts the suffixes: sampled triples at positions
-   1 and 2 modulo 3 get names, the string of names is sorted by recursion, the remaining suffixes are merged in. Adjacent
-   suffixes are compared on their first ``width`` bytes; each group of equals has the smallest document of its members.
+   document that has them. A block sends one row to a range, however many parts the range is sorted in. A part keeps the
+   strings whose hash occurs again among its distinct runs, as no other can have an equal there, joins them to one text and
+   sorts the suffixes: sampled triples at positions 1 and 2 modulo 3 get names, the string of names is sorted by recursion,
+   the remaining suffixes are merged in. Adjacent suffixes are compared on their first ``width`` bytes; each group of equals
+   has the smallest document of its members.
 3. The range answers, a bit a string, whether a smaller document than the sender's has it; blocks cut their documents.
 
 The recursion ends where names cover ``width`` bytes, as nothing longer is compared. A passage that very many documents
@@ -116,14 +118,53 @@ def _less(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndar
 def least_owner(runs: list[bytes], owners: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """For every string of ``width`` bytes in the runs, in order, the least owner of a run that has it.
 
-    Returns them and where each run's begin (one more than runs).
+    Returns them and where each run's begin (one more than runs). A string whose hash no other string has is its run's own;
+    the others are sorted, equal stretches of them once.
     """
+    text = b"".join(runs)
+    at, begins = _places(runs, width)
+    out = np.repeat(owners, np.diff(begins))
+    again = _again(_hashes(np.frombuffer(text, dtype=np.uint8), width)[at])
+    # stretches of such strings that do not cross runs
+    edge = np.zeros(len(again) + 1, dtype=bool)
+    edge[begins] = True
+    here, before = np.append(again, False), np.append(False, again)
+    first, last = np.flatnonzero(here & (edge | ~before)), np.flatnonzero(before & (edge | ~here))
+    number: dict[bytes, int] = {}
+    spans = zip(at[first].tolist(), (at[last - 1] + width).tolist())
+    stretch = np.array([number.setdefault(text[lo:hi], len(number)) for lo, hi in spans], dtype=np.int64)
+    if number:
+        least = np.full(len(number), NO_ID, dtype=np.int64)
+        np.minimum.at(least, stretch, out[first])
+        found, places = _sorted_owner(list(number), least, width)
+        n = last - first
+        out[again] = found[np.repeat(places[stretch] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+    return out, begins
+
+
+def _places(runs: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where each string begins in the joined runs, and the number of strings before each run and in all."""
     sizes = np.array([len(r) for r in runs], dtype=np.int64)
-    text = np.frombuffer(b"".join(runs) + b"\0" * (3 * width + 3), dtype=np.uint8)
     counts = sizes - width + 1
     begins = np.concatenate(([0], np.cumsum(counts)))
-    offset = np.repeat(np.cumsum(sizes) - sizes - begins[:-1], counts)
-    at = np.arange(begins[-1]) + offset
+    return np.arange(begins[-1]) + np.repeat(np.cumsum(sizes) - sizes - begins[:-1], counts), begins
+
+
+def _again(hashes: np.ndarray) -> np.ndarray:
+    """Which values occur more than once."""
+    order = np.argsort(hashes)
+    values = hashes[order]
+    same = values[1:] == values[:-1]
+    out = np.zeros(len(hashes), dtype=bool)
+    out[order[1:][same]] = True
+    out[order[:-1][same]] = True
+    return out
+
+
+def _sorted_owner(runs: list[bytes], owners: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """``least_owner`` by sorting the suffixes of all runs."""
+    text = np.frombuffer(b"".join(runs) + b"\0" * (3 * width + 3), dtype=np.uint8)
+    at, begins = _places(runs, width)
     used = np.bincount(text, minlength=256) > 0
     dense = np.cumsum(used)[text]  # bytes that occur, numbered in order from 1
     rank = suffix_ranks(dense, int(used.sum()) + 1, width)[at]
@@ -135,12 +176,47 @@ def least_owner(runs: list[bytes], owners: np.ndarray, width: int) -> tuple[np.n
         hi = min(len(order), lo + (1 << 17))
         window = text[at[order[lo - 1 : hi]][:, None] + steps]
         fresh[lo:hi] = (window[1:] != window[:-1]).any(axis=1)
-    least = np.minimum.reduceat(np.repeat(owners, counts)[order], np.flatnonzero(fresh)) if len(order) else order
+    least = np.minimum.reduceat(np.repeat(owners, np.diff(begins))[order], np.flatnonzero(fresh))
     out = np.empty(len(order), dtype=np.int64)
-    out[order] = least[np.cumsum(fresh) - 1] if len(order) else least
+    out[order] = least[np.cumsum(fresh) - 1]
     return out, begins
 
 
+# Hashes of pieces
+
+_TABLE = np.random.default_rng(20).integers(0, 2**64, size=256, dtype=np.uint64)
+_STEP = 1 << 15  # bytes that stay in the cache
+
+
+def _hash(data: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the ``size`` bytes from each position, from those of halves."""
+    power, length = _TABLE[data], 1
+    out, done = None, 0
+    left = size
+    factor = 0x9E3779B97F4A7C15
+    while left:
+        if left & 1:
+            part = power[done : done + len(data) - size + 1]
+            out = part.copy() if out is None else out * np.uint64(0xD6E8FEB86659FD93) + part
+            done += length
+        left >>= 1
+        if left:
+            ahead = power[length:]
+            power = power[:-length] * np.uint64(factor) + (ahead ^ (ahead >> np.uint64(29)))
+            factor = factor * 0xBF58476D1CE4E5B9 % 2**64 | 1
+            length *= 2
+    out = (out ^ (out >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    return out ^ (out >> np.uint64(29))
+
+
+def _hashes(data: np.ndarray, size: int) -> np.ndarray:
+    """``_hash`` step by step."""
+    out = np.empty(max(0, len(data) - size + 1), dtype=np.uint64)
+    for lo in range(0, len(out), _STEP):
+        out[lo : lo + _STEP] = _hash(data[lo : min(lo + _STEP, len(out)) + size - 1], size)
+    return out
+
+
 # Blocks of documents
 
 
@@ -156,10 +232,9 @@ class Block:
         data = np.frombuffer(text, dtype=np.uint8)
         n = max(0, len(data) - width + 1)
         least = np.empty(n, dtype=np.uint64)
-        step = 1 << 15  # pieces that stay in the cache
-        for lo in range(0, n, step):
-            part = data[lo : min(lo + step, n) + width - 1]
-            least[lo : lo + step] = self._sliding(self._hash(part), width - mer + 1)
+        for lo in range(0, n, _STEP):
+            part = data[lo : min(lo + _STEP, n) + width - 1]
+            least[lo : lo + _STEP] = self._sliding(_hash(part, mer), width - mer + 1)
         # strings that begin in a document and end in another one do not count
         inside = np.ones(n + 1, dtype=bool)
         for start, length in zip(self.starts.tolist(), lengths.tolist()):
@@ -177,26 +252,6 @@ class Block:
         self.keys = (x ^ (x >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
         self.run_docs = docs[np.searchsorted(self.starts, self.begins, side="right") - 1]
 
-    def _hash(self, data: np.ndarray) -> np.ndarray:
-        """Hash of the ``mer`` bytes from each position, from those of halves."""
-        power, size = _TABLE[data], 1
-        out, done = None, 0
-        left = self.mer
-        factor = 0x9E3779B97F4A7C15
-        while left:
-            if left & 1:
-                part = power[done : done + len(data) - self.mer + 1]
-                out = part.copy() if out is None else out * np.uint64(0xD6E8FEB86659FD93) + part
-                done += size
-            left >>= 1
-            if left:
-                ahead = power[size:]
-                power = power[:-size] * np.uint64(factor) + (ahead ^ (ahead >> np.uint64(29)))
-                factor = factor * 0xBF58476D1CE4E5B9 % 2**64 | 1
-                size *= 2
-        out = (out ^ (out >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-        return out ^ (out >> np.uint64(29))
-
     @staticmethod
     def _sliding(values: np.ndarray, width: int) -> np.ndarray:
         """Least of each ``width`` neighbours."""
@@ -267,9 +322,6 @@ class Block:
         return Dealt(list(number), part[first], least, ends[first] - begins[first], runs, begins, docs)
 
 
-_TABLE = np.random.default_rng(20).integers(0, 2**64, size=256, dtype=np.uint64)
-
-
 @dataclass
 class Dealt:
     texts: list[bytes]  # distinct runs, those of a range together
@@ -281,7 +333,7 @@ class Dealt:
     docs: np.ndarray  # document of each place
 
 
-_BLOCK = ["block", "carried", "docs", "lengths", "text"]
+_BLOCK = ["block", "carried", "size", "docs", "lengths", "text"]
 
 
 def _make_blocks(kind: pa.DataType, block_bytes: int):
@@ -294,6 +346,7 @@ def _make_blocks(kind: pa.DataType, block_bytes: int):
                     [
                         pa.array([secrets.randbits(62)], pa.int64()),
                         pa.array([part.column("carried").to_pylist()], pa.list_(kind)),
+                        pa.array([sum(map(len, texts))], pa.int64()),
                         pa.array([np.array(docs, dtype=np.int64).tobytes()], pa.binary()),
                         pa.array([np.array([len(t) for t in texts], dtype=np.int64).tobytes()], pa.binary()),
                         pa.array([zstandard.ZstdCompressor(level=3).compress(b"".join(texts))], pa.binary()),
@@ -336,14 +389,18 @@ def _repeated(most_runs: int):
     def run(group: pa.Table) -> pa.Table:
         """Which minimizers of one range occur in more than one document, and in very many runs, for each block that sent some."""
         keys = [np.cumsum(unzip_array(k, np.uint64), dtype=np.uint64) for k in group.column("keys").to_pylist()]
-        many = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=len(k)) for m, k in zip(group.column("many").to_pylist(), keys)])
-        distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+        sizes, keys = [len(k) for k in keys], np.concatenate(keys)
+        many = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=n) for m, n in zip(group.column("many").to_pylist(), sizes)])
+        distinct, at = np.unique(keys, return_inverse=True)
+        del keys
         answer = np.bincount(at, weights=1 + many, minlength=len(distinct))[at] > 1
         runs = np.concatenate([unzip_array(r, np.uint32) for r in group.column("runs").to_pylist()])
         hot = np.bincount(at, weights=runs, minlength=len(distinct))[at] > most_runs
         answer = np.stack([answer, hot], axis=1).reshape(-1)  # two bits a minimizer
-        edges = 2 * np.cumsum([0, *map(len, keys)])
+        edges = 2 * np.cumsum([0, *sizes])
         bits = [np.packbits(answer[lo:hi]).tobytes() for lo, hi in zip(edges, edges[1:])]
+        del answer, at, distinct, hot, many, runs
+        release_memory()
         return pa.Table.from_arrays(
             [group.column("block"), group.column("range"), pa.array(np.diff(edges)), pa.array(bits, pa.binary())], names=["block", "range", "n", "bits"]
         )
@@ -359,55 +416,59 @@ def _bits(answers: pa.Table) -> np.ndarray:
     return np.concatenate(parts).astype(bool) if parts else np.empty(0, dtype=bool)
 
 
-def _send_runs(ranges: int, width: int, mer: int):
+def _send_runs(ranges: int, parts: int, width: int, mer: int):
     def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
         rows: list[tuple] = []
         if blocks.num_rows and answers.num_rows:
             block = _read({n: blocks.column(n) for n in blocks.schema.names}, 0, width, mer)
             number = blocks.column("block")[0].as_py()
-            dealt = block.dealt(*_bits(answers).reshape(-1, 2).T, ranges)
-            edges = [0, *(np.flatnonzero(np.diff(dealt.ranges)) + 1).tolist(), len(dealt.texts)]
+            dealt = block.dealt(*_bits(answers).reshape(-1, 2).T, ranges * parts)
+            own = dealt.ranges // parts
+            edges = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(dealt.texts)]
             for lo, hi in zip(edges, edges[1:]):
                 if hi > lo:
                     body = zstandard.ZstdCompressor(level=1).compress(b"".join(dealt.texts[lo:hi]))
                     sizes = (dealt.strings[lo:hi] + width - 1).astype(np.uint32)
-                    rows.append((number, int(dealt.ranges[lo]), body, zip_array(sizes), zip_array(dealt.least[lo:hi])))
-        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-        names = ["block", "range", "text", "sizes", "docs"]
+                    counts = np.bincount(dealt.ranges[lo:hi] - own[lo] * parts, minlength=parts).astype(np.uint32)
+                    rows.append((number, int(own[lo]), body, zip_array(sizes), zip_array(dealt.least[lo:hi]), counts.tobytes()))
+        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+        names = ["block", "range", "text", "sizes", "docs", "counts"]
         return pa.Table.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
     return run
 
 
-def _judge(width: int):
+def _judge(parts: int, width: int):
     def run(group: pa.Table) -> pa.Table:
-        """Sort the suffixes of one range; tell each block which strings a smaller document than the sender's has."""
-        number: dict[bytes, int] = {}
-        owners: list[int] = []
-        sent = []
-        for text, sizes, docs in zip(*(group.column(c).to_pylist() for c in ("text", "sizes", "docs"))):
-            text, at = zstandard.ZstdDecompressor().decompress(text), 0
-            docs = unzip_array(docs, np.int64)
-            places = []
-            for size, doc in zip(unzip_array(sizes, np.uint32).tolist(), docs.tolist()):
-                k = number.setdefault(text[at : at + size], len(number))
-                if k == len(owners):
-                    owners.append(doc)
-                elif doc < owners[k]:
-                    owners[k] = doc
-                places.append(k)
-                at += size
-            sent.append((np.array(places), docs))
-        least, begins = least_owner(list(number), np.array(owners, dtype=np.int64), width)
+        """Sort the suffixes of one range, part by part; tell each block which strings a smaller document than the sender's has."""
+        sent = [unzip_array(s, np.uint32) for s in group.column("sizes").to_pylist()]
+        docs = np.concatenate([unzip_array(d, np.int64) for d in group.column("docs").to_pylist()])
+        part = np.concatenate([np.repeat(np.arange(parts), np.frombuffer(c, np.uint32)) for c in group.column("counts").to_pylist()])
+        sizes = np.concatenate(sent).astype(np.int64)
+        text, end = memoryview(bytearray(int(sizes.sum()))), 0
+        for body in group.column("text"):
+            body = zstandard.ZstdDecompressor().decompress(body.as_py())
+            text[end : end + len(body)] = body
+            end += len(body)
+        begins, strings = np.cumsum(sizes) - sizes, sizes - width + 1
+        answers = np.cumsum(strings) - strings  # where those for each run begin
+        later = np.empty(int(strings.sum()), dtype=bool)
+        order = np.argsort(part, kind="stable")
+        for runs in np.split(order, np.cumsum(np.bincount(part, minlength=parts))[:-1]):
+            number: dict[bytes, int] = {}
+            spans = zip(begins[runs].tolist(), (begins[runs] + sizes[runs]).tolist())
+            place = np.array([number.setdefault(bytes(text[lo:hi]), len(number)) for lo, hi in spans], dtype=np.int64)
+            owners = np.full(len(number), NO_ID, dtype=np.int64)
+            np.minimum.at(owners, place, docs[runs])
+            least, at = least_owner(list(number), owners, width)
+            n = strings[runs]
+            inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            later[np.repeat(answers[runs], n) + inside] = least[np.repeat(at[place], n) + inside] < np.repeat(docs[runs], n)
+        edges = np.append(answers, len(later))[np.cumsum([0, *map(len, sent)])]
+        bits = [np.packbits(later[lo:hi]).tobytes() for lo, hi in zip(edges, edges[1:])]
         release_memory()
-        counts, bits = [], []
-        for places, docs in sent:
-            n = begins[places + 1] - begins[places]
-            at = np.repeat(begins[places] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            counts.append(int(n.sum()))
-            bits.append(np.packbits(least[at] < np.repeat(docs, n)).tobytes())
         return pa.Table.from_arrays(
-            [group.column("block"), group.column("range"), pa.array(counts, pa.int64()), pa.array(bits, pa.binary())], names=["block", "range", "n", "bits"]
+            [group.column("block"), group.column("range"), pa.array(np.diff(edges)), pa.array(bits, pa.binary())], names=["block", "range", "n", "bits"]
         )
 
     return run
@@ -465,6 +526,7 @@ def remove_repeats(
     whole_chars: bool = False,
     block_bytes: int = 2 << 20,
     range_bytes: int = 1 << 20,
+    task_bytes: int = 16 << 20,
     most_runs: int = 20_000,
 ) -> DataFrame:
     """(carried, n_bytes, removed, kept), one row per input row.
@@ -476,6 +538,9 @@ def remove_repeats(
     and rows with equal ids take nothing from each other. Null texts are empty and, like texts under ``width`` bytes, stay as
     they are. Other columns are ignored. An empty table gives an empty result.
 
+    A block sends its runs to ranges of about ``task_bytes``, a task each, that are sorted in parts of about ``range_bytes``: the
+    rows sent are blocks times ranges, so ranges are large, and what is sorted at once is small.
+
     Runs of a minimizer with more than ``most_runs`` different ones are dealt out string by string.
     Two different strings that a hash takes for one cannot do harm: hashes only deal out the work.
     """
@@ -485,12 +550,14 @@ def remove_repeats(
     )
     kind = rows.schema["carried"].dataType
     arrow = spark.createDataFrame([], T.StructType([rows.schema["carried"]])).toArrow().schema.field(0).type
-    schema = T.StructType().add("block", T.LongType()).add("carried", T.ArrayType(kind))
-    for name in _BLOCK[2:]:
+    schema = T.StructType().add("block", T.LongType()).add("carried", T.ArrayType(kind)).add("size", T.LongType())
+    for name in _BLOCK[3:]:
         schema = schema.add(name, T.BinaryType())
     blocks = stored(rows.mapInArrow(_make_blocks(arrow, block_bytes), schema), "repeat-blocks")
-    total = blocks.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = max(8, total // range_bytes)
+    packed, whole = (n or 0 for n in blocks.agg(F.sum(F.octet_length("text")), F.sum("size")).first())
+    total = max(packed, whole // 4)  # what a task holds is unpacked
+    ranges = max(8, total // task_bytes)
+    parts = max(1, total // range_bytes // ranges)
     coarse = max(8, total // (32 << 20))
     tasks = max(8, total // (8 << 20))
     texts = blocks.drop("carried")
@@ -501,10 +568,10 @@ def remove_repeats(
 
     answer = "block long, range int, n long, bits binary"
     sent = texts.mapInArrow(_send_minimizers(coarse, width, mer), "block long, range int, keys binary, many binary, runs binary")
-    repeated = stored(sent.repartition(coarse, "range").groupBy("range").applyInArrow(_repeated(most_runs), answer), "repeat-minimizers")
-    runs = meet(texts, repeated, _send_runs(ranges, width, mer), "block long, range int, text binary, sizes binary, docs binary")
-    judged = stored(runs.repartition(ranges, "range").groupBy("range").applyInArrow(_judge(width), answer), "repeat-judged")
+    repeated = stored(sent.repartitionById(coarse, "range").groupBy("range").applyInArrow(_repeated(most_runs), answer), "repeat-minimizers")
+    runs = meet(texts, repeated, _send_runs(ranges, parts, width, mer), "block long, range int, text binary, sizes binary, docs binary, counts binary")
+    judged = stored(runs.repartitionById(ranges, "range").groupBy("range").applyInArrow(_judge(parts, width), answer), "repeat-judged")
     answers = repeated.withColumn("step", F.lit(1)).unionByName(judged.withColumn("step", F.lit(2)))
     out = T.StructType([rows.schema["carried"], T.StructField("n_bytes", T.LongType())])
     span = T.StructType().add("start", T.LongType()).add("end", T.LongType())
-    return meet(blocks, answers, _cut(arrow, ranges, width, mer, whole_chars), out.add("removed", T.ArrayType(span)).add("kept", T.BinaryType()))
+    return meet(blocks, answers, _cut(arrow, ranges * parts, width, mer, whole_chars), out.add("removed", T.ArrayType(span)).add("kept", T.BinaryType()))

@@ -113,3 +113,49 @@ def test_runs_of_a_hot_minimizer_are_spread_over_the_ranges(spark):
             for span in r["removed"]:
                 mask[span["start"] : span["end"]] = [True] * (span["end"] - span["start"])
             assert mask == want[r["carried"]]
+
+
+def test_a_block_sends_a_row_to_a_range_however_many_parts_it_has(spark, monkeypatch):
+    rows = corpus(random.Random(6), 200)
+    frame = spark.createDataFrame([(d, t, i) for i, (d, t) in enumerate(rows)], "doc_id long, text string, row int").repartition(3)
+    written, kept = {}, sd.stored
+
+    def stored(df, name):
+        written[name] = kept(df, name)
+        return written[name]
+
+    monkeypatch.setattr(sd, "stored", stored)
+    got = {r["carried"]: r for r in sd.remove_repeats(frame, carry=F.col("row"), block_bytes=3000, range_bytes=20).collect()}
+    blocks = written["repeat-blocks"].count()
+    size = written["repeat-blocks"].agg(F.sum(F.octet_length("text"))).first()[0]
+    sent = written["repeat-judged"]
+    assert size // 20 > 64 and blocks > 1 and sent.count() == sent.select("block", "range").distinct().count() <= 8 * blocks
+    for i, (b, mask) in enumerate(slow(rows)):
+        r = got[i]
+        assert (r["n_bytes"], sum(s["end"] - s["start"] for s in r["removed"]), len(r["removed"]), hashlib.sha256(r["kept"]).hexdigest()) == digest(b, mask)
+
+
+def test_strings_that_occur_once_are_not_sorted(monkeypatch):
+    rng = random.Random(3)
+    word = lambda n: bytes(rng.choice(b"abcdefghij") for _ in range(n))
+    passage = word(70)
+    runs = [word(90) for _ in range(200)] + [word(40) + passage + word(30) for _ in range(5)] + [passage[10:], b"x" * 80]
+    owners = np.array([rng.randrange(1000) for _ in runs])
+    want = {}
+    for r, o in zip(runs, owners):
+        for i in range(len(r) - 49):
+            want[r[i : i + 50]] = min(o, want.get(r[i : i + 50], o))
+    sorted_bytes, kept = [], sd.suffix_ranks
+
+    def ranks(text, size, depth):
+        sorted_bytes.append(len(text) if depth == 50 else 0)
+        return kept(text, size, depth)
+
+    monkeypatch.setattr(sd, "suffix_ranks", ranks)
+    least, begins = sd.least_owner(runs, owners, 50)
+    assert 0 < sum(sorted_bytes) < 1000 < sum(map(len, runs))
+    for k, r in enumerate(runs):
+        assert least[begins[k] : begins[k + 1]].tolist() == [want[r[i : i + 50]] for i in range(len(r) - 49)]
+    least, begins = sd.least_owner(runs[:1], owners[:1], 50)
+    assert set(least.tolist()) == {owners[0]} and begins.tolist() == [0, 41]
+    assert [x.tolist() for x in sd.least_owner([], owners[:0], 50)] == [[], [0]]
