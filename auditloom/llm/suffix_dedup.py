@@ -391,15 +391,19 @@ def _repeated(most_runs: int):
         keys = [np.cumsum(unzip_array(k, np.uint64), dtype=np.uint64) for k in group.column("keys").to_pylist()]
         sizes, keys = [len(k) for k in keys], np.concatenate(keys)
         many = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=n) for m, n in zip(group.column("many").to_pylist(), sizes)])
-        distinct, at = np.unique(keys, return_inverse=True)
+        order = np.argsort(keys)
+        keys = keys[order]
+        at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
         del keys
-        answer = np.bincount(at, weights=1 + many, minlength=len(distinct))[at] > 1
+        n = np.diff(np.append(at, len(order)))
+        answer = np.empty((len(order), 2), dtype=bool)  # two bits a minimizer
+        answer[order, 0] = np.repeat((n > 1) | (np.maximum.reduceat(many[order], at) > 0), n)
         runs = np.concatenate([unzip_array(r, np.uint32) for r in group.column("runs").to_pylist()])
-        hot = np.bincount(at, weights=runs, minlength=len(distinct))[at] > most_runs
-        answer = np.stack([answer, hot], axis=1).reshape(-1)  # two bits a minimizer
+        answer[order, 1] = np.repeat(np.add.reduceat(runs[order], at, dtype=np.int64) > most_runs, n)
+        answer = answer.reshape(-1)
         edges = 2 * np.cumsum([0, *sizes])
         bits = [np.packbits(answer[lo:hi]).tobytes() for lo, hi in zip(edges, edges[1:])]
-        del answer, at, distinct, hot, many, runs
+        del answer, at, many, n, order, runs
         release_memory()
         return pa.Table.from_arrays(
             [group.column("block"), group.column("range"), pa.array(np.diff(edges)), pa.array(bits, pa.binary())], names=["block", "range", "n", "bits"]
